@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """The byte-level vocabulary's file, from the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def url_rules() -> list:
     from .url_filter import host_rule, word_rule
 
@@ -26,6 +33,18 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules()).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_digest
+
+    return token_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), end_id=0)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import PackParams, pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), PackParams(tokenizer_file()))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import MixParams, mix
 
@@ -39,7 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES, overhead=SHARD_OVERHEAD)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op7_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op5_token_files, op6_packing, op7_mixing, op10_sharding)}
 
 _OP2 = r"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
