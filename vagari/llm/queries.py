@@ -52,13 +52,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict
+
+    return predict(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES, overhead=SHARD_OVERHEAD)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op5_token_files, op6_packing, op7_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op5_token_files, op6_packing, op7_mixing, op9_language_id, op10_sharding)}
 
 _OP2 = r"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
