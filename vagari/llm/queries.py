@@ -33,6 +33,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules()).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import TopKParams, top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), TopKParams(k=10, scale=1024, every=100))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_digest
 
@@ -64,7 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES, overhead=SHARD_OVERHEAD)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op5_token_files, op6_packing, op7_mixing, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_top_k, op5_token_files, op6_packing, op7_mixing, op9_language_id, op10_sharding)}
 
 _OP2 = r"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -78,6 +84,15 @@ SELECT page_id, host, path, rule,
 FROM j WHERE k = 1
 """
 
+_OP3 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 _OP7 = r"""
 WITH base AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
                      md5(CAST(doc_id AS VARCHAR) || ':' || md5(coalesce(text, ''))) AS h FROM documents),
@@ -108,4 +123,4 @@ SELECT doc_id, n_bytes, CAST(low.d AS INTEGER) AS depth, 's' || substr(lpad(bin(
 FROM low JOIN fits ON low.d = fits.d AND low.h >> (32 - low.d) = fits.p
 """
 
-ORACLES = {"op2_url_filter": _OP2, "op7_mixing": _OP7, "op10_sharding": _OP10}
+ORACLES = {"op2_url_filter": _OP2, "op3_top_k": _OP3, "op7_mixing": _OP7, "op10_sharding": _OP10}
