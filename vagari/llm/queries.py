@@ -58,6 +58,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import EmbeddingParams, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), EmbeddingParams(threshold=0.95))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import predict
 
@@ -70,7 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES, overhead=SHARD_OVERHEAD)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_top_k, op5_token_files, op6_packing, op7_mixing, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_top_k, op5_token_files, op6_packing, op7_mixing, op8_embedding_dedup, op9_language_id, op10_sharding)}
 
 _OP2 = r"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -112,6 +118,16 @@ SELECT doc_id, size, total AS source_size, target,
 FROM d
 """
 
+_OP8 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+SELECT r.id AS vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(r.c) AS component_id, r.id = min(r.c) AS kept
+FROM r LEFT JOIN n USING (id) GROUP BY r.id
+"""
+
 _OP10 = f"""
 WITH base AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + {SHARD_OVERHEAD} AS BIGINT) AS n_bytes,
                      CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM documents),
@@ -123,4 +139,4 @@ SELECT doc_id, n_bytes, CAST(low.d AS INTEGER) AS depth, 's' || substr(lpad(bin(
 FROM low JOIN fits ON low.d = fits.d AND low.h >> (32 - low.d) = fits.p
 """
 
-ORACLES = {"op2_url_filter": _OP2, "op3_top_k": _OP3, "op7_mixing": _OP7, "op10_sharding": _OP10}
+ORACLES = {"op2_url_filter": _OP2, "op3_top_k": _OP3, "op7_mixing": _OP7, "op8_embedding_dedup": _OP8, "op10_sharding": _OP10}
