@@ -27,6 +27,16 @@ def url_rules() -> list:
     return [host_rule(*r) for r in listed] + [word_rule("spam", "farm"), word_rule("cheap", "pills")]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines, the numbers of those removed, and size and crc32 of the text that stays."""
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit("")).cast("binary")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return out.select("doc_id", "n_lines", removed.alias("removed"), F.octet_length(kept).cast("long").alias("kept_bytes"), F.crc32(kept).alias("kept_crc32"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls
 
@@ -76,7 +86,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES, overhead=SHARD_OVERHEAD)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_top_k, op5_token_files, op6_packing, op7_mixing, op8_embedding_dedup, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_top_k, op5_token_files, op6_packing, op7_mixing, op8_embedding_dedup, op9_language_id, op10_sharding)}
 
 _OP2 = r"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
