@@ -49,6 +49,12 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), TopKParams(k=10, scale=1024, every=100))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import MinHashParams, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), MinHashParams(words=5, num=85, den=100))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_digest
 
@@ -86,7 +92,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES, overhead=SHARD_OVERHEAD)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_top_k, op5_token_files, op6_packing, op7_mixing, op8_embedding_dedup, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_top_k, op4_minhash_dedup, op5_token_files, op6_packing, op7_mixing, op8_embedding_dedup, op9_language_id, op10_sharding)}
 
 _OP2 = r"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
