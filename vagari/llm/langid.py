@@ -183,6 +183,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], p: LangParams,
     return source.mapInArrow(run, schema)
 
 
+def accepted(least: float = 0.12, letters: int = 40, text: str = "text") -> Column:
+    """Of identify's rows those with a language: not 'und', and not unlike all languages although there are letters enough to tell."""
+    count = F.length(F.regexp_replace(F.col(text), r"\P{L}+", ""))
+    return (F.col("lang_pred") != "und") & ((F.col("score") >= least) | (count < letters))
+
+
 def predict(docs: DataFrame, p: LangParams = LangParams(), key: str = "doc_id") -> DataFrame:
     """key, held_out, lang_pred, score: learned outside fold 0, predicted for every row. A null key is not held out."""
     model = learn(docs, p, key)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
@@ -32,6 +32,11 @@ class MixParams:
     max_sources: int = 100_000
 
 
+def row_hash() -> Column:
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text).cast("binary"))
+
+
 def water_fill(sizes: list[int], weights: list[int], most: int) -> list[float]:
     """Targets in proportion to weights that sum to all sizes, none above most times its size."""
     caps = [most * s for s in sizes]
@@ -98,15 +103,15 @@ def mix(docs: DataFrame, p: MixParams = MixParams()) -> tuple[DataFrame, DataFra
 
     schedule: a row for each piece of a document in a slot: slot, doc_id, copy
     (0 for the first reading of its source), start and length in words.
-    documents: doc_id, size, source_size, target, taken, one row per input row.
+    documents: doc_id, size, source_size, target, taken and row (the hash of
+    doc_id and text that orders a source), one row per input row.
 
     Null texts and texts without words have size 0 and are never taken. Null
     sources form one source, the last. Repeated rows count each on its own. No
     words at all: no slots, targets 0. Other columns of docs are not read.
     """
     spark = docs.sparkSession
-    text_hash = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text_hash).cast("binary")).alias("h"))
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash().alias("h"))
     base = stored(base, "mix-sizes")
     sources = _sources(base, p)
     slots = _schedule(spark, sources, p)
@@ -127,5 +132,18 @@ def mix(docs: DataFrame, p: MixParams = MixParams()) -> tuple[DataFrame, DataFra
     joined = pieces.join(slots, ["sid", "rank"], "left")
     schedule = joined.filter(F.col("slot").isNotNull()).select("slot", "doc_id", "copy", (F.col("p0") - F.col("a")).alias("start"), "length")
     taken = F.sum(F.when(F.col("slot").isNotNull(), F.col("length")).otherwise(0)).alias("taken")
-    documents = joined.groupBy("sid", "bucket", "rn", "doc_id", "size", "source_size", "target").agg(taken).drop("sid", "bucket", "rn")
+    documents = joined.groupBy("sid", "bucket", "rn", F.col("h").alias("row"), "doc_id", "size", "source_size", "target").agg(taken).drop("sid", "bucket", "rn")
     return schedule, documents
+
+
+def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
+    """docs as the mix reads them: each row as often as it is taken, to the nearest whole copy (halves count). The columns stay."""
+    _, documents = mix(docs, p)
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    counts = documents.filter("taken > 0").select("row", times.alias("_times")).filter("_times > 0")
+    # Rows equal in doc_id and text share a hash: they are told apart by their place among these.
+    nth = W.Window.partitionBy("row").orderBy(F.desc("_times"))
+    counts = counts.withColumn("_nth", F.row_number().over(nth)).withColumnRenamed("row", "_row")
+    rows = docs.withColumn("_row", row_hash())
+    rows = rows.withColumn("_nth", F.row_number().over(W.Window.partitionBy("_row").orderBy("_row")))
+    return rows.join(counts, ["_row", "_nth"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_row", "_nth", "_times", "_copy")
