@@ -87,6 +87,11 @@ def table_of(df: DataFrame, *columns: str) -> np.ndarray:
     return tables(df.select(*columns).mapInArrow(count, PARTS_SCHEMA), 1)[0]
 
 
+def parts_of(counters: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
+    for kind, counter in counters.items():
+        yield from counter.parts(kind)
+
+
 def counted(df: DataFrame, kinds: int, hashes: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]) -> list[np.ndarray]:
     """Tables of the (kind, hashes) that 'hashes' finds in each batch of df."""
 
@@ -97,7 +102,6 @@ def counted(df: DataFrame, kinds: int, hashes: Callable[[pa.RecordBatch], Iterat
                 if kind not in own:
                     own[kind] = Counter()
                 own[kind].add(h)
-        for kind, counter in own.items():
-            yield from counter.parts(kind)
+        yield from parts_of(own)
 
     return tables(df.mapInArrow(count, PARTS_SCHEMA), kinds)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, stored
 
 
 def _mark(edges: DataFrame):
@@ -20,20 +20,20 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds in the order of the logarithm of the size. Loops and links
     with a null end are ignored.
     """
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = stored(now, "components")
-    mark = _mark(now)
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(moved.unionByName(small.withColumnRenamed("m", "b")).distinct(), "components")
-        before, mark = mark, _mark(now)
-        if tuple(before) == tuple(mark):
-            break
-    return now
+    with Scratch(edges.sparkSession) as scratch:
+        now = scratch.store(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
+        mark = _mark(now)
+        while mark[0]:
+            both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            small = large.groupBy("a").agg(F.min("b").alias("m"))
+            moved = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            now = scratch.store(moved.unionByName(small.withColumnRenamed("m", "b")).distinct(), "components")
+            before, mark = mark, _mark(now)
+            if tuple(before) == tuple(mark):
+                break
+        return stored(now, "components")
 
 
 def local_roots(n: int, a, b):

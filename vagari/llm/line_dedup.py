@@ -3,8 +3,8 @@
 A line is the set of its words. Words are ordered by rarity over the whole
 corpus; two sets that are similar enough share a word in the first few of this
 order (prefix filter), so an inverted index over prefix words finds all
-candidates. Length, position and a 64-bit signature rule most of them out; the
-Jaccard similarity of whole sets decides. Where a prefix word is frequent, the
+candidates. Length, position and a 64-bit parity signature (of which each word
+flips a bit) rule most of them out; the Jaccard similarity of whole sets decides. Where a prefix word is frequent, the
 index is over triples of prefix words instead, from a prefix longer by two.
 Words and sets are told apart by 64-bit hashes.
 """
@@ -18,14 +18,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import stored
+from .common import Scratch, stored
 from .kernels import LANES, LOWERED, U, chunks, mixed, span_hashes, words
 
-POSTING = np.dtype([("key", "<u8"), ("sid", "<u8"), ("sig", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
+POSTING = np.dtype([("key", "<u4"), ("sid", "<u8"), ("sig", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
+LINES = "sid long, doc long, row long, line int"
 LAST = (1 << 63) - 1
 
 
@@ -37,7 +38,7 @@ class LineParams:
     den: int = 5
     frequent: int = 2000
     nearest: int = 3
-    flush_bytes: int = 64 << 20
+    flush_bytes: int = 16 << 20
 
 
 @dataclass
@@ -85,8 +86,8 @@ def needed(n: np.ndarray, p: LineParams) -> np.ndarray:
     return -(-p.num * n // p.den)
 
 
-def postings(ls: Lines, docs: np.ndarray, hot: int, p: LineParams) -> np.ndarray:
-    """Index entries of a chunk's distinct sets that could have a different set alike."""
+def postings(ls: Lines, docs: np.ndarray, hot: int, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of a chunk's distinct sets that could have a different set alike: the lower half of each key, which deals it out, and the entry with the upper half."""
     _, once = np.unique(ls.sid, return_index=True)
     pick = np.zeros(len(ls.sid), bool)
     pick[once] = True
@@ -107,65 +108,58 @@ def postings(ls: Lines, docs: np.ndarray, hot: int, p: LineParams) -> np.ndarray
                 keys.append(mixed(ls.tokens[a] * LANES[1] + ls.tokens[b] * LANES[2] + ls.tokens[c] * LANES[3]))
                 at.append(pos[c] - 2)  # as if it were the first word in common
     lines = np.concatenate(lines)
-    signature = np.bitwise_or.reduceat(U(1) << (ls.tokens >> U(58)), ls.first) if len(ls.first) else np.zeros(0, U)
+    signature = np.bitwise_xor.reduceat(U(1) << (ls.tokens >> U(58)), ls.first) if len(ls.first) else np.zeros(0, U)
+    keys = np.concatenate(keys)
     out = np.empty(len(lines), POSTING)
-    out["key"], out["sid"], out["sig"] = np.concatenate(keys), ls.sid[lines], signature[lines]
+    out["key"], out["sid"], out["sig"] = keys >> U(32), ls.sid[lines], signature[lines]
     out["doc"], out["line"], out["n"], out["pos"] = docs[ls.doc[lines]], ls.number[lines], ls.n[lines], np.concatenate(at)
-    return out
-
-
-def _may(x: np.ndarray, y: np.ndarray, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
-    """Whether entries of one key may be alike by length, position and signature, and the distance of signatures."""
-    nx, ny, t = x["n"].astype(np.int64), y["n"].astype(np.int64), p.num + p.den
-    most = 1 + np.minimum(nx - x["pos"] - 1, ny - y["pos"] - 1)
-    apart = np.bitwise_count(x["sig"] ^ y["sig"]).astype(np.int64)
-    yes = (np.minimum(nx, ny) * p.den >= np.maximum(nx, ny) * p.num) & (most * t >= p.num * (nx + ny)) & ((nx + ny - apart) * t >= 2 * p.num * (nx + ny))
-    return yes & (x["sid"] != y["sid"]), apart
+    return keys & U(0xFFFFFFFF), out
 
 
 def candidates(entries: np.ndarray, limit: int | None, wanted: np.ndarray | None, p: LineParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later set, earlier set, whether the later one has more) among entries that hold all of their keys. limit: that many earlier sets for a later one and key, the nearest. wanted: only later sets marked in this table."""
+    """(later set, earlier set, whether the later one has more) among entries that hold all of their keys. limit: that many earlier sets for a later one and key, the nearest. wanted: only later sets marked in this table.
+
+    Entries of a key are sorted by length. All are compared with the next one, then
+    with the next but one, and so on; an entry drops out when its key ends or
+    lengths differ too much, which stays so. Memory holds the survivors only.
+    """
     e = entries[np.lexsort((entries["line"], entries["doc"], entries["sid"], entries["key"]))]
     new = np.ones(len(e), bool)
     new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["sid"][1:] != e["sid"][:-1])
     e = e[new]
-    e = e[np.lexsort((e["sid"], e["line"], e["doc"], e["key"]))]
-    cut = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1], [True]))) if len(e) else np.zeros(1, np.int64)
-    size = np.diff(cut)
-    group = np.repeat(np.arange(len(size)), size)
-    rank = np.arange(len(e)) - cut[:-1][group] if len(e) else np.zeros(0, np.int64)
-    ok = np.ones(len(e), bool) if wanted is None else wanted[buckets.bucket(e["sid"])] > 0
-    xs, ys, ds = [], [], []
-    small = size[group] <= 64 if len(e) else np.zeros(0, bool)
-    for d in range(1, 64):
-        i = np.flatnonzero(small & ok & (rank >= d))
-        if not len(i):
+    e = e[np.lexsort((e["n"], e["key"]))]
+    key, sig, n, left = e["key"].copy(), e["sig"].copy(), e["n"].astype(np.int64), (e["n"] - e["pos"]).astype(np.int64)
+    t, active, d = p.num + p.den, np.arange(len(e)), 0
+    found: list[tuple] = []
+    while True:
+        d += 1
+        active = active[: np.searchsorted(active, len(e) - d)]
+        j = active + d
+        active = active[(key[j] == key[active]) & (n[j] * p.num <= n[active] * p.den)]
+        if not len(active):
             break
-        yes, apart = _may(e[i], e[i - d], p)
-        xs.append(i[yes]), ys.append(i[yes] - d), ds.append(apart[yes])
-    for g in np.flatnonzero(size > 64):
-        for i in range(cut[g] + 1, cut[g + 1]):
-            if ok[i]:
-                j = np.arange(cut[g], i)
-                yes, apart = _may(e[i : i + 1], e[j], p)
-                j, apart = j[yes], apart[yes]
-                if limit is not None and len(j) > limit + 1:
-                    near = np.argsort(apart, kind="stable")[: limit + 1]
-                    j, apart = j[near], apart[near]
-                xs.append(np.full(len(j), i)), ys.append(j), ds.append(apart)
-    if not xs:
+        j = active + d
+        apart, both = np.bitwise_count(sig[active] ^ sig[j]).astype(np.int64), n[active] + n[j]
+        yes = ((both - apart) * t >= 2 * p.num * both) & (np.minimum(left[active], left[j]) * t >= p.num * both)
+        if yes.any():
+            found.append((active[yes], j[yes], apart[yes]))
+    if not found:
         z = np.zeros(0, U)
         return z, z, np.zeros(0, bool)
-    x, y, d = (np.concatenate(a) for a in (xs, ys, ds))
-    order = np.lexsort((y, d, x))
+    a, b, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+    place = np.empty(len(e), np.int64)
+    place[np.lexsort((e["sid"], e["line"], e["doc"]))] = np.arange(len(e))
+    x, y = np.where(place[a] > place[b], a, b), np.where(place[a] > place[b], b, a)
+    if wanted is not None:
+        ok = wanted[buckets.bucket(e["sid"][x])] > 0
+        x, y, apart = x[ok], y[ok], apart[ok]
+    order = np.lexsort((place[y], apart, x))
     x, y = x[order], y[order]
-    firsts = np.searchsorted(x, x)
-    nth = np.arange(len(x)) - firsts
     more = np.zeros(len(x), bool)
     if limit is not None:
+        nth = np.arange(len(x)) - np.searchsorted(x, x)
         many = np.bincount(x, minlength=len(e))[x] > limit
-        keep = nth < limit
-        x, y, more = x[keep], y[keep], many[keep]
+        x, y, more = x[nth < limit], y[nth < limit], many[nth < limit]
     return e["sid"][x], e["sid"][y], more
 
 
@@ -177,17 +171,37 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
 
 
+def _lines(rows: DataFrame, kind: int = 0) -> DataFrame:
+    """In one pass over the texts: the sets of all lines with words, and the words' counts (rows with a kind)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, buckets.Counter] = {}
+        for batch in batches:
+            for lo, _, buf, offs in chunks(batch.column(2)):
+                ls = line_sets(buf, offs, None)
+                own.setdefault(kind, buckets.Counter()).add(ls.tokens)
+                of = pa.array(lo + ls.doc)
+                none = pa.nulls(len(ls.sid), pa.int32())
+                data = pa.nulls(len(ls.sid), pa.binary())
+                yield pa.RecordBatch.from_arrays([_signed(ls.sid), batch.column(0).take(of), batch.column(1).take(of), pa.array(ls.number.astype(np.int32)), none, none, data, data], names=names)
+        for part in buckets.parts_of(own):
+            gap = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*gap, *part.columns], names=names)
+
+    names = ["sid", "doc", "row", "line", "kind", "part", "at", "n"]
+    return rows.mapInArrow(run, f"{LINES}, {buckets.PARTS_SCHEMA}")
+
+
 def _pairs(rows: DataFrame, table, hot: int, limit: int | None, wanted, p: LineParams) -> DataFrame:
-    spark = rows.sparkSession
-    fan = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fan = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def dealt(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        e = np.concatenate(found)
-        to = (e["key"] % U(fan)).astype(np.int64)
-        e = e[np.argsort(to, kind="stable")]
+    def dealt(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        to, e = (np.concatenate(c) for c in zip(*found, strict=True))
+        to = (to % U(fan)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
         cuts = np.concatenate(([0], np.cumsum(np.bincount(to, minlength=fan))))
         used = np.flatnonzero(np.diff(cuts))
-        yield pa.RecordBatch.from_pydict({"to": pa.array(used, pa.int32()), "entries": pa.array([e[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"to": pa.array(used, pa.int32()), "entries": pa.array([e[order[cuts[i] : cuts[i + 1]]].tobytes() for i in used], pa.binary())})
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
@@ -195,7 +209,7 @@ def _pairs(rows: DataFrame, table, hot: int, limit: int | None, wanted, p: LineP
             docs = batch.column(0).fill_null(LAST).to_numpy()
             for lo, _, buf, offs in chunks(batch.column(1)):
                 found.append(postings(line_sets(buf, offs, table.value), docs[lo:], hot, p))
-                held += found[-1].nbytes
+                held += found[-1][1].nbytes
                 if held > p.flush_bytes:
                     yield from dealt(found)
                     found, held = [], 0
@@ -210,34 +224,38 @@ def _pairs(rows: DataFrame, table, hot: int, limit: int | None, wanted, p: LineP
             return pa.RecordBatch.from_arrays([_signed(x), _signed(y), pa.array(more)], names=["x", "y", "more"])
 
         for batch in batches:
-            for to, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for to, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if to != now:
                     if held:
                         yield out()
                     now, held = to, []
-                held.append(entries)
+                held.append(entries.as_buffer())
         if held:
             yield out()
 
     spread = rows.select("doc", "text").mapInArrow(index, "to int, entries binary").repartition("to").sortWithinPartitions("to")
     found = spread.mapInArrow(meet, "x long, y long, more boolean")
-    return stored(found.groupBy("x", "y").agg(F.max("more").alias("more")), "line-pairs")
+    return found.groupBy("x", "y").agg(F.max("more").alias("more"))
 
 
-def _alike(rows: DataFrame, pairs: DataFrame, p: LineParams) -> DataFrame:
-    """Later sets (x) of the pairs whose whole sets are alike."""
-    need = rows.sparkSession.sparkContext.broadcast(buckets.table_of(pairs, "x", "y"))
+def _alike(rows: DataFrame, first: DataFrame, pairs: DataFrame, p: LineParams) -> DataFrame:
+    """Later sets (x) of the pairs whose whole sets are alike. Sets come from the first line that has them; other texts aren't taken apart."""
+    sc = rows.sparkSession.sparkContext
+    need = sc.broadcast(buckets.table_of(pairs, "x", "y"))
+    sids = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
+    where = sc.broadcast(buckets.table_of(first.join(sids, "sid", "left_semi").select("first.row"), "row"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, offs in chunks(batch.column(0)):
+            hit = where.value[buckets.bucket(batch.column(0).to_numpy().view(U))] > 0
+            for _, _, buf, offs in chunks(batch.column(1).filter(pa.array(hit))):
                 ls = line_sets(buf, offs, None)
                 _, once = np.unique(ls.sid, return_index=True)
                 once = once[need.value[buckets.bucket(ls.sid[once])] > 0]
                 sets = [ls.tokens[ls.first[i] : ls.first[i] + ls.n[i]].tobytes() for i in once]
                 yield pa.RecordBatch.from_arrays([_signed(ls.sid[once]), pa.array(sets, pa.binary())], names=["sid", "tokens"])
 
-    sets = rows.select("text").mapInArrow(fetch, "sid long, tokens binary").dropDuplicates(["sid"])
+    sets = rows.select("row", "text").mapInArrow(fetch, "sid long, tokens binary").dropDuplicates(["sid"])
     both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("tokens").alias("a")), "x").join(sets.select(F.col("sid").alias("y"), F.col("tokens").alias("b")), "y").select("x", "a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +264,8 @@ def _alike(rows: DataFrame, pairs: DataFrame, p: LineParams) -> DataFrame:
             for i, (a, b) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                 u, v = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
                 s = np.sort(np.concatenate([u, v]))
-                both = int((s[1:] == s[:-1]).sum())
-                yes[i] = both * (p.num + p.den) >= p.num * (len(u) + len(v))
+                common = int((s[1:] == s[:-1]).sum())
+                yes[i] = common * (p.num + p.den) >= p.num * (len(u) + len(v))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(yes))], names=["x"])
 
     return both.mapInArrow(verify, "x long").distinct()
@@ -263,40 +281,40 @@ def removed_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc
     """
     spark = docs.sparkSession
     rows = _rows(docs, key, text)
-
-    def hashes(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for _, _, buf, offs in chunks(batch.column(0)):
-            ls = line_sets(buf, offs, None)
-            yield 0, ls.tokens
-            yield 1, ls.sid
-
-    rarity, repeats = buckets.counted(rows.select("text"), 2, hashes)
-    mean = float(np.where(rarity <= buckets.EXACT, rarity, buckets.EXACT * 2.0 ** ((rarity.astype(float) - buckets.EXACT) / buckets.STEPS)).mean())
-    hot = int(buckets.code_of(np.array([max(p.frequent, math.ceil(64 * mean))]))[0])
-    table = spark.sparkContext.broadcast(rarity)
-    pairs = _pairs(rows, table, hot, p.nearest, None, p)
-    near = stored(_alike(rows, pairs, p), "line-alike")
-    open_ = pairs.filter("more").select("x").distinct().join(near, "x", "left_anti")
-    if not open_.isEmpty():
-        open_ = stored(open_, "line-open")
-        wanted = spark.sparkContext.broadcast(buckets.table_of(open_, "x"))
-        rest = _pairs(rows, table, hot, None, wanted, p).join(open_, "x", "left_semi").join(pairs.select("x", "y"), ["x", "y"], "left_anti")
-        near = stored(near.union(_alike(rows, stored(rest, "line-rest"), p)).distinct(), "line-alike")
-    flags = spark.sparkContext.broadcast((repeats >= 2) | (buckets.table_of(near, "x") > 0))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, _, buf, offs in chunks(batch.column(2)):
-                ls = line_sets(buf, offs, None)
-                hit = flags.value[buckets.bucket(ls.sid)]
-                of = pa.array(lo + ls.doc[hit])
-                yield pa.RecordBatch.from_arrays([_signed(ls.sid[hit]), batch.column(0).take(of), batch.column(1).take(of), pa.array(ls.number[hit].astype(np.int32))], names=["sid", "doc", "row", "line"])
-
-    lines = rows.mapInArrow(marked, "sid long, doc long, row long, line int")
-    place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("doc"), "line", "row")
-    first = lines.groupBy("sid").agg(F.min(place).alias("first"))
-    judged = lines.join(first, "sid").join(near.select(F.col("x").alias("sid"), F.lit(True).alias("near")), "sid", "left")
-    return judged.filter(F.col("near") | (place != F.col("first"))).groupBy("doc", "row").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    with Scratch(spark) as scratch:
+        store = scratch.store
+        told = store(_lines(rows), "line-sets")
+        lines = told.filter("kind IS NULL").select("sid", "doc", "row", "line")
+        rarity = buckets.tables(told.filter("kind IS NOT NULL").select("kind", "part", "at", "n"), 1)[0]
+        mean = float(np.where(rarity <= buckets.EXACT, rarity, buckets.EXACT * 2.0 ** ((rarity.astype(float) - buckets.EXACT) / buckets.STEPS)).mean())
+        hot = int(buckets.code_of(np.array([max(p.frequent, math.ceil(64 * mean))]))[0])
+        place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("doc"), "line", "row")
+        first = store(lines.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("times")), "line-first")
+        table = spark.sparkContext.broadcast(rarity)
+        pairs = store(_pairs(rows, table, hot, p.nearest, None, p), "line-pairs")
+        near = store(_alike(rows, first, pairs, p), "line-alike")
+        open_ = store(pairs.filter("more").select("x").distinct().join(near, "x", "left_anti"), "line-open")
+        if not open_.isEmpty():
+            wanted = spark.sparkContext.broadcast(buckets.table_of(open_, "x"))
+            rest = _pairs(rows, table, hot, None, wanted, p).join(open_, "x", "left_semi").join(pairs.select("x", "y"), ["x", "y"], "left_anti")
+            near = store(near.union(_alike(rows, first, store(rest, "line-rest"), p)).distinct(), "line-alike")
+        # Only sets that occur again or have an earlier one alike lose lines.
+        losing = first.join(near.select(F.col("x").alias("sid"), F.lit(True).alias("near")), "sid", "left").filter("times > 1 OR near")
+        judged = lines.join(losing, "sid").filter(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
+        return stored(judged.groupBy("doc", "row").agg(F.sort_array(F.collect_set("line")).alias("removed")), "line-removed")
+
+
+def _line_count(text: str) -> Column:
+    count = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
+    return F.when(F.col(text).isNull(), 0).otherwise(count).cast("int")
+
+
+def line_report(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_lines and removed (empty: none) of every row; the decisions of removed_lines, without moving texts."""
+    gone = removed_lines(docs, p, key, text)
+    own = docs.select(F.col(key).alias(key), F.col(key).cast("long").alias("_key"), F.xxhash64(F.col(key), F.col(text)).alias("_hash"), _line_count(text).alias("n_lines"))
+    joined = own.join(gone, (F.col("_hash") == F.col("row")) & F.col("_key").eqNullSafe(F.col("doc")), "left")
+    return joined.select(key, "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,5 +330,4 @@ def dedup_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc_i
     lines = F.split(F.col(text), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_removed")
     clean = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    count = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
-    return joined.withColumn("n_lines", count.cast("int")).withColumn("removed", F.col("_removed")).withColumn(text, clean).drop("_key", "_hash", "_doc", "_row", "_removed")
+    return joined.withColumn("n_lines", _line_count(text)).withColumn("removed", F.col("_removed")).withColumn(text, clean).drop("_key", "_hash", "_doc", "_row", "_removed")

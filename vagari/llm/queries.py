@@ -28,13 +28,10 @@ def url_rules() -> list:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's lines, the numbers of those removed, and size and crc32 of the text that stays."""
-    from .line_dedup import dedup_lines
+    """Each document's number of lines and the numbers (from 0) of those that go."""
+    from .line_dedup import line_report
 
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kept = F.coalesce("text", F.lit("")).cast("binary")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", removed.alias("removed"), F.octet_length(kept).cast("long").alias("kept_bytes"), F.crc32(kept).alias("kept_crc32"))
+    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
