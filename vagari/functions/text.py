@@ -50,17 +50,17 @@ def object_name(phrase: Column) -> Column:
     """The last noun in lower case; phrases of a container stay whole; without a noun the phrase."""
     low = F.lower(phrase)
     container = low.rlike("^(" + "|".join(lex.CONTAINERS) + ")") & low.rlike(r"\w+\s+of\s+\w+") & phrase.contains(" of ")
-    return F.when(F.size(nouns(phrase)) == 0, low).when(container, low).otherwise(F.lower(F.element_at(nouns(phrase), -1)))
+    return F.when(F.size(nouns(phrase)) == 0, low).when(container, low).otherwise(F.lower(F.try_element_at(nouns(phrase), F.lit(-1))))
 
 
 def core_noun(label: Column) -> Column:
     """The last noun's lemma (here: its lower case); without a noun the label without spaces."""
-    return F.when(F.size(nouns(label)) == 0, F.replace(F.lower(label), F.lit(" "), F.lit(""))).otherwise(F.lower(F.element_at(nouns(label), -1)))
+    return F.when(F.size(nouns(label)) == 0, F.replace(F.lower(label), F.lit(" "), F.lit(""))).otherwise(F.lower(F.try_element_at(nouns(label), F.lit(-1))))
 
 
 def standard_label(label: Column) -> Column:
     """The core noun, with both words for the toy made one; without a noun, spaces become underscores."""
-    last = F.lower(F.element_at(nouns(label), -1))
+    last = F.lower(F.try_element_at(nouns(label), F.lit(-1)))
     return F.when(F.size(nouns(label)) == 0, F.replace(F.lower(label), F.lit(" "), F.lit("_"))).when(last.isin("teddy", "bear"), "bear").otherwise(last)
 
 

@@ -10,7 +10,7 @@ from ..functions import text as tx
 
 
 def last_word(phrase: Column) -> Column:
-    return F.lower(F.element_at(tx.nouns(phrase), -1))
+    return F.lower(F.try_element_at(tx.nouns(phrase), F.lit(-1)))
 
 
 def longest_by_root(phrases: DataFrame, key: str) -> DataFrame:

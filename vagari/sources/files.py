@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,8 +103,6 @@ def png_or_jpeg_size(content: bytes) -> tuple[int, int] | None:
 
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
     """Path, image_id, width, height; unreadable images have null sizes and a failed state."""
-    import pandas as pd
-
     @F.pandas_udf("struct<width:int,height:int>")
     def size(content: pd.Series) -> pd.DataFrame:
         found = [png_or_jpeg_size(bytes(c)) or (None, None) for c in content]
@@ -119,8 +118,6 @@ def tar_samples(spark: SparkSession, path: str) -> DataFrame:
     import io
     import tarfile
 
-    import pandas as pd
-
     def untar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for shard, content in zip(frame["path"], frame["content"], strict=True):
