@@ -306,3 +306,38 @@ def g18(spark, d):
 @register("A21", "SELECT sentence_idx, round(avg(hard_score), 6) AS loss FROM v_scored GROUP BY sentence_idx", "v_scored")
 def a21(spark, d):
     return hard(spark, d).groupBy("sentence_idx").agg(F.round(F.avg("hard_score"), 6).alias("loss"))
+
+
+@register("P03", f"WITH {PROBS} SELECT image_id FROM q WHERE list_position(pr, list_max(pr)) = 1 AND list_max(pr) > 0.5", "v_clip")
+def p03(spark, d):
+    """Zero-shot filter: the first label wins with more than one half."""
+    best = sc.best_level(F.col("pr"), F.array(*(F.lit(x) for x in LEVELS)))
+    rows = with_probabilities(spark, d).withColumn("b", best)
+    return rows.filter((F.col("b.predicted_level") == "L1") & (F.array_max("pr") > 0.5)).select("image_id")
+
+
+@register("K09")
+def k09(spark, d):
+    """Soft results, one JSON document per model."""
+    image = F.struct("image_id", F.round("clip_score", 4).alias("clip_score"), "dimension_scores", "error")
+    return clip_scores(spark, d).groupBy("model").agg(F.sort_array(F.collect_list(F.struct("image_id", F.to_json(image).alias("json")))).alias("images")).select("model", F.concat(F.lit("["), F.array_join(F.transform("images", lambda i: i["json"]), ","), F.lit("]")).alias("json"))
+
+
+SUMMARY = f"""{SOFT}, s AS (SELECT model, (SELECT count(*) FROM soft x WHERE x.model = ok.model) AS total, count(*) AS valid, {R("avg(clip_score)", 2)} AS a, {R("max(clip_score)", 2)} AS hi FROM ok GROUP BY model)"""
+
+
+@register("K10", f"WITH {SUMMARY} SELECT model, 1 AS line, 'Total images: ' || total AS text FROM s UNION ALL SELECT model, 2, 'Valid scores: ' || valid FROM s UNION ALL SELECT model, 3, printf('Average score: %.2f/5.0', a) FROM s UNION ALL SELECT model, 4, printf('Highest score: %.2f', hi) FROM s", "v_eval")
+def k10(spark, d):
+    """Lines of the soft summary by model."""
+    s = ops.score_summary(soft_rows(spark, d))
+    lines = F.array(F.concat(F.lit("Total images: "), F.col("total_images").cast("string")), F.concat(F.lit("Valid scores: "), F.col("valid").cast("string")), F.format_string("Average score: %.2f/5.0", sc.rounded(F.col("average"), 2)), F.format_string("Highest score: %.2f", sc.rounded(F.col("highest"), 2)))
+    return s.select("model", F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line") + 1)
+
+
+@register("R02", "SELECT 10 AS rows, 4 AS attempts")
+def r02(spark, d):
+    """Generate until there are enough rows: three a batch, the last may overshoot and is cut; attempts are bounded."""
+    from ..streaming.generate import until
+
+    rows, attempts = until(lambda n: [{"n": n, "i": i} for i in range(3)], target=10, most_attempts=20)
+    return spark.createDataFrame([(len(rows), attempts)], "rows int, attempts int")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.lexicons import IMAGE_EXTENSIONS
 from ..sources import files
 from . import views as v
@@ -64,3 +65,58 @@ def w09(spark, d):
 
     place = F.row_number().over(W.Window.partitionBy("source").orderBy(F.concat(F.lit("img_"), F.col("doc_id").cast("string"))))
     return v.table(spark, d, "documents").select("source", "doc_id", place.cast("long").alias("place"))
+
+
+@register("S05", """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS scene, doc_id % 3 > 0 AS ok FROM documents""")
+def s05(spark, d):
+    """Documents that don't parse keep their row."""
+    good = F.to_json(F.struct(F.col("source").alias("scene")))
+    text = F.when(F.col("doc_id") % 3 > 0, good).otherwise(F.lit('{"scene": '))
+    return files.parsed(v.table(spark, d, "documents").select("doc_id", text.alias("value")), "value", "scene string").select("doc_id", "scene", "ok")
+
+
+@register("S09", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, role FROM conversations")
+def s09(spark, d):
+    """Elements of an array document with their ordinals."""
+    turns = v.table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    docs = turns.select("conv_id", F.to_json("t").alias("value"))
+    return files.array_rows(docs, "turn bigint, role string").select("conv_id", "pos", "role")
+
+
+@register("S10", "SELECT model, sentence_idx, CAST(image_idx - 1 AS INTEGER) AS image_idx, quantity FROM v_eval", "v_eval")
+def s10(spark, d):
+    """A document that maps models to sentences and images."""
+    image = F.struct("image_idx", F.struct(*(F.col(c) for c in ("quantity", "category", "direction", "distance", "scene"))).alias("scores"))
+    sentences = v.evaluation(spark, d).groupBy("model", "sentence_idx").agg(F.transform(F.sort_array(F.collect_list(image)), lambda x: F.struct(x["scores"].alias("scores"))).alias("images"))
+    models = sentences.groupBy("model").agg(F.transform(F.sort_array(F.collect_list(F.struct("sentence_idx", "images"))), lambda s: F.struct(s["sentence_idx"].cast("string").alias("sentence"), s["images"].alias("images"))).alias("s"))
+    docs = models.select(F.to_json(F.create_map("model", "s")).alias("value"))
+    rows = files.keyed_rows(docs, schemas.HARD_EVAL)
+    return rows.select("model", F.col("sentence").cast("bigint").alias("sentence_idx"), "image_idx", F.col("image.scores.quantity").alias("quantity"))
+
+
+@register("S11", "SELECT key, level FROM v_map", "v_map")
+def s11(spark, d):
+    """The mapping of terms, from its document."""
+    entries = v.mapping(spark, d).agg(F.map_from_entries(F.collect_list(F.struct("key", "level"))).alias("mapping"))
+    return files.mapping_rows(entries.select(F.to_json(F.struct("mapping")).alias("value"))).select("key", "level")
+
+
+@register("S06", "SELECT o_orderkey AS image_id, o_custkey IS NOT NULL AND l.n IS NOT NULL AS complete FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON o_orderkey = l_orderkey")
+def s06(spark, d):
+    """Three-file lookup: images with all files, and the others for the audit."""
+    images = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), "o_custkey")
+    dets = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id")).distinct()
+    caps = v.table(spark, d, "customer").select("c_custkey")
+    whole = images.join(dets, "image_id").join(caps, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("image_id")
+    return whole.withColumn("complete", F.lit(True)).unionByName(images.select("image_id").join(whole, "image_id", "left_anti").withColumn("complete", F.lit(False)))
+
+
+@register("S22")
+def s22(spark, d):
+    """The configuration as rows."""
+    from dataclasses import asdict
+
+    from .. import params as p
+
+    rows = [(type(c).__name__, k, str(x)) for c in (p.DetectionParams(), p.ContactParams(), p.ScoreParams(), p.CaptionParams(), p.SampleParams(), p.TrainParams()) for k, x in asdict(c).items()]
+    return spark.createDataFrame(rows, "pipeline string, name string, value string")

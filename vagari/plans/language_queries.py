@@ -198,3 +198,66 @@ def t32(spark, d):
 def k05(spark, d):
     index = F.coalesce(F.when(F.col("turn") % 2 != 0, F.col("turn")).cast("string"), F.lit(""))
     return v.answers(spark, d).select("conv_id", "turn", tx.tsv_safe(F.col("text")).alias("optimized_caption"), index.alias("index"))
+
+
+# Models: the stand-ins of functions.models, so that the plans run; see the README.
+@register("M01", r"SELECT image_id, pos, len(list_filter(regexp_split_to_array(phrase, '\s+'), lambda w: w <> '')) AS words FROM v_phrase", "v_phrase")
+def m01(spark, d):
+    from ..functions.models import StubTagger, with_model
+
+    rows = with_model(v.phrases(spark, d).withColumnRenamed("phrase", "caption"), StubTagger())
+    return rows.select("image_id", "pos", F.size("output").cast("long").alias("words"))
+
+
+@register("T02", r"SELECT image_id, pos, CAST(k - 1 AS INTEGER) AS nth, w AS root FROM (SELECT image_id, pos, unnest(regexp_split_to_array(phrase, '\s+')) AS w, generate_subscripts(regexp_split_to_array(phrase, '\s+'), 1) AS k FROM v_phrase)", "v_phrase")
+def t02(spark, d):
+    """Candidates by the stand-in: every word is a chunk of its own."""
+    from ..functions.models import StubTagger, with_model
+
+    rows = with_model(v.phrases(spark, d).withColumnRenamed("phrase", "caption"), StubTagger())
+    return rows.select("image_id", "pos", F.posexplode("output").alias("nth", "root"))
+
+
+@register("M02", r"SELECT image_id, pos FROM v_phrase WHERE len(regexp_split_to_array(phrase, '\s+')) <= 3", "v_phrase")
+def m02(spark, d):
+    from ..functions.models import StubVerifier, with_model
+
+    rows = with_model(v.phrases(spark, d).withColumnRenamed("phrase", "caption"), StubVerifier())
+    return rows.filter(F.size("output") > 0).select("image_id", "pos")
+
+
+@register("M04", r"SELECT image_id, pos, unnest(regexp_split_to_array(phrase, '\s+')) AS label, 0.5e0 AS score FROM v_phrase", "v_phrase")
+def m04(spark, d):
+    from ..functions.models import StubDetector, with_model
+
+    rows = with_model(v.phrases(spark, d).withColumnRenamed("phrase", "caption"), StubDetector())
+    return rows.select("image_id", "pos", F.explode("output").alias("b")).select("image_id", "pos", "b.label", "b.score")
+
+
+@register("M07", "SELECT count(*) AS failed FROM v_phrase WHERE pos % 9 = 5", "v_phrase")
+def m07(spark, d):
+    """A row that a model fails on has its error; the others go on."""
+    from ..functions.models import StubDetector, with_model
+
+    class Failing(StubDetector):
+        def rule(self, value):
+            if value == "teddy":
+                raise ValueError("no image")
+            return super().rule(value)
+
+    rows = with_model(v.phrases(spark, d).withColumnRenamed("phrase", "caption"), Failing())
+    return rows.filter("error IS NOT NULL AND size(output) = 0").agg(F.count("*").alias("failed"))
+
+
+@register("M10", "SELECT conv_id, turn, split_part(text, '.', 1) AS caption FROM v_answers", A)
+def m10(spark, d):
+    from ..functions.models import StubWriter, with_model
+
+    rows = with_model(v.answers(spark, d).withColumnRenamed("text", "caption"), StubWriter())
+    return rows.select("conv_id", "turn", F.col("output")[0].alias("caption"))
+
+
+@register("T06", "SELECT image_id, pos FROM v_phrase WHERE NOT regexp_matches(lower(phrase), '(ing|ed)$')", "v_phrase")
+def t06(spark, d):
+    """Noun tags by the stand-in rule: a last word in -ing or -ed is no noun."""
+    return v.phrases(spark, d).filter(~F.lower("phrase").rlike("(ing|ed)$")).select("image_id", "pos")

@@ -61,16 +61,26 @@ def json_lines(spark: SparkSession, path: str, schema: str = schemas.SENTENCE) -
     return spark.read.schema(schema).json(path)
 
 
+def as_struct(schema: str) -> str:
+    return f"struct<{', '.join(f.replace(' ', ':', 1) for f in schema.split(', '))}>"
+
+
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file that holds one array, with the ordinal of each element."""
-    text = spark.read.text(path, wholetext=True)
-    kind = f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in schema.split(', '))}>>"
-    return text.select(F.posexplode(F.from_json("value", kind)).alias("pos", "x")).select("pos", "x.*")
+    return array_rows(spark.read.text(path, wholetext=True), schema)
+
+
+def array_rows(text: DataFrame, schema: str) -> DataFrame:
+    own = [c for c in text.columns if c != "value"]
+    return text.select(*own, F.posexplode(F.from_json("value", f"array<{as_struct(schema)}>")).alias("pos", "x")).select(*own, "pos", "x.*")
 
 
 def keyed_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Model, sentence_idx, sentence and image_idx, image from a document that maps models to sentences."""
-    text = spark.read.text(path, wholetext=True)
+    return keyed_rows(spark.read.text(path, wholetext=True), schema)
+
+
+def keyed_rows(text: DataFrame, schema: str) -> DataFrame:
     models = text.select(F.explode(F.from_json("value", schema)).alias("model", "sentences"))
     sentences = models.select("model", F.posexplode("sentences").alias("sentence_idx", "s"))
     return sentences.select("model", "sentence_idx", "s.sentence", F.posexplode("s.images").alias("image_idx", "image"))
@@ -79,8 +89,11 @@ def keyed_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def fuzzy_map(spark: SparkSession, path: str) -> DataFrame:
     """Term and level."""
     text = spark.read.text(path, wholetext=True)
-    kind = f"struct<{', '.join(f.replace(' ', ':', 1) for f in schemas.FUZZY_MAP.split(', '))}>"
-    return text.select(F.explode(F.from_json("value", kind)["mapping"]).alias("key", "level"))
+    return mapping_rows(text)
+
+
+def mapping_rows(text: DataFrame) -> DataFrame:
+    return text.select(F.explode(F.from_json("value", as_struct(schemas.FUZZY_MAP))["mapping"]).alias("key", "level"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -142,3 +155,9 @@ def tar_samples(spark: SparkSession, path: str) -> DataFrame:
 def newest(files: DataFrame, prefix: str) -> DataFrame:
     """The newest file whose name begins with prefix."""
     return files.filter(F.element_at(F.split("path", "/"), -1).startswith(prefix)).orderBy(F.desc("modificationTime"), "path").limit(1)
+
+
+def parsed(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Documents in a column; what doesn't parse is null in every field and has ok = false."""
+    got = F.from_json(column, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return rows.withColumn("x", got).select("*", "x.*", (F.col("x").isNotNull() & F.col("x._corrupt").isNull()).alias("ok")).drop("x", "_corrupt")
