@@ -79,3 +79,20 @@ def test_models_are_stubs(spark):
     assert {r.image_id: list(r.output) for r in tagged} == {"1": ["red", "cup"], "2": []}
     boxes = with_model(df, StubDetector()).select("image_id", F.size("output").alias("n")).collect()
     assert {r.image_id: r.n for r in boxes} == {"1": 2, "2": 0}
+
+
+def test_custom_source(spark):
+    from vagari.sources.datasource import ManifestSource
+
+    spark.dataSource.register(ManifestSource)
+    text = json.dumps([{"file": "0.tar", "split": "train", "size": 3}, {"file": "1.tar", "split": "test", "size": 4}, {"file": "x", "split": "other"}])
+    got = spark.read.format("split_manifest").option("manifest", text).load()
+    assert sorted(map(tuple, got.collect())) == [("0.tar", "train", 3), ("1.tar", "test", 4)]
+
+
+def test_generation_is_bounded():
+    from vagari.streaming.generate import until
+
+    assert until(lambda n: [n] * 4, 10, 20) == ([0, 0, 0, 0, 1, 1, 1, 1, 2, 2], 3)
+    assert until(lambda n: 1 / 0, 10, 5) == ([], 5)
+    assert until(lambda n: [n], 10, 5, done=9) == ([0], 1)
