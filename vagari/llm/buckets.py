@@ -2,8 +2,9 @@
 
 A hash counts in the bucket of its upper bits. One byte per bucket holds the
 count: itself up to 64, then steps of an eighth of a doubling. A bucket's count
-is never below that of a hash in it, so a count of 1 proves a hash unique and 0
-proves it absent; order by count is the same for every row.
+is never below that of a hash in it, so a count of 1 proves a hash unique; order
+by count is the same for every row. Flags are a larger table with one bit per
+bucket, for a count of at least 1 or 2: a bit of 0 proves a hash absent, or unique.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BITS, PART_BITS = 24, 18
+CODE_BITS, FLAG_BITS, PART_BITS = 22, 26, 18
 EXACT, STEPS = 64, 8
-PARTS_SCHEMA = "kind int, part int, at binary, n binary"
+PARTS_SCHEMA = "part int, at binary, n binary"
 
 
-def bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+def bucket(hashes: np.ndarray, bits: int = CODE_BITS) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def code_of(counts: np.ndarray) -> np.ndarray:
@@ -28,80 +29,101 @@ def code_of(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= EXACT, counts, np.minimum(big, 255)).astype(np.uint8)
 
 
+def mean_count(codes: np.ndarray) -> float:
+    """About the mean count of a bucket."""
+    wide = codes.astype(np.float64)
+    return float(np.where(codes <= EXACT, wide, EXACT * 2.0 ** ((wide - EXACT) / STEPS)).mean())
+
+
+class Flags:
+    """Which buckets of FLAG_BITS have a count of at least 'least', packed."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = bucket(hashes, FLAG_BITS)
+        return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
 class Counter:
-    """Counts of one task; parts() gives them for the sum over tasks."""
+    """Counts of one task; parts() gives them for the sum over tasks. For flags, counts end at 2."""
 
-    def __init__(self) -> None:
-        self.table = np.zeros(1 << BITS, np.uint32)
+    def __init__(self, bits: int = CODE_BITS) -> None:
+        self.bits = bits
+        self.table = np.zeros(1 << bits, np.uint32 if bits == CODE_BITS else np.uint8)
 
     def add(self, hashes: np.ndarray) -> None:
-        np.add.at(self.table, bucket(hashes), np.uint32(1))
-
-    def parts(self, kind: int) -> Iterator[pa.RecordBatch]:
+        at = bucket(hashes, self.bits)
+        if self.bits == CODE_BITS:
+            np.add.at(self.table, at, np.uint32(1))
+        else:
+            at, n = np.unique(at, return_counts=True)
+            self.table[at] = np.minimum(2, self.table[at] + np.minimum(n, 2))
+
+    def parts(self) -> Iterator[pa.RecordBatch]:
         used = np.flatnonzero(self.table)
-        cuts = np.searchsorted(used, np.arange((1 << BITS - PART_BITS) + 1) << PART_BITS)
+        cuts = np.searchsorted(used, np.arange((1 << self.bits - PART_BITS) + 1) << PART_BITS)
         for part in np.flatnonzero(np.diff(cuts)):
             own = used[cuts[part] : cuts[part + 1]]
-            at, n = (own & ((1 << PART_BITS) - 1)).astype(np.uint32), self.table[own]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "at": [at.tobytes()], "n": [n.tobytes()]})
+            at, n = (own & ((1 << PART_BITS) - 1)).astype(np.uint32), self.table[own].astype(np.uint32)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "at": [at.tobytes()], "n": [n.tobytes()]})
 
 
-def tables(parts: DataFrame, kinds: int) -> list[np.ndarray]:
-    """The codes of each kind's table, from Counter.parts of all tasks."""
+def table(parts: DataFrame, bits: int = CODE_BITS, least: int = 0) -> np.ndarray:
+    """The codes of a table, from Counter.parts of all tasks; with 'least', packed bits for the buckets that have as many."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"kind": pa.array([now[0]], pa.int32()), "part": pa.array([now[1]], pa.int32()), "codes": [code_of(total).tobytes()]})
+            data = np.packbits(total >= least) if least else code_of(total)
+            return pa.RecordBatch.from_pydict({"part": pa.array([now], pa.int32()), "data": [data.tobytes()]})
 
         for batch in batches:
             for r in batch.to_pylist():
-                if (r["kind"], r["part"]) != now:
-                    if now:
+                if r["part"] != now:
+                    if now is not None:
                         yield done()
-                    now, total = (r["kind"], r["part"]), np.zeros(1 << PART_BITS, np.int64)
+                    now, total = r["part"], np.zeros(1 << PART_BITS, np.int64)
                 total[np.frombuffer(r["at"], np.uint32)] += np.frombuffer(r["n"], np.uint32)
-        if now:
+        if now is not None:
             yield done()
 
-    summed = parts.repartition("kind", "part").sortWithinPartitions("kind", "part").mapInArrow(add, "kind int, part int, codes binary")
-    out = [np.zeros(1 << BITS, np.uint8) for _ in range(kinds)]
+    summed = parts.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, data binary")
+    size = (1 << PART_BITS) // (8 if least else 1)
+    out = np.zeros(size << bits - PART_BITS, np.uint8)
     for r in summed.collect():
-        out[r.kind][r.part << PART_BITS : (r.part + 1) << PART_BITS] = np.frombuffer(bytes(r.codes), np.uint8)
+        out[r.part * size : (r.part + 1) * size] = np.frombuffer(bytes(r.data), np.uint8)
     return out
 
 
-def table_of(df: DataFrame, *columns: str) -> np.ndarray:
-    """The table of the hashes in long columns of df."""
+Hashes = Callable[[pa.RecordBatch], np.ndarray]
+
+
+def counted(df: DataFrame, hashes: Hashes, bits: int = CODE_BITS, least: int = 0) -> np.ndarray:
+    """The table of the hashes that 'hashes' finds in each batch of df."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for batch in batches:
-            own = own or Counter()
-            for c in batch.columns:
-                own.add(c.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            own = own or Counter(bits)
+            own.add(hashes(batch))
         if own:
-            yield from own.parts(0)
+            yield from own.parts()
 
-    return tables(df.select(*columns).mapInArrow(count, PARTS_SCHEMA), 1)[0]
+    return table(df.mapInArrow(count, PARTS_SCHEMA), bits, least)
 
 
-def parts_of(counters: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
-    for kind, counter in counters.items():
-        yield from counter.parts(kind)
+def repeated(df: DataFrame, hashes: Hashes) -> Flags:
+    """Flags of hashes that may occur twice; the others occur once at most."""
+    return Flags(counted(df, hashes, FLAG_BITS, 2))
 
 
-def counted(df: DataFrame, kinds: int, hashes: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]) -> list[np.ndarray]:
-    """Tables of the (kind, hashes) that 'hashes' finds in each batch of df."""
+def flags(df: DataFrame, *columns: str) -> Flags:
+    """Flags of the hashes in long columns of df."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, Counter] = {}
-        for batch in batches:
-            for kind, h in hashes(batch):
-                if kind not in own:
-                    own[kind] = Counter()
-                own[kind].add(h)
-        yield from parts_of(own)
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([c.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in batch.columns])
 
-    return tables(df.mapInArrow(count, PARTS_SCHEMA), kinds)
+    return Flags(counted(df.select(*columns), hashes, FLAG_BITS, 1))

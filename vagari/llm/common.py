@@ -49,10 +49,10 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 class Scratch:
-    """Stored tables of one operator, removed on leaving the with block. What the operator returns is stored outside of it."""
+    """Stored tables and broadcasts of one operator, removed on leaving the with block. What the operator returns is stored outside of it."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.shared = spark, [], []
 
     def __enter__(self) -> "Scratch":
         return self
@@ -62,7 +62,14 @@ class Scratch:
         self.paths.append(path)
         return stored(df, name, path)
 
+    def share(self, value):
+        """A broadcast that ends with the block. For values whose size is fixed."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
     def __exit__(self, *_) -> None:
+        for b in self.shared:
+            b.destroy()
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in self.paths:
             folder = jvm.org.apache.hadoop.fs.Path(path)

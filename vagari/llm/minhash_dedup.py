@@ -1,16 +1,20 @@
 """MinHash near-dedup with bottom-k sketches of one hash function.
 
 Documents with equal shingle sets are one class. A class keeps its k least
-shingle hashes. Inverted lists of these give candidates: of a sketch, its rarest
-values are listed, so many that two sketches of classes that are alike share a
-listed value (prefix filter on the overlap of sketches). The sketch of a pair's
-union estimates its similarity and drops pairs far below the threshold; the
-Jaccard similarity of whole sets decides about the others.
-
-A list isn't expanded into its pairs. First each class is compared with the
-first of its list (and of its range of sizes); that joins groups of copies.
-After that only pairs of a list whose components still differ are compared, so
-no link between components is lost.
+shingle hashes. Inverted lists of these give the overlaps: of a sketch, its
+rarest values are listed, so many that two sketches of classes that are alike
+share a listed value (prefix filter on the overlap of sketches). Classes that
+share one with a class of like size are suspects; the others have no duplicate.
+
+Suspects are listed again by the rarest of all their shingles, as many as the
+threshold on whole sets asks for, with an odd sketch: 512 bits, of which each
+shingle flips one, so that two sets differ in at least as many shingles as their
+odd sketches in bits. Pairs that differ too much for the threshold end there. A list isn't expanded into its pairs. First
+each class is compared with the first of its list (and of its range of sizes);
+that joins groups of copies. After that only pairs of a list whose components
+still differ are compared, so no link between components is lost. The sketch of
+a pair's union estimates its similarity and drops pairs far below the threshold;
+the Jaccard similarity of whole sets decides about the others.
 """
 
 from __future__ import annotations
@@ -26,11 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from . import buckets
-from .common import stored
+from .common import Scratch, stored
 from .graph import components
 from .kernels import LANES, U, mixed, shingle_sets
 
 
+ODD = [f"o{i}" for i in range(8)]
+
+
 @dataclass(frozen=True)
 class MinHashParams:
     """Sets are alike with Jaccard similarity of at least num/den. miss: chance that a pair alike fails the filters on its sketches."""
@@ -73,34 +80,70 @@ def sketches(docs: DataFrame, p: MinHashParams, key: str, text: str) -> DataFram
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, m1 long, m2 long, sketch binary")
 
 
-def postings(classes: DataFrame, p: MinHashParams) -> DataFrame:
-    """value, rep, n: the listed values of each class. Values that surely occur once are left out."""
+def _odd_sketch(s: np.ndarray) -> np.ndarray:
+    flips = np.bincount((mixed(s) >> U(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
+def postings(sets: DataFrame, column: str, p: MinHashParams, whole: bool, share) -> DataFrame:
+    """value, rep, n: the listed values of each class, from its sketch or its whole set; for whole sets also the odd sketch. Values that surely occur once are left out."""
 
-    def values(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        yield 0, np.frombuffer(b"".join(batch.column(0).to_pylist()), U)
+    def values(batch: pa.RecordBatch) -> np.ndarray:
+        # Hashes of a sketch are small numbers; mixed again they spread over the buckets.
+        return mixed(np.frombuffer(b"".join(batch.column(0).to_pylist()), U))
 
-    # Hashes of a sketch are small numbers; mixed again they spread over the buckets.
-    rarity = classes.sparkSession.sparkContext.broadcast(buckets.counted(classes.select("sketch"), 1, lambda b: ((k, mixed(v)) for k, v in values(b)))[0])
+    rarity = share(buckets.counted(sets.select(column), values))
+    repeated = share(buckets.repeated(sets.select(column), values))
+    odd = ODD if whole else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, ns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out, of = [], []
-            for i, sketch in enumerate(batch.column(2)):
-                s = np.frombuffer(sketch.as_buffer(), U)
+            out, of, flips = [np.zeros(0, U)], [np.zeros(0, np.int64)], np.zeros((batch.num_rows, len(ODD)), np.int64)
+            for i, data in enumerate(batch.column(2)):
+                s = np.frombuffer(data.as_buffer(), U)
                 n = int(ns[i])
                 least = -(-p.num * n // p.den)
-                if n * p.den > p.num * p.k:
+                if not whole and n * p.den > p.num * p.k:
                     least = min(least, p.least)
-                code = rarity.value[buckets.bucket(mixed(s))]
-                listed = np.lexsort((s, code))[: len(s) - least + 1]
-                listed = listed[code[listed] != 1]
+                h = mixed(s)
+                listed = np.lexsort((s, rarity.value[buckets.bucket(h)], again := repeated.value.has(h)))[: len(s) - least + 1]
+                listed = listed[again[listed]]
                 out.append(s[listed])
                 of.append(np.full(len(listed), i))
-            of = np.concatenate(of) if of else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(out)) if out else pa.array([], pa.int64()), pa.array(reps[of]), pa.array(ns[of])], names=["value", "rep", "n"])
+                if whole and len(listed):
+                    flips[i] = _odd_sketch(s)
+            of = np.concatenate(of)
+            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(out)), pa.array(reps[of]), pa.array(ns[of]), *(pa.array(flips[of, i]) for i in range(len(odd)))], names=["value", "rep", "n", *odd])
+
+    return sets.select("rep", "n", column).mapInArrow(run, ", ".join(f"{c} long" for c in ("value", "rep", "n", *odd)))
+
+
+def suspects(listed: DataFrame, p: MinHashParams) -> DataFrame:
+    """Classes that share a listed value with another class in a range of sizes."""
+    keyed = _ranged(listed, p)
+    shared = keyed.groupBy("value", "range").agg(F.count("*").alias("c")).filter("c > 1").select("value", "range")
+    return keyed.join(shared, ["value", "range"], "left_semi").select("rep").distinct()
 
-    return classes.select("rep", "n", "sketch").mapInArrow(run, "value long, rep long, n long")
+
+def whole_sets(docs: DataFrame, chosen: DataFrame, p: MinHashParams, key: str, text: str, share) -> DataFrame:
+    """rep, n, set of the chosen keys. Texts are read where they are; only chosen rows become sets and move."""
+    need = share(buckets.flags(chosen.select(F.xxhash64("rep").alias("h")), "h"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = need.value.has(batch.column(1).to_numpy().view(U))
+            part = batch.filter(pa.array(hit))
+            held, size, lo = [], 0, 0
+            for s in shingle_sets(part.column(2), p.words) if part.num_rows else ():
+                held.append(s)
+                size += s.nbytes
+                if size > 4 << 20 or lo + len(held) == part.num_rows:
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, len(held)), pa.array(map(len, held), pa.int64()), pa.array([x.tobytes() for x in held], pa.binary())], names=["rep", "n", "s"])
+                    lo, held, size = lo + len(held), [], 0
+
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key).cast("long")).alias("h"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
+    return rows.mapInArrow(fetch, "rep long, n long, s binary")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
@@ -128,23 +171,10 @@ def estimated(pairs: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFra
     return both.mapInArrow(run, "x long, y long, estimate double, near boolean")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, p: MinHashParams, key: str, text: str) -> DataFrame:
-    """Of pairs x, y those whose whole sets are alike. Only texts of documents in a pair are read into sets."""
-    need = docs.sparkSession.sparkContext.broadcast(buckets.table_of(pairs.select(F.xxhash64("x").alias("x"), F.xxhash64("y").alias("y")), "x", "y"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = need.value[buckets.bucket(batch.column(1).to_numpy().view(U))] > 0
-            part = batch.filter(pa.array(hit))
-            if part.num_rows:
-                at = 0
-                for s in shingle_sets(part.column(2), p.words):
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(at, 1), pa.array([s.tobytes()], pa.binary())], names=["id", "s"])
-                    at += 1
-
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key).cast("long")).alias("h"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
-    sets = rows.mapInArrow(fetch, "id long, s binary")
-    both = pairs.select("x", "y").join(sets.select(F.col("id").alias("x"), F.col("s").alias("a")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("b")), "y").select("x", "y", "a", "b")
+def verified(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
+    """Of pairs x, y those whose whole sets are alike."""
+    side = lambda c, name: sets.select(F.col("rep").alias(c), F.col("s").alias(name))
+    both = pairs.select("x", "y").join(side("x", "a"), "x").join(side("y", "b"), "y").select("x", "y", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,26 +188,38 @@ def verified(pairs: DataFrame, docs: DataFrame, p: MinHashParams, key: str, text
     return both.mapInArrow(run, "x long, y long").distinct()
 
 
-def _sized(p: MinHashParams):
-    return (F.least("n", "m") * p.den) >= (F.greatest("n", "m") * p.num)
+def _likely(p: MinHashParams):
+    """Whether a posting and another (m and q0.. for n and o0..) can be alike by their sizes and odd sketches."""
+    apart = F.lit(0)
+    for i, o in enumerate(ODD):
+        apart = apart + F.bit_count(F.col(o).bitwiseXOR(F.col(f"q{i}")))
+    both = F.col("n") + F.col("m")
+    sized = (F.least("n", "m") * p.den) >= (F.greatest("n", "m") * p.num)
+    return sized & (apart * (p.den + p.num) <= both * (p.den - p.num))
 
 
-def _stars(listed: DataFrame, p: MinHashParams) -> DataFrame:
-    """Each class with the first of its list in its range of sizes. Ranges come twice, shifted by half, so that sizes next to a bound share one."""
-    step = F.log(F.col("n")) / math.log(p.den / p.num)
+def _ranged(listed: DataFrame, p: MinHashParams) -> DataFrame:
+    """Each posting in two ranges of sizes, shifted by half a range: a range is a little over twice as wide as sizes alike lie apart, so these share one."""
+    step = F.log(F.col("n")) / (2.001 * math.log(p.den / p.num))
     ranges = F.array(F.floor(step) * 2, F.floor(step + 0.5) * 2 + 1)
-    keyed = listed.select("value", "rep", "n", F.explode(ranges).alias("range"))
-    first = keyed.groupBy("value", "range").agg(F.min(F.struct("rep", "n")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("value", "range", F.col("f.rep").alias("y"), F.col("f.n").alias("m"))
-    return keyed.join(first, ["value", "range"]).filter((F.col("rep") != F.col("y")) & _sized(p)).select(F.col("rep").alias("x"), "y").distinct()
+    return listed.withColumn("range", F.explode(ranges))
+
+
+def _stars(listed: DataFrame, p: MinHashParams) -> DataFrame:
+    """Each class with the first of its list in its range of sizes."""
+    keyed = _ranged(listed, p)
+    first = keyed.groupBy("value", "range").agg(F.min(F.struct("rep", "n", *ODD)).alias("f"), F.count("*").alias("c")).filter("c > 1")
+    first = first.select("value", "range", F.col("f.rep").alias("y"), F.col("f.n").alias("m"), *(F.col(f"f.{o}").alias(f"q{i}") for i, o in enumerate(ODD)))
+    return keyed.join(first, ["value", "range"]).filter((F.col("rep") != F.col("y")) & _likely(p)).select(F.col("rep").alias("x"), "y").distinct()
 
 
-def _across(listed: DataFrame, roots: DataFrame, p: MinHashParams) -> DataFrame:
+def _across(listed: DataFrame, roots: DataFrame, p: MinHashParams, store) -> DataFrame:
     """Pairs of a list whose components differ."""
     own = listed.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     split = own.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("value")
-    own = stored(own.join(split, "value", "left_semi"), "near-open")
-    other = own.select("value", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("root").alias("root2"))
-    return own.join(other, "value").filter((F.col("rep") > F.col("y")) & (F.col("root") != F.col("root2")) & _sized(p)).select(F.col("rep").alias("x"), "y").distinct()
+    own = store(own.join(split, "value", "left_semi"), "near-open")
+    other = own.select("value", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("root").alias("root2"), *(F.col(o).alias(f"q{i}") for i, o in enumerate(ODD)))
+    return own.join(other, "value").filter((F.col("rep") > F.col("y")) & (F.col("root") != F.col("root2")) & _likely(p)).select(F.col("rep").alias("x"), "y").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,23 +233,28 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), key: st
     with a null key link with nothing, have component_id null and are kept. Rows
     that repeat a key are one node.
     """
-    rows = stored(sketches(docs, p, key, text), "sketches")
-    sets = rows.filter("n > 0 AND id IS NOT NULL")
-    classes = stored(sets.groupBy("m1", "m2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "near-classes")
-    listed = stored(postings(classes, p), "near-lists")
-    tried = stored(estimated(_stars(listed, p), classes, p), "near-stars")
-    best = W.Window.partitionBy("x").orderBy(F.desc("estimate"), "y")
-    chosen = stored(tried.filter("near").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= p.first).select("x", "y"), "near-chosen")
-    links = stored(verified(chosen, docs, p, key, text), "near-links")
-    roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    done = tried.filter("NOT near").select("x", "y").union(chosen)
-    rest = _across(listed, roots, p).join(done, ["x", "y"], "left_anti")
-    rest = stored(estimated(rest, classes, p).filter("near").select("x", "y"), "near-rest")
-    more = stored(verified(rest, docs, p, key, text), "near-links")
-    if not more.isEmpty():
-        roots = components(links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    found = classes.select("m1", "m2", "n", "rep").join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left")
-    found = found.select("m1", "m2", "n", F.coalesce("root", "rep").alias("root"))
-    linked = sets.select("id", "n", "m1", "m2").join(found, ["m1", "m2", "n"]).select("id", "n", "root")
-    alone = rows.filter("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("root"))
-    return linked.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("id").eqNullSafe(F.col("root")).alias("kept"))
+    with Scratch(docs.sparkSession) as scratch:
+        store, share = scratch.store, scratch.share
+        rows = store(sketches(docs, p, key, text), "sketches")
+        sets = rows.filter("n > 0 AND id IS NOT NULL")
+        classes = store(sets.groupBy("m1", "m2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "near-classes")
+        doubtful = store(suspects(store(postings(classes, "sketch", p, False, share), "near-lists"), p), "near-suspects")
+        whole = store(whole_sets(docs, doubtful, p, key, text, share), "near-sets")
+        listed = store(postings(whole, "s", p, True, share), "near-lists")
+        tried = store(estimated(_stars(listed, p), classes, p), "near-stars")
+        best = W.Window.partitionBy("x").orderBy(F.desc("estimate"), "y")
+        chosen = store(tried.filter("near").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= p.first).select("x", "y"), "near-chosen")
+        links = store(verified(chosen, whole, p), "near-links")
+        roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        done = tried.filter("NOT near").select("x", "y").union(chosen)
+        rest = _across(listed, roots, p, store).join(done, ["x", "y"], "left_anti")
+        rest = store(estimated(rest, classes, p).filter("near").select("x", "y"), "near-rest")
+        more = store(verified(rest, whole, p), "near-links")
+        if not more.isEmpty():
+            roots = components(links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        found = classes.select("m1", "m2", "n", "rep").join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left")
+        found = found.select("m1", "m2", "n", F.coalesce("root", "rep").alias("root"))
+        linked = sets.select("id", "n", "m1", "m2").join(found, ["m1", "m2", "n"]).select("id", "n", "root")
+        alone = rows.filter("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("root"))
+        out = stored(linked.unionByName(alone), "near-duplicates")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("id").eqNullSafe(F.col("root")).alias("kept"))
