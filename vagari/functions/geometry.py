@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..params import ContactParams
+from .lexicons import CONTACT_REASONS as R
 
 SIDES = ("x1", "y1", "x2", "y2")
 
@@ -52,13 +53,13 @@ def contact(overlap: Column, gap: Column, p: ContactParams = ContactParams()) ->
 
 def contact_reason(level: Column, detected: Column, overlap: Column, gap: Column, p: ContactParams = ContactParams()) -> Column:
     """T24"""
-    px = lambda text: F.format_string(text, gap)
+    say = lambda key, *values: F.format_string(R[key], *values)
     by_level = {
-        "L1": F.when(detected & (overlap > 0), F.format_string("Contact detected via IoU=%.4f", overlap)).when(detected, px("Contact detected via pixel distance=%.2fpx")).otherwise(F.format_string("L1 requires contact but IoU=%.4f, dist=%.2fpx", overlap, gap)),
-        "L2": F.when(overlap > 0, F.format_string("L2 should have IoU≈0 but got %.4f", overlap)).when(gap < p.grazing_px, px("L2 grazing/zero-gap: dist=%.2fpx")).otherwise(px("Distance=%.2fpx")),
-        "L3": F.when(gap < p.near_px, px("L3 proximity: dist=%.2fpx")).otherwise(px("Distance=%.2fpx (may be too far for L3)")),
+        "L1": F.when(detected & (overlap > 0), say("L1 overlap", overlap)).when(detected, say("L1 near", gap)).otherwise(say("L1 none", overlap, gap)),
+        "L2": F.when(overlap > 0, say("L2 overlap", overlap)).when(gap < p.grazing_px, say("L2 grazing", gap)).otherwise(say("L2 gap", gap)),
+        "L3": F.when(gap < p.near_px, say("L3 near", gap)).otherwise(say("L3 far", gap)),
     }
-    out = F.lit("Unknown level")
+    out = F.lit(R["unknown"])
     for name, text in by_level.items():
         out = F.when(level == name, text).otherwise(out)
     return out
@@ -75,5 +76,5 @@ def check_contact(two: Column, overlap: Column, gap: Column, level: Column, p: C
         F.when(two, F.round(overlap, 4)).otherwise(F.lit(0.0)).alias("iou"),
         F.when(two, F.round(gap, 2)).otherwise(F.lit(float("inf"))).alias("pixel_distance"),
         (two & F.coalesce(~expected | detected, F.lit(False))).alias("pass_contact_check"),
-        F.when(two, contact_reason(level, detected, overlap, gap, p)).otherwise("Less than 2 objects detected").alias("reason"),
+        F.when(two, contact_reason(level, detected, overlap, gap, p)).otherwise(R["single"]).alias("reason"),
     )

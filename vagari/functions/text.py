@@ -24,7 +24,7 @@ def exclusion_lexicon() -> Column:
 def preprocess(text: Column) -> Column:
     """White space collapsed and trimmed, then 's, 're and 'm written out, in this order."""
     out = F.trim(F.regexp_replace(text, r"\s+", " "))
-    for short, full in (("'s", " is"), ("'re", " are"), ("'m", " am")):
+    for short, full in lex.SHORT_FORMS:
         out = F.replace(out, F.lit(short), F.lit(full))
     return out
 
@@ -174,19 +174,17 @@ def evaluation_prompts(sentence: Column, scene: Column, objects: Column, term: C
 
 def reasoning(final: Column, dims: Column, objects: Column, term: Column, scene: Column) -> Column:
     """One sentence for the whole score and one for each dimension present."""
-    band = lambda s, high, mid, low: F.when(s > 0.7, high).when(s > 0.5, mid).when(s.isNotNull(), low)
     full, objs, rel, scn = (F.try_element_at(dims, F.lit(k)) for k in lex.PROMPT_WEIGHTS)
-    shown = F.format_string("%.2f", full)
-    whole = F.when(final >= 4.5, "The image highly matches the description.").when(final >= 3.5, "The image matches the description well.").when(final >= 2.5, "The image partially matches the description.").otherwise("The image matches the description poorly.")
-    say = lambda a, x, b: F.concat(F.lit(a), x, F.lit(b))
-    return F.concat_ws(
-        " ",
-        whole,
-        band(full, say("Full description match is high (", shown, ")."), say("Full description match is moderate (", shown, ")."), say("Full description match is low (", shown, ").")),
-        band(objs, F.concat(F.lit("Objects are accurately recognized, "), F.get(objects, F.lit(0)), F.lit(" and "), F.get(objects, F.lit(1)), F.lit(" are clearly visible.")), F.lit("Object recognition is generally accurate but may not be clear."), F.lit("Object recognition has issues.")),
-        band(rel, say("Spatial relation '", term, "' is clearly represented."), say("Spatial relation '", term, "' is moderately represented."), say("Spatial relation '", term, "' is not clearly represented.")),
-        band(scn, say("Scene '", scene, "' is highly matched."), say("Scene '", scene, "' is moderately matched."), say("Scene '", scene, "' is poorly matched.")),
-    )
+    whole = F.lit(lex.WHOLE_SCORE[-1][1])
+    for least, sentence in lex.WHOLE_SCORE[-2::-1]:
+        whole = F.when(final >= least, sentence).otherwise(whole)
+
+    def band(score: Column, texts: list[str], *values: Column) -> Column:
+        say = [F.format_string(t, *values[: t.count("%")]) if "%" in t else F.lit(t) for t in texts]
+        return F.when(score > 0.7, say[0]).when(score > 0.5, say[1]).when(score.isNotNull(), say[2])
+
+    named = (F.get(objects, F.lit(0)), F.get(objects, F.lit(1)))
+    return F.concat_ws(" ", whole, band(full, lex.FULL_MATCH, full), band(objs, lex.OBJECTS, *named), band(rel, lex.RELATION, term), band(scn, lex.SCENE, scene))
 
 
 def fuzzy_key(term: Column) -> Column:
@@ -207,7 +205,10 @@ def generated_name(sentence: Column, image: Column) -> Column:
 def model_type(path: Column) -> Column:
     """By the last path part in lower case. The first pattern has capitals and so never fits."""
     name = F.lower(F.substring_index(path, "/", -1))
-    return F.when(name.contains("pixartPixArt-Sigma"), "PixArt-Sigma").when(name.contains("pixart-alpha"), "PixArt-alpha").when(name.contains("flux"), "flux").otherwise("stable_diffusion")
+    out = F.lit("stable_diffusion")
+    for part, kind in lex.MODEL_TYPES[::-1]:
+        out = F.when(name.contains(part), kind).otherwise(out)
+    return out
 
 
 def picked_sentence(caption: Column, draw: Column) -> Column:
