@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from .kernels import SPACES, U, chunks, edges, span_hashes
 
-KEEP = 2 << 20  # units that a worker remembers
+KEEP = 1 << 19  # units that a worker remembers
 PUNCT = np.zeros(256, bool)
 PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 ASCII_LETTER = np.zeros(256, bool)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CODE_BITS, FLAG_BITS, PART_BITS = 22, 26, 18
+CODE_BITS, FLAG_BITS, PART_BITS = 22, 25, 18
 EXACT, STEPS = 64, 8
 PARTS_SCHEMA = "part int, at binary, n binary"
 

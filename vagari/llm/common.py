@@ -48,6 +48,24 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return out
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches for columns of whole texts: 2,000 rows at once, unless the session sets its own number.
+
+    A batch is held by the executor and by its Python worker; Spark's 10,000 texts
+    of several kilobytes would be tens of megabytes on each side.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "2000")
+    return df
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that this application has stored; call it when its results have been written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, "x").rsplit("/", 1)[0])
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Scratch:
     """Stored tables and broadcasts of one operator, removed on leaving the with block. What the operator returns is stored outside of it."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,8 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 
 _powers: dict[int, np.ndarray] = {}
+_found = ctypes.util.find_library("c")
+_libc = ctypes.CDLL(_found) if _found and hasattr(ctypes.CDLL(_found), "malloc_trim") else None
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -63,6 +67,15 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         hi = min(hi, n)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    if offs[n] - offs[0] > limit:
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on after a task and shares its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def edges(offs: np.ndarray, n: int) -> np.ndarray:

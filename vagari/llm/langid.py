@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import whole_texts
 from .kernels import chunks
 
 DENSE = 1 << 22
@@ -32,7 +33,7 @@ class LangParams:
     folds: int = 5
     seed: int = 7
     max_languages: int = 1000
-    chunk_bytes: int = 1 << 20
+    chunk_bytes: int = 1 << 19
 
 
 _letters: list[np.ndarray] = []
@@ -98,9 +99,9 @@ def profiles(texts: list[str], p: LangParams) -> np.ndarray:
         own = np.stack([letter_vector(int(c), p.dims, p.seed) for c in symbols])
         turned = [np.roll(own, 2, axis=1), np.roll(own, 1, axis=1), own]
         counts = counts.astype(np.float32)
-        for lo in range(0, codes.shape[1], 8192):
-            a, b, c = codes[:, lo : lo + 8192]
-            out += counts[:, lo : lo + 8192] @ (turned[0][a] * turned[1][b] * turned[2][c]).astype(np.float32)
+        for lo in range(0, codes.shape[1], 2048):
+            a, b, c = codes[:, lo : lo + 2048]
+            out += counts[:, lo : lo + 2048] @ (turned[0][a] * turned[1][b] * turned[2][c]).astype(np.float32)
     size = np.linalg.norm(out.astype(np.float64), axis=1, keepdims=True)
     return (out / np.where(size > 0, size, 1)).astype(np.float32)
 
@@ -121,7 +122,7 @@ def learn(docs: DataFrame, p: LangParams, key: str = "doc_id", text: str = "text
     are never learned from. Languages none of whose sampled texts has a letter
     get no prototype.
     """
-    rows = docs.select(F.col(key).alias(key), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(key, p.folds) != 0))
+    rows = whole_texts(docs).select(F.col(key).alias(key), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(key, p.folds) != 0))
     counts = rows.groupBy("lang").count().limit(p.max_languages + 1).collect()
     if len(counts) > p.max_languages:
         raise ValueError(f"more than {p.max_languages} languages")
@@ -163,7 +164,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], p: LangParams,
     names = list(prototypes)
     matrix = np.stack([prototypes[n] for n in names]).T.astype(np.float32) if names else None
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    source = docs.select(*kept)
+    source = whole_texts(docs.select(*kept))
     at = kept.index(text)
     schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

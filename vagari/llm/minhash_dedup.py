@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from . import buckets
-from .common import Scratch, stored
+from .common import Scratch, stored, whole_texts
 from .graph import components
 from .kernels import LANES, U, mixed, shingle_sets
 
@@ -77,7 +77,7 @@ def sketches(docs: DataFrame, p: MinHashParams, key: str, text: str) -> DataFram
                 kept.append(s[: p.k].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _longs(np.array(a, U)), _longs(np.array(b, U)), pa.array(kept, pa.binary())], names=["id", "n", "m1", "m2", "sketch"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, m1 long, m2 long, sketch binary")
+    return whole_texts(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, m1 long, m2 long, sketch binary")
 
 
 def _odd_sketch(s: np.ndarray) -> np.ndarray:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .common import whole_texts
 from .kernels import chunks
 from .token_files import ids_crc32
 
@@ -148,7 +149,7 @@ def pack(docs: DataFrame, p: PackParams, key: str = "doc_id", text: str = "text"
     in the task that packs them. An empty table has no pieces.
     """
     groups = max(1, -(-docs.count() // p.group_docs))
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(groups)).cast("long").alias("g"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    dealt = whole_texts(docs).select(F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(groups)).cast("long").alias("g"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     dealt = dealt.repartition("g").sortWithinPartitions("g")
 
     def out(rows: list[tuple]) -> pa.RecordBatch:

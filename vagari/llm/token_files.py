@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import new_path
+from .common import new_path, whole_texts
 from .elias_fano import EliasFano
 from .kernels import chunks
 
@@ -78,7 +78,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int, key: st
             idx.write(EliasFano.of(np.concatenate(ends)).to_bytes())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([base], pa.int64())})
 
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
+    ordered = whole_texts(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
     return sorted(ordered.mapInArrow(write, SHARD_SCHEMA).collect(), key=lambda r: r.shard)
 
 
