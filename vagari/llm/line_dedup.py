@@ -3,7 +3,7 @@
 A line is the set of its words. Words are ordered by rarity over the whole
 corpus; two sets that are similar enough share a word in the first few of this
 order (prefix filter), so an inverted index over prefix words finds all
-candidates. Length, position and a 64-bit parity signature (of which each word
+candidates. Length, position and a 128-bit parity signature (of which each word
 flips a bit) rule most of them out; the Jaccard similarity of whole sets decides. Where a prefix word is frequent, the
 index is over triples of prefix words instead, from a prefix longer by two.
 Words and sets are told apart by 64-bit hashes.
@@ -20,25 +20,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from . import buckets
-from .common import Scratch, stored
-from .kernels import LANES, LOWERED, U, chunks, mixed, span_hashes, words
+from .common import Scratch, stored, whole_texts
+from .kernels import LANES, LOWERED, U, chunks, mixed, span_hashes, trim, words
 
-POSTING = np.dtype([("key", "<u4"), ("sid", "<u8"), ("sig", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
+POSTING = np.dtype([("key", "<u4"), ("sid", "<u8"), ("sig", "<u8"), ("sig2", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
 LINES = "sid long, doc long, row long, line int"
 LAST = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class LineParams:
-    """Lines with Jaccard similarity of at least num/den are alike. A word is frequent from 'frequent' lines on, or from 64 times the mean bucket. nearest: candidates tried first for a line, the nearest by signature; all others follow if none of these is alike."""
+    """Lines with Jaccard similarity of at least num/den are alike. A word is frequent from 'frequent' lines on, or from 64 times the mean bucket. nearest: candidates kept for a line and prefix word, the nearest by signature; all others follow if none of these is alike."""
 
     num: int = 4
     den: int = 5
     frequent: int = 2000
-    nearest: int = 3
-    flush_bytes: int = 16 << 20
+    nearest: int = 2
+    flush_bytes: int = 8 << 20
 
 
 @dataclass
@@ -108,27 +109,34 @@ def postings(ls: Lines, docs: np.ndarray, hot: int, p: LineParams) -> tuple[np.n
                 keys.append(mixed(ls.tokens[a] * LANES[1] + ls.tokens[b] * LANES[2] + ls.tokens[c] * LANES[3]))
                 at.append(pos[c] - 2)  # as if it were the first word in common
     lines = np.concatenate(lines)
-    signature = np.bitwise_xor.reduceat(U(1) << (ls.tokens >> U(58)), ls.first) if len(ls.first) else np.zeros(0, U)
+    bit, upper = U(1) << ((ls.tokens >> U(57)) & U(63)), ls.tokens >> U(63) > 0
+    signature, signature2 = (np.bitwise_xor.reduceat(np.where(upper == half, bit, U(0)), ls.first) if len(ls.first) else np.zeros(0, U) for half in (False, True))
     keys = np.concatenate(keys)
     out = np.empty(len(lines), POSTING)
-    out["key"], out["sid"], out["sig"] = keys >> U(32), ls.sid[lines], signature[lines]
+    out["key"], out["sid"], out["sig"], out["sig2"] = keys >> U(32), ls.sid[lines], signature[lines], signature2[lines]
     out["doc"], out["line"], out["n"], out["pos"] = docs[ls.doc[lines]], ls.number[lines], ls.n[lines], np.concatenate(at)
     return keys & U(0xFFFFFFFF), out
 
 
-def candidates(entries: np.ndarray, limit: int | None, wanted: np.ndarray | None, p: LineParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later set, earlier set, whether the later one has more) among entries that hold all of their keys. limit: that many earlier sets for a later one and key, the nearest. wanted: only later sets marked in this table.
+def candidates(entries: np.ndarray, limit: int | None, wanted: buckets.Flags | None, p: LineParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later set, earlier set, whether the later one has more) among entries that hold all of their keys. limit: that many earlier sets for a later one and key, the nearest. wanted: only later sets with a flag.
 
     Entries of a key are sorted by length. All are compared with the next one, then
     with the next but one, and so on; an entry drops out when its key ends or
     lengths differ too much, which stays so. Memory holds the survivors only.
     """
-    e = entries[np.lexsort((entries["line"], entries["doc"], entries["sid"], entries["key"]))]
-    new = np.ones(len(e), bool)
-    new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["sid"][1:] != e["sid"][:-1])
-    e = e[new]
-    e = e[np.lexsort((e["n"], e["key"]))]
-    key, sig, n, left = e["key"].copy(), e["sig"].copy(), e["n"].astype(np.int64), (e["n"] - e["pos"]).astype(np.int64)
+    upper = entries["key"].astype(U) << U(32)
+    e = entries[np.argsort(upper | (entries["sid"] >> U(32)))]
+    again = (e["key"][1:] == e["key"][:-1]) & (e["sid"][1:] >> U(32) == e["sid"][:-1] >> U(32))
+    if again.any():  # a set from several tasks: its first line counts
+        part = np.concatenate(([False], again)) | np.concatenate((again, [False]))
+        own = e[part]
+        own = own[np.lexsort((own["line"], own["doc"], own["sid"], own["key"]))]
+        new = np.ones(len(own), bool)
+        new[1:] = (own["key"][1:] != own["key"][:-1]) | (own["sid"][1:] != own["sid"][:-1])
+        e = np.concatenate([e[~part], own[new]])
+    e = e[np.argsort((e["key"].astype(U) << U(32)) | e["n"].astype(U))]
+    key, sig, sig2, n, left = e["key"].copy(), e["sig"].copy(), e["sig2"].copy(), e["n"].astype(np.int64), (e["n"] - e["pos"]).astype(np.int64)
     t, active, d = p.num + p.den, np.arange(len(e)), 0
     found: list[tuple] = []
     while True:
@@ -139,7 +147,7 @@ def candidates(entries: np.ndarray, limit: int | None, wanted: np.ndarray | None
         if not len(active):
             break
         j = active + d
-        apart, both = np.bitwise_count(sig[active] ^ sig[j]).astype(np.int64), n[active] + n[j]
+        apart, both = np.bitwise_count(sig[active] ^ sig[j]).astype(np.int64) + np.bitwise_count(sig2[active] ^ sig2[j]), n[active] + n[j]
         yes = ((both - apart) * t >= 2 * p.num * both) & (np.minimum(left[active], left[j]) * t >= p.num * both)
         if yes.any():
             found.append((active[yes], j[yes], apart[yes]))
@@ -147,13 +155,13 @@ def candidates(entries: np.ndarray, limit: int | None, wanted: np.ndarray | None
         z = np.zeros(0, U)
         return z, z, np.zeros(0, bool)
     a, b, apart = (np.concatenate(c) for c in zip(*found, strict=True))
-    place = np.empty(len(e), np.int64)
-    place[np.lexsort((e["sid"], e["line"], e["doc"]))] = np.arange(len(e))
-    x, y = np.where(place[a] > place[b], a, b), np.where(place[a] > place[b], b, a)
+    doc, line, sid = e["doc"], e["line"], e["sid"]
+    after = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & ((line[a] > line[b]) | ((line[a] == line[b]) & (sid[a] > sid[b]))))
+    x, y = np.where(after, a, b), np.where(after, b, a)
     if wanted is not None:
-        ok = wanted[buckets.bucket(e["sid"][x])] > 0
+        ok = wanted.has(e["sid"][x])
         x, y, apart = x[ok], y[ok], apart[ok]
-    order = np.lexsort((place[y], apart, x))
+    order = np.lexsort((line[y], doc[y], apart, x))
     x, y = x[order], y[order]
     more = np.zeros(len(x), bool)
     if limit is not None:
@@ -168,31 +176,32 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    return whole_texts(docs).select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
 
 
-def _lines(rows: DataFrame, kind: int = 0) -> DataFrame:
-    """In one pass over the texts: the sets of all lines with words, and the words' counts (rows with a kind)."""
+def _lines(rows: DataFrame) -> DataFrame:
+    """In one pass over the texts: the sets of all lines with words, and the words' counts (rows with a part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, buckets.Counter] = {}
+        own = buckets.Counter()
         for batch in batches:
             for lo, _, buf, offs in chunks(batch.column(2)):
                 ls = line_sets(buf, offs, None)
-                own.setdefault(kind, buckets.Counter()).add(ls.tokens)
+                own.add(ls.tokens)
                 of = pa.array(lo + ls.doc)
                 none = pa.nulls(len(ls.sid), pa.int32())
                 data = pa.nulls(len(ls.sid), pa.binary())
-                yield pa.RecordBatch.from_arrays([_signed(ls.sid), batch.column(0).take(of), batch.column(1).take(of), pa.array(ls.number.astype(np.int32)), none, none, data, data], names=names)
-        for part in buckets.parts_of(own):
+                yield pa.RecordBatch.from_arrays([_signed(ls.sid), batch.column(0).take(of), batch.column(1).take(of), pa.array(ls.number.astype(np.int32)), none, data, data], names=names)
+        for part in own.parts():
             gap = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
             yield pa.RecordBatch.from_arrays([*gap, *part.columns], names=names)
 
-    names = ["sid", "doc", "row", "line", "kind", "part", "at", "n"]
+    names = ["sid", "doc", "row", "line", "part", "at", "n"]
     return rows.mapInArrow(run, f"{LINES}, {buckets.PARTS_SCHEMA}")
 
 
-def _pairs(rows: DataFrame, table, hot: int, limit: int | None, wanted, p: LineParams) -> DataFrame:
+def _pairs(rows: DataFrame, table, hot: int, limit: int | None, wanted, keys, p: LineParams) -> DataFrame:
+    """x, y, more, shared: candidates. keys: only entries of keys with a flag move."""
     fan = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(found: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +217,12 @@ def _pairs(rows: DataFrame, table, hot: int, limit: int | None, wanted, p: LineP
         for batch in batches:
             docs = batch.column(0).fill_null(LAST).to_numpy()
             for lo, _, buf, offs in chunks(batch.column(1)):
-                found.append(postings(line_sets(buf, offs, table.value), docs[lo:], hot, p))
-                held += found[-1][1].nbytes
+                to, e = postings(line_sets(buf, offs, table.value), docs[lo:], hot, p)
+                if keys:
+                    own = keys.value.has(e["key"].astype(U) << U(32))
+                    to, e = to[own], e[own]
+                found.append((to, e))
+                held += e.nbytes
                 if held > p.flush_bytes:
                     yield from dealt(found)
                     found, held = [], 0
@@ -232,26 +245,41 @@ def _pairs(rows: DataFrame, table, hot: int, limit: int | None, wanted, p: LineP
                 held.append(entries.as_buffer())
         if held:
             yield out()
+        trim()
 
     spread = rows.select("doc", "text").mapInArrow(index, "to int, entries binary").repartition("to").sortWithinPartitions("to")
     found = spread.mapInArrow(meet, "x long, y long, more boolean")
-    return found.groupBy("x", "y").agg(F.max("more").alias("more"))
+    return found.groupBy("x", "y").agg(F.max("more").alias("more"), F.count("*").alias("shared"))
 
 
-def _alike(rows: DataFrame, first: DataFrame, pairs: DataFrame, p: LineParams) -> DataFrame:
+def _keys_of(rows: DataFrame, first: DataFrame, sets: DataFrame, table, hot: int, wanted, p: LineParams, share) -> DataFrame:
+    """k: the index keys of the sets (x), read where each set first stands."""
+    where = share(buckets.flags(first.join(sets.select(F.col("x").alias("sid")), "sid", "left_semi").select("first.row"), "row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = where.value.has(batch.column(0).to_numpy().view(U))
+            for lo, hi, buf, offs in chunks(batch.column(1).filter(pa.array(hit))):
+                _, e = postings(line_sets(buf, offs, table.value), np.zeros(hi - lo, np.int64), hot, p)
+                own = np.unique(e["key"][wanted.value.has(e["sid"])]).astype(U) << U(32)
+                yield pa.RecordBatch.from_arrays([_signed(own)], names=["k"])
+
+    return rows.select("row", "text").mapInArrow(run, "k long")
+
+
+def _alike(rows: DataFrame, first: DataFrame, pairs: DataFrame, p: LineParams, share) -> DataFrame:
     """Later sets (x) of the pairs whose whole sets are alike. Sets come from the first line that has them; other texts aren't taken apart."""
-    sc = rows.sparkSession.sparkContext
-    need = sc.broadcast(buckets.table_of(pairs, "x", "y"))
+    need = share(buckets.flags(pairs, "x", "y"))
     sids = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
-    where = sc.broadcast(buckets.table_of(first.join(sids, "sid", "left_semi").select("first.row"), "row"))
+    where = share(buckets.flags(first.join(sids, "sid", "left_semi").select("first.row"), "row"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = where.value[buckets.bucket(batch.column(0).to_numpy().view(U))] > 0
+            hit = where.value.has(batch.column(0).to_numpy().view(U))
             for _, _, buf, offs in chunks(batch.column(1).filter(pa.array(hit))):
                 ls = line_sets(buf, offs, None)
                 _, once = np.unique(ls.sid, return_index=True)
-                once = once[need.value[buckets.bucket(ls.sid[once])] > 0]
+                once = once[need.value.has(ls.sid[once])]
                 sets = [ls.tokens[ls.first[i] : ls.first[i] + ls.n[i]].tobytes() for i in once]
                 yield pa.RecordBatch.from_arrays([_signed(ls.sid[once]), pa.array(sets, pa.binary())], names=["sid", "tokens"])
 
@@ -282,22 +310,27 @@ def removed_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc
     spark = docs.sparkSession
     rows = _rows(docs, key, text)
     with Scratch(spark) as scratch:
-        store = scratch.store
+        store, share = scratch.store, scratch.share
         told = store(_lines(rows), "line-sets")
-        lines = told.filter("kind IS NULL").select("sid", "doc", "row", "line")
-        rarity = buckets.tables(told.filter("kind IS NOT NULL").select("kind", "part", "at", "n"), 1)[0]
-        mean = float(np.where(rarity <= buckets.EXACT, rarity, buckets.EXACT * 2.0 ** ((rarity.astype(float) - buckets.EXACT) / buckets.STEPS)).mean())
-        hot = int(buckets.code_of(np.array([max(p.frequent, math.ceil(64 * mean))]))[0])
+        lines = told.filter("part IS NULL").select("sid", "doc", "row", "line")
+        rarity = buckets.table(told.filter("part IS NOT NULL").select("part", "at", "n"))
+        hot = int(buckets.code_of(np.array([max(p.frequent, math.ceil(64 * buckets.mean_count(rarity)))]))[0])
         place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("doc"), "line", "row")
         first = store(lines.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("times")), "line-first")
-        table = spark.sparkContext.broadcast(rarity)
-        pairs = store(_pairs(rows, table, hot, p.nearest, None, p), "line-pairs")
-        near = store(_alike(rows, first, pairs, p), "line-alike")
+        table = share(rarity)
+        pairs = store(_pairs(rows, table, hot, p.nearest, None, None, p), "line-pairs")
+        # The likeliest earlier set first; the others only for lines that it doesn't decide.
+        best = W.Window.partitionBy("x").orderBy(F.desc("shared"), "y")
+        pairs = store(pairs.withColumn("nth", F.row_number().over(best)), "line-ranked")
+        near = store(_alike(rows, first, pairs.filter("nth = 1"), p, share), "line-alike")
+        later = store(pairs.filter("nth > 1").join(near, "x", "left_anti"), "line-later")
+        near = store(near.union(_alike(rows, first, later, p, share)).distinct(), "line-alike")
         open_ = store(pairs.filter("more").select("x").distinct().join(near, "x", "left_anti"), "line-open")
         if not open_.isEmpty():
-            wanted = spark.sparkContext.broadcast(buckets.table_of(open_, "x"))
-            rest = _pairs(rows, table, hot, None, wanted, p).join(open_, "x", "left_semi").join(pairs.select("x", "y"), ["x", "y"], "left_anti")
-            near = store(near.union(_alike(rows, first, store(rest, "line-rest"), p)).distinct(), "line-alike")
+            wanted = share(buckets.flags(open_, "x"))
+            keys = share(buckets.flags(_keys_of(rows, first, open_, table, hot, wanted, p, share), "k"))
+            rest = _pairs(rows, table, hot, None, wanted, keys, p).join(open_, "x", "left_semi").join(pairs.select("x", "y"), ["x", "y"], "left_anti")
+            near = store(near.union(_alike(rows, first, store(rest, "line-rest"), p, share)).distinct(), "line-alike")
         # Only sets that occur again or have an earlier one alike lose lines.
         losing = first.join(near.select(F.col("x").alias("sid"), F.lit(True).alias("near")), "sid", "left").filter("times > 1 OR near")
         judged = lines.join(losing, "sid").filter(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
