@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 U = np.uint64
 # Multipliers of the splitmix64 finaliser, and odd constants of our own.
 MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
