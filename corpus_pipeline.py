@@ -33,8 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least doc_id; rows without doc_id stay."""
-    gone = near_duplicates(docs, MinHashParams()).filter("NOT kept").select("doc_id").distinct()
+    """One document of each group of near duplicates (shingles of five words, Jaccard similarity of at least 0.8), that with the least doc_id; rows without doc_id stay."""
+    gone = near_duplicates(docs, MinHashParams(words=5, num=80, den=100)).filter("NOT kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
