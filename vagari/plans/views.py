@@ -67,7 +67,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    k, t = F.col("doc_id"), F.substring("text", 1, 600)
+    k, t = F.col("doc_id"), F.col("text")
     return d.select(
         k.alias("image_id"), F.col("source"), F.when(k % 5 == 0, "").otherwise(t).alias("spatial"),
         F.when(k % 7 != 0, F.concat(F.lit("the  cat's\t"), t)).alias("general"), F.when(k % 3 == 0, "").otherwise(F.concat(t, F.lit(" they're "))).alias("optimized"),
