@@ -53,7 +53,7 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers with the dressing that the parsers meet."""
     c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    k, t = F.col("conv_id") + F.col("turn"), F.substring(F.col("text"), 1, 400)
+    k, t = F.col("conv_id") + F.col("turn"), F.col("text")
     dressed = (
         F.when(k % 6 == 0, F.concat(F.lit("Output: "), t))
         .when(k % 6 == 1, F.concat(F.lit("Result:\n"), t, F.lit("\nNote: done")))
