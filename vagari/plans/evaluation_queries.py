@@ -46,23 +46,23 @@ def g10(spark, d):
 
 @register("F07", "SELECT model, sentence_idx, image_idx, hard_score, soft_score FROM v_scored WHERE model <> '5-LOW' AND image_idx <= 20", "v_scored")
 def f07(spark, d):
-    return ops.paired(hard(spark, d).drop("image_id").filter("image_idx <= 20"), soft(spark, d).filter("model <> '5-LOW'"))
+    return ops.paired(hard(spark, d).drop("image_id"), soft(spark, d))
 
 
 @register("F08", "SELECT DISTINCT model FROM v_eval WHERE model NOT IN ('5-LOW', '1-URGENT')", "v_eval")
 def f08(spark, d):
-    a, b = hard(spark, d).filter("model <> '1-URGENT'"), soft(spark, d).filter("model <> '5-LOW'")
+    a, b = hard(spark, d), soft(spark, d)
     return a.select("model").distinct().join(b.select("model").distinct(), "model")
 
 
 @register("U03", "SELECT model FROM v_eval WHERE model <> '1-URGENT' INTERSECT SELECT model FROM v_eval WHERE model <> '5-LOW'", "v_eval")
 def u03(spark, d):
-    return hard(spark, d).filter("model <> '1-URGENT'").select("model").intersect(soft(spark, d).filter("model <> '5-LOW'").select("model"))
+    return hard(spark, d).select("model").intersect(soft(spark, d).select("model"))
 
 
 @register("P08", "SELECT model, count(*) AS n FROM v_eval WHERE model <> '5-LOW' GROUP BY model", "v_eval")
 def p08(spark, d):
-    lists = v.evaluation(spark, d).withColumn("image", F.when(F.col("model") != "5-LOW", F.col("image_id"))).groupBy("model").agg(F.collect_list("image").alias("images"))
+    lists = v.evaluation(spark, d).groupBy("model").agg(F.collect_list("image_id").alias("images"))
     return lists.filter(F.size("images") > 0).select("model", F.size("images").cast("long").alias("n"))
 
 
