@@ -113,7 +113,7 @@ def p02(spark, d):
 @register("U01", "SELECT image_id, pos, phrase FROM v_phrase WHERE pos % 2 = 0 UNION ALL SELECT image_id, pos, 'pile of ' || phrase FROM v_phrase WHERE pos % 3 = 0", "v_phrase")
 def u01(spark, d):
     p = v.phrases(spark, d)
-    return p.filter("pos % 2 = 0").unionByName(p.filter("pos % 3 = 0").withColumn("phrase", F.concat(F.lit("pile of "), "phrase")))
+    return p.unionByName(p.withColumn("phrase", F.concat(F.lit("pile of "), "phrase")))
 
 
 @register("W17", "SELECT image_id, pos, CAST((row_number() OVER (PARTITION BY image_id ORDER BY pos) - 1) // 4 AS INTEGER) AS batch FROM v_phrase", "v_phrase")
@@ -191,7 +191,7 @@ def t33(spark, d):
 
 @register("T32", """SELECT conv_id, '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"}' AS json FROM conversations WHERE turn = 1""")
 def t32(spark, d):
-    return v.table(spark, d, "conversations").filter("turn = 1").select("conv_id", F.to_json(F.struct("conv_id", "turn", "role")).alias("json"))
+    return v.table(spark, d, "conversations").select("conv_id", F.to_json(F.struct("conv_id", "turn", "role")).alias("json"))
 
 
 @register("K05", "SELECT conv_id, turn, trim(translate(text, chr(9) || chr(10), '  ')) AS optimized_caption, CASE WHEN turn % 2 = 0 THEN '' ELSE CAST(turn AS VARCHAR) END AS index FROM v_answers", A)
