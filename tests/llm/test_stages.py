@@ -1,8 +1,10 @@
 """Stages of the pipeline against brute force on small tables."""
 
-from test_similar import NEAR, groups_by_hand
+import pytest
+from test_similar import NEAR, groups_by_hand, removed_by_hand
 
 import corpus_pipeline as c
+from vagari.llm.line_dedup import LineParams, line_report
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -24,3 +26,12 @@ def test_near_dedup_from_four_fifths_on(spark):
     assert 301 not in want and 302 in want and 301 in kept_by_hand(rows, 85)
     got = c.near_dedup(spark, documents(spark, rows).repartition(4), "")
     assert sorted(r.doc_id for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("p", [LineParams(), LineParams(frequent=2, nearest=1)])
+def test_the_earliest_line_stays_whatever_the_order_of_rows(spark, p):
+    a, b = "a b c d e f g h i", "a b c d e f g h i j"
+    rows = [(50, a), (20, b), (3, a), (None, a)]
+    df = documents(spark, rows).coalesce(1)
+    assert [r.doc_id for r in df.collect()] == [50, 20, 3, None]
+    assert {r.doc_id: r.removed for r in line_report(df, p).collect()} == {50: [0], 20: [0], 3: [], None: [0]} == removed_by_hand(rows)

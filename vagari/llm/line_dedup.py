@@ -89,7 +89,8 @@ def needed(n: np.ndarray, p: LineParams) -> np.ndarray:
 
 def postings(ls: Lines, docs: np.ndarray, hot: int, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
     """Index entries of a chunk's distinct sets that could have a different set alike: the lower half of each key, which deals it out, and the entry with the upper half."""
-    _, once = np.unique(ls.sid, return_index=True)
+    order = np.lexsort((ls.number, docs[ls.doc]))  # a set's place is that of its least (doc, line), whatever the order of rows
+    once = order[np.unique(ls.sid[order], return_index=True)[1]]
     pick = np.zeros(len(ls.sid), bool)
     pick[once] = True
     pick &= ls.n * p.den >= p.num * (ls.n + 1)
