@@ -50,7 +50,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-# Hyperdimensional profiles, similarity joins and BPE are beyond SQL; tests hold each stage against brute force.
+# Hyperdimensional profiles, similarity joins and BPE are beyond SQL; tests hold the operators and the near_dedup stage against brute force, of the other stages only counts and columns.
 ORACLE_SQL = None
 
 
