@@ -87,7 +87,7 @@ def test_custom_source(spark):
     spark.dataSource.register(ManifestSource)
     text = json.dumps([{"file": "0.tar", "split": "train", "size": 3}, {"file": "1.tar", "split": "test", "size": 4}, {"file": "x", "split": "other"}])
     got = spark.read.format("split_manifest").option("manifest", text).load()
-    assert sorted(map(tuple, got.collect())) == [("0.tar", "train", 3), ("1.tar", "test", 4)]
+    assert sorted(map(tuple, got.collect())) == [("0.tar", "train", 3), ("1.tar", "test", 4), ("x", "other", None)]
 
 
 def test_generation_is_bounded():

@@ -30,6 +30,8 @@ PROMPT_WEIGHTS = {"full_match": 0.4, "objects": 0.25, "spatial_relation": 0.25,
 # Extensions in the order in which an image file is looked for.
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".JPEG", ".JPG", ".PNG"]
 LEVELS = ["L1", "L2", "L3"]
+# Names of the levels.
+LEVEL_NAMES = {"L1": "Contact & Pressure", "L2": "Grazing & Zero-Gap", "L3": "Proximity & Reach"}
 
 # Sentences about a soft score; three bands each, from high to low.
 WHOLE_SCORE = [

@@ -76,6 +76,58 @@ class StubWriter(Stub):
         return [(value or "").split(".")[0]]
 
 
+# What an error's text must contain for another attempt; the second list in any letter case.
+WORTH_ANOTHER = ["device-side assert", "CUDA error", "probability", "Inf"]
+WORTH_ANOTHER_ANY_CASE = ["nan"]
+
+
+def with_fallback(attempts: list, reloads: bool = True):
+    """The result of the first attempt that succeeds, and its name.
+
+    attempts: (name, call) in the order sample, greedy, reload, cpu. An error of the first that has no
+    known cause is raised; those of the others lead on. Without 'reloads' (no
+    GPU) the third is left out. All failed: RuntimeError.
+    """
+    first, *others = attempts
+    try:
+        return first[1](), first[0]
+    except Exception as e:
+        if not (any(x in str(e) for x in WORTH_ANOTHER) or any(x in str(e).lower() for x in WORTH_ANOTHER_ANY_CASE)):
+            raise
+    last = None
+    for name, call in others:
+        if name == "reload" and not reloads:
+            continue
+        try:
+            return call(), name
+        except Exception as e:  # the next attempt is another way to the same answer
+            last = e
+    raise RuntimeError(f"all attempts failed: {last}")
+
+
+class Laddered(Stub):
+    """A stand-in whose attempts fail by the row's words, to show the order of attempts: the output is the attempt's name and its answer."""
+
+    column, output = "phrase", "array<string>"
+
+    def rule(self, value):
+        words = (value or "").lower().split()
+
+        def attempt(*failing):
+            def call():
+                for word, text in failing:
+                    if word in words:
+                        raise RuntimeError(text)
+                return words[-1] if words else ""
+
+            return call
+
+        left, stack, tall = ("left", "NaN logits"), ("stack", "CUDA error"), ("tall", "CUDA error")
+        ways = [("sample", attempt(("to", "no such file"), left, stack, tall)), ("greedy", attempt(stack, tall)), ("reload", attempt(tall)), ("cpu", attempt(("brass", "out of memory")))]
+        answer, name = with_fallback(ways)
+        return [name, answer]
+
+
 def with_model(df: DataFrame, model: Inferencer) -> DataFrame:
     """df with output and error."""
     kind = T._parse_datatype_string(f"output {model.output}, error string")

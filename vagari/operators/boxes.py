@@ -35,25 +35,19 @@ def suppress(boxes: Column, threshold: float) -> Column:
     Scan i < j: where both are still there and overlap by more than the
     threshold, the lower score goes (a tie takes j). Once box i is gone its scan
     ends; what it removed before stays removed. The fold over i carries the flags
-    of removed boxes.
+    of removed boxes; a scan looks at each other box twice.
     """
     n = F.size(boxes)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
     def scan(gone: Column, i: Column) -> Column:
         own = F.get(boxes, i)
+        hit = lambda k: (k > i) & ~F.get(gone, k) & (geo.iou(own["b"], F.get(boxes, k)["b"]) > threshold)
+        stop = F.coalesce(F.array_min(F.filter(places, lambda k: hit(k) & (F.get(boxes, k)["score"] > own["score"]))), n)
+        after = F.transform(gone, lambda g, k: g | (hit(k) & (k < stop)) | ((k == i) & (stop < n)))
+        return F.when(F.get(gone, i), gone).otherwise(after)
 
-        def step(state: Column, j: Column) -> Column:
-            other = F.get(boxes, j)
-            live = ~state["dead"] & ~F.get(state["gone"], j) & (geo.iou(own["b"], other["b"]) > threshold)
-            lose = live & (other["score"] > own["score"])
-            hit = F.when(lose, i).when(live, j).otherwise(F.lit(-1))
-            return F.struct((state["dead"] | lose).alias("dead"), F.transform(state["gone"], lambda g, k: g | (k == hit)).alias("gone"))
-
-        start = F.struct(F.get(gone, i).alias("dead"), gone.alias("gone"))
-        later = F.when(i + 1 < n, F.sequence(i + 1, n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(later, start, step)["gone"]
-
-    flags = F.aggregate(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), F.array_repeat(F.lit(False), n), scan)
+    flags = F.aggregate(places, F.array_repeat(F.lit(False), n), scan)
     return F.filter(F.transform(flags, lambda g, i: F.when(~g, i)), lambda i: i.isNotNull())
 
 
@@ -108,42 +102,6 @@ def fused(boxes: DataFrame, p: DetectionParams = DetectionParams()) -> DataFrame
     return out.select("image_id", "label", F.row_number().over(w).alias("fused_rank"), "f.score", *(f"f.{s}" for s in geo.SIDES), "f.members")
 
 
-def fuse_in_pandas(boxes: DataFrame, p: DetectionParams = DetectionParams()) -> DataFrame:
-    """A15 a second time, image by image in pandas: what tests hold fused() against."""
-    import pandas as pd
-
-    def overlap(a, b) -> float:
-        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-        if w < 0 or h < 0:
-            return 0.0
-        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-        return w * h / union if union else 0.0
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for label, own in frame.groupby("label", sort=True):
-            clusters: list[dict] = []
-            for x in own.sort_values(["score", "detector", "box_id"], ascending=[False, True, True]).itertuples():
-                if x.score < p.skip_score:
-                    continue
-                b = (x.x1, x.y1, x.x2, x.y2)
-                found = [overlap(c["b"], b) for c in clusters]
-                best = max(range(len(found)), key=lambda i: (found[i], -i), default=None)
-                if best is None or found[best] <= p.fusion_iou:
-                    clusters.append({"m": [(b, x.score)], "b": b})
-                else:
-                    m = clusters[best]["m"]
-                    m.append((b, x.score))
-                    total = sum(s for _, s in m)
-                    clusters[best]["b"] = tuple(sum(q[i] * s for q, s in m) / total for i in range(4))
-            for c in clusters:
-                n = len(c["m"])
-                rows.append((frame.image_id.iloc[0], label, sum(s for _, s in c["m"]) / n * min(n, p.detectors) / p.detectors, *c["b"], n))
-        return pd.DataFrame(rows, columns=["image_id", "label", "score", *geo.SIDES, "members"])
-
-    return boxes.groupBy("image_id").applyInPandas(run, "image_id long, label string, score double, x1 double, y1 double, x2 double, y2 double, members int")
-
-
 def with_instance_ids(boxes: DataFrame, order: list) -> DataFrame:
     """label_1, label_2, ... within an image."""
     n = F.row_number().over(W.Window.partitionBy("image_id", "label").orderBy(*order))

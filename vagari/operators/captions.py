@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from ..functions import scoring as sc
 from ..params import CaptionParams
+from .ordering import numbered
 
 
 def present(c: Column) -> Column:
@@ -19,10 +20,15 @@ def sample(rows: DataFrame, key: str, count: int, seed: str) -> DataFrame:
     return rows.withColumn("_draw", sc.hash_draw(F.lit(seed), F.col(key).cast("string"))).orderBy("_draw", key).limit(count).drop("_draw")
 
 
+def shuffled(rows: DataFrame, key: str, seed: str) -> DataFrame:
+    """Rows with 'place', their number (from 0) in the order of a seeded hash: the whole table is the shuffle buffer."""
+    return numbered(rows.withColumn("_draw", sc.hash_draw(F.lit(seed), F.col(key).cast("string"))), ["_draw", key], "place").drop("_draw")
+
+
 def truncated(rows: DataFrame, key: str, size: float, seed: str) -> DataFrame:
-    """A share of the rows (below 1) or a number of rows, shuffled."""
+    """A share of the rows (below 1) or a number of rows, shuffled. A row knows its place, so no task gathers them."""
     count = int(size * rows.count()) if size < 1 else int(size)
-    return sample(rows, key, count, seed)
+    return shuffled(rows, key, seed).filter(F.col("place") < count).drop("place")
 
 
 def with_split(rows: DataFrame, key: str, share: float, seed: str) -> DataFrame:
@@ -53,8 +59,8 @@ def caption(kind: Column, optimized: Column, spatial: Column, general: Column, o
 
 
 def round_robin(rows: DataFrame, order: list, workers: int) -> DataFrame:
-    """Worker i % n in the given order; a list of files, so one partition holds it."""
-    return rows.withColumn("worker", (F.row_number().over(W.Window.orderBy(*order)) - 1) % workers)
+    """Worker i % n in the given order."""
+    return numbered(rows, order, "_nth").withColumn("worker", (F.col("_nth") % workers).cast("int")).drop("_nth")
 
 
 def keep_newest(rows: DataFrame, key: str, step: str, limit: int) -> DataFrame:

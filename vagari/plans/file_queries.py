@@ -61,10 +61,12 @@ def s21(spark, d):
 @register("W09", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY 'img_' || doc_id) AS place FROM documents")
 def w09(spark, d):
     """Lexicographic order of names within a directory."""
-    from pyspark.sql import window as W
+    from ..operators.ordering import numbered
 
-    place = F.row_number().over(W.Window.partitionBy("source").orderBy(F.concat(F.lit("img_"), F.col("doc_id").cast("string"))))
-    return v.table(spark, d, "documents").select("source", "doc_id", place.cast("long").alias("place"))
+    rows = v.table(spark, d, "documents").select("source", "doc_id", F.concat(F.lit("img_"), F.col("doc_id").cast("string")).alias("name"))
+    placed = numbered(rows, ["source", "name"], "nth")
+    first = placed.groupBy(F.col("source").alias("folder")).agg(F.min("nth").alias("first"))
+    return placed.join(first, F.col("source").eqNullSafe(F.col("folder"))).select("source", "doc_id", (F.col("nth") - F.col("first") + 1).alias("place"))
 
 
 @register("S05", """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS scene, doc_id % 3 > 0 AS ok FROM documents""")

@@ -1,4 +1,4 @@
-"""A custom source as a Python data source: rows of a split manifest, one partition per split."""
+"""A custom source as a Python data source: rows of a split manifest, one partition for each split that it names."""
 
 from __future__ import annotations
 
@@ -6,11 +6,8 @@ import json
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SPLITS = ("train", "val", "test")
-
-
 class SplitPartition(InputPartition):
-    def __init__(self, split: str):
+    def __init__(self, split: str | None):
         super().__init__(split)
         self.split = split
 
@@ -20,7 +17,7 @@ class ManifestReader(DataSourceReader):
         self.items = json.loads(lines)
 
     def partitions(self):
-        return [SplitPartition(s) for s in SPLITS]
+        return [SplitPartition(s) for s in dict.fromkeys(i.get("split") for i in self.items)]
 
     def read(self, partition):
         for item in self.items:

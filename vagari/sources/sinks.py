@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import store_of
+
 
 def one_line(column: str) -> Column:
     """Tabs and line ends become spaces; null is empty."""
@@ -39,12 +46,49 @@ def new_version(df: DataFrame, path: str) -> str:
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest version; older ones are pruned by their folder."""
-    df = spark.read.parquet(path)
-    newest = df.agg(F.max("v")).first()[0]
-    return df.filter(F.col("v") == newest).drop("v")
+    found = spark.read.option("mergeSchema", True).parquet(path)
+    newest = found.agg(F.max("v")).first()[0]
+    return spark.read.parquet(f"{path}/v={newest}")
 
 
 def config_lines(spark: SparkSession, config: dict) -> DataFrame:
     """A JSON line for each key."""
     rows = spark.createDataFrame([({k: str(v)},) for k, v in config.items()], "m map<string,string>")
     return rows.select(F.to_json("m").alias("value"))
+
+
+def named_files(df: DataFrame, folder: str) -> int:
+    """Each row (name, content) as a file of its own; returns their number. A file appears whole or not at all, so a task that runs twice does no harm. Rows without a name are left out."""
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from uuid import uuid4
+
+        store, place = store_of(folder)
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                target = f"{place}/{name}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{place}/_{uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content or b"")
+                store.move(part, target)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    rows = df.filter("name IS NOT NULL").select("name", F.col("content").cast("binary").alias("content"))
+    return rows.mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def tar_shards(df: DataFrame, folder: str) -> int:
+    """Samples (shard, key, name of each part and its data as a map) as tar files, a file for each shard; a shard is what one task holds. Returns the number of shards."""
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        data = io.BytesIO()
+        with tarfile.open(fileobj=data, mode="w") as tar:
+            for key, parts in sorted(zip(frame["key"], frame["parts"], strict=True), key=lambda r: r[0]):
+                for ext, content in sorted(dict(parts).items()):
+                    info = tarfile.TarInfo(f"{key}.{ext}")
+                    info.size = len(content)
+                    tar.addfile(info, io.BytesIO(content))
+        return pd.DataFrame({"name": [f"{frame['shard'].iloc[0]}.tar"], "content": [data.getvalue()]})
+
+    return named_files(df.groupBy("shard").applyInPandas(pack, "name string, content binary"), folder)
