@@ -1,5 +1,7 @@
 """Hand-computed cases, above all the corners."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from vagari.operators import boxes as bx
 from vagari.operators import captions as cp
 from vagari.operators import keywords as kw
 from vagari.operators import scores as so
+from vagari.operators.ordering import numbered
 
 
 def one(spark, *cols):
@@ -73,7 +76,9 @@ def test_text(spark):
     assert one(spark, tx.model_type(f("/m/PixArt-Sigma"))) == ("stable_diffusion",)
     assert tuple(spark.range(1).select(tx.shard_range(f("{0..12}.tar")).alias("r")).select("r.*").first()) == (0, 12)
     assert one(spark, tx.duration(f(59.94)), tx.duration(f(90.0)), tx.duration(f(7200.0))) == ("59.9 seconds", "1.5 minutes", "2.00 hours")
-    assert one(spark, tx.index_of_file(f("none.json")), tx.index_of_file(f("a_12.json"))) == (None, 12)
+    assert one(spark, *(tx.index_of_file(f(n)) for n in ("none.json", "a_12.json", "12_expanded.json", "7-x.json"))) == (None, None, 12, 7)
+    said = lambda t: tx.assistant_answer(f(t), f("abc"))
+    assert one(spark, said("x ASSISTANT: a ASSISTANT:  b\n"), said("the assistant\tyes"), said(" My Assistant: b "), said("abc d")) == ("b", "yes", "My Assistant: b", "d")
     assert one(spark, tx.is_object_phrase(f("in front of")), tx.is_object_phrase(f("red cup")), tx.is_object_phrase(f("on left"))) == (False, True, False)
 
 
@@ -125,3 +130,41 @@ def test_caption_fallbacks(spark):
     df = spark.createDataFrame([("optimized", "", "s", "g", "o", "x"), ("spatial", "", "", "g", "o", "x"), ("general", "", "", "g", "o", "src0"), ("general", "", "", "", "", "x"), ("general", None, None, "g", None, "src0")], "kind string, a string, b string, c string, d string, src string")
     got = df.select(cp.caption(*(F.col(c) for c in ("kind", "a", "b", "c", "d", "src")), CaptionParams())).collect()
     assert [r[0] for r in got] == ["s", "g", "o", "", "g"]
+
+
+@pytest.mark.parametrize("digits", [1, 2])
+def test_fixed_rounds_as_python_does(spark, digits):
+    rng = random.Random(digits)
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.125, 0.375, 1.005, 2.675, 8.25, 8.75, 59.95, 0.005, 0.015, 1e-9, 5e-324, 0.95, 0.995, 99.995, 123456.25, 1e9 + 0.125]
+    values += [rng.random() * 10 ** rng.randrange(-3, 7) for _ in range(300)] + [rng.randrange(10**6) / 8 for _ in range(200)]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", tx.fixed(F.col("x"), digits).alias("s")).collect()
+    assert [(r.x, r.s) for r in got] == [(x, f"{x:.{digits}f}") for x in values]
+
+
+@pytest.mark.parametrize("per_range", [1, 7, 40, 1000])
+def test_numbers_follow_the_order(spark, per_range):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "a", "b", "c"]), i) for i in range(120)]
+    df = spark.createDataFrame(rows, "s string, i int").repartition(5)
+    got = {(r.s, r.i): r.nth for r in numbered(df, ["s", "i"], "nth", per_range).collect()}
+    assert got == {r: n for n, r in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])))}
+    assert numbered(df.limit(0), ["s", "i"], "nth").count() == 0
+
+
+def test_fallback_goes_down_the_ladder():
+    from vagari.functions.models import with_fallback
+
+    def fail(text):
+        def call():
+            raise RuntimeError(text)
+
+        return call
+
+    ok = lambda: 1
+    assert with_fallback([("sample", ok)]) == (1, "sample")
+    assert with_fallback([("sample", fail("CUDA error")), ("greedy", fail("x")), ("reload", ok), ("cpu", ok)]) == (1, "reload")
+    assert with_fallback([("sample", fail("NaN")), ("greedy", fail("x")), ("reload", ok), ("cpu", ok)], reloads=False) == (1, "cpu")
+    with pytest.raises(RuntimeError, match="no such file"):
+        with_fallback([("sample", fail("no such file")), ("greedy", ok)])
+    with pytest.raises(RuntimeError, match="all attempts"):
+        with_fallback([("sample", fail("Inf")), ("greedy", fail("y"))])

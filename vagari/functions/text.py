@@ -115,8 +115,8 @@ def clean_answer(text: Column) -> Column:
 
 
 def index_of_file(name: Column) -> Column:
-    """The number in a file name, or null."""
-    return F.regexp_extract(name, r"(\d+)", 1).try_cast("int")
+    """The number that a file name begins with, or null."""
+    return F.regexp_extract(name, r"^(\d+)", 1).try_cast("int")
 
 
 def object_lines(dets: Column, scores: bool) -> Column:
@@ -127,9 +127,10 @@ def object_lines(dets: Column, scores: bool) -> Column:
 
 
 def assistant_answer(text: Column, prompt: Column) -> Column:
-    """After the last ASSISTANT:, else after the last 'assistant', else without the prompt's length."""
+    """After the last ASSISTANT:, else after the last 'assistant' (the whole text if it has the word in capitals only), else without the prompt's length."""
     rest = F.substr(text, F.length(prompt) + 1)
-    return F.trim(F.when(F.instr(text, "ASSISTANT:") > 0, F.substring_index(text, "ASSISTANT:", -1)).when(F.instr(text, "assistant") > 0, F.substring_index(text, "assistant", -1)).otherwise(rest))
+    answer = F.when(F.instr(text, "ASSISTANT:") > 0, F.substring_index(text, "ASSISTANT:", -1)).when(F.instr(F.lower(text), "assistant") > 0, F.substring_index(text, "assistant", -1)).otherwise(rest)
+    return F.regexp_replace(answer, r"^\s+|\s+\z", "")
 
 
 RELATION_PROMPTS = {
@@ -192,9 +193,23 @@ def fuzzy_key(term: Column) -> Column:
     return F.trim(F.lower(term))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x >= 0 with so many decimals, rounded as C and Python do: the double's exact value, ties to even. format_string rounds its shortest decimal form, ties up."""
+    whole, scale, ring = F.floor(x), 10**digits, 1 << 52
+    bits = (x - whole) * ring
+    low = (bits - F.floor(bits)) * ring  # what lies below 52 places, for numbers below 1
+    low = F.floor(low) * scale
+    part = F.floor(bits) * scale + F.shiftright(low, 52)
+    digit, rest = F.shiftright(part, 52), part.bitwiseAND(F.lit(ring - 1))
+    up = (rest > ring // 2) | ((rest == ring // 2) & ((low.bitwiseAND(F.lit(ring - 1)) > 0) | (digit % 2 == 1)))
+    total = whole * scale + digit + up.cast("long")
+    return F.concat(((total - total % scale) / scale).cast("long").cast("string"), F.lit("."), F.lpad((total % scale).cast("string"), digits, "0"))
+
+
 def duration(seconds: Column) -> Column:
     """T25"""
-    return F.when(seconds < 60, F.format_string("%.1f seconds", seconds)).when(seconds < 3600, F.format_string("%.1f minutes", seconds / 60)).otherwise(F.format_string("%.2f hours", seconds / 3600))
+    said = lambda x, digits, unit: F.concat(fixed(x, digits), F.lit(unit))
+    return F.when(seconds < 60, said(seconds, 1, " seconds")).when(seconds < 3600, said(seconds / 60, 1, " minutes")).otherwise(said(seconds / 3600, 2, " hours"))
 
 
 def generated_name(sentence: Column, image: Column) -> Column:

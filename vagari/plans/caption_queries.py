@@ -125,9 +125,9 @@ def r03(spark, d):
     return v.table(spark, d, "documents").select("doc_id").join(v.table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@register("T25", "SELECT event_id, CASE WHEN s < 60 THEN printf('%.1f seconds', s) WHEN s < 3600 THEN printf('%.1f minutes', s / 60) ELSE printf('%.2f hours', s / 3600) END AS took FROM (SELECT event_id, CAST(event_id * 60 AS DOUBLE) / 8 AS s FROM v_status WHERE event_id % 8 = 0)", "v_status")
+@register("T25", "SELECT event_id, CASE WHEN s < 60 THEN printf('%.1f seconds', s) WHEN s < 3600 THEN printf('%.1f minutes', s / 60) ELSE printf('%.2f hours', s / 3600) END AS took FROM (SELECT event_id, CAST(event_id * 60 AS DOUBLE) / 8 AS s FROM v_status)", "v_status")
 def t25(spark, d):
-    return v.status(spark, d).filter("event_id % 8 = 0").select("event_id", tx.duration((F.col("event_id") * 60).cast("double") / 8).alias("took"))
+    return v.status(spark, d).select("event_id", tx.duration((F.col("event_id") * 60).cast("double") / 8).alias("took"))
 
 
 @register("W05", "SELECT doc_id, CAST((row_number() OVER (ORDER BY source, doc_id) - 1) % 4 AS INTEGER) AS worker FROM documents")
@@ -163,9 +163,11 @@ def w08(spark, d):
     return ops.keep_newest(checkpoints(spark, d).filter("step IS NOT NULL"), "user_id", "step", 5).filter("delete").select("user_id", "step")
 
 
-@register("T16", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id AS INTEGER) END AS index FROM documents")
+@register("T16", "SELECT doc_id, TRY_CAST(regexp_extract(CASE doc_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'img_' || doc_id WHEN 2 THEN doc_id || '-2' ELSE CAST(doc_id AS VARCHAR) END || '_expanded.json', '^[0-9]+') AS INTEGER) AS index FROM documents")
 def t16(spark, d):
-    name = F.when(F.col("doc_id") % 4 == 0, "none_expanded.json").otherwise(F.concat(F.lit("img_"), F.col("doc_id").cast("string"), F.lit("_expanded.json")))
+    k, n = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    stem = F.when(k == 0, "none").when(k == 1, F.concat(F.lit("img_"), n)).when(k == 2, F.concat(n, F.lit("-2"))).otherwise(n)
+    name = F.concat(stem, F.lit("_expanded.json"))
     return v.table(spark, d, "documents").select("doc_id", tx.index_of_file(name).alias("index"))
 
 

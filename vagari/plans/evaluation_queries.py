@@ -44,23 +44,23 @@ def g10(spark, d):
     return images(spark, d).select("image_id", "s_hard_normalized", "s_soft_normalized", "score_final", "score_final_scaled")
 
 
-@register("F07", "SELECT model, sentence_idx, image_idx, hard_score, soft_score FROM v_scored WHERE model <> '5-LOW' AND image_idx <= 20", "v_scored")
+@register("F07", "SELECT model, sentence_idx, image_idx, hard_score, soft_score FROM v_scored", "v_scored")
 def f07(spark, d):
     return ops.paired(hard(spark, d).drop("image_id"), soft(spark, d))
 
 
-@register("F08", "SELECT DISTINCT model FROM v_eval WHERE model NOT IN ('5-LOW', '1-URGENT')", "v_eval")
+@register("F08", "SELECT DISTINCT model FROM v_eval", "v_eval")
 def f08(spark, d):
     a, b = hard(spark, d), soft(spark, d)
     return a.select("model").distinct().join(b.select("model").distinct(), "model")
 
 
-@register("U03", "SELECT model FROM v_eval WHERE model <> '1-URGENT' INTERSECT SELECT model FROM v_eval WHERE model <> '5-LOW'", "v_eval")
+@register("U03", "SELECT model FROM v_eval INTERSECT SELECT model FROM v_scored", "v_eval", "v_scored")
 def u03(spark, d):
     return hard(spark, d).select("model").intersect(soft(spark, d).select("model"))
 
 
-@register("P08", "SELECT model, count(*) AS n FROM v_eval WHERE model <> '5-LOW' GROUP BY model", "v_eval")
+@register("P08", "SELECT model, count(*) AS n FROM v_eval GROUP BY model", "v_eval")
 def p08(spark, d):
     lists = v.evaluation(spark, d).groupBy("model").agg(F.collect_list("image_id").alias("images"))
     return lists.filter(F.size("images") > 0).select("model", F.size("images").cast("long").alias("n"))
@@ -287,7 +287,7 @@ def f14(spark, d):
     """Models by sentences by images: both lists are configuration, so their product is the work list itself."""
     models = v.table(spark, d, "nation").select(F.col("n_nationkey").alias("model"))
     sentences = v.table(spark, d, "region").agg(F.collect_list("r_regionkey").alias("sentences"))
-    return models.join(F.broadcast(sentences)).select("model", F.explode("sentences").alias("sentence")).withColumn("image", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return models.join(sentences).select("model", F.explode("sentences").alias("sentence")).withColumn("image", F.explode(F.sequence(F.lit(1), F.lit(3))))
 
 
 @register("G17", "SELECT model, count(*) AS n, CAST(ceil(count(*) / 32.0) AS BIGINT) AS steps_per_epoch, CAST(ceil(15000 / ceil(count(*) / 32.0)) AS BIGINT) AS epochs FROM v_eval GROUP BY model", "v_eval")
@@ -334,10 +334,11 @@ def k10(spark, d):
     return s.select("model", F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
-@register("R02", "SELECT 10 AS rows, 4 AS attempts")
+@register("R02", "SELECT n_nationkey, CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 3 + 1 AS INTEGER) AS attempt FROM nation ORDER BY n_nationkey LIMIT 10")
 def r02(spark, d):
     """Generate until there are enough rows: three a batch, the last may overshoot and is cut; attempts are bounded."""
     from ..streaming.generate import until
 
-    rows, attempts = until(lambda n: [{"n": n, "i": i} for i in range(3)], target=10, most_attempts=20)
-    return spark.createDataFrame([(len(rows), attempts)], "rows int, attempts int")
+    keys = [r.n_nationkey for r in v.table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").limit(10 + 3).collect()]
+    rows, _ = until(lambda n: [(k, n + 1) for k in keys[3 * n : 3 * n + 3]], target=10, most_attempts=20)
+    return spark.createDataFrame(rows, "n_nationkey long, attempt int")

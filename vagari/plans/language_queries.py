@@ -104,13 +104,13 @@ def a19(spark, d):
     return listed(spark, d).select("image_id", F.array_join(kw.distinct_lower(F.col("phrase")), "|").alias("phrases"))
 
 
-@register("P02", "SELECT image_id, count(*) AS n FROM v_phrase WHERE pos % 9 = 0 GROUP BY image_id", "v_phrase")
+@register("P02", "SELECT image_id, count(*) AS n FROM v_phrase WHERE phrase LIKE 'Stack%' GROUP BY image_id", "v_phrase")
 def p02(spark, d):
     lists = v.phrases(spark, d).groupBy("image_id").agg(F.filter(F.collect_list("phrase"), lambda p: p.startswith("Stack")).alias("keywords"))
     return lists.filter(F.size("keywords") > 0).select("image_id", F.size("keywords").cast("long").alias("n"))
 
 
-@register("U01", "SELECT image_id, pos, phrase FROM v_phrase WHERE pos % 2 = 0 UNION ALL SELECT image_id, pos, 'pile of ' || phrase FROM v_phrase WHERE pos % 3 = 0", "v_phrase")
+@register("U01", "SELECT image_id, pos, phrase FROM v_phrase UNION ALL SELECT image_id, pos, 'pile of ' || phrase FROM v_phrase", "v_phrase")
 def u01(spark, d):
     p = v.phrases(spark, d)
     return p.unionByName(p.withColumn("phrase", F.concat(F.lit("pile of "), "phrase")))
@@ -146,7 +146,7 @@ def t13(spark, d):
     return v.answers(spark, d).select("conv_id", "turn", F.array_join(F.transform(tx.yes_indices(F.col("text"), 3), lambda i: i.cast("string")), ",").alias("yes"))
 
 
-@register("P12", "SELECT conv_id, turn FROM v_answers WHERE (conv_id + turn) % 6 = 2", A)
+@register("P12", r"SELECT conv_id, turn FROM v_answers WHERE len(list_filter(regexp_extract_all(text, '(\d+)[.:)]?\s*(?:yes|Yes|YES)', 1), lambda x: TRY_CAST(x AS INT) BETWEEN 1 AND 3)) > 0", A)
 def p12(spark, d):
     found = F.transform(F.regexp_extract_all("text", F.lit(r"(\d+)[.:)]?\s*(?:yes|Yes|YES)"), F.lit(1)), lambda x: x.try_cast("int") - 1)
     return v.answers(spark, d).filter(F.exists(found, lambda i: (i >= 0) & (i < 3))).select("conv_id", "turn")
@@ -167,12 +167,17 @@ def t15(spark, d):
     return v.answers(spark, d).select("conv_id", "turn", tx.clean_answer(F.col("text")).alias("caption"))
 
 
-@register("T18", "SELECT conv_id, turn, trim(CASE WHEN contains(text, 'ASSISTANT:') THEN split_part(text, 'ASSISTANT:', -1) WHEN contains(text, 'assistant') THEN split_part(text, 'assistant', -1) ELSE substr(text, 4) END) AS answer FROM v_answers", A)
+@register("T18", r"""WITH s AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'The assistant ' WHEN 1 THEN 'My Assistant: ' ELSE '' END || text AS text FROM v_answers)
+SELECT conv_id, turn, regexp_replace(CASE WHEN contains(text, 'ASSISTANT:') THEN string_split(text, 'ASSISTANT:')[-1] WHEN regexp_matches(text, '(?i)assistant') THEN string_split(text, 'assistant')[-1] ELSE right(text, -3) END, '^\s+|\s+$', '', 'g') AS answer FROM s""", A)
 def t18(spark, d):
-    return v.answers(spark, d).select("conv_id", "turn", tx.assistant_answer(F.col("text"), F.lit("abc")).alias("answer"))
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    said = F.concat(F.when(k == 0, "The assistant ").when(k == 1, "My Assistant: ").otherwise(""), F.col("text"))
+    return v.answers(spark, d).select("conv_id", "turn", tx.assistant_answer(said, F.lit("abc")).alias("answer"))
 
 
-@register("T20", "SELECT conv_id, turn, 'room' AS scene, 'cup,dog' AS objects, 'near' AS fuzzy_distance FROM v_answers WHERE (conv_id + turn) % 6 = 5", A)
+@register("T20", r"""WITH j AS (SELECT conv_id, turn, regexp_extract(text, '(?s)\[.*\]') AS body FROM v_answers),
+e AS (SELECT conv_id, turn, unnest(from_json(body, '[{"scene":"VARCHAR","objects":["VARCHAR"],"fuzzy_distance":"VARCHAR"}]')) AS s FROM j WHERE json_valid(body))
+SELECT conv_id, turn, s.scene AS scene, array_to_string(s.objects, ',') AS objects, s.fuzzy_distance AS fuzzy_distance FROM e""", A)
 def t20(spark, d):
     rows = v.answers(spark, d).select("conv_id", "turn", F.explode(tx.json_list(F.col("text"))).alias("s"))
     return rows.select("conv_id", "turn", "s.scene", F.array_join("s.objects", ",").alias("objects"), "s.fuzzy_distance")
@@ -189,7 +194,7 @@ def t33(spark, d):
     return rows.select("conv_id", "turn", F.size("m").alias("messages"), F.col("m")[0]["role"].alias("first_role"), F.col("m")[1]["content"].alias("content"))
 
 
-@register("T32", """SELECT conv_id, '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"}' AS json FROM conversations WHERE turn = 1""")
+@register("T32", """SELECT conv_id, '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"}' AS json FROM conversations""")
 def t32(spark, d):
     return v.table(spark, d, "conversations").select("conv_id", F.to_json(F.struct("conv_id", "turn", "role")).alias("json"))
 
@@ -234,7 +239,7 @@ def m04(spark, d):
     return rows.select("image_id", "pos", F.explode("output").alias("b")).select("image_id", "pos", "b.label", "b.score")
 
 
-@register("M07", "SELECT count(*) AS failed FROM v_phrase WHERE pos % 9 = 5", "v_phrase")
+@register("M07", "SELECT count(*) AS failed FROM v_phrase WHERE phrase = 'teddy'", "v_phrase")
 def m07(spark, d):
     """A row that a model fails on has its error; the others go on."""
     from ..functions.models import StubDetector, with_model
@@ -257,7 +262,7 @@ def m10(spark, d):
     return rows.select("conv_id", "turn", F.col("output")[0].alias("caption"))
 
 
-@register("T06", "SELECT image_id, pos FROM v_phrase WHERE NOT regexp_matches(lower(phrase), '(ing|ed)$')", "v_phrase")
+@register("T06", "SELECT image_id, pos FROM v_phrase WHERE NOT (ends_with(lower(phrase), 'ing') OR ends_with(lower(phrase), 'ed'))", "v_phrase")
 def t06(spark, d):
     """Noun tags by the stand-in rule: a last word in -ing or -ed is no noun."""
     return v.phrases(spark, d).filter(~F.lower("phrase").rlike("(ing|ed)$")).select("image_id", "pos")

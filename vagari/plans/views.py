@@ -134,10 +134,10 @@ SQL = {
     "v_answers": """SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'Output: ' || t WHEN 1 THEN 'Result:' || chr(10) || t || chr(10) || 'Note: done'
  WHEN 2 THEN '1. yes' || chr(10) || '2) no' || chr(10) || '3: Yes ' || t WHEN 3 THEN 'ask [/INST] sure, yes' || chr(10) || 'no ```x``` ' || t WHEN 4 THEN 'USER: q ASSISTANT: ' || t
  ELSE 'ok [{"scene":"room","objects":["cup","dog"],"direction":"left","fuzzy_distance":"near","sentence":"x"}] bye ' END AS text
- FROM (SELECT *, substr(text, 1, 400) AS t FROM conversations WHERE role = 'assistant')""",
-    "v_caption": """SELECT doc_id AS image_id, source, CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(text, 1, 600) END AS spatial,
- CASE WHEN doc_id % 7 <> 0 THEN 'the  cat''s' || chr(9) || substr(text, 1, 600) END AS general, CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 600) || ' they''re ' END AS optimized,
- CASE WHEN doc_id % 2 = 0 THEN 'original ' || substr(text, 1, 600) END AS original FROM documents""",
+ FROM (SELECT *, text AS t FROM conversations WHERE role = 'assistant')""",
+    "v_caption": """SELECT doc_id AS image_id, source, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS spatial,
+ CASE WHEN doc_id % 7 <> 0 THEN 'the  cat''s' || chr(9) || text END AS general, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text || ' they''re ' END AS optimized,
+ CASE WHEN doc_id % 2 = 0 THEN 'original ' || text END AS original FROM documents""",
     "v_phrase": """SELECT p_brand AS image_id, p_partkey AS pos, CASE p_partkey % 9 WHEN 0 THEN 'Stack of ' || p_name WHEN 1 THEN 'on left' WHEN 2 THEN 'next to' WHEN 3 THEN 'tall ' || p_name
  WHEN 4 THEN 'dog being on' WHEN 5 THEN 'teddy' WHEN 6 THEN upper(p_name) ELSE p_name END AS phrase FROM part""",
     "v_status": """SELECT event_id, ts, user_id, CASE event_type WHEN 'error' THEN 'fail' WHEN 'view' THEN 'skip' ELSE 'success' END AS status, value FROM events""",
