@@ -5,6 +5,7 @@ count: itself up to 64, then steps of an eighth of a doubling. A bucket's count
 is never below that of a hash in it, so a count of 1 proves a hash unique; order
 by count is the same for every row. Flags are a larger table with one bit per
 bucket, for a count of at least 1 or 2: a bit of 0 proves a hash absent, or unique.
+Flags of rows whose number is known grow with it, up to 2^MOST_BITS bits (128 MB).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CODE_BITS, FLAG_BITS, PART_BITS = 22, 25, 18
+CODE_BITS, FLAG_BITS, MOST_BITS, PART_BITS = 22, 25, 30, 18
 EXACT, STEPS = 64, 8
 PARTS_SCHEMA = "part int, at binary, n binary"
 
@@ -36,26 +37,26 @@ def mean_count(codes: np.ndarray) -> float:
 
 
 class Flags:
-    """Which buckets of FLAG_BITS have a count of at least 'least', packed."""
+    """Which of 2^bits buckets have a count of at least 'least', packed."""
 
-    def __init__(self, packed: np.ndarray):
-        self.packed = packed
+    def __init__(self, packed: np.ndarray, bits: int = FLAG_BITS):
+        self.packed, self.bits = packed, bits
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = bucket(hashes, FLAG_BITS)
+        at = bucket(hashes, self.bits)
         return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
 class Counter:
     """Counts of one task; parts() gives them for the sum over tasks. For flags, counts end at 2."""
 
-    def __init__(self, bits: int = CODE_BITS) -> None:
-        self.bits = bits
-        self.table = np.zeros(1 << bits, np.uint32 if bits == CODE_BITS else np.uint8)
+    def __init__(self, bits: int = CODE_BITS, flags: bool = False) -> None:
+        self.bits, self.flags = bits, flags
+        self.table = np.zeros(1 << bits, np.uint8 if flags else np.uint32)
 
     def add(self, hashes: np.ndarray) -> None:
         at = bucket(hashes, self.bits)
-        if self.bits == CODE_BITS:
+        if not self.flags:
             np.add.at(self.table, at, np.uint32(1))
         else:
             at, n = np.unique(at, return_counts=True)
@@ -107,7 +108,7 @@ def counted(df: DataFrame, hashes: Hashes, bits: int = CODE_BITS, least: int = 0
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for batch in batches:
-            own = own or Counter(bits)
+            own = own or Counter(bits, least > 0)
             own.add(hashes(batch))
         if own:
             yield from own.parts()
@@ -120,10 +121,11 @@ def repeated(df: DataFrame, hashes: Hashes) -> Flags:
     return Flags(counted(df, hashes, FLAG_BITS, 2))
 
 
-def flags(df: DataFrame, *columns: str) -> Flags:
-    """Flags of the hashes in long columns of df."""
+def flags(df: DataFrame, column: str) -> Flags:
+    """Flags of the hashes in a long column of df, a stored table: 32 bits a row, between 2^FLAG_BITS and 2^MOST_BITS."""
 
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([c.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in batch.columns])
+        return batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
-    return Flags(counted(df.select(*columns), hashes, FLAG_BITS, 1))
+    bits = min(MOST_BITS, max(FLAG_BITS, (32 * df.count()).bit_length()))
+    return Flags(counted(df.select(column), hashes, bits, 1), bits)

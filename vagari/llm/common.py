@@ -2,64 +2,71 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
+
 # White space that separates words is U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES, SPARK_BATCH_BYTES = "4m", f"{64 << 20}b"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told
-    already = sc._jsc.sc().getCheckpointDir()
-    if already.isDefined():
-        return already.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="vagari-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/vagari-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (with _ for .) within the block; the session's own come back after it."""
+    names = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives the loss of executors.
 
-    Shuffle files of what led here aren't needed any more; Spark removes them when
-    the driver has collected its garbage, so that is asked for.
+    Shuffle files of what led here go when it has been written. Arrow batches are
+    small meanwhile.
     """
-    path = path or new_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(schema).parquet(path)
-    del df
-    gc.collect()
-    out.sparkSession._jvm.System.gc()
-    return out
+    path, spark = path or new_path(df.sparkSession, name), df.sparkSession
+    with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_execution_arrow_maxBytesPerBatch=BATCH_BYTES):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def whole_texts(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches for columns of whole texts: 2,000 rows at once, unless the session sets its own number.
+    """df; from now on the session's Arrow batches end at BATCH_BYTES, unless it has set a number of its own.
 
-    A batch is held by the executor and by its Python worker; Spark's 10,000 texts
-    of several kilobytes would be tens of megabytes on each side.
+    A batch is held by the executor and by its Python worker; Spark's 64 MB would
+    be there twice in every task. Frames are computed after they are returned, so
+    this stays set.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, "2000")
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == SPARK_BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
     return df
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many _ before it as it takes to differ from df's columns."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Remove all that this application has stored; call it when its results have been written."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, "x").rsplit("/", 1)[0])

@@ -10,34 +10,24 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+LANES_AT_ONCE = 1 << 18
 U = np.uint64
 # Multipliers of the splitmix64 finaliser, and odd constants of our own.
 MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 BASE = U(0x9E3779B97F4A7C15 | 1)
-BASE_INV = U(pow(int(BASE), -1, 1 << 64))
 LANES = tuple(U(pow(0xD1342543DE82EF95, 2 * i + 1, 1 << 64)) for i in range(8))
 
+KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U)  # the first i bytes of a lane
+
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 
-_powers: dict[int, np.ndarray] = {}
 _found = ctypes.util.find_library("c")
 _libc = ctypes.CDLL(_found) if _found and hasattr(ctypes.CDLL(_found), "malloc_trim") else None
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(n, base, U)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= 4 * CHUNK_BYTES:
-            _powers[int(base)] = have
-    return have
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * MIX[0]
     x = (x ^ (x >> U(27))) * MIX[1]
@@ -101,22 +91,44 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = CHUNK_BYTES) -> np.ndarray:
-    """64-bit hash of each span of bytes; spans are in order and don't overlap. Works through 'window' bytes at a time."""
-    out = np.empty(len(starts), U)
-    at = 0
-    while at < len(starts):
-        base = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, base + window, "right")))
-        piece = buf[base : ends[to - 1]].astype(U) + U(1)
-        piece *= powers(BASE, len(piece) + 1)[: len(piece)]
-        sums = np.empty(len(piece) + 1, U)
-        sums[0] = 0
-        np.cumsum(piece, out=sums[1:])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = mixed((sums[e] - sums[s]) * powers(BASE_INV, len(piece) + 1)[s] + (e - s).astype(U) * LANES[7])
-        at = to
-    return out
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; zeros follow the last byte."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes: its lanes of 8 bytes, each mixed with its place, in one sum.
+
+    Mixing comes before the sum, so no arrangement of repeated parts cancels out,
+    as it does in a polynomial modulo 2^64.
+    """
+    lanes, size = _lanes(buf), ends - starts
+    total = mixed((lanes[starts] & KEEP[np.minimum(size, 8)]) ^ BASE)
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        count = (size[more] - 1) >> 3  # lanes after the first
+        upto = np.cumsum(count)
+        for lo, hi in _runs(upto, LANES_AT_ONCE):
+            n = count[lo:hi]
+            first = upto[lo:hi] - n - (upto[lo] - count[lo])
+            nth = np.arange(int(n.sum())) - np.repeat(first, n) + 1
+            own = np.repeat(more[lo:hi], n)
+            left = np.minimum(size[own] - 8 * nth, 8)
+            x = mixed((lanes[starts[own] + 8 * nth] & KEEP[left]) ^ mixed(nth.astype(U) * BASE))
+            total[more[lo:hi]] += np.add.reduceat(x, first)
+    return mixed(total ^ (size.astype(U) * LANES[7]))
+
+
+def _runs(upto: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges whose sums are about 'limit'; upto: cumulative sums."""
+    lo = 0
+    while lo < len(upto):
+        before = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + limit, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> tuple[np.ndarray, np.ndarray]:

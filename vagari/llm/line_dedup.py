@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from . import buckets
-from .common import Scratch, stored, whole_texts
+from .common import Scratch, free, stored, whole_texts
 from .kernels import LANES, LOWERED, U, chunks, mixed, span_hashes, trim, words
 
 POSTING = np.dtype([("key", "<u4"), ("sid", "<u8"), ("sig", "<u8"), ("sig2", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
@@ -33,12 +33,14 @@ LAST = (1 << 63) - 1
 
 @dataclass(frozen=True)
 class LineParams:
-    """Lines with Jaccard similarity of at least num/den are alike. A word is frequent from 'frequent' lines on, or from 64 times the mean bucket. nearest: candidates kept for a line and prefix word, the nearest by signature; all others follow if none of these is alike."""
+    """Lines with Jaccard similarity of at least num/den are alike. A word is frequent from 'frequent' lines on, or from 64 times the mean bucket. nearest: candidates kept for a line and prefix word, the nearest by signature; all others follow if none of these is alike. window: entries of a prefix word that are compared with each entry at once. code_bits: 2 to this power is the number of word counts, a byte each, that every worker holds; about one in ten distinct words keeps rarity apart."""
 
     num: int = 4
     den: int = 5
     frequent: int = 2000
-    nearest: int = 2
+    nearest: int = 1
+    window: int = 4096
+    code_bits: int = buckets.CODE_BITS
     flush_bytes: int = 8 << 20
 
 
@@ -62,7 +64,7 @@ def line_sets(buf: np.ndarray, offs: np.ndarray, table: np.ndarray | None) -> Li
     breaks = np.flatnonzero(buf == 10)
     seen = np.searchsorted(breaks, starts)
     line = seen + doc
-    code = table[buckets.bucket(h)] if table is not None else np.zeros(len(h), np.uint8)
+    code = table[buckets.bucket(h, len(table).bit_length() - 1)] if table is not None else np.zeros(len(h), np.uint8)
     change = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
     index = np.repeat(np.arange(len(change)), np.diff(np.append(change, len(line))))
     packed = (index.astype(U) << U(48)) | (code.astype(U) << U(40)) | (h >> U(24))
@@ -119,57 +121,108 @@ def postings(ls: Lines, docs: np.ndarray, hot: int, p: LineParams) -> tuple[np.n
     return keys & U(0xFFFFFFFF), out
 
 
-def candidates(entries: np.ndarray, limit: int | None, wanted: buckets.Flags | None, p: LineParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later set, earlier set, whether the later one has more) among entries that hold all of their keys. limit: that many earlier sets for a later one and key, the nearest. wanted: only later sets with a flag.
-
-    Entries of a key are sorted by length. All are compared with the next one, then
-    with the next but one, and so on; an entry drops out when its key ends or
-    lengths differ too much, which stays so. Memory holds the survivors only.
-    """
+def _distinct(entries: np.ndarray) -> np.ndarray:
+    """Entries by key and length, each set once per key, at its first line."""
     upper = entries["key"].astype(U) << U(32)
     e = entries[np.argsort(upper | (entries["sid"] >> U(32)))]
     again = (e["key"][1:] == e["key"][:-1]) & (e["sid"][1:] >> U(32) == e["sid"][:-1] >> U(32))
-    if again.any():  # a set from several tasks: its first line counts
+    if again.any():  # a set from several tasks
         part = np.concatenate(([False], again)) | np.concatenate((again, [False]))
         own = e[part]
         own = own[np.lexsort((own["line"], own["doc"], own["sid"], own["key"]))]
         new = np.ones(len(own), bool)
         new[1:] = (own["key"][1:] != own["key"][:-1]) | (own["sid"][1:] != own["sid"][:-1])
         e = np.concatenate([e[~part], own[new]])
-    e = e[np.argsort((e["key"].astype(U) << U(32)) | e["n"].astype(U))]
-    key, sig, sig2, n, left = e["key"].copy(), e["sig"].copy(), e["sig2"].copy(), e["n"].astype(np.int64), (e["n"] - e["pos"]).astype(np.int64)
-    t, active, d = p.num + p.den, np.arange(len(e)), 0
-    found: list[tuple] = []
+    return e[np.argsort((e["key"].astype(U) << U(32)) | e["n"].astype(U), kind="stable")]
+
+
+class _Compare:
+    """Filters on pairs of entries by their places."""
+
+    def __init__(self, e: np.ndarray, p: LineParams):
+        self.key, self.sid, self.sig, self.sig2, self.doc, self.line = (e[c].copy() for c in ("key", "sid", "sig", "sig2", "doc", "line"))
+        self.n, self.left, self.p = e["n"].astype(np.int64), (e["n"] - e["pos"]).astype(np.int64), p
+
+    def sized(self, short: np.ndarray, long: np.ndarray) -> np.ndarray:
+        return (self.key[long] == self.key[short]) & (self.n[long] * self.p.num <= self.n[short] * self.p.den)
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether places and signatures allow the threshold, and in how many bits the signatures differ."""
+        p, both = self.p, self.n[i] + self.n[j]
+        apart = np.bitwise_count(self.sig[i] ^ self.sig[j]).astype(np.int64) + np.bitwise_count(self.sig2[i] ^ self.sig2[j])
+        return ((both - apart) * (p.num + p.den) >= 2 * p.num * both) & (np.minimum(self.left[i], self.left[j]) * (p.num + p.den) >= p.num * both), apart
+
+    def after(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        doc, line, sid = self.doc, self.line, self.sid
+        return (doc[a] > doc[b]) | ((doc[a] == doc[b]) & ((line[a] > line[b]) | ((line[a] == line[b]) & (sid[a] > sid[b]))))
+
+
+def nearest(e: np.ndarray, p: LineParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, more, spare) for entries e of _distinct, as places in e: for each later entry p.nearest earlier ones with signatures as near as any.
+
+    more: entries that have others which aren't given; spare: these others, and
+    the entries that have them. Entries of a key are in the order of length. All
+    are compared with the next one, then with the next but one, and so on; an
+    entry drops out when its key ends or lengths differ too much, which stays so.
+    Where that takes more than p.window steps, all entries of the key count as
+    more and spare. What is kept meanwhile is bounded by the number of entries.
+    """
+    c, active, d = _Compare(e, p), np.arange(len(e)), 0
+    more, spare, reach = np.zeros(len(e), bool), np.zeros(len(e), bool), np.full(len(e), 1 << 30)
+    none = [np.zeros(0, np.int64)] * 3
+    kept, fresh, size = none, [], 0
+
+    def leave(x: np.ndarray, y: np.ndarray) -> None:
+        more[x] = spare[x] = spare[y] = True
+
+    def cut(parts: list) -> list[np.ndarray]:
+        x, y, apart = (np.concatenate(v) for v in zip(*parts, strict=True))
+        order = np.argsort((x << 20) | np.minimum(apart, (1 << 20) - 1), kind="stable")
+        x, y, apart = x[order], y[order], apart[order]
+        nth = np.arange(len(x)) - np.searchsorted(x, x)
+        leave(x[nth >= p.nearest], y[nth >= p.nearest])
+        full = nth == p.nearest - 1
+        reach[x[full]] = apart[full]
+        return [v[nth < p.nearest] for v in (x, y, apart)]
+
     while True:
         d += 1
         active = active[: np.searchsorted(active, len(e) - d)]
-        j = active + d
-        active = active[(key[j] == key[active]) & (n[j] * p.num <= n[active] * p.den)]
+        active = active[c.sized(active, active + d)]
         if not len(active):
             break
         j = active + d
-        apart, both = np.bitwise_count(sig[active] ^ sig[j]).astype(np.int64) + np.bitwise_count(sig2[active] ^ sig2[j]), n[active] + n[j]
-        yes = ((both - apart) * t >= 2 * p.num * both) & (np.minimum(left[active], left[j]) * t >= p.num * both)
+        if d > p.window:
+            whole = np.isin(c.key, np.unique(c.key[active]))
+            more, spare = more | whole, spare | whole
+            break
+        yes, apart = c.alike(active, j)
         if yes.any():
-            found.append((active[yes], j[yes], apart[yes]))
-    if not found:
-        z = np.zeros(0, U)
-        return z, z, np.zeros(0, bool)
-    a, b, apart = (np.concatenate(c) for c in zip(*found, strict=True))
-    doc, line, sid = e["doc"], e["line"], e["sid"]
-    after = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & ((line[a] > line[b]) | ((line[a] == line[b]) & (sid[a] > sid[b]))))
-    x, y = np.where(after, a, b), np.where(after, b, a)
-    if wanted is not None:
-        ok = wanted.has(e["sid"][x])
-        x, y, apart = x[ok], y[ok], apart[ok]
-    order = np.lexsort((line[y], doc[y], apart, x))
-    x, y = x[order], y[order]
-    more = np.zeros(len(x), bool)
-    if limit is not None:
-        nth = np.arange(len(x)) - np.searchsorted(x, x)
-        many = np.bincount(x, minlength=len(e))[x] > limit
-        x, y, more = x[nth < limit], y[nth < limit], many[nth < limit]
-    return e["sid"][x], e["sid"][y], more
+            a, b, apart = active[yes], j[yes], apart[yes]
+            later = c.after(a, b)
+            x, y = np.where(later, a, b), np.where(later, b, a)
+            near = apart < reach[x]
+            leave(x[~near], y[~near])
+            fresh.append((x[near], y[near], apart[near]))
+            size += int(near.sum())
+            if size > 1 << 15:
+                kept, fresh, size = cut([kept, *fresh]), [], 0
+    x, y, _ = cut([kept, *fresh])
+    return x, y, more, spare
+
+
+def every(e: np.ndarray, wanted: np.ndarray, p: LineParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(later, earlier) as places in e, of _distinct: all earlier entries of the wanted ones that the filters allow."""
+    c = _Compare(e, p)
+    ends = np.searchsorted(c.key, c.key, "right")
+    starts = np.searchsorted(c.key, c.key)
+    for i in np.flatnonzero(wanted):
+        j = np.arange(starts[i], ends[i])
+        j = j[(c.n[j] * p.den >= c.n[i] * p.num) & (c.n[j] * p.num <= c.n[i] * p.den) & (j != i)]
+        i = np.full(len(j), i)
+        j = j[c.alike(i, j)[0] & c.after(i, j)]
+        if len(j):
+            yield i[: len(j)], j
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -180,11 +233,11 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return whole_texts(docs).select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
 
 
-def _lines(rows: DataFrame) -> DataFrame:
+def _lines(rows: DataFrame, bits: int) -> DataFrame:
     """In one pass over the texts: the sets of all lines with words, and the words' counts (rows with a part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = buckets.Counter()
+        own = buckets.Counter(bits)
         for batch in batches:
             for lo, _, buf, offs in chunks(batch.column(2)):
                 ls = line_sets(buf, offs, None)
@@ -201,8 +254,8 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{LINES}, {buckets.PARTS_SCHEMA}")
 
 
-def _pairs(rows: DataFrame, table, hot: int, limit: int | None, wanted, keys, p: LineParams) -> DataFrame:
-    """x, y, more, shared: candidates. keys: only entries of keys with a flag move."""
+def _candidates(rows: DataFrame, table, hot: int, p: LineParams) -> DataFrame:
+    """x, y, more: a later set and an earlier one; or list: the entries, by key, of pairs that aren't given."""
     fan = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(found: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +272,6 @@ def _pairs(rows: DataFrame, table, hot: int, limit: int | None, wanted, keys, p:
             docs = batch.column(0).fill_null(LAST).to_numpy()
             for lo, _, buf, offs in chunks(batch.column(1)):
                 to, e = postings(line_sets(buf, offs, table.value), docs[lo:], hot, p)
-                if keys:
-                    own = keys.value.has(e["key"].astype(U) << U(32))
-                    to, e = to[own], e[own]
                 found.append((to, e))
                 held += e.nbytes
                 if held > p.flush_bytes:
@@ -233,46 +283,60 @@ def _pairs(rows: DataFrame, table, hot: int, limit: int | None, wanted, keys, p:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def out() -> pa.RecordBatch:
-            x, y, more = candidates(np.concatenate([np.frombuffer(b, POSTING) for b in held]), limit, wanted.value if wanted else None, p)
-            return pa.RecordBatch.from_arrays([_signed(x), _signed(y), pa.array(more)], names=["x", "y", "more"])
+        def out() -> Iterator[pa.RecordBatch]:
+            e = _distinct(np.concatenate([np.frombuffer(b, POSTING) for b in held]))
+            x, y, more, spare = nearest(e, p)
+            yield pa.RecordBatch.from_arrays([_signed(e["sid"][x]), _signed(e["sid"][y]), pa.array(more[x]), pa.nulls(len(x), pa.binary())], names=names)
+            # An entry with none of its own, in a list too long to compare, stands alone in its row.
+            lone = np.setdiff1d(np.flatnonzero(more), x)
+            lists = e[spare]
+            yield pa.RecordBatch.from_arrays([_signed(e["sid"][lone]), pa.nulls(len(lone), pa.int64()), pa.array(np.ones(len(lone), bool)), pa.nulls(len(lone), pa.binary())], names=names)
+            if len(lists):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([lists.tobytes()], pa.binary())], names=names)
 
         for batch in batches:
             for to, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if to != now:
                     if held:
-                        yield out()
+                        yield from out()
                     now, held = to, []
                 held.append(entries.as_buffer())
         if held:
-            yield out()
+            yield from out()
         trim()
 
+    names = ["x", "y", "more", "list"]
     spread = rows.select("doc", "text").mapInArrow(index, "to int, entries binary").repartition("to").sortWithinPartitions("to")
-    found = spread.mapInArrow(meet, "x long, y long, more boolean")
-    return found.groupBy("x", "y").agg(F.max("more").alias("more"), F.count("*").alias("shared"))
+    return spread.mapInArrow(meet, "x long, y long, more boolean, list binary")
 
 
-def _keys_of(rows: DataFrame, first: DataFrame, sets: DataFrame, table, hot: int, wanted, p: LineParams, share) -> DataFrame:
-    """k: the index keys of the sets (x), read where each set first stands."""
-    where = share(buckets.flags(first.join(sets.select(F.col("x").alias("sid")), "sid", "left_semi").select("first.row"), "row"))
+def _listed(lists: DataFrame) -> DataFrame:
+    """sid: the sets in the lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = where.value.has(batch.column(0).to_numpy().view(U))
-            for lo, hi, buf, offs in chunks(batch.column(1).filter(pa.array(hit))):
-                _, e = postings(line_sets(buf, offs, table.value), np.zeros(hi - lo, np.int64), hot, p)
-                own = np.unique(e["key"][wanted.value.has(e["sid"])]).astype(U) << U(32)
-                yield pa.RecordBatch.from_arrays([_signed(own)], names=["k"])
+            for data in batch.column(0):
+                yield pa.RecordBatch.from_arrays([_signed(np.unique(np.frombuffer(data.as_buffer(), POSTING)["sid"]))], names=["sid"])
+
+    return lists.mapInArrow(run, "sid long").distinct()
+
+
+def _others(lists: DataFrame, wanted, p: LineParams) -> DataFrame:
+    """x, y: all candidates in the lists of the sets with a flag."""
 
-    return rows.select("row", "text").mapInArrow(run, "k long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                e = np.frombuffer(data.as_buffer(), POSTING)
+                for x, y in every(e, wanted.value.has(e["sid"]), p):
+                    yield pa.RecordBatch.from_arrays([_signed(e["sid"][x]), _signed(e["sid"][y])], names=["x", "y"])
 
+    return lists.mapInArrow(run, "x long, y long").distinct()
 
-def _alike(rows: DataFrame, first: DataFrame, pairs: DataFrame, p: LineParams, share) -> DataFrame:
-    """Later sets (x) of the pairs whose whole sets are alike. Sets come from the first line that has them; other texts aren't taken apart."""
-    need = share(buckets.flags(pairs, "x", "y"))
-    sids = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
-    where = share(buckets.flags(first.join(sids, "sid", "left_semi").select("first.row"), "row"))
+
+def _tokens(rows: DataFrame, places: DataFrame, share) -> DataFrame:
+    """sid, tokens of the sets in places (sid, row), each read where it first stands; other texts aren't taken apart."""
+    need, where = share(buckets.flags(places, "sid")), share(buckets.flags(places, "row"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,7 +348,11 @@ def _alike(rows: DataFrame, first: DataFrame, pairs: DataFrame, p: LineParams, s
                 sets = [ls.tokens[ls.first[i] : ls.first[i] + ls.n[i]].tobytes() for i in once]
                 yield pa.RecordBatch.from_arrays([_signed(ls.sid[once]), pa.array(sets, pa.binary())], names=["sid", "tokens"])
 
-    sets = rows.select("row", "text").mapInArrow(fetch, "sid long, tokens binary").dropDuplicates(["sid"])
+    return rows.select("row", "text").mapInArrow(fetch, "sid long, tokens binary").dropDuplicates(["sid"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, p: LineParams) -> DataFrame:
+    """Later sets (x) of the pairs whose whole sets are alike."""
     both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("tokens").alias("a")), "x").join(sets.select(F.col("sid").alias("y"), F.col("tokens").alias("b")), "y").select("x", "a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,32 +374,36 @@ def removed_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc
     Lines are in the order of (key, line number); a null key comes last. A line
     goes if any earlier line is alike, whether that one stays or not. Lines
     without words always stay. Rows equal in key and text are one document: each
-    loses the same lines.
+    loses the same lines. Texts are read three times: for counts and sets, for
+    the index, and for the sets of candidates only.
     """
     spark = docs.sparkSession
     rows = _rows(docs, key, text)
     with Scratch(spark) as scratch:
         store, share = scratch.store, scratch.share
-        told = store(_lines(rows), "line-sets")
+        told = store(_lines(rows, p.code_bits), "line-sets")
         lines = told.filter("part IS NULL").select("sid", "doc", "row", "line")
-        rarity = buckets.table(told.filter("part IS NOT NULL").select("part", "at", "n"))
+        rarity = buckets.table(told.filter("part IS NOT NULL").select("part", "at", "n"), p.code_bits)
         hot = int(buckets.code_of(np.array([max(p.frequent, math.ceil(64 * buckets.mean_count(rarity)))]))[0])
         place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("doc"), "line", "row")
         first = store(lines.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("times")), "line-first")
-        table = share(rarity)
-        pairs = store(_pairs(rows, table, hot, p.nearest, None, None, p), "line-pairs")
+        found = store(_candidates(rows, share(rarity), hot, p), "line-candidates")
+        lists = found.filter("list IS NOT NULL").select("list")
         # The likeliest earlier set first; the others only for lines that it doesn't decide.
         best = W.Window.partitionBy("x").orderBy(F.desc("shared"), "y")
-        pairs = store(pairs.withColumn("nth", F.row_number().over(best)), "line-ranked")
-        near = store(_alike(rows, first, pairs.filter("nth = 1"), p, share), "line-alike")
-        later = store(pairs.filter("nth > 1").join(near, "x", "left_anti"), "line-later")
-        near = store(near.union(_alike(rows, first, later, p, share)).distinct(), "line-alike")
-        open_ = store(pairs.filter("more").select("x").distinct().join(near, "x", "left_anti"), "line-open")
+        pairs = found.filter("y IS NOT NULL").groupBy("x", "y").agg(F.max("more").alias("more"), F.count("*").alias("shared"))
+        pairs = store(pairs.withColumn("nth", F.row_number().over(best)).drop("shared"), "line-pairs")
+        more = pairs.filter("more").select("x").union(found.filter("x IS NOT NULL AND y IS NULL").select("x"))
+        sids = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).union(_listed(lists)).distinct()
+        places = store(first.join(sids, "sid", "left_semi").select("sid", "first.row"), "line-places")
+        sets = store(_tokens(rows, places, share), "line-tokens")
+        near = store(_alike(pairs.filter("nth = 1").select("x", "y"), sets, p), "line-alike")
+        later = pairs.filter("nth > 1").select("x", "y").join(near, "x", "left_anti")
+        near = store(near.union(_alike(later, sets, p)).distinct(), "line-alike")
+        open_ = store(more.distinct().join(near, "x", "left_anti"), "line-open")
         if not open_.isEmpty():
-            wanted = share(buckets.flags(open_, "x"))
-            keys = share(buckets.flags(_keys_of(rows, first, open_, table, hot, wanted, p, share), "k"))
-            rest = _pairs(rows, table, hot, None, wanted, keys, p).join(open_, "x", "left_semi").join(pairs.select("x", "y"), ["x", "y"], "left_anti")
-            near = store(near.union(_alike(rows, first, store(rest, "line-rest"), p, share)).distinct(), "line-alike")
+            rest = _others(lists, share(buckets.flags(open_, "x")), p).join(open_, "x", "left_semi").join(pairs.select("x", "y"), ["x", "y"], "left_anti")
+            near = store(near.union(_alike(rest, sets, p)).distinct(), "line-alike")
         # Only sets that occur again or have an earlier one alike lose lines.
         losing = first.join(near.select(F.col("x").alias("sid"), F.lit(True).alias("near")), "sid", "left").filter("times > 1 OR near")
         judged = lines.join(losing, "sid").filter(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
@@ -339,16 +411,23 @@ def removed_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc
 
 
 def _line_count(text: str) -> Column:
-    count = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
+    count = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
     return F.when(F.col(text).isNull(), 0).otherwise(count).cast("int")
 
 
+def _judged(docs: DataFrame, p: LineParams, key: str, text: str, kept: list) -> tuple[DataFrame, Column]:
+    """The kept columns of docs beside its removed lines (null: none), under a name that docs doesn't use."""
+    own, row, gone, doc, lost = free(docs, "_key", "_hash", "_row", "_doc", "_removed")
+    removed = removed_lines(docs, p, key, text).select(F.col("doc").alias(doc), F.col("row").alias(gone), F.col("removed").alias(lost))
+    rows = docs.select(*kept, F.col(key).cast("long").alias(own), F.xxhash64(F.col(key), F.col(text)).alias(row))
+    return rows.join(removed, (F.col(row) == F.col(gone)) & F.col(own).eqNullSafe(F.col(doc)), "left").drop(own, row, gone, doc), F.col(lost)
+
+
 def line_report(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_lines and removed (empty: none) of every row; the decisions of removed_lines, without moving texts."""
-    gone = removed_lines(docs, p, key, text)
-    own = docs.select(F.col(key).alias(key), F.col(key).cast("long").alias("_key"), F.xxhash64(F.col(key), F.col(text)).alias("_hash"), _line_count(text).alias("n_lines"))
-    joined = own.join(gone, (F.col("_hash") == F.col("row")) & F.col("_key").eqNullSafe(F.col("doc")), "left")
-    return joined.select(key, "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    (count,) = free(docs, "_count")
+    joined, lost = _judged(docs, p, key, text, [F.col(key), _line_count(text).alias(count)])
+    return joined.select(key, F.col(count).alias("n_lines"), F.coalesce(lost, F.array().cast("array<int>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,10 +437,9 @@ def dedup_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc_i
     replaced); a text that loses all its lines is empty. Null text stays null
     with 0 lines. Lines end at U+000A only.
     """
-    gone = removed_lines(docs, p, key, text).select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("removed").alias("_removed"))
-    own = docs.drop("n_lines", "removed").withColumn("_key", F.col(key).cast("long")).withColumn("_hash", F.xxhash64(F.col(key), F.col(text)))
-    joined = own.join(gone, (F.col("_hash") == F.col("_row")) & F.col("_key").eqNullSafe(F.col("_doc")), "left")
+    kept = [c for c in docs.columns if c not in ("n_lines", "removed")]
+    joined, lost = _judged(docs, p, key, text, kept)
     lines = F.split(F.col(text), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_removed")
-    clean = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumn("n_lines", _line_count(text)).withColumn("removed", F.col("_removed")).withColumn(text, clean).drop("_key", "_hash", "_doc", "_row", "_removed")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+    clean = F.when(lost.isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in kept], _line_count(text).alias("n_lines"), lost.alias("removed"))

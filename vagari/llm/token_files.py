@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, store_of
 from .bpe import encoder
-from .common import new_path, whole_texts
+from .common import whole_texts
 from .elias_fano import EliasFano
 from .kernels import chunks
 
@@ -28,13 +29,6 @@ READ_IDS = 1 << 20
 SHARD_SCHEMA = "shard int, path string, n_docs long, n_ids long"
 
 
-def _store(uri: str):
-    """File system and path of a folder that all machines share."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
-
-
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int, key: str = "doc_id", text: str = "text") -> list:
     """Encode all texts in order of key into shards under folder; returns a row for each shard, in order.
 
@@ -56,7 +50,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int, key: st
             ks = batch.column(0).cast(pa.int64())
             for lo, hi, buf, offs in chunks(batch.column(1)):
                 if out is None:
-                    store, place = _store(folder)
+                    store, place = store_of(folder)
                     store.create_dir(place, recursive=True)
                     name = f"{shard:08d}-{uuid4().hex}"
                     out = store.open_output_stream(f"{place}/{name}.ids")
@@ -86,7 +80,7 @@ class Shard:
     """One shard's files, read by document range."""
 
     def __init__(self, path: str):
-        self.store, self.place = _store(path)
+        self.store, self.place = store_of(path)
         with self.store.open_input_file(f"{self.place}.idx") as f:
             data = f.read()
         if data[:8] != MAGIC:
