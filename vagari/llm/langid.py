@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,12 @@ from .common import whole_texts
 from .kernels import chunks
 
 DENSE = 1 << 22
+BLOCK = 2048
 
 
 @dataclass(frozen=True)
 class LangParams:
-    """per_language: about so many labelled texts of each language are learned from, chosen by hash; all where there are fewer."""
+    """per_language: about so many labelled texts of each language are learned from, chosen by hash; all where there are fewer. max_languages: so many languages have a prototype, those with the most labelled texts (then by name)."""
 
     dims: int = 1024
     per_language: int = 2000
@@ -37,6 +39,7 @@ class LangParams:
 
 
 _letters: list[np.ndarray] = []
+_signs: list[np.ndarray] = []
 _vectors: dict[tuple[int, int, int], np.ndarray] = {}
 
 
@@ -46,6 +49,19 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
+def signs() -> np.ndarray:
+    if not _signs:
+        _signs.append(np.fromiter((category(chr(i))[0] in "PS" for i in range(0x110000)), bool, 0x110000))
+    return _signs[0]
+
+
+def character_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and signs of each text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return tuple(np.bincount(of[table[points]], minlength=len(texts)).astype(np.int64) for table in (letters(), signs()))
+
+
 def letter_vector(code: int, dims: int, seed: int) -> np.ndarray:
     """The vector of a code point; 0 is the break between words."""
     key = (code, dims, seed)
@@ -56,8 +72,8 @@ def letter_vector(code: int, dims: int, seed: int) -> np.ndarray:
     return _vectors[key]
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, codes, counts): code points in use, each trigram as three indices into these, and counts by text and trigram."""
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, codes, text, trigram, count): code points in use, each trigram as three indices into these, and in the order of text how often each text has which trigram."""
     low = [t.lower() for t in texts]
     points = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
     text_of = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
@@ -80,8 +96,15 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     else:
         used, col = np.unique(code, return_inverse=True)
     n = max(1, len(used))
-    counts = np.bincount(text_of[mid] * n + col, minlength=len(low) * n).reshape(len(low), n)
-    return symbols, np.stack([used // (k * k), used // k % k, used % k]) if len(used) else np.zeros((3, 0), np.int64), counts
+    pair = text_of[mid] * n + col
+    if len(low) * n <= DENSE:
+        count = np.bincount(pair, minlength=1)
+        pair = np.flatnonzero(count)
+        count = count[pair]
+    else:
+        pair, count = np.unique(pair, return_counts=True)
+    codes = np.stack([used // (k * k), used // k % k, used % k]) if len(used) else np.zeros((3, 0), np.int64)
+    return symbols, codes, pair // n, pair % n, count
 
 
 def _compact(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,16 +115,27 @@ def _compact(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profiles(texts: list[str], p: LangParams) -> np.ndarray:
-    """Unit profile of each text; a text without letters has zeros."""
-    symbols, codes, counts = trigrams(texts)
+    """Unit profile of each text; a text without letters has zeros. Memory is bounded by BLOCK vectors of p.dims, whatever the script."""
+    symbols, codes, of, trigram, count = trigrams(texts)
     out = np.zeros((len(texts), p.dims), np.float32)
-    if codes.shape[1]:
+    if len(of):
         own = np.stack([letter_vector(int(c), p.dims, p.seed) for c in symbols])
-        turned = [np.roll(own, 2, axis=1), np.roll(own, 1, axis=1), own]
-        counts = counts.astype(np.float32)
-        for lo in range(0, codes.shape[1], 2048):
-            a, b, c = codes[:, lo : lo + 2048]
-            out += counts[:, lo : lo + 2048] @ (turned[0][a] * turned[1][b] * turned[2][c]).astype(np.float32)
+        first, second, third = np.roll(own, 2, axis=1), np.roll(own, 1, axis=1), own
+        bound = lambda at: (first[codes[0, at]] * second[codes[1, at]] * third[codes[2, at]]).astype(np.float32)
+        if len(texts) * codes.shape[1] <= 16 * len(of):  # texts share most trigrams: products of a table of counts
+            order = np.argsort(trigram, kind="stable")
+            cuts = np.searchsorted(trigram[order], np.arange(0, codes.shape[1] + BLOCK, BLOCK))
+            for i, lo in enumerate(range(0, codes.shape[1], BLOCK)):
+                at, width = order[cuts[i] : cuts[i + 1]], min(BLOCK, codes.shape[1] - lo)
+                counts = np.zeros((len(texts), width), np.float32)
+                counts[of[at], trigram[at] - lo] = count[at]
+                out += counts @ bound(np.arange(lo, lo + width))
+        else:
+            for lo in range(0, len(of), BLOCK):
+                at = slice(lo, lo + BLOCK)
+                rows = bound(trigram[at]) * count[at, None].astype(np.float32)
+                starts = np.flatnonzero(np.diff(of[at], prepend=-1))
+                out[of[at][starts]] += np.add.reduceat(rows, starts, axis=0)
     size = np.linalg.norm(out.astype(np.float64), axis=1, keepdims=True)
     return (out / np.where(size > 0, size, 1)).astype(np.float32)
 
@@ -123,9 +157,7 @@ def learn(docs: DataFrame, p: LangParams, key: str = "doc_id", text: str = "text
     get no prototype.
     """
     rows = whole_texts(docs).select(F.col(key).alias(key), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(key, p.folds) != 0))
-    counts = rows.groupBy("lang").count().limit(p.max_languages + 1).collect()
-    if len(counts) > p.max_languages:
-        raise ValueError(f"more than {p.max_languages} languages")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_languages).collect()
     if not counts:
         return {}
     scale = 1 << 30
@@ -154,8 +186,8 @@ def learn(docs: DataFrame, p: LangParams, key: str = "doc_id", text: str = "text
     return dict(sorted(out.items()))
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], p: LangParams, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score, which replace columns of these names.
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], p: LangParams, text: str = "text", counts: bool = False) -> DataFrame:
+    """docs with lang_pred and score, which replace columns of these names; with 'counts' also n_letters and n_signs, how many letters and punctuation marks or symbols a text has.
 
     score is the cosine with the winning prototype, at least 0; equal cosines go
     to the first language by name. Null text and text without a letter, and every
@@ -163,10 +195,11 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], p: LangParams,
     """
     names = list(prototypes)
     matrix = np.stack([prototypes[n] for n in names]).T.astype(np.float32) if names else None
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    added = ["lang_pred", "score", *(["n_letters", "n_signs"] if counts else [])]
+    kept = [c for c in docs.columns if c not in added]
     source = whole_texts(docs.select(*kept))
     at = kept.index(text)
-    schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *(T.StructField(c, T.LongType()) for c in added[2:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,15 +212,21 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], p: LangParams,
                     for i in np.flatnonzero(np.abs(own).sum(axis=1) > 0):
                         pred[i], score[i] = names[best[i]], min(1.0, max(0.0, float(cos[i, best[i]])))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score)], names=[*kept, "lang_pred", "score"])
+                more = [pa.array(c) for c in character_counts(texts)] if counts else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score), *more], names=[*kept, *added])
 
     return source.mapInArrow(run, schema)
 
 
-def accepted(least: float = 0.12, letters: int = 40, text: str = "text") -> Column:
-    """Of identify's rows those with a language: not 'und', and not unlike all languages although there are letters enough to tell."""
-    count = F.length(F.regexp_replace(F.col(text), r"\P{L}+", ""))
-    return (F.col("lang_pred") != "und") & ((F.col("score") >= least) | (count < letters))
+def accepted(least: float = 0.12, letters: int = 40, share: float = 0.8) -> Column:
+    """Of the rows of identify with counts those with a language: not 'und', and, where there are letters enough to tell, not unlike all languages and not dressed in signs.
+
+    The first asks for a cosine of at least 'least', the second for letters to be
+    at least 'share' of letters and signs (punctuation and symbols): running text
+    has fewer signs, whatever its language; digits count for neither.
+    """
+    written = F.col("n_letters") >= share * (F.col("n_letters") + F.col("n_signs"))
+    return (F.col("lang_pred") != "und") & (((F.col("score") >= least) & written) | (F.col("n_letters") < letters))
 
 
 def predict(docs: DataFrame, p: LangParams = LangParams(), key: str = "doc_id") -> DataFrame:
