@@ -1,6 +1,7 @@
 """Url filter, mixing and sharding against plain Python and SQL."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -9,7 +10,7 @@ from oracle import rows_of_duckdb, rows_of_spark
 
 from vagari.llm import mixing, sharding
 from vagari.llm import queries as q
-from vagari.llm.url_filter import Rule, host_rule, judge_urls
+from vagari.llm.url_filter import Rule, host_rule, judge_urls, rules_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -40,8 +41,11 @@ URLS = [
 @pytest.mark.parametrize("inline", [2000, 0])
 def test_urls(spark, inline):
     rows = [(i, u, "own") for i, (u, *_) in enumerate(URLS)] * 2
-    df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
-    got = judge_urls(df, q.url_rules(), inline=inline).select("page_id", "host", "path", "rule", "verdict").collect()
+    df = spark.createDataFrame([(*r, 7, 8) for r in rows], "page_id long, url string, verdict string, tokens int, _best int")
+    judged = judge_urls(df, q.url_rules(), inline=inline)
+    assert judged.columns == ["page_id", "url", "tokens", "_best", "host", "path", "rule", "verdict"]
+    assert {(r.tokens, r._best) for r in judged.collect()} == {(7, 8)}
+    got = judged.select("page_id", "host", "path", "rule", "verdict").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(i, *u[1:]) for i, u in enumerate(URLS)] * 2, key=str)
     assert judge_urls(df.limit(0), q.url_rules(), inline=inline).count() == 0
 
@@ -52,6 +56,46 @@ def test_rule_without_literal_and_longest(spark):
     assert [r.rule for r in judge_urls(df, rules).orderBy("url").collect()] == ["a.b/x/", "a.b/x/y/", "any"]
 
 
+def fits_by_hand(line, place):
+    """Filter lines by backtracking over characters, without a regular expression."""
+    body = line.removeprefix("@@")
+    host, left = body.startswith("||"), body.startswith("|")
+    body, right = body.lstrip("|"), body.endswith("|")
+    body = body.rstrip("|")
+
+    def match(i, j):
+        if i == len(body):
+            return j == len(place) or not right
+        if body[i] == "*":
+            return any(match(i + 1, k) for k in range(j, len(place) + 1))
+        if body[i] == "^":
+            part = lambda c: c.isascii() and c.isalnum() or c in "_.%-"
+            return (j == len(place) and match(i + 1, j)) or (j < len(place) and not part(place[j]) and match(i + 1, j + 1))
+        return j < len(place) and place[j] == body[i] and match(i + 1, j + 1)
+
+    ends = place.find("/") if "/" in place else len(place)
+    starts = [0, *(i + 1 for i in range(ends) if place[i] == ".")] if host else [0] if left else range(len(place) + 1)
+    return any(match(0, j) for j in starts)
+
+
+def test_thousands_of_filter_lines(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice(["ad", "ads", "track", "img", "news", "shop", "en", "x1", "pixel", "go"]) + rng.choice(["", "er", str(rng.randrange(60))])
+    lines = [f"||{word()}.{word()}.{rng.choice(['com', 'net'])}^" for _ in range(1500)] + [f"/{word()}/{word()}^" for _ in range(900)] + [f"@@||{word()}.com/{word()}/" for _ in range(500)] + [f"{word()}*/{word()}" for _ in range(60)] + [f"|{word()}.com/{word()}|" for _ in range(300)]
+    table = spark.createDataFrame([(x,) for x in [*lines, *lines[:5], "! comment", "", None]], "line string")
+    rules = rules_of(table)
+    assert sorted(r.name for r in rules) == sorted(set(lines)) and len(rules) > 2500
+    urls = [f"http://{word()}.{word()}.{rng.choice(['com', 'net'])}/{word()}/{word()}/{word()}" for _ in range(250)] + [f"http://{word()}.com/{word()}" for _ in range(150)] + [None, "x"]
+    got = {r.url: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    want = {}
+    for u in urls:
+        place = u.split("://")[1] if u and "://" in u else ""
+        own = [x for x in sorted(set(lines)) if place and fits_by_hand(x, place)]
+        rule = max(own, key=lambda x: (x.startswith("@@"), len(x), x), default=None)
+        want[u] = (rule, "block" if rule and not rule.startswith("@@") else "allow")
+    assert got == want and {v for _, v in want.values()} == {"allow", "block"}
+
+
 DOCS = "doc_id long, text string, source string, size long"
 
 
@@ -105,6 +149,9 @@ def test_mixed_documents_repeat_as_taken(spark):
     want = {k: int(n / z + 0.5) for k, z, _, _, n in taken(CASES[0]) if int(n / z + 0.5)}
     got = {r.doc_id: r["count"] for r in mixing.mixed_documents(df).groupBy("doc_id").count().collect()}
     assert got == want and mixing.mixed_documents(df).columns == df.columns
+    own = df.selectExpr("*", "1 AS _row", "2 AS _nth", "3 AS _times", "4 AS _copy")
+    out = mixing.mixed_documents(own)
+    assert out.columns == own.columns and {tuple(r)[4:] for r in out.collect()} == {(1, 2, 3, 4)}
 
 
 def test_schedule_follows_weights():

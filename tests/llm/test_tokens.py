@@ -40,6 +40,14 @@ def test_ids_equal_library(library):
     assert ids_of(ODD * 2) == [library(t) for t in ODD * 2]  # a second time from memory
 
 
+def test_long_words_equal_library(library):
+    a, b = "a", "b"
+    for n in range(12):
+        a, b = a + b, b + a
+        if n >= 9:
+            assert ids_of([a, b, a, f"{b} {a}"]) == [library(t) for t in (a, b, a, f"{b} {a}")]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab \n\t'.,sSé\u00a0\u3000\u20092×ñ日"), max_size=12), max_size=4))
 def test_ids_equal_library_on_any_text(library, texts):
