@@ -1,6 +1,7 @@
 """Hand-computed cases, above all the corners."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from vagari.operators import captions as cp
 from vagari.operators import keywords as kw
 from vagari.operators import scores as so
 from vagari.operators.ordering import numbered
+from vagari.params import CaptionParams
 
 
 def one(spark, *cols):
@@ -168,3 +170,15 @@ def test_fallback_goes_down_the_ladder():
         with_fallback([("sample", fail("no such file")), ("greedy", ok)])
     with pytest.raises(RuntimeError, match="all attempts"):
         with_fallback([("sample", fail("Inf")), ("greedy", fail("y"))])
+
+
+def test_training_caption(spark):
+    p = CaptionParams()
+    said = lambda name, kind, o, s, g, w, src="x", **own: one(spark, cp.training_caption(*(F.lit(x) for x in (name, kind, o, s, g, w, src, 1)), replace(p, **own)))[0]
+    assert said(None, "optimized", "", "near. left. right", "cat", None) == "near. left. right"
+    assert said(None, "optimized", None, "near. left. right", "cat", None, spatial="short") == " right"
+    assert said("", "general", "o", "s", "cat", "w", src="src0") == "w" and said("", "general", "o", "s", "cat", "", src="src0") == "cat"
+    assert said("original_caption", "general", "o", "s", "cat", None) == "" and said("original_caption", "spatial", "o", "s", "cat", None, general="original_caption") == "cat"
+    assert said(None, "spatial", "o", None, None, None) == ""
+    pick = lambda values, draw, train=True: one(spark, cp.one_of(F.lit(values).cast("array<string>"), F.lit(draw), train))[0]
+    assert (pick(["a", "b", "c"], 4), pick(["a", "b"], 1, False), pick([], 3)) == ("b", "a", None)

@@ -27,6 +27,11 @@ ANSWER_OPENINGS = ["Here is the simplified description:", "Simplified descriptio
 # Weights of the prompts for the soft score.
 PROMPT_WEIGHTS = {"full_match": 0.4, "objects": 0.25, "spatial_relation": 0.25, "scene": 0.1}
 
+# Texts of these prompts.
+OBJECTS_PROMPT = "An image showing %s and %s"
+SCENE_OBJECTS_PROMPT = "A %s scene with %s and %s"
+SCENE_PROMPT = "A %s scene"
+
 # Extensions in the order in which an image file is looked for.
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".JPEG", ".JPG", ".PNG"]
 LEVELS = ["L1", "L2", "L3"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..params import PromptParams
 from . import lexicons as lex
 
 
@@ -74,10 +75,9 @@ def numbered(phrases: Column) -> Column:
     return F.array_join(F.transform(phrases, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
 
 
-def yes_no_prompt(phrases: Column) -> Column:
+def yes_no_prompt(phrases: Column, p: PromptParams = PromptParams()) -> Column:
     """Asks about each numbered phrase; no phrases, no prompt."""
-    head = "<s>[INST] Answer yes or no for each line: does it name a thing that can be seen and boxed?\n"
-    return F.when(F.size(phrases) == 0, "").otherwise(F.concat(F.lit(head), numbered(phrases), F.lit("\n[/INST]</s>")))
+    return F.when(F.size(phrases) == 0, "").otherwise(F.format_string(p.yes_no, numbered(phrases)))
 
 
 def answer_part(response: Column, prompt: Column) -> Column:
@@ -98,9 +98,9 @@ def yes_indices(response: Column, n: Column | int) -> Column:
     return F.when(F.size(marked) > 0, marked).otherwise(spoken)
 
 
-def simplify_prompt(caption: Column) -> Column:
-    """T14"""
-    return F.concat(F.lit("Rewrite the description below in one short sentence. Keep every relation of place, but make exact distances vague.\nDescription: "), F.trim(caption.cast("string")), F.lit("\nAnswer:"))
+def simplify_prompt(caption: Column, p: PromptParams = PromptParams()) -> Column:
+    """T14; no caption, no prompt."""
+    return F.when(caption.isNotNull(), F.format_string(p.simplify, F.trim(caption.cast("string"))))
 
 
 def clean_answer(text: Column) -> Column:
@@ -133,22 +133,14 @@ def assistant_answer(text: Column, prompt: Column) -> Column:
     return F.regexp_replace(answer, r"^\s+|\s+\z", "")
 
 
-RELATION_PROMPTS = {
-    "direction": "Objects:\n%s\nSay where each object lies relative to the others.",
-    "distance": "Objects:\n%s\nSay how far apart the objects look, in everyday words.",
-    "contact": "Objects:\n%s\nSay which objects touch each other.",
-    "confidence": "Objects:\n%s\nSay how sure you are of each statement.",
-}
+def relation_prompt(kind: str, objects: Column, p: PromptParams = PromptParams()) -> Column:
+    """Kind: direction, distance, contact or confidence."""
+    return F.format_string(getattr(p, kind), objects)
 
 
-def relation_prompt(kind: str, objects: Column) -> Column:
+def synthesis_prompt(direction: Column, distance: Column, contact: Column, confidence: Column, p: PromptParams = PromptParams()) -> Column:
     """T19"""
-    return F.format_string(RELATION_PROMPTS[kind], objects)
-
-
-def synthesis_prompt(direction: Column, distance: Column, contact: Column, confidence: Column) -> Column:
-    """T19"""
-    return F.format_string("Direction: %s\nDistance: %s\nContact: %s\nConfidence: %s\nCombine these into one description.", direction, distance, contact, confidence)
+    return F.format_string(p.synthesis, direction, distance, contact, confidence)
 
 
 def json_list(text: Column, item: str = schemas.SENTENCE) -> Column:
@@ -163,11 +155,13 @@ def evaluation_prompts(sentence: Column, scene: Column, objects: Column, term: C
     two = F.coalesce(F.size(objects) >= 2, F.lit(False))
     a, b = F.get(objects, F.lit(0)), F.get(objects, F.lit(1))
     given = lambda c: F.coalesce(c != "", F.lit(False))
+    # A missing part empties the text, so the parts are joined by concat, which is null then.
+    filled = lambda template, *parts: F.concat(*(x for i, t in enumerate(template.split("%s")) for x in ([F.lit(t)] if t else []) + ([parts[i]] if i < len(parts) else [])))
     texts = {
         "full_match": sentence,
-        "objects": F.when(two, F.concat(F.lit("An image showing "), a, F.lit(" and "), b)),
+        "objects": F.when(two, filled(lex.OBJECTS_PROMPT, a, b)),
         "spatial_relation": F.when(given(term), F.when(two, F.concat_ws(" ", a, term, b)).otherwise(sentence)),
-        "scene": F.when(given(scene), F.when(two, F.concat(F.lit("A "), scene, F.lit(" scene with "), a, F.lit(" and "), b)).otherwise(F.concat(F.lit("A "), scene, F.lit(" scene")))),
+        "scene": F.when(given(scene), F.when(two, filled(lex.SCENE_OBJECTS_PROMPT, scene, a, b)).otherwise(filled(lex.SCENE_PROMPT, scene))),
     }
     rows = F.array(*(F.struct(F.lit(k).alias("type"), t.alias("text"), F.lit(lex.PROMPT_WEIGHTS[k]).alias("weight")) for k, t in texts.items()))
     return F.filter(rows, lambda r: r["text"].isNotNull())
@@ -259,9 +253,9 @@ def chat(system: str, user: Column) -> Column:
     return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
 
 
-def level_phrases(a: Column, b: Column) -> Column:
+def level_phrases(a: Column, b: Column, p: PromptParams = PromptParams()) -> Column:
     """One text for each level."""
-    return F.array(F.format_string("%s touching %s", a, b), F.format_string("%s very close to %s", a, b), F.format_string("%s some way from %s", a, b))
+    return F.array(*(F.format_string(t, a, b) for t in p.levels))
 
 
 def padded(ids: Column, length: int, pad: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import scoring as sc
+from ..functions import text as tx
 from ..params import CaptionParams
 from .ordering import numbered
 
@@ -58,6 +59,33 @@ def caption(kind: Column, optimized: Column, spatial: Column, general: Column, o
     return F.coalesce(F.when(kind == "optimized", F.coalesce(present(optimized), mid)).when(kind == "spatial", mid).otherwise(plain), F.lit(""))
 
 
+def one_of(captions: Column, draw: Column, train: bool = True) -> Column:
+    """Of a list of captions one by 'draw' in training, else the first; an empty list gives null."""
+    at = (draw % F.size(captions)).cast("int") if train else F.lit(0)
+    return F.when(F.size(captions) > 0, F.get(captions, at))
+
+
+def training_caption(preferred: Column, kind: Column, optimized: Column, spatial: Column, general: Column, original: Column, source: Column, draw: Column, p: CaptionParams) -> Column:
+    """The caption that a sample is trained with.
+
+    The column that the row prefers counts, else that of its kind. An empty
+    optimized caption leads to the spatial one, an empty spatial one to the
+    general column; one source's general caption is the original one if there is
+    one, and where the original ones are the general column an empty one leads
+    back. Short spatial captions are one sentence by 'draw'. Nothing gives ''.
+    """
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    name = F.coalesce(present(preferred), F.when(kind == "optimized", "second_optimize_caption").when(kind == "spatial", "spatial_caption").otherwise(p.general))
+    name = F.when((name == "second_optimize_caption") & empty(optimized), "spatial_caption").otherwise(name)
+    name = F.when((name == "spatial_caption") & empty(spatial), p.general).otherwise(name)
+    name = F.when((name == "coca_caption") & F.coalesce(source == p.original_source, F.lit(False)) & ~empty(original), "original_caption").otherwise(name)
+    if p.general == "original_caption":
+        name = F.when((name == "original_caption") & empty(original), "coca_caption").otherwise(name)
+    told = tx.picked_sentence(spatial, draw) if p.spatial == "short" else spatial
+    text = F.when(name == "second_optimize_caption", optimized).when(name == "spatial_caption", told).when(name == "coca_caption", general).when(name == "original_caption", original)
+    return F.coalesce(text, F.lit(""))
+
+
 def round_robin(rows: DataFrame, order: list, workers: int) -> DataFrame:
     """Worker i % n in the given order."""
     return numbered(rows, order, "_nth").withColumn("worker", (F.col("_nth") % workers).cast("int")).drop("_nth")

@@ -32,12 +32,14 @@ class ScoreParams:
 
 @dataclass(frozen=True)
 class CaptionParams:
-    """preferred: the column that training prefers; original_source: the source whose general caption is the original one."""
+    """preferred: the column that training prefers; original_source: the source whose general caption is the original one; general: the column of general captions; spatial: 'full', or 'short' for one sentence of a spatial caption."""
 
     preferred: str = "optimized"
     original_source: str = "src0"
     expanded_percent: int = 50
     spatial_percent: int = 25
+    general: str = "coca_caption"
+    spatial: str = "full"
     seed: str = "42"
 
 
@@ -54,3 +56,17 @@ class TrainParams:
     accumulate: int = 1
     epochs: int = 1
     snr_gamma: float = 5.0
+
+
+@dataclass(frozen=True)
+class PromptParams:
+    """Templates of the prompts, with %s where a value goes: the defaults are our own wording, a user of other models passes theirs."""
+
+    yes_no: str = "<s>[INST] Answer yes or no for each line: does it name a thing that can be seen and boxed?\n%s\n[/INST]</s>"
+    simplify: str = "Rewrite the description below in one short sentence. Keep every relation of place, but make exact distances vague.\nDescription: %s\nAnswer:"
+    direction: str = "Objects:\n%s\nSay where each object lies relative to the others."
+    distance: str = "Objects:\n%s\nSay how far apart the objects look, in everyday words."
+    contact: str = "Objects:\n%s\nSay which objects touch each other."
+    confidence: str = "Objects:\n%s\nSay how sure you are of each statement."
+    synthesis: str = "Direction: %s\nDistance: %s\nContact: %s\nConfidence: %s\nCombine these into one description."
+    levels: tuple[str, ...] = ("%s touching %s", "%s very close to %s", "%s some way from %s")

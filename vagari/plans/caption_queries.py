@@ -1,5 +1,7 @@
 """Queries on captions, samples, splits, status rows and manifests."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -74,9 +76,18 @@ def w14(spark, d):
     return ops.expanded(v.captions(spark, d).select("image_id", "source"), "image_id", F.col("source"), P).select("image_id", "copy", F.col("_preferred_caption").alias("preferred"))
 
 
-@register("W16", f"""SELECT image_id, coalesce(CASE {CHOSEN} WHEN 'optimized' THEN coalesce(nullif(optimized, ''), nullif(spatial, ''), {PLAIN}) WHEN 'spatial' THEN coalesce(nullif(spatial, ''), {PLAIN}) ELSE {PLAIN} END, '') AS caption FROM v_caption""", "v_caption")
+@register("W16", f"""WITH a AS (SELECT *, CASE image_id % 7 WHEN 0 THEN 'spatial_caption' WHEN 1 THEN 'coca_caption' WHEN 2 THEN 'original_caption' WHEN 3 THEN 'second_optimize_caption' WHEN 4 THEN '' END AS preferred, {CHOSEN} AS kind, string_split(spatial, '.') AS s, {H.format("'42:sentence:' || image_id")} AS h FROM v_caption),
+b AS (SELECT *, coalesce(nullif(preferred, ''), CASE kind WHEN 'optimized' THEN 'second_optimize_caption' WHEN 'spatial' THEN 'spatial_caption' ELSE 'coca_caption' END) AS n FROM a),
+c AS (SELECT * REPLACE (CASE WHEN n = 'second_optimize_caption' AND coalesce(optimized, '') = '' THEN 'spatial_caption' ELSE n END AS n) FROM b),
+e AS (SELECT * REPLACE (CASE WHEN n = 'spatial_caption' AND coalesce(spatial, '') = '' THEN 'coca_caption' ELSE n END AS n) FROM c),
+f AS (SELECT * REPLACE (CASE WHEN n = 'coca_caption' AND source = 'src0' AND original <> '' THEN 'original_caption' ELSE n END AS n) FROM e)
+SELECT image_id, coalesce(CASE n WHEN 'second_optimize_caption' THEN optimized WHEN 'spatial_caption' THEN CASE WHEN len(s) > 2 THEN coalesce(nullif(s[2 + h % (len(s) - 1)], ''), s[2]) ELSE s[1] END WHEN 'coca_caption' THEN general ELSE original END, '') AS caption FROM f""", "v_caption")
 def w16(spark, d):
-    text = ops.caption(ops.chosen_kind(F.col("image_id"), P), *(F.col(c) for c in ("optimized", "spatial", "general", "original", "source")), P)
+    """Rows with a preferred column and without; short spatial captions."""
+    k, p = F.col("image_id") % 7, replace(P, spatial="short")
+    preferred = F.when(k == 0, "spatial_caption").when(k == 1, "coca_caption").when(k == 2, "original_caption").when(k == 3, "second_optimize_caption").when(k == 4, "")
+    draw = sc.hash_draw(F.lit(P.seed), F.lit("sentence"), F.col("image_id").cast("string"))
+    text = ops.training_caption(preferred, ops.chosen_kind(F.col("image_id"), P), *(F.col(c) for c in ("optimized", "spatial", "general", "original", "source")), draw, p)
     return v.captions(spark, d).select("image_id", text.alias("caption"))
 
 
@@ -196,7 +207,16 @@ def p10(spark, d):
     return rows.filter(F.col("n").between(F.col("r.start"), F.col("r.end"))).groupBy("split").agg(F.sum("size").alias("total"))
 
 
-@register("T29", "SELECT split, '{' || string_agg(split_part(file, '.', 1), ',' ORDER BY split_part(file, '.', 1)) || '}.tar' AS pattern FROM v_manifest GROUP BY split", "v_manifest")
+PATTERN_FILES = 500
+
+
+@register("T29", f"""WITH n AS (SELECT split, split_part(file, '.', 1) AS stem FROM v_manifest), o AS (SELECT *, (row_number() OVER (ORDER BY split, stem) - 1) // {PATTERN_FILES} AS part FROM n)
+SELECT split, part, '{{' || string_agg(stem, ',' ORDER BY stem) || '}}.tar' AS pattern FROM o GROUP BY split, part""", "v_manifest")
 def t29(spark, d):
-    stems = F.sort_array(F.collect_list(F.split_part("file", F.lit("."), F.lit(1))))
-    return v.manifest(spark, d).groupBy("split").agg(stems.alias("stems")).select("split", tx.shard_pattern(F.col("stems"), F.lit("tar")).alias("pattern"))
+    """Patterns of up to PATTERN_FILES files of a split; a reader takes a list of patterns."""
+    from ..operators.ordering import numbered
+
+    named = v.manifest(spark, d).select("split", F.split_part("file", F.lit("."), F.lit(1)).alias("stem"))
+    parts = numbered(named, ["split", "stem"], "nth").withColumn("part", F.expr(f"nth div {PATTERN_FILES}"))
+    stems = F.sort_array(F.collect_list("stem"))
+    return parts.groupBy("split", "part").agg(stems.alias("stems")).select("split", "part", tx.shard_pattern(F.col("stems"), F.lit("tar")).alias("pattern"))

@@ -172,7 +172,21 @@ def w01(spark, d):
     return ops.with_instance_ids(v.boxes(spark, d), [F.desc("score"), "box_id"]).select("image_id", "box_id", "instance_id")
 
 
-@register("A15")
+_SUMS = ", ".join(f"'s{c}': {{a}}.{c} * {{a}}.score" for c in ("x1", "y1", "x2", "y2"))
+_FRESH = "{{'n': 1, 'total': {a}.score, 'x1': {a}.x1, 'y1': {a}.y1, 'x2': {a}.x2, 'y2': {a}.y2, " + _SUMS + "}}"
+_GROWN = "{{'n': q.n + 1, 'total': q.total + {a}.score, " + ", ".join(f"'{c}': (q.s{c} + {{a}}.{c} * {{a}}.score) / (q.total + {{a}}.score)" for c in ("x1", "y1", "x2", "y2")) + ", " + ", ".join(f"'s{c}': q.s{c} + {{a}}.{c} * {{a}}.score" for c in ("x1", "y1", "x2", "y2")) + "}}"
+# A box a step: its overlaps with the fused boxes, then the one that it overlaps most takes it, or it starts another.
+_A15 = """WITH RECURSIVE b AS (SELECT * FROM v_boxes WHERE score > 0.36e0),
+g AS (SELECT image_id, core, list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score} ORDER BY score DESC, detector, box_id) AS m FROM b GROUP BY image_id, core),
+f(image_id, core, m, step, kept) AS (SELECT image_id, core, m, 1, [""" + _FRESH.format(a="m[1]") + """] FROM g UNION ALL
+ SELECT image_id, core, m, step + 1, CASE WHEN list_max(o) > 0.5e0 THEN list_transform(kept, lambda q, i: CASE WHEN i = list_position(o, list_max(o)) THEN """ + _GROWN.format(a="m[step + 1]") + """ ELSE q END) ELSE list_append(kept, """ + _FRESH.format(a="m[step + 1]") + """) END
+ FROM (SELECT *, list_transform(kept, lambda q: """ + _IOU.format(a="q", b="m[step + 1]") + """) AS o FROM f WHERE step < len(m))),
+r AS (SELECT image_id, core, unnest(kept) AS q, generate_subscripts(kept, 1) AS made FROM f WHERE step = len(m)),
+s AS (SELECT *, q.total / q.n * least(CAST(q.n AS DOUBLE), 3e0) / 3e0 AS sc FROM r)
+SELECT image_id, core AS label, CAST(row_number() OVER (PARTITION BY image_id ORDER BY sc DESC, core, made) AS INTEGER) AS fused_rank, CAST(q.n AS INTEGER) AS members, round(sc, 6) AS score, round(q.x1, 6) AS x1, round(q.y1, 6) AS y1, round(q.x2, 6) AS x2, round(q.y2, 6) AS y2 FROM s"""
+
+
+@register("A15", _A15, "v_boxes")
 def a15(spark, d):
     out = ops.fused(ops.over_threshold(v.boxes(spark, d), P.score_threshold).withColumn("label", F.col("core")), P)
     return out.select("image_id", "label", "fused_rank", "members", *(F.round(c, 6).alias(c) for c in ("score", *geo.SIDES)))

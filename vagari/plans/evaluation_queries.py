@@ -113,12 +113,11 @@ def a20(spark, d):
     return nested.select("model", "sentence_idx", F.size("images").cast("long").alias("n"), F.array_join(F.transform("images", lambda i: i["image_idx"].cast("string")), ",").alias("order_of_images"))
 
 
-@register("K11")
+@register("K11", f"""SELECT model, sentence_idx, '{{"model_name":"' || model || '","alpha":0.6,"sentence_idx":' || sentence_idx || ',"images":[' || string_agg('{{"image_idx":' || image_idx || ',"hard_score":' || hard_score || ',"soft_score":' || soft_score || ',"score_final_scaled":' || score_final_scaled || '}}', ',' ORDER BY image_idx) || ']}}' AS json FROM v_composite GROUP BY model, sentence_idx""", "v_composite")
 def k11(spark, d):
-    """Composite results, one JSON document per model."""
+    """Composite results, one JSON document per model and sentence: a document holds a sentence's images, not a whole model."""
     nested = images(spark, d).groupBy("model", "sentence_idx").agg(F.sort_array(F.collect_list(F.struct("image_idx", "hard_score", "soft_score", "score_final_scaled"))).alias("images"))
-    whole = nested.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("sentence_idx", "images"))).alias("sentences"))
-    return whole.select("model", F.to_json(F.struct(F.col("model").alias("model_name"), F.lit(P.alpha).alias("alpha"), "sentences")).alias("json"))
+    return nested.select("model", "sentence_idx", F.to_json(F.struct(F.col("model").alias("model_name"), F.lit(P.alpha).alias("alpha"), "sentence_idx", "images")).alias("json"))
 
 
 LINE = "rpad(CAST(rank AS VARCHAR), 6, ' ') || rpad(model, 16, ' ') || rpad(printf('%.2f', avg_composite_score), 12, ' ') || rpad(printf('%.2f', avg_hard_score), 10, ' ') || rpad(printf('%.2f', avg_soft_score), 10, ' ') || rpad(printf('%.4f', avg_consistency_cv), 15, ' ')"
@@ -316,11 +315,13 @@ def p03(spark, d):
     return rows.filter((F.col("b.predicted_level") == "L1") & (F.array_max("pr") > 0.5)).select("image_id")
 
 
-@register("K09")
+@register("K09", f"""WITH {CLIP} SELECT model, image_id, '{{"image_id":' || image_id || ',"clip_score":' || printf('%.3f', round(clip_score, 3)) || ',"dimension_scores":{{' || CASE WHEN error IS NULL THEN concat_ws(',', '"full_match":"' || printf('%.3f', round(pr[1], 3)) || '"', '"objects":"' || printf('%.3f', round(pr[2], 3)) || '"', '"scene":"' || printf('%.3f', round(pr[3], 3)) || '"') ELSE '' END || '}}' || coalesce(',"error":"' || error || '"', '') || '}}' AS json FROM c""", "v_clip")
 def k09(spark, d):
-    """Soft results, one JSON document per model."""
-    image = F.struct("image_id", F.round("clip_score", 4).alias("clip_score"), "dimension_scores", "error")
-    return clip_scores(spark, d).groupBy("model").agg(F.sort_array(F.collect_list(F.struct("image_id", F.to_json(image).alias("json")))).alias("images")).select("model", F.concat(F.lit("["), F.array_join(F.transform("images", lambda i: i["json"]), ","), F.lit("]")).alias("json"))
+    """Soft results, a JSON line for each image with scores to three places; a document of a model is its lines."""
+    three = lambda c: F.format_string("%.3f", F.round(c, 3))
+    rows = clip_scores(spark, d).withColumn("clip_score", three(F.col("clip_score")).cast("decimal(10, 3)"))
+    image = F.struct("image_id", "clip_score", F.transform_values("dimension_scores", lambda _, x: three(x)).alias("dimension_scores"), "error")
+    return rows.select("model", "image_id", F.to_json(image).alias("json"))
 
 
 SUMMARY = f"""{SOFT}, s AS (SELECT model, (SELECT count(*) FROM soft x WHERE x.model = ok.model) AS total, count(*) AS valid, {R("avg(clip_score)", 2)} AS a, {R("max(clip_score)", 2)} AS hi FROM ok GROUP BY model)"""

@@ -87,19 +87,20 @@ def s09(spark, d):
 
 @register("S10", "SELECT model, sentence_idx, CAST(image_idx - 1 AS INTEGER) AS image_idx, quantity FROM v_eval", "v_eval")
 def s10(spark, d):
-    """A document that maps models to sentences and images."""
+    """Documents that map a model to a sentence and its images."""
     image = F.struct("image_idx", F.struct(*(F.col(c) for c in ("quantity", "category", "direction", "distance", "scene"))).alias("scores"))
     sentences = v.evaluation(spark, d).groupBy("model", "sentence_idx").agg(F.transform(F.sort_array(F.collect_list(image)), lambda x: F.struct(x["scores"].alias("scores"))).alias("images"))
-    models = sentences.groupBy("model").agg(F.transform(F.sort_array(F.collect_list(F.struct("sentence_idx", "images"))), lambda s: F.struct(s["sentence_idx"].cast("string").alias("sentence"), s["images"].alias("images"))).alias("s"))
-    docs = models.select(F.to_json(F.create_map("model", "s")).alias("value"))
+    docs = sentences.select(F.to_json(F.create_map("model", F.array(F.struct(F.col("sentence_idx").cast("string").alias("sentence"), "images")))).alias("value"))
     rows = files.keyed_rows(docs, schemas.HARD_EVAL)
     return rows.select("model", F.col("sentence").cast("bigint").alias("sentence_idx"), "image_idx", F.col("image.scores.quantity").alias("quantity"))
 
 
 @register("S11", "SELECT key, level FROM v_map", "v_map")
 def s11(spark, d):
-    """The mapping of terms, from its document."""
-    entries = v.mapping(spark, d).agg(F.map_from_entries(F.collect_list(F.struct("key", "level"))).alias("mapping"))
+    """The mapping of terms, from documents of some thousand entries."""
+    rows = v.mapping(spark, d)
+    part = F.pmod(F.xxhash64("key"), F.lit(-(-rows.count() // 4096) or 1))
+    entries = rows.groupBy(part).agg(F.map_from_entries(F.collect_list(F.struct("key", "level"))).alias("mapping"))
     return files.mapping_rows(entries.select(F.to_json(F.struct("mapping")).alias("value"))).select("key", "level")
 
 
@@ -113,7 +114,18 @@ def s06(spark, d):
     return whole.withColumn("complete", F.lit(True)).unionByName(images.select("image_id").join(whole, "image_id", "left_anti").withColumn("complete", F.lit(False)))
 
 
-@register("S22")
+# The configuration's defaults.
+CONFIGURATION = {
+    "DetectionParams": {"score_threshold": "0.36", "unscored_bonus": "0.1", "fusion_iou": "0.5", "skip_score": "0.0001", "detectors": "3", "duplicate_iou": "0.85"},
+    "ContactParams": {"iou": "0.0", "pixels": "5.0", "grazing_px": "10.0", "near_px": "50.0"},
+    "ScoreParams": {"alpha": "0.6", "scale": "15.0", "pass_threshold": "10.0"},
+    "CaptionParams": {"preferred": "optimized", "original_source": "src0", "expanded_percent": "50", "spatial_percent": "25", "general": "coca_caption", "spatial": "full", "seed": "42"},
+    "SampleParams": {"count": "10", "seed": "42"},
+    "TrainParams": {"batch": "16", "devices": "2", "accumulate": "1", "epochs": "1", "snr_gamma": "5.0"},
+}
+
+
+@register("S22", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{k}', '{x}')" for c, own in CONFIGURATION.items() for k, x in own.items()) + ") t(pipeline, name, value)")
 def s22(spark, d):
     """The configuration as rows."""
     from dataclasses import asdict
