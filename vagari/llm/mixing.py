@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import stored, word_count
+from .common import free, stored, word_count
 
 # 2^31 and the odd integer next to 2^31 divided by the golden ratio.
 RING, GOLDEN = 1 << 31, 1327217885
@@ -28,7 +28,7 @@ class MixParams:
     most: int = 3
     block_words: int = 256
     slots_chunk: int = 65536
-    bucket_docs: int = 4096
+    bucket_docs: int = 256
     max_sources: int = 100_000
 
 
@@ -139,11 +139,12 @@ def mix(docs: DataFrame, p: MixParams = MixParams()) -> tuple[DataFrame, DataFra
 def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """docs as the mix reads them: each row as often as it is taken, to the nearest whole copy (halves count). The columns stay."""
     _, documents = mix(docs, p)
+    row, place, copies, copy = free(docs, "_row", "_nth", "_times", "_copy")
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    counts = documents.filter("taken > 0").select("row", times.alias("_times")).filter("_times > 0")
+    counts = documents.filter("taken > 0").select(F.col("row").alias(row), times.alias(copies)).filter(F.col(copies) > 0)
     # Rows equal in doc_id and text share a hash: they are told apart by their place among these.
-    nth = W.Window.partitionBy("row").orderBy(F.desc("_times"))
-    counts = counts.withColumn("_nth", F.row_number().over(nth)).withColumnRenamed("row", "_row")
-    rows = docs.withColumn("_row", row_hash())
-    rows = rows.withColumn("_nth", F.row_number().over(W.Window.partitionBy("_row").orderBy("_row")))
-    return rows.join(counts, ["_row", "_nth"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_row", "_nth", "_times", "_copy")
+    nth = W.Window.partitionBy(row).orderBy(F.desc(copies))
+    counts = counts.withColumn(place, F.row_number().over(nth))
+    rows = docs.withColumn(row, row_hash())
+    rows = rows.withColumn(place, F.row_number().over(W.Window.partitionBy(row).orderBy(row)))
+    return rows.join(counts, [row, place]).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(row, place, copies, copy)
