@@ -14,7 +14,7 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, free
 
 TOKEN_BREAK = r"[^A-Za-z0-9]+"
 BUCKETS = 64
@@ -46,6 +46,32 @@ def word_rule(*words: str, verdict: str = "block") -> Rule:
     return Rule("-".join(words), "(?s)^([^/]*[.-])?" + "[.-]".join(words) + "([.-][^/]*)?(/.*)?$", words, verdict, 0)
 
 
+def list_rule(line: str) -> Rule:
+    """A line of a filter list: '||host^' (that host and its subdomains), '|' at an end (the place begins or ends there), '*' (anything), '^' (a separator or the end), '@@' before it all: allow. Allowing lines win over blocking ones, longer lines over shorter."""
+    allow = line.startswith("@@")
+    body = line.removeprefix("@@")
+    start = "^([^/]*\\.)?" if body.startswith("||") else "^" if body.startswith("|") else ""
+    body = body.lstrip("|")
+    end = "$" if body.endswith("|") else ""
+    body = body.rstrip("|")
+    special = {"*": ".*", "^": "([^A-Za-z0-9_.%-]|$)"}
+    pattern = "".join(special.get(c, c if c.isalnum() else "\\" + c if ord(c) < 128 else c) for c in body)
+    # A literal beside * or at an open end may go on in the url: only whole tokens are filed.
+    open_left, open_right = not start, not end
+    parts = re.split("[^A-Za-z0-9]", body)
+    marks = ["" if open_left else "|", *re.findall("[^A-Za-z0-9]", body), "" if open_right else "|"]
+    whole = [t for i, t in enumerate(parts) if t and marks[i] not in ("", "*") and marks[i + 1] not in ("", "*")]
+    return Rule(line, f"(?s){start}{pattern}{end}", tuple(dict.fromkeys(whole)), "allow" if allow else "block", len(line) + (1 << 20) * allow)
+
+
+def rules_of(table: DataFrame, column: str = "line", most: int = 200_000) -> list[Rule]:
+    """The rules of a table of filter lines; null, empty and comment lines ('!') are none. A list for people to keep, so it has a bound: more than 'most' lines are an error."""
+    lines = table.select(F.trim(column).alias("line")).filter("line <> '' AND NOT startswith(line, '!')").distinct().limit(most + 1).collect()
+    if len(lines) > most:
+        raise ValueError(f"more than {most} filter lines")
+    return [list_rule(r.line) for r in sorted(lines)]
+
+
 def url_parts(name: str) -> tuple[Column, Column]:
     """Host and path of a url column; both empty for null and for urls without ://."""
     rest = F.when(F.instr(F.col(name), "://") > 0, F.expr(f"substring({name}, instr({name}, '://') + 3)")).otherwise("")
@@ -70,49 +96,58 @@ def _rarest(urls: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]:
     return index
 
 
-def _inline(index: dict[str, list[Rule]]) -> Column:
-    """Candidates of a url: its tokens' entries in a hash table of literals. Rules without a literal token (entry '') always run."""
-    table: list[list[tuple[str, Rule]]] = [[] for _ in range(BUCKETS)]
+def _inline(index: dict[str, list[Rule]], numbers: dict[Rule, int], tokens: Column) -> Column:
+    """Numbers of a url's candidates: its tokens' entries in a hash table of literals. Rules without a literal token (entry '') always run."""
+    table: list[list[tuple[str, int]]] = [[] for _ in range(BUCKETS)]
     for token, rules in index.items():
         if token:
-            table[crc32(token.encode()) % BUCKETS] += [(token, r) for r in rules]
-    entry = lambda t, r: F.struct(F.lit(t).alias("token"), F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("verdict"))
-    kind = "array<struct<token:string,rank:int,name:string,pattern:string,verdict:string>>"
-    slots = F.array(*(F.array(*(entry(t, r) for t, r in slot)).cast(kind) for slot in table))
-    own = F.flatten(F.transform(F.col("tokens"), lambda t: F.filter(F.get(slots, F.pmod(F.crc32(t.cast("binary")), F.lit(BUCKETS)).cast("int")), lambda e: e["token"] == t)))
-    return F.concat(own, F.array(*(entry("", r) for r in index.get("", []))).cast(kind))
+            table[crc32(token.encode()) % BUCKETS] += [(token, numbers[r]) for r in rules]
+    kind = "array<struct<token:string,number:int>>"
+    slots = F.array(*(F.array(*(F.struct(F.lit(t).alias("token"), F.lit(n).alias("number")) for t, n in slot)).cast(kind) for slot in table))
+    own = F.flatten(F.transform(tokens, lambda t: F.filter(F.get(slots, F.pmod(F.crc32(t.cast("binary")), F.lit(BUCKETS)).cast("int")), lambda e: e["token"] == t)))
+    return F.concat(F.transform(own, lambda e: e["number"]), F.array(*(F.lit(numbers[r]) for r in index.get("", []))).cast("array<int>"))
+
 
+def _fits(number: Column, place: Column, rules: list[Rule]) -> Column:
+    """Whether the rule of that number fits. Its pattern is a literal, compiled once."""
+    cases = F.when(number == 0, place.rlike(rules[0].pattern))
+    for n, r in enumerate(rules[1:], 1):
+        cases = cases.when(number == n, place.rlike(r.pattern))
+    return cases.otherwise(False)
 
-def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str = "url", inline: int = 2000) -> DataFrame:
+
+def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str = "url", inline: int = 128) -> DataFrame:
     """pages with host, path, rule and verdict after its own columns; one row per input row.
 
     The highest rank wins; among equal ranks the greatest name. Rules of rank
     0 or less give a verdict but no rule; no fitting rule: 'default'. Null urls
     and urls without :// have empty host and path and fit no rule with a literal
     token. Repeated urls are judged alike. Own columns named host, path, rule or
-    verdict are replaced.
+    verdict are replaced; all others stay.
 
     Up to 'inline' rules the index is a table of literals in the plan: no
     shuffle, so no hot token or url. Beyond it distinct urls join the index on
     the token, a join whose large partitions Spark splits.
     """
-    drop = [c for c in pages.columns if c in ("host", "path", "rule", "verdict", "tokens")]
-    host, path = url_parts("url")
-    rows = pages.withColumn("_url", F.col(url)).drop(*[c for c in drop if c != url])
-    seen = pages.select(F.col(url).alias("url")).select("url", host.alias("host"), path.alias("path")).withColumn("tokens", _tokens(F.col("host"), F.col("path")))
+    words, best, own, joined = free(pages, "_tokens", "_best", "_url", "_key")
+    host, path = url_parts(url)
+    seen = pages.select(host.alias("host"), path.alias("path")).withColumn("tokens", _tokens(F.col("host"), F.col("path")))
     index = _rarest(seen, rules)
+    numbers = {r: n for n, r in enumerate(rules)}
+    rows = pages.withColumn(own, F.col(url))
+    rows = rows.drop("host", "path", "rule", "verdict").withColumn("host", url_parts(own)[0]).withColumn("path", url_parts(own)[1])
     place = F.concat("host", "path")
-    if len(rules) <= inline:
-        judged = rows.withColumn("host", url_parts("_url")[0]).withColumn("path", url_parts("_url")[1]).withColumn("tokens", _tokens(F.col("host"), F.col("path")))
-        fitting = F.filter(_inline(index), lambda e: F.regexp_like(place, e["pattern"]))
-        best = F.array_max(F.transform(fitting, lambda e: F.struct(e["rank"].alias("rank"), e["name"].alias("name"), e["verdict"].alias("verdict"))))
-        judged = judged.withColumn("_best", best)
+    given = lambda n: F.struct(F.get(F.array(*(F.lit(r.rank) for r in rules)), n).alias("rank"), F.get(F.array(*(F.lit(r.name) for r in rules)), n).alias("name"), F.get(F.array(*(F.lit(r.verdict) for r in rules)), n).alias("verdict"))
+    if not rules:
+        judged = rows.withColumn(best, F.lit(None).cast("struct<rank:int,name:string,verdict:string>"))
+    elif len(rules) <= inline:
+        tokens = rows.withColumn(words, _tokens(F.col("host"), F.col("path")))
+        fitting = F.filter(_inline(index, numbers, F.col(words)), lambda n: _fits(n, place, rules))
+        judged = tokens.withColumn(best, F.array_max(F.transform(fitting, given))).drop(words)
     else:
-        spark = pages.sparkSession
-        filed = spark.createDataFrame([(t, r.rank, r.name, r.pattern, r.verdict) for t, rs in index.items() for r in rs], "t string, rank int, name string, pattern string, verdict string")
-        urls = seen.distinct().withColumn("t", F.explode(F.concat("tokens", F.array(F.lit("")))))
-        fits = urls.join(filed, "t").filter(F.regexp_like(place, F.col("pattern"))).groupBy("url").agg(F.max(F.struct("rank", "name", "verdict")).alias("_best"))
-        judged = rows.withColumn("host", url_parts("_url")[0]).withColumn("path", url_parts("_url")[1]).join(fits.withColumnRenamed("url", "_key"), F.col("_url") == F.col("_key"), "left").drop("_key")
-    out = judged.withColumn("rule", F.when(F.col("_best.rank") > 0, F.col("_best.name"))).withColumn("verdict", F.coalesce("_best.verdict", F.lit(default)))
-    return out.drop("_best", "tokens", "_url")
-
+        filed = pages.sparkSession.createDataFrame([(t, r.rank, r.name, r.pattern, r.verdict) for t, rs in index.items() for r in rs], "t string, rank int, name string, pattern string, verdict string")
+        places = seen.distinct().withColumn("t", F.explode(F.concat("tokens", F.array(F.lit("")))))
+        fits = places.join(filed, "t").filter(F.regexp_like(place, F.col("pattern"))).groupBy(place.alias(joined)).agg(F.max(F.struct("rank", "name", "verdict")).alias(best))
+        judged = rows.join(fits, place == F.col(joined), "left").drop(joined)
+    out = judged.withColumn("rule", F.when(F.col(best)["rank"] > 0, F.col(best)["name"])).withColumn("verdict", F.coalesce(F.col(best)["verdict"], F.lit(default)))
+    return out.drop(best, own)
