@@ -150,7 +150,8 @@ def pack(docs: DataFrame, p: PackParams, key: str = "doc_id", text: str = "text"
     """
     groups = max(1, -(-docs.count() // p.group_docs))
     dealt = whole_texts(docs).select(F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(groups)).cast("long").alias("g"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    dealt = dealt.repartition("g").sortWithinPartitions("g")
+    tasks = min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartitionById(tasks, F.expr(f"cast(g * {tasks} div {groups} as int)")).sortWithinPartitions("g")
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         keys, starts, ids, n, seq, offset = zip(*rows, strict=True)
