@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from ..functions import scoring as sc
 from ..functions.lexicons import LEVELS
 from ..params import ScoreParams
+from .ordering import numbered
 
 
 def paired(hard: DataFrame, soft: DataFrame) -> DataFrame:
@@ -110,8 +111,13 @@ def dimension_averages(scores: DataFrame) -> DataFrame:
     return scores.select("model", F.explode("dimension_scores").alias("dimension", "score")).groupBy("model", "dimension").agg(sc.rounded(F.avg("score"), 6).alias("average"))
 
 
-def box_plot(images: DataFrame, column: str = "score_final_scaled") -> DataFrame:
-    """What a box plot of each model shows."""
-    return images.groupBy("model").agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(column).alias("m")).select(
-        "model", sc.rounded(F.col("q")[0], 6).alias("q1"), sc.rounded(F.col("q")[1], 6).alias("median"), sc.rounded(F.col("q")[2], 6).alias("q3"), sc.rounded(F.col("m"), 6).alias("mean")
-    )
+def box_plot(images: DataFrame, column: str = "score_final_scaled", key: str = "image_id") -> DataFrame:
+    """What a box plot of each model shows. Quartiles lie between the rows at their places, so no task holds a model's scores; null scores don't count, and a model without scores has no row."""
+    placed = numbered(images.filter(F.col(column).isNotNull()).select("model", F.col(column).alias("x"), key), ["model", "x", key], "nth")
+    models = placed.groupBy("model").agg(F.min("nth").alias("first"), F.count("*").alias("n"), F.avg("x").alias("m"))
+    rows = placed.join(models, "model").withColumn("place", F.col("nth") - F.col("first"))
+    sought = {q: (F.col("n") - 1) * share for q, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    at = lambda place: F.max(F.when(F.col("place") == place, F.col("x")))
+    ends = rows.groupBy("model", "n", "m").agg(*(at(f(p)).alias(f"{q}_{name}") for q, p in sought.items() for name, f in (("lo", F.floor), ("hi", F.ceil))))
+    between = lambda q, p: F.col(f"{q}_lo") + (F.col(f"{q}_hi") - F.col(f"{q}_lo")) * (p - F.floor(p))
+    return ends.select("model", *(sc.rounded(between(q, p), 6).alias(q) for q, p in sought.items()), sc.rounded(F.col("m"), 6).alias("mean"))

@@ -9,6 +9,9 @@ from ..functions import scoring as sc
 from ..functions import text as tx
 from ..operators import captions as ops
 from ..params import CaptionParams, SampleParams
+from ..schemas import CAPTION_SRC
+from ..sources import files
+from ..sources.shared import new_path
 from . import views as v
 from .registry import register
 
@@ -37,7 +40,11 @@ def p06(spark, d):
 
 @register("S14", "SELECT image_id, coalesce(general, '') AS coca_caption, coalesce(spatial, '') AS spatial_caption, coalesce(original, '') AS original_caption FROM v_caption", "v_caption")
 def s14(spark, d):
-    return v.captions(spark, d).select("image_id", *(F.coalesce(c, F.lit("")).alias(n) for c, n in (("general", "coca_caption"), ("spatial", "spatial_caption"), ("original", "original_caption"))))
+    """A training corpus, written as JSON and scanned; absent fields are empty."""
+    path = new_path(spark, "corpus")
+    names = (("general", "coca_caption"), ("spatial", "spatial_caption"), ("original", "original_caption"))
+    v.captions(spark, d).select(F.to_json(F.struct(F.col("image_id").cast("string").alias("image_id"), *(F.col(c).alias(n) for c, n in names))).alias("value")).write.text(path)
+    return files.json_lines(spark, path, CAPTION_SRC).select(F.col("image_id").cast("bigint").alias("image_id"), *(F.coalesce(n, F.lit("")).alias(n) for _, n in names))
 
 
 @register("W10", f"SELECT image_id FROM v_caption ORDER BY {DRAW}, image_id LIMIT 10", "v_caption")
@@ -154,11 +161,6 @@ def checkpoints(spark, d):
     return v.table(spark, d, "events").select("user_id", F.concat(F.lit("checkpoint-"), suffix).alias("name")).withColumn("step", F.split_part("name", F.lit("-"), F.lit(2)).try_cast("bigint"))
 
 
-@register("S20", f"WITH {CKPT} SELECT user_id, CAST(split_part(name, '-', 2) AS BIGINT) AS step FROM ck WHERE name <> 'checkpoint-x'")
-def s20(spark, d):
-    return checkpoints(spark, d).filter("step IS NOT NULL").select("user_id", "step")
-
-
 @register("P11", f"WITH {CKPT} SELECT count(*) AS bad FROM ck WHERE try_cast(split_part(name, '-', 2) AS BIGINT) IS NULL")
 def p11(spark, d):
     return checkpoints(spark, d).filter("step IS NULL").agg(F.count("*").alias("bad"))

@@ -205,15 +205,6 @@ def t17(spark, d):
     return lists.select("image_id", tx.object_lines(F.col("dets"), scores=False).alias("lines"))
 
 
-@register("K01", "SELECT o_orderkey AS image_id, coalesce(n, 0) AS detections FROM orders LEFT JOIN (SELECT image_id, count(*) AS n FROM v_boxes WHERE score > 0.36e0 GROUP BY image_id) b ON o_orderkey = image_id", "v_boxes")
-def k01(spark, d):
-    """One list per image, also empty ones."""
-    lists = ops.over_threshold(v.boxes(spark, d), P.score_threshold).groupBy("image_id").agg(F.collect_list("box_id").alias("dets"))
-    images = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
-    dets = F.coalesce("dets", F.array().cast("array<bigint>"))
-    return images.join(lists, "image_id", "left").select("image_id", F.size(dets).cast("long").alias("detections"))
-
-
 @register("P05", "SELECT DISTINCT image_id FROM v_boxes WHERE score > 0.36e0", "v_boxes")
 def p05(spark, d):
     lists = ops.over_threshold(v.boxes(spark, d), P.score_threshold).groupBy("image_id").agg(F.collect_list("box_id").alias("dets"))

@@ -53,11 +53,6 @@ def f10(spark, d):
     return v.table(spark, d, "documents").select("doc_id").join(have, "doc_id", "left_semi")
 
 
-@register("S21", "SELECT user_id, arg_max(event_id, ts) AS newest FROM events GROUP BY user_id")
-def s21(spark, d):
-    return v.table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", "ts").alias("newest"))
-
-
 @register("W09", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY 'img_' || doc_id) AS place FROM documents")
 def w09(spark, d):
     """Lexicographic order of names within a directory."""
@@ -104,16 +99,6 @@ def s11(spark, d):
     return files.mapping_rows(entries.select(F.to_json(F.struct("mapping")).alias("value"))).select("key", "level")
 
 
-@register("S06", "SELECT o_orderkey AS image_id, o_custkey IS NOT NULL AND l.n IS NOT NULL AS complete FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON o_orderkey = l_orderkey")
-def s06(spark, d):
-    """Three-file lookup: images with all files, and the others for the audit."""
-    images = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), "o_custkey")
-    dets = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id")).distinct()
-    caps = v.table(spark, d, "customer").select("c_custkey")
-    whole = images.join(dets, "image_id").join(caps, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("image_id")
-    return whole.withColumn("complete", F.lit(True)).unionByName(images.select("image_id").join(whole, "image_id", "left_anti").withColumn("complete", F.lit(False)))
-
-
 # The configuration's defaults.
 CONFIGURATION = {
     "DetectionParams": {"score_threshold": "0.36", "unscored_bonus": "0.1", "fusion_iou": "0.5", "skip_score": "0.0001", "detectors": "3", "duplicate_iou": "0.85"},

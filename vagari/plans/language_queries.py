@@ -254,6 +254,85 @@ def m07(spark, d):
     return rows.filter("error IS NOT NULL AND size(output) = 0").agg(F.count("*").alias("failed"))
 
 
+@register("M03", r"SELECT image_id, pos, CASE WHEN phrase = 'teddy' THEN 0 WHEN len(regexp_split_to_array(phrase, '\s+')) <= 3 THEN 1 ELSE 0 END AS objects FROM v_phrase", "v_phrase")
+def m03(spark, d):
+    """Zero-shot verdicts; a row on which the stage fails has no object."""
+    from ..functions.models import StubVerifier, with_model
+
+    class Failing(StubVerifier):
+        def rule(self, value):
+            if value == "teddy":
+                raise ValueError("no classifier")
+            return super().rule(value)
+
+    rows = with_model(v.phrases(spark, d).withColumnRenamed("phrase", "caption"), Failing())
+    return rows.select("image_id", "pos", F.size("output").alias("objects"))
+
+
+@register("M05", r"SELECT image_id, string_split(query, ' ')[-1] AS label, count(*) AS boxes FROM (SELECT image_id, unnest(list_distinct(list(phrase))) AS query FROM v_phrase GROUP BY image_id) GROUP BY ALL", "v_phrase")
+def m05(spark, d):
+    """A detector that is asked a list of queries: each distinct phrase of an image once; the last box of a query has its noun."""
+    from ..functions.models import StubDetector, with_model
+
+    queries = v.phrases(spark, d).select("image_id", F.col("phrase").alias("caption")).distinct()
+    rows = with_model(queries, StubDetector()).filter(F.size("output") > 0)
+    return rows.select("image_id", F.element_at("output", -1)["label"].alias("label")).groupBy("image_id", "label").agg(F.count("*").alias("boxes"))
+
+
+@register("M06", r"SELECT image_id, pos, CAST(CASE WHEN phrase = 'teddy' THEN 0 WHEN starts_with(phrase, 'Stack') THEN 1 ELSE len(regexp_split_to_array(phrase, '\s+')) END AS INTEGER) AS boxes FROM v_phrase", "v_phrase")
+def m06(spark, d):
+    """A detector that is tried with simpler parameters when it fails; what it says that is malformed gives no boxes."""
+    from ..functions.models import StubDetector, with_fallback, with_model
+
+    class Simpler(StubDetector):
+        def rule(self, value):
+            def full():
+                if value.startswith("Stack"):
+                    raise RuntimeError("CUDA error")
+                return StubDetector.rule(self, value)
+
+            boxes, way = with_fallback([("full", full), ("simple", lambda: StubDetector.rule(self, value)[:1])])
+            return "malformed" if value == "teddy" else boxes
+
+        def predict(self, frames):
+            for frame in super().predict(frames):
+                frame["output"] = [o if isinstance(o, list) else [] for o in frame["output"]]
+                yield frame
+
+    rows = with_model(v.phrases(spark, d).withColumnRenamed("phrase", "caption"), Simpler())
+    return rows.select("image_id", "pos", F.size("output").alias("boxes"))
+
+
+@register("M08", "SELECT conv_id, turn, kind, 'Objects:' || chr(10) || split_part(text || chr(10) || tail, '.', 1) AS said FROM v_answers, (VALUES ('direction', 'Say where each object lies relative to the others.'), ('distance', 'Say how far apart the objects look, in everyday words.'), ('contact', 'Say which objects touch each other.'), ('confidence', 'Say how sure you are of each statement.')) t(kind, tail)", A)
+def m08(spark, d):
+    """Four prompts for each image, each answered by the stand-in (the prompt's first sentence)."""
+    from ..functions.models import StubWriter, with_model
+
+    kinds = ("direction", "distance", "contact", "confidence")
+    prompts = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), tx.relation_prompt(k, F.col("text")).alias("caption")) for k in kinds)))
+    rows = with_model(v.answers(spark, d).select("conv_id", "turn", prompts.alias("p")).select("conv_id", "turn", "p.*"), StubWriter())
+    return rows.select("conv_id", "turn", "kind", F.col("output")[0].alias("said"))
+
+
+@register("M09", "SELECT conv_id, turn, split_part('Direction: ' || text || chr(10) || 'Distance: near' || chr(10) || 'Contact: none' || chr(10) || 'Confidence: high' || chr(10) || 'Combine these into one description.', '.', 1) AS said FROM v_answers", A)
+def m09(spark, d):
+    """One description from four, by the stand-in."""
+    from ..functions.models import StubWriter, with_model
+
+    prompt = tx.synthesis_prompt(F.col("text"), F.lit("near"), F.lit("none"), F.lit("high"))
+    rows = with_model(v.answers(spark, d).select("conv_id", "turn", prompt.alias("caption")), StubWriter())
+    return rows.select("conv_id", "turn", F.col("output")[0].alias("said"))
+
+
+@register("M12", "SELECT doc_id, coalesce(split_part(text, '.', 1), '') AS sentence FROM documents")
+def m12(spark, d):
+    """A sentence for each prompt, in batches, by the stand-in."""
+    from ..functions.models import StubWriter, with_model
+
+    rows = with_model(v.table(spark, d, "documents").select("doc_id", F.col("text").alias("caption")), StubWriter())
+    return rows.select("doc_id", F.col("output")[0].alias("sentence"))
+
+
 @register("M10", "SELECT conv_id, turn, split_part(text, '.', 1) AS caption FROM v_answers", A)
 def m10(spark, d):
     from ..functions.models import StubWriter, with_model

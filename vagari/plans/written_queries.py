@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import boxes as ops
 from ..sources import files, sinks
 from ..sources.shared import new_path
 from . import views as v
+from .detection_queries import LEVELS_SQL, P, level_checks
 from .registry import register
 
 
@@ -151,9 +154,66 @@ def k07(spark, d):
     return spark.read.schema("image_id long, model string").json(path).select("image_id", "model")
 
 
+@register("K13", f"WITH {LEVELS_SQL} SELECT model, image_id, level, predicted_level, pass_contact_check FROM lv", "v_boxes")
+def k13(spark, d):
+    """Results by level, one JSON document an image, in folders by key."""
+    path = new_path(spark, "levels")
+    sinks.documents(level_checks(spark, d).select("model", "image_id", "level", "predicted_level", "pass_contact_check"), path, "image_id")
+    return spark.read.schema("model string, image_id long, level string, predicted_level string, pass_contact_check boolean").json(path).select("model", "image_id", "level", "predicted_level", "pass_contact_check")
+
+
 @register("K18", "SELECT name, value FROM (VALUES ('batch', '16'), ('learning_rate', '1e-05'), ('note', 'a \"quoted\" text')) t(name, value)")
 def k18(spark, d):
     """A line for each setting, appended to the run's file."""
     path = new_path(spark, "run-config")
     sinks.config_lines(spark, {"batch": 16, "learning_rate": 1e-05, "note": 'a "quoted" text'}).write.mode("append").text(path)
     return spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "value"))
+
+
+@register("S06", "SELECT s_suppkey AS image_id, s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AS complete FROM supplier")
+def s06(spark, d):
+    """Three-file lookup: images whose picture, caption and boxes are there, and the others for the audit."""
+    path, k = new_path(spark, "triples"), F.col("s_suppkey")
+    s = v.table(spark, d, "supplier").select("s_suppkey")
+    kinds = (("images", ".jpg", 3), ("captions", ".json", 5), ("boxes", ".json", 7))
+    for kind, ext, missing in kinds:
+        sinks.named_files(s.filter(k % missing != 0).select(F.concat(F.lit(f"{kind}/"), k.cast("string"), F.lit(ext)).alias("name"), F.lit("x").alias("content")), path)
+    found = files.listing(spark, path).select(files.stem(F.col("path")).cast("bigint").alias("image_id"), F.element_at(F.split("path", "/"), -2).alias("kind"))
+    whole = found.groupBy("image_id").agg(F.countDistinct("kind").alias("kinds")).filter(F.col("kinds") == len(kinds)).select("image_id")
+    images = s.select(k.alias("image_id"))
+    return images.join(whole, "image_id", "left_semi").withColumn("complete", F.lit(True)).unionByName(images.join(whole, "image_id", "left_anti").withColumn("complete", F.lit(False)))
+
+
+@register("S20", "SELECT s_suppkey * 100 AS step FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0")
+def s20(spark, d):
+    """Folders of checkpoints: the prefix counts, and a suffix that is no number is skipped."""
+    path, k = new_path(spark, "run"), F.col("s_suppkey")
+    name = F.when(k % 7 == 0, F.concat(F.lit("checkpoint-"), k.cast("string"), F.lit("x"))).when(k % 11 == 0, F.concat(F.lit("logs-"), k.cast("string"))).otherwise(F.concat(F.lit("checkpoint-"), (k * 100).cast("string")))
+    sinks.named_files(v.table(spark, d, "supplier").select(F.concat(name, F.lit("/weights")).alias("name"), F.lit("x").alias("content")), path)
+    folder = files.listing(spark, path).select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
+    return folder.filter(F.col("folder").startswith("checkpoint-")).select(F.split_part("folder", F.lit("-"), F.lit(2)).try_cast("bigint").alias("step")).filter("step IS NOT NULL")
+
+
+@register("S21", "SELECT 'run_' || max(n_nationkey) AS name FROM nation")
+def s21(spark, d):
+    """The newest of the runs: that of the greatest key was written last."""
+    path, n = new_path(spark, "runs"), v.table(spark, d, "nation")
+    last = n.agg(F.max("n_nationkey")).first()[0]
+    rows = n.select("n_nationkey", F.concat(F.lit("run_"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("content"))
+    sinks.named_files(rows.filter(F.col("n_nationkey") != last), path)
+    time.sleep(1.1)  # file systems keep whole seconds
+    sinks.named_files(rows.filter(F.col("n_nationkey") == last), path)
+    return files.newest(files.listing(spark, path), "run_").select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+@register("K01", "SELECT o_orderkey AS image_id, coalesce(n, 0) AS detections FROM orders LEFT JOIN (SELECT image_id, count(*) AS n FROM v_boxes WHERE score > 0.36e0 GROUP BY image_id) b ON o_orderkey = image_id", "v_boxes")
+def k01(spark, d):
+    """One list per image, written also where it is empty."""
+    path = new_path(spark, "detections")
+    det = F.struct(F.col("box_id").cast("string").alias("instance_id"), F.col("label").alias("category"), F.array("x1", "y1", "x2", "y2").alias("location"), "score")
+    lists = ops.over_threshold(v.boxes(spark, d), P.score_threshold).groupBy("image_id").agg(F.collect_list(det).alias("dets"))
+    images = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
+    rows = images.join(lists, "image_id", "left").withColumn("dets", F.coalesce("dets", F.array().cast(lists.schema["dets"].dataType)))
+    sinks.documents(rows, path, "image_id")
+    read = spark.read.schema(f"image_id long, dets array<{files.as_struct(schemas.DETECTION)}>").json(path)
+    return read.select("image_id", F.size("dets").cast("long").alias("detections"))
