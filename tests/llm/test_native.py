@@ -20,6 +20,12 @@ def test_query_equals_sql(spark, key):
     assert rows_of_spark(q.QUERIES[key](spark, SF)) == rows_of_duckdb(q.ORACLES[key], SF)
 
 
+@pytest.mark.parametrize("key", ["op2_url_filter", "op7_mixing", "op10_sharding"])
+def test_native_plans_have_no_python(spark, key):
+    plan = q.QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|MapInArrow|ExternalRDD", plan)
+
+
 URLS = [
     ("http://a.Example.COM/en/1?x", "a.example.com", "/en/1", "example.com/en/", "block"),
     ("http://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"),

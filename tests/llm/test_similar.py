@@ -57,7 +57,7 @@ CORPUS = [
 
 
 @pytest.mark.parametrize("rows", CORPUS)
-@pytest.mark.parametrize("p", [LineParams(), LineParams(frequent=2, nearest=2), LineParams(frequent=3, window=1)])
+@pytest.mark.parametrize("p", [LineParams(), LineParams(frequent=2, nearest=2), LineParams(frequent=3, window=1), LineParams(flush_bytes=100, block_bytes=300)])
 def test_line_dedup(spark, rows, p):
     df = spark.createDataFrame([(k, t, "own", 3) for k, t in rows], "doc_id long, text string, removed string, row int").repartition(3)
     want = removed_by_hand(rows)
@@ -73,12 +73,23 @@ def test_line_dedup_of_nothing_and_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_lines, r.removed) for r in got) == [(1, 2, []), (1, 2, []), (2, 1, [0])]
 
 
+def test_line_dedup_of_many_random_lines(spark):
+    rng = random.Random(17)
+    lines = varied(21, 260, 9, 40, 5) + [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8))) for _ in range(140)]
+    rng.shuffle(lines)
+    rows = [(i * 7 % 101, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = removed_by_hand(rows)
+    for p in (LineParams(), LineParams(num=3, den=5, frequent=4), LineParams(frequent=5, flush_bytes=200, block_bytes=1000, window=2)):
+        assert {r.doc_id: r.removed for r in line_report(df, p).collect()} == (want if p.num == 4 else removed_by_hand(rows, 3, 5))
+
+
 def test_own_columns_stay(spark):
     names = ["_removed", "_doc", "_row", "_key", "_hash", "_count", "times", "sid"]
     df = spark.createDataFrame([(1, "a b\nc", *"stuvwxyz"), (2, "c\nd", *"stuvwxyz")], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
     out = dedup_lines(df)
-    assert out.columns == [*df.columns, "n_lines", "removed"]
-    assert sorted(map(tuple, out.collect())) == [(1, "a b\nc", *"stuvwxyz", 2, None), (2, "d", *"stuvwxyz", 2, [0])]
+    assert out.columns == [*df.columns, "n_lines", "removed", "n_left"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a b\nc", *"stuvwxyz", 2, None, None), (2, "d", *"stuvwxyz", 2, [0], 1)]
     assert sorted(map(tuple, line_report(df).collect())) == [(1, 2, []), (2, 2, [0])]
 
 

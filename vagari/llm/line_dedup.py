@@ -27,13 +27,13 @@ from .common import Scratch, free, stored, whole_texts
 from .kernels import LANES, LOWERED, U, chunks, mixed, span_hashes, trim, words
 
 POSTING = np.dtype([("key", "<u4"), ("sid", "<u8"), ("sig", "<u8"), ("sig2", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
-LINES = "sid long, doc long, row long, line int"
+LINES = "sid long, doc long, row long, line int, of int"
 LAST = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class LineParams:
-    """Lines with Jaccard similarity of at least num/den are alike. A word is frequent from 'frequent' lines on, or from 64 times the mean bucket. nearest: candidates kept for a line and prefix word, the nearest by signature; all others follow if none of these is alike. window: entries of a prefix word that are compared with each entry at once. code_bits: 2 to this power is the number of word counts, a byte each, that every worker holds; about one in ten distinct words keeps rarity apart."""
+    """Lines with Jaccard similarity of at least num/den are alike. A word is frequent from 'frequent' lines on, or from 64 times the mean bucket. nearest: candidates kept for a line and prefix word, the nearest by signature; all others follow if none of these is alike. window: entries of a prefix word that are compared with each entry at once. block_bytes: entries that a task holds and compares at once. code_bits: 2 to this power is the number of word counts, a byte each, that every worker holds; about one in ten distinct words keeps rarity apart."""
 
     num: int = 4
     den: int = 5
@@ -42,6 +42,7 @@ class LineParams:
     window: int = 4096
     code_bits: int = buckets.CODE_BITS
     flush_bytes: int = 8 << 20
+    block_bytes: int = 16 << 20
 
 
 @dataclass
@@ -211,8 +212,8 @@ def nearest(e: np.ndarray, p: LineParams) -> tuple[np.ndarray, np.ndarray, np.nd
     return x, y, more, spare
 
 
-def every(e: np.ndarray, wanted: np.ndarray, p: LineParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(later, earlier) as places in e, of _distinct: all earlier entries of the wanted ones that the filters allow."""
+def every(e: np.ndarray, wanted: np.ndarray, p: LineParams, ordered: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(wanted, other) as places in e, of _distinct: all other entries, or all earlier ones, that the filters allow."""
     c = _Compare(e, p)
     ends = np.searchsorted(c.key, c.key, "right")
     starts = np.searchsorted(c.key, c.key)
@@ -220,7 +221,7 @@ def every(e: np.ndarray, wanted: np.ndarray, p: LineParams) -> Iterator[tuple[np
         j = np.arange(starts[i], ends[i])
         j = j[(c.n[j] * p.den >= c.n[i] * p.num) & (c.n[j] * p.num <= c.n[i] * p.den) & (j != i)]
         i = np.full(len(j), i)
-        j = j[c.alike(i, j)[0] & c.after(i, j)]
+        j = j[c.alike(i, j)[0] & (c.after(i, j) if ordered else True)]
         if len(j):
             yield i[: len(j)], j
 
@@ -234,7 +235,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _lines(rows: DataFrame, bits: int) -> DataFrame:
-    """In one pass over the texts: the sets of all lines with words, and the words' counts (rows with a part)."""
+    """In one pass over the texts: the sets of all lines with words (of: how many of them a text has), and the words' counts (rows with a part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = buckets.Counter(bits)
@@ -245,17 +246,24 @@ def _lines(rows: DataFrame, bits: int) -> DataFrame:
                 of = pa.array(lo + ls.doc)
                 none = pa.nulls(len(ls.sid), pa.int32())
                 data = pa.nulls(len(ls.sid), pa.binary())
-                yield pa.RecordBatch.from_arrays([_signed(ls.sid), batch.column(0).take(of), batch.column(1).take(of), pa.array(ls.number.astype(np.int32)), none, data, data], names=names)
+                yield pa.RecordBatch.from_arrays([_signed(ls.sid), batch.column(0).take(of), batch.column(1).take(of), pa.array(ls.number.astype(np.int32)), pa.array(np.bincount(ls.doc)[ls.doc].astype(np.int32) if len(ls.doc) else np.zeros(0, np.int32)), none, data, data], names=names)
         for part in own.parts():
-            gap = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+            gap = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
             yield pa.RecordBatch.from_arrays([*gap, *part.columns], names=names)
 
-    names = ["sid", "doc", "row", "line", "part", "at", "n"]
+    names = ["sid", "doc", "row", "line", "of", "part", "at", "n"]
     return rows.mapInArrow(run, f"{LINES}, {buckets.PARTS_SCHEMA}")
 
 
 def _candidates(rows: DataFrame, table, hot: int, p: LineParams) -> DataFrame:
-    """x, y, more: a later set and an earlier one; or list: the entries, by key, of pairs that aren't given."""
+    """x, y, more: a later set and an earlier one; or list: the entries, by key, of pairs that aren't given.
+
+    A task holds up to p.block_bytes of entries of the keys that are dealt to it
+    at the same place. Where there are more, each block is compared in itself, is
+    listed whole, with all of its sets as having more, and is part of a whole:
+    first places are known in the block only, so its pairs may be the wrong way
+    round.
+    """
     fan = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(found: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -281,33 +289,43 @@ def _candidates(rows: DataFrame, table, hot: int, p: LineParams) -> DataFrame:
             yield from dealt(found)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, size, block = None, [], 0, 0
+
+        def rows(x: pa.Array, y: pa.Array, more: pa.Array, data: pa.Array) -> pa.RecordBatch:
+            n = len(x)
+            return pa.RecordBatch.from_arrays([x, y, more, pa.array(np.full(n, now, np.int32)), pa.array(np.full(n, block, np.int32)), data], names=names)
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out(part: bool) -> Iterator[pa.RecordBatch]:
             e = _distinct(np.concatenate([np.frombuffer(b, POSTING) for b in held]))
             x, y, more, spare = nearest(e, p)
-            yield pa.RecordBatch.from_arrays([_signed(e["sid"][x]), _signed(e["sid"][y]), pa.array(more[x]), pa.nulls(len(x), pa.binary())], names=names)
-            # An entry with none of its own, in a list too long to compare, stands alone in its row.
-            lone = np.setdiff1d(np.flatnonzero(more), x)
-            lists = e[spare]
-            yield pa.RecordBatch.from_arrays([_signed(e["sid"][lone]), pa.nulls(len(lone), pa.int64()), pa.array(np.ones(len(lone), bool)), pa.nulls(len(lone), pa.binary())], names=names)
+            if part:
+                more[:] = spare[:] = True
+            yield rows(_signed(e["sid"][x]), _signed(e["sid"][y]), pa.array(more[x]), pa.nulls(len(x), pa.binary()))
+            # An entry with more but without one of its own stands alone in its row.
+            lone, lists = np.setdiff1d(np.flatnonzero(more), x), e[spare]
+            yield rows(_signed(e["sid"][lone]), pa.nulls(len(lone), pa.int64()), pa.array(np.ones(len(lone), bool)), pa.nulls(len(lone), pa.binary()))
             if len(lists):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([lists.tobytes()], pa.binary())], names=names)
+                yield rows(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([part]), pa.array([lists.tobytes()], pa.binary()))
 
         for batch in batches:
             for to, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = entries.as_buffer()
                 if to != now:
                     if held:
-                        yield from out()
-                    now, held = to, []
-                held.append(entries.as_buffer())
+                        yield from out(block > 0)
+                    now, held, size, block = to, [], 0, 0
+                elif size + data.size > p.block_bytes:
+                    yield from out(True)
+                    held, size, block = [], 0, block + 1
+                held.append(data)
+                size += data.size
         if held:
-            yield from out()
+            yield from out(block > 0)
         trim()
 
-    names = ["x", "y", "more", "list"]
+    names = ["x", "y", "more", "to", "block", "list"]
     spread = rows.select("doc", "text").mapInArrow(index, "to int, entries binary").repartition("to").sortWithinPartitions("to")
-    return spread.mapInArrow(meet, "x long, y long, more boolean, list binary")
+    return spread.mapInArrow(meet, "x long, y long, more boolean, to int, block int, list binary")
 
 
 def _listed(lists: DataFrame) -> DataFrame:
@@ -322,16 +340,28 @@ def _listed(lists: DataFrame) -> DataFrame:
 
 
 def _others(lists: DataFrame, wanted, p: LineParams) -> DataFrame:
-    """x, y: all candidates in the lists of the sets with a flag."""
+    """x, y: all candidates in the lists of the sets with a flag; in parts of a list, which meet two by two, whatever their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
-                e = np.frombuffer(data.as_buffer(), POSTING)
-                for x, y in every(e, wanted.value.has(e["sid"]), p):
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                e = np.frombuffer(one.as_buffer(), POSTING)
+                if two.is_valid:
+                    e = _distinct(np.concatenate([e, np.frombuffer(two.as_buffer(), POSTING)]))
+                for x, y in every(e, wanted.value.has(e["sid"]), p, not two.is_valid):
                     yield pa.RecordBatch.from_arrays([_signed(e["sid"][x]), _signed(e["sid"][y])], names=["x", "y"])
 
-    return lists.mapInArrow(run, "x long, y long").distinct()
+    whole = lists.filter("NOT part").select("list", F.lit(None).cast("binary").alias("other"))
+    parts = lists.filter("part").select("to", "block", "list")
+    other = parts.select("to", F.col("block").alias("block2"), F.col("list").alias("other"))
+    met = parts.join(other, "to").filter("block < block2").select("list", "other")
+    return whole.unionByName(met).mapInArrow(run, "x long, y long").distinct()
+
+
+def _ordered(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """Of the pairs those whose x has its first line after that of y."""
+    side = lambda c: first.select(F.col("sid").alias(c), F.struct("first.doc", "first.line", "sid").alias(f"{c}_at"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").filter("x_at > y_at").drop("x_at", "y_at")
 
 
 def _tokens(rows: DataFrame, places: DataFrame, share) -> DataFrame:
@@ -369,7 +399,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, p: LineParams) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, row, removed): for documents that lose lines, the numbers (from 0) of those lines.
+    """(doc, row, removed, left): for documents that lose lines, the numbers (from 0) of those lines, and how many lines with words stay.
 
     Lines are in the order of (key, line number); a null key comes last. A line
     goes if any earlier line is alike, whether that one stays or not. Lines
@@ -382,19 +412,21 @@ def removed_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc
     with Scratch(spark) as scratch:
         store, share = scratch.store, scratch.share
         told = store(_lines(rows, p.code_bits), "line-sets")
-        lines = told.filter("part IS NULL").select("sid", "doc", "row", "line")
+        lines = told.filter("part IS NULL").select("sid", "doc", "row", "line", "of")
         rarity = buckets.table(told.filter("part IS NOT NULL").select("part", "at", "n"), p.code_bits)
         hot = int(buckets.code_of(np.array([max(p.frequent, math.ceil(64 * buckets.mean_count(rarity)))]))[0])
         place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("doc"), "line", "row")
         first = store(lines.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("times")), "line-first")
         found = store(_candidates(rows, share(rarity), hot, p), "line-candidates")
-        lists = found.filter("list IS NOT NULL").select("list")
+        lists = found.filter("list IS NOT NULL").select("to", "block", F.col("more").alias("part"), "list")
+        split = not lists.filter("part").isEmpty()
         # The likeliest earlier set first; the others only for lines that it doesn't decide.
         best = W.Window.partitionBy("x").orderBy(F.desc("shared"), "y")
-        pairs = found.filter("y IS NOT NULL").groupBy("x", "y").agg(F.max("more").alias("more"), F.count("*").alias("shared"))
+        pairs = found.filter("y IS NOT NULL").groupBy("x", "y").agg(F.count("*").alias("shared"))
+        pairs = _ordered(pairs, first) if split else pairs
         pairs = store(pairs.withColumn("nth", F.row_number().over(best)).drop("shared"), "line-pairs")
-        more = pairs.filter("more").select("x").union(found.filter("x IS NOT NULL AND y IS NULL").select("x"))
-        sids = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).union(_listed(lists)).distinct()
+        more = found.filter("x IS NOT NULL AND more").select("x")
+        sids = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).union(_listed(lists.select("list"))).distinct()
         places = store(first.join(sids, "sid", "left_semi").select("sid", "first.row"), "line-places")
         sets = store(_tokens(rows, places, share), "line-tokens")
         near = store(_alike(pairs.filter("nth = 1").select("x", "y"), sets, p), "line-alike")
@@ -403,11 +435,13 @@ def removed_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc
         open_ = store(more.distinct().join(near, "x", "left_anti"), "line-open")
         if not open_.isEmpty():
             rest = _others(lists, share(buckets.flags(open_, "x")), p).join(open_, "x", "left_semi").join(pairs.select("x", "y"), ["x", "y"], "left_anti")
+            rest = _ordered(rest, first) if split else rest
             near = store(near.union(_alike(rest, sets, p)).distinct(), "line-alike")
         # Only sets that occur again or have an earlier one alike lose lines.
         losing = first.join(near.select(F.col("x").alias("sid"), F.lit(True).alias("near")), "sid", "left").filter("times > 1 OR near")
         judged = lines.join(losing, "sid").filter(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
-        return stored(judged.groupBy("doc", "row").agg(F.sort_array(F.collect_set("line")).alias("removed")), "line-removed")
+        gone = judged.groupBy("doc", "row").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.max("of").alias("of"))
+        return stored(gone.select("doc", "row", "removed", (F.col("of") - F.size("removed")).alias("left")), "line-removed")
 
 
 def _line_count(text: str) -> Column:
@@ -415,31 +449,31 @@ def _line_count(text: str) -> Column:
     return F.when(F.col(text).isNull(), 0).otherwise(count).cast("int")
 
 
-def _judged(docs: DataFrame, p: LineParams, key: str, text: str, kept: list) -> tuple[DataFrame, Column]:
-    """The kept columns of docs beside its removed lines (null: none), under a name that docs doesn't use."""
-    own, row, gone, doc, lost = free(docs, "_key", "_hash", "_row", "_doc", "_removed")
-    removed = removed_lines(docs, p, key, text).select(F.col("doc").alias(doc), F.col("row").alias(gone), F.col("removed").alias(lost))
+def _judged(docs: DataFrame, p: LineParams, key: str, text: str, kept: list) -> tuple[DataFrame, Column, Column]:
+    """The kept columns of docs beside its removed lines and the number of those left (null: none removed), under names that docs doesn't use."""
+    own, row, gone, doc, lost, left = free(docs, "_key", "_hash", "_row", "_doc", "_removed", "_left")
+    removed = removed_lines(docs, p, key, text).select(F.col("doc").alias(doc), F.col("row").alias(gone), F.col("removed").alias(lost), F.col("left").alias(left))
     rows = docs.select(*kept, F.col(key).cast("long").alias(own), F.xxhash64(F.col(key), F.col(text)).alias(row))
-    return rows.join(removed, (F.col(row) == F.col(gone)) & F.col(own).eqNullSafe(F.col(doc)), "left").drop(own, row, gone, doc), F.col(lost)
+    return rows.join(removed, (F.col(row) == F.col(gone)) & F.col(own).eqNullSafe(F.col(doc)), "left").drop(own, row, gone, doc), F.col(lost), F.col(left)
 
 
 def line_report(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_lines and removed (empty: none) of every row; the decisions of removed_lines, without moving texts."""
     (count,) = free(docs, "_count")
-    joined, lost = _judged(docs, p, key, text, [F.col(key), _line_count(text).alias(count)])
+    joined, lost, _ = _judged(docs, p, key, text, [F.col(key), _line_count(text).alias(count)])
     return joined.select(key, F.col(count).alias("n_lines"), F.coalesce(lost, F.array().cast("array<int>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with text without the lines that removed_lines names, and the columns n_lines and removed (null: none).
+    """docs with text without the lines that removed_lines names, and the columns n_lines, removed and n_left, the lines with words that stay (both null: none removed).
 
     Every row stays, with all its columns (own columns of these names are
     replaced); a text that loses all its lines is empty. Null text stays null
     with 0 lines. Lines end at U+000A only.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "removed")]
-    joined, lost = _judged(docs, p, key, text, kept)
+    kept = [c for c in docs.columns if c not in ("n_lines", "removed", "n_left")]
+    joined, lost, stay = _judged(docs, p, key, text, kept)
     lines = F.split(F.col(text), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
     clean = F.when(lost.isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in kept], _line_count(text).alias("n_lines"), lost.alias("removed"))
+    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in kept], _line_count(text).alias("n_lines"), lost.alias("removed"), stay.alias("n_left"))
