@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vagari.llm.common import WORD, stored
+from vagari.llm.common import stored
 from vagari.llm.langid import LangParams, accepted, identify, learn
 from vagari.llm.line_dedup import LineParams, dedup_lines
 from vagari.llm.minhash_dedup import MinHashParams, near_duplicates
@@ -29,9 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that are alike to an earlier line of the corpus; n_chars follows. A document that loses lines and has no word left goes: it was a copy of what stands before it."""
-    out = dedup_lines(docs.select(*COLUMNS), LineParams())
-    emptied = F.col("removed").isNotNull() & ~F.col("text").rlike(WORD)
-    return out.filter(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    out = dedup_lines(docs.select(*COLUMNS), LineParams()).filter("n_left IS NULL OR n_left > 0")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
