@@ -9,6 +9,7 @@ precision. Equal vectors are one class with a count.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from .common import stored
+from .common import Scratch, stored
 from .graph import components, local_roots
 from .vectors import matrix
 
 TILE_SCHEMA = "tile int, dims int, n int, ids binary, weight binary, x binary"
+TILE_BYTES = 4 << 20
 ROUNDING = 1e-6  # far above the float32 and float64 rounding of the bounds themselves
 
 
@@ -31,6 +34,7 @@ class EmbeddingParams:
     tile_rows: int = 8192
     block_rows: int = 1024
     pairs: int = 1 << 16
+    stripe_tiles: int = 8
 
 
 def usable(column: str) -> Column:
@@ -70,7 +74,7 @@ def linked(x: np.ndarray, y: np.ndarray, p: EmbeddingParams, same: bool) -> Iter
                     yield u[yes], v[yes]
 
 
-def _tiles(classes: DataFrame, p: EmbeddingParams) -> DataFrame:
+def _tiles(classes: DataFrame, p: EmbeddingParams, store) -> DataFrame:
     parts = max(1, -(-classes.count() // p.tile_rows))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,32 +88,60 @@ def _tiles(classes: DataFrame, p: EmbeddingParams) -> DataFrame:
                 held.setdefault(int(size), []).append((part.column(0).to_numpy(), part.column(1).to_numpy(), matrix(part.column(2))[0]))
         for size, parts in held.items():
             ids, weight, x = (np.concatenate(c) for c in zip(*parts, strict=True))
-            for lo in range(0, len(ids), p.tile_rows):
-                own = slice(lo, lo + p.tile_rows)
+            step = max(256, min(p.tile_rows, TILE_BYTES // (8 * size)))
+            for lo in range(0, len(ids), step):
+                own = slice(lo, lo + step)
                 row = {"tile": number, "dims": size, "n": len(ids[own]), "ids": ids[own].tobytes(), "weight": weight[own].tobytes(), "x": x[own].tobytes()}
                 number += 1
                 yield pa.RecordBatch.from_pylist([row], schema)
 
     schema = pa.schema([("tile", pa.int32()), ("dims", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("weight", pa.binary()), ("x", pa.binary())])
-    return stored(classes.select("id", "weight", "v").repartition(parts).mapInArrow(build, TILE_SCHEMA), "tiles")
+    return store(classes.select("id", "weight", "v").repartition(parts).mapInArrow(build, TILE_SCHEMA), "tiles")
 
 
-def _links(tiles: DataFrame, p: EmbeddingParams) -> DataFrame:
+def _cells(tiles: DataFrame, p: EmbeddingParams, store) -> DataFrame:
+    """Each tile (cell, side, and its columns) in the cells of a triangular grid in which its products are made, a cell a task.
+
+    The tiles of one length stand in stripes. A cell joins two stripes, so a tile
+    goes to as many cells as there are stripes, and a pair of tiles meets in one.
+    """
+    spark = tiles.sparkSession
+    heads = tiles.select("tile", "dims").withColumn("nth", F.row_number().over(W.Window.partitionBy("dims").orderBy("tile")) - 1)
+    enough = math.isqrt(2 * spark.sparkContext.defaultParallelism) + 1
+    stripes = F.least(F.count("*").over(W.Window.partitionBy("dims")), F.greatest(F.lit(enough), F.ceil(F.count("*").over(W.Window.partitionBy("dims")) / p.stripe_tiles))).cast("int")
+    heads = heads.withColumn("stripes", stripes).withColumn("stripe", (F.col("nth") % F.col("stripes")).cast("int"))
+    placed = heads.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)))
+    placed = placed.select("tile", F.struct("dims", F.least("stripe", "other").alias("a"), F.greatest("stripe", "other").alias("b")).alias("cell"), (F.col("stripe") > F.col("other")).cast("int").alias("side"))
+    placed = store(placed, "vector-stripes")
+    cells = store(placed.select("cell").distinct().withColumn("task", F.row_number().over(W.Window.orderBy("cell")) - 1), "vector-cells")
+    many = max(1, cells.count())
+    out = placed.join(cells, "cell").join(tiles, "tile").select("task", "cell", "side", "tile", "dims", "n", "ids", "weight", "x")
+    return out.repartitionById(many, "task").sortWithinPartitions("cell", "side", "tile")
+
+
+def _links(tiles: DataFrame, p: EmbeddingParams, store) -> DataFrame:
     """(a, n, b): n rows linked to class a found in one product of tiles, and a node b of a's component there."""
-    heads = tiles.select("tile", "dims")
-    pairs = heads.join(heads.select(F.col("tile").alias("other"), "dims"), "dims").filter("tile <= other").drop("dims")
-    side = tiles.select(F.col("tile").alias("other"), F.col("ids").alias("ids2"), F.col("weight").alias("weight2"), F.col("x").alias("x2"))
-    meets = pairs.join(tiles, "tile").join(side, "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                yield product(batch.slice(i, 1).to_pylist()[0])
-
-    def product(r: dict) -> pa.RecordBatch:
-        same = r["tile"] == r["other"]
-        ids, weight, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["weight"], np.int64), np.frombuffer(r["x"]).reshape(r["n"], r["dims"])
-        ids2, weight2, y = (ids, weight, x) if same else (np.frombuffer(r["ids2"], np.int64), np.frombuffer(r["weight2"], np.int64), np.frombuffer(r["x2"]).reshape(-1, r["dims"]))
+                r = batch.slice(i, 1).to_pylist()[0]
+                cell = tuple(r["cell"].values())
+                if cell != now:
+                    now, held = cell, []
+                diagonal, side = cell[1] == cell[2], r["side"]
+                r = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["weight"], np.int64), np.frombuffer(r["x"]).reshape(r["n"], r["dims"])
+                if diagonal:
+                    yield product(r, r, True)
+                if diagonal or side:
+                    for other in held:
+                        yield product(other, r, False)
+                if not side:  # the first stripe's tiles wait, the second's pass by
+                    held.append(r)
+
+    def product(one: tuple, two: tuple, same: bool) -> pa.RecordBatch:
+        (ids, weight, x), (ids2, weight2, y) = one, two
         shift = 0 if same else len(ids)
         every = ids if same else np.concatenate([ids, ids2])
         count, root = np.zeros(len(every), np.int64), np.arange(len(every))
@@ -125,7 +157,7 @@ def _links(tiles: DataFrame, p: EmbeddingParams) -> DataFrame:
         hit = np.flatnonzero(count)
         return pa.RecordBatch.from_arrays([pa.array(every[hit]), pa.array(count[hit]), pa.array(every[root[hit]])], names=["a", "n", "b"])
 
-    return meets.mapInArrow(run, "a long, n long, b long")
+    return _cells(tiles, p, store).mapInArrow(run, "a long, n long, b long")
 
 
 def _joined(root: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
@@ -146,17 +178,18 @@ def near_duplicates(vectors: DataFrame, p: EmbeddingParams = EmbeddingParams(),
     compared. Rows that repeat a key are one node. Links are counted, not
     listed: a product of two tiles returns at most a row per vector in them.
     All pairs of tiles are multiplied, so work grows with the square of the
-    number of distinct vectors.
+    number of distinct vectors; a task holds p.stripe_tiles tiles and one more.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
     part = F.col("id").isNotNull() & usable("v")
-    classes = stored(rows.filter(part).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "vector-classes")
-    links = stored(_links(_tiles(classes, p), p), "vector-links")
-    counts = links.groupBy("a").agg(F.sum("n").alias("n"))
-    least = components(links.select("a", "b"))
-    known = classes.join(counts.withColumnRenamed("a", "id"), "id", "left").join(least.select(F.col("a").alias("id"), F.col("b").alias("least")), "id", "left")
-    known = known.select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
-    out = rows.filter(part).join(known, "v").select("id", "n_links", "component_id")
-    alone = rows.filter(~part).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    out = out.unionByName(alone)
+    with Scratch(vectors.sparkSession) as scratch:
+        classes = scratch.store(rows.filter(part).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "vector-classes")
+        links = scratch.store(_links(_tiles(classes, p, scratch.store), p, scratch.store), "vector-links")
+        counts = links.groupBy("a").agg(F.sum("n").alias("n"))
+        least = components(links.select("a", "b"), scratch.store)
+        known = classes.join(counts.withColumnRenamed("a", "id"), "id", "left").join(least.select(F.col("a").alias("id"), F.col("b").alias("least")), "id", "left")
+        known = known.select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
+        out = rows.filter(part).join(known, "v").select("id", "n_links", "component_id")
+        alone = rows.filter(~part).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        out = stored(out.unionByName(alone), "vector-duplicates")
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

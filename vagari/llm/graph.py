@@ -12,13 +12,13 @@ def _mark(edges: DataFrame):
     return edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, store=stored) -> DataFrame:
     """(a, b): each node of the links a - b (longs) that isn't the least of its component, with that least node.
 
     Alternates large stars (greater neighbours move to a node's least neighbour)
     and small stars (lesser neighbours do) until nothing moves, which takes a
     number of rounds in the order of the logarithm of the size. Loops and links
-    with a null end are ignored.
+    with a null end are ignored. store: what keeps the result.
     """
     with Scratch(edges.sparkSession) as scratch:
         now = scratch.store(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
             before, mark = mark, _mark(now)
             if tuple(before) == tuple(mark):
                 break
-        return stored(now, "components")
+        return store(now, "components")
 
 
 def local_roots(n: int, a, b):
