@@ -101,7 +101,8 @@ def postings(ls: Lines, docs: np.ndarray, hot: int, p: LineParams) -> tuple[np.n
     of = np.repeat(np.arange(len(ls.n)), ls.n)
     pos = np.arange(len(ls.tokens)) - ls.first[of]
     cold = ls.codes < hot
-    take = np.flatnonzero((pos < prefix[of]) & cold & (ls.codes != 1))
+    few = needed(ls.n, p)[of] < 3  # two of these may be alike with fewer than three words in common
+    take = np.flatnonzero((pos < prefix[of]) & (cold | few) & (ls.codes != 1))
     lines, keys, at = [of[take]], [mixed(ls.tokens[take] ^ LANES[4])], [pos[take]]
     warm = np.flatnonzero((pos < prefix[of] + 2) & (prefix[of] > 0) & ~cold)
     if len(warm):
@@ -324,7 +325,7 @@ def _candidates(rows: DataFrame, table, hot: int, p: LineParams) -> DataFrame:
         trim()
 
     names = ["x", "y", "more", "to", "block", "list"]
-    spread = rows.select("doc", "text").mapInArrow(index, "to int, entries binary").repartition("to").sortWithinPartitions("to")
+    spread = rows.select("doc", "text").mapInArrow(index, "to int, entries binary").repartitionById(fan // 4, F.expr("cast(to div 4 as int)")).sortWithinPartitions("to")
     return spread.mapInArrow(meet, "x long, y long, more boolean, to int, block int, list binary")
 
 
