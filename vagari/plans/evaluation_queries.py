@@ -62,8 +62,8 @@ def u03(spark, d):
 
 @register("P08", "SELECT model, count(*) AS n FROM v_eval GROUP BY model", "v_eval")
 def p08(spark, d):
-    lists = v.evaluation(spark, d).groupBy("model").agg(F.collect_list("image_id").alias("images"))
-    return lists.filter(F.size("images") > 0).select("model", F.size("images").cast("long").alias("n"))
+    """Models with images."""
+    return v.evaluation(spark, d).groupBy("model").agg(F.count("image_id").alias("n")).filter("n > 0")
 
 
 CONSISTENCY = f"""cons AS (SELECT model, sentence_idx, avg(score_final_scaled) AS m, coalesce(stddev_samp(score_final_scaled), 0e0) AS s FROM v_composite GROUP BY model, sentence_idx),
