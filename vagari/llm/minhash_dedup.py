@@ -92,8 +92,7 @@ def postings(sets: DataFrame, column: str, p: MinHashParams, whole: bool, share)
         # Hashes of a sketch are small numbers; mixed again they spread over the buckets.
         return mixed(np.frombuffer(b"".join(batch.column(0).to_pylist()), U))
 
-    rarity = share(buckets.counted(sets.select(column), values))
-    repeated = share(buckets.repeated(sets.select(column), values))
+    rarity, repeated = map(share, buckets.rarity_and_repeats(sets.select(column), values))
     odd = ODD if whole else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,12 +213,12 @@ def _stars(listed: DataFrame, p: MinHashParams) -> DataFrame:
 
 
 def _across(listed: DataFrame, roots: DataFrame, p: MinHashParams, store) -> DataFrame:
-    """Pairs of a list whose components differ."""
+    """Pairs of a list, in a range of sizes, whose components differ."""
     own = listed.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     split = own.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("value")
-    own = store(own.join(split, "value", "left_semi"), "near-open")
-    other = own.select("value", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("root").alias("root2"), *(F.col(o).alias(f"q{i}") for i, o in enumerate(ODD)))
-    return own.join(other, "value").filter((F.col("rep") > F.col("y")) & (F.col("root") != F.col("root2")) & _likely(p)).select(F.col("rep").alias("x"), "y").distinct()
+    own = store(_ranged(own.join(split, "value", "left_semi"), p), "near-open")
+    other = own.select("value", "range", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("root").alias("root2"), *(F.col(o).alias(f"q{i}") for i, o in enumerate(ODD)))
+    return own.join(other, ["value", "range"]).filter((F.col("rep") > F.col("y")) & (F.col("root") != F.col("root2")) & _likely(p)).select(F.col("rep").alias("x"), "y").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,13 +244,13 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), key: st
         best = W.Window.partitionBy("x").orderBy(F.desc("estimate"), "y")
         chosen = store(tried.filter("near").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= p.first).select("x", "y"), "near-chosen")
         links = store(verified(chosen, whole, p), "near-links")
-        roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), store)
         done = tried.filter("NOT near").select("x", "y").union(chosen)
         rest = _across(listed, roots, p, store).join(done, ["x", "y"], "left_anti")
         rest = store(estimated(rest, classes, p).filter("near").select("x", "y"), "near-rest")
         more = store(verified(rest, whole, p), "near-links")
         if not more.isEmpty():
-            roots = components(links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
+            roots = components(links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")), store)
         found = classes.select("m1", "m2", "n", "rep").join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left")
         found = found.select("m1", "m2", "n", F.coalesce("root", "rep").alias("root"))
         linked = sets.select("id", "n", "m1", "m2").join(found, ["m1", "m2", "n"]).select("id", "n", "root")
