@@ -36,8 +36,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (shingles of five words, Jaccard similarity of at least 0.8), that with the least doc_id.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows
-    without doc_id stay.
+    Rows that repeat a doc_id are one document, of which the row with the least
+    text stays (then language, source and length; null before all). Rows without
+    doc_id stay.
     """
     docs = docs.select(*COLUMNS)
     gone = near_duplicates(docs, MinHashParams(words=5, num=80, den=100)).filter("NOT kept").select("doc_id").distinct()
@@ -45,7 +46,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return rows
-    once = rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    least = F.min(F.struct(*COLUMNS[1:])).alias("least")
+    once = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("doc_id", "least.*").select(*COLUMNS)
     return rows.join(again, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
 
 
