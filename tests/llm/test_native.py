@@ -134,7 +134,7 @@ CASES = [
 @pytest.mark.parametrize("docs", CASES)
 def test_mix_equals_closed_form(spark, docs):
     df = spark.createDataFrame([(k, t, s, 9) for k, t, s in docs], DOCS)
-    schedule, documents = mixing.mix(df, mixing.MixParams(block_words=16, slots_chunk=64, bucket_docs=8))
+    schedule, documents = mixing.mix(df, mixing.MixParams(block_words=16, slots_chunk=64, bucket_docs=8, span_buckets=3))
     got = sorted(((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in documents.collect()), key=str)
     assert got == taken(docs)
     assert sum(r.length for r in schedule.collect()) == sum(g[-1] for g in got)

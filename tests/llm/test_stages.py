@@ -86,6 +86,7 @@ def test_near_stage_keeps_one_row_of_a_document(spark):
     rows = [(5, t), (5, t), (5, t + " x"), (6, t), (7, "other"), (7, "other"), (None, t), (None, t)]
     got = c.near_dedup(spark, documents(spark, rows), "").collect()
     assert Counter(r.doc_id for r in got) == {5: 1, 7: 1, None: 2}
+    assert {r.text for r in got if r.doc_id == 5} == {t}
 
 
 def test_mixing_stage(spark):
