@@ -72,8 +72,8 @@ def letter_vector(code: int, dims: int, seed: int) -> np.ndarray:
     return _vectors[key]
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, codes, text, trigram, count): code points in use, each trigram as three indices into these, and in the order of text how often each text has which trigram."""
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, codes, text, trigram): code points in use, each trigram as three indices into these, and text and trigram of each occurrence, in the order of text."""
     low = [t.lower() for t in texts]
     points = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
     text_of = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
@@ -95,16 +95,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         col = col[code] if len(code) else code
     else:
         used, col = np.unique(code, return_inverse=True)
-    n = max(1, len(used))
-    pair = text_of[mid] * n + col
-    if len(low) * n <= DENSE:
-        count = np.bincount(pair, minlength=1)
-        pair = np.flatnonzero(count)
-        count = count[pair]
-    else:
-        pair, count = np.unique(pair, return_counts=True)
     codes = np.stack([used // (k * k), used // k % k, used % k]) if len(used) else np.zeros((3, 0), np.int64)
-    return symbols, codes, pair // n, pair % n, count
+    return symbols, codes, text_of[mid], col
 
 
 def _compact(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,26 +108,23 @@ def _compact(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def profiles(texts: list[str], p: LangParams) -> np.ndarray:
     """Unit profile of each text; a text without letters has zeros. Memory is bounded by BLOCK vectors of p.dims, whatever the script."""
-    symbols, codes, of, trigram, count = trigrams(texts)
-    out = np.zeros((len(texts), p.dims), np.float32)
-    if len(of):
+    symbols, codes, of, trigram = trigrams(texts)
+    out, n = np.zeros((len(texts), p.dims), np.float32), codes.shape[1]
+    if n:
         own = np.stack([letter_vector(int(c), p.dims, p.seed) for c in symbols])
         first, second, third = np.roll(own, 2, axis=1), np.roll(own, 1, axis=1), own
         bound = lambda at: (first[codes[0, at]] * second[codes[1, at]] * third[codes[2, at]]).astype(np.float32)
-        if len(texts) * codes.shape[1] <= 16 * len(of):  # texts share most trigrams: products of a table of counts
-            order = np.argsort(trigram, kind="stable")
-            cuts = np.searchsorted(trigram[order], np.arange(0, codes.shape[1] + BLOCK, BLOCK))
-            for i, lo in enumerate(range(0, codes.shape[1], BLOCK)):
-                at, width = order[cuts[i] : cuts[i + 1]], min(BLOCK, codes.shape[1] - lo)
-                counts = np.zeros((len(texts), width), np.float32)
-                counts[of[at], trigram[at] - lo] = count[at]
-                out += counts @ bound(np.arange(lo, lo + width))
-        else:
-            for lo in range(0, len(of), BLOCK):
-                at = slice(lo, lo + BLOCK)
-                rows = bound(trigram[at]) * count[at, None].astype(np.float32)
-                starts = np.flatnonzero(np.diff(of[at], prepend=-1))
-                out[of[at][starts]] += np.add.reduceat(rows, starts, axis=0)
+        pair = of * n + trigram
+        if len(texts) * n <= DENSE:
+            counts = np.bincount(pair, minlength=len(texts) * n).reshape(len(texts), n)
+            for lo in range(0, n, BLOCK):
+                out += counts[:, lo : lo + BLOCK].astype(np.float32) @ bound(np.arange(lo, min(lo + BLOCK, n)))
+        else:  # texts that share few trigrams
+            pair, count = np.unique(pair, return_counts=True)
+            for lo in range(0, len(pair), BLOCK):
+                own, times = pair[lo : lo + BLOCK], count[lo : lo + BLOCK, None].astype(np.float32)
+                starts = np.flatnonzero(np.diff(own // n, prepend=-1))
+                out[own[starts] // n] += np.add.reduceat(bound(own % n) * times, starts, axis=0)
     size = np.linalg.norm(out.astype(np.float64), axis=1, keepdims=True)
     return (out / np.where(size > 0, size, 1)).astype(np.float32)
 
