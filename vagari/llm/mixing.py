@@ -29,6 +29,7 @@ class MixParams:
     block_words: int = 256
     slots_chunk: int = 65536
     bucket_docs: int = 256
+    span_buckets: int = 4096
     max_sources: int = 100_000
 
 
@@ -91,8 +92,11 @@ def _laid_out(base: DataFrame, table: DataFrame, p: MixParams) -> DataFrame:
     buckets = max(1, -(-base.count() // p.bucket_docs))
     rows = base.join(F.broadcast(table), base["source"].eqNullSafe(table["_source"])).drop("_source")
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets, 32))
-    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("s"))
-    starts = sums.select("sid", "bucket", F.coalesce(F.sum("s").over(W.Window.partitionBy("sid").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    # Sums before a bucket in two steps, so that no task holds all buckets of a source.
+    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("s")).withColumn("span", F.expr(f"bucket div {p.span_buckets}"))
+    earlier = lambda c, keys, order: F.coalesce(F.sum(c).over(W.Window.partitionBy(*keys).orderBy(order).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    spans = sums.groupBy("sid", "span").agg(F.sum("s").alias("t")).select("sid", "span", earlier("t", ["sid"], "span").alias("base"))
+    starts = sums.withColumn("inner", earlier("s", ["sid", "span"], "bucket")).join(spans, ["sid", "span"]).select("sid", "bucket", (F.col("base") + F.col("inner")).alias("start"))
     w = W.Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size")
     inside = rows.withColumn("rn", F.row_number().over(w)).withColumn("upto", F.sum("size").over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
     return inside.join(starts, ["sid", "bucket"]).withColumn("at", F.col("start") + F.col("upto") - F.col("size")).drop("start", "upto")
