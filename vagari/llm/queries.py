@@ -89,7 +89,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES, overhead=SHARD_OVERHEAD)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_top_k, op4_minhash_dedup, op5_token_files, op6_packing, op7_mixing, op8_embedding_dedup, op9_language_id, op10_sharding)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_digest
+
+    return fill_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_top_k, op4_minhash_dedup, op5_token_files, op6_packing, op7_mixing, op8_embedding_dedup, op9_language_id, op10_sharding, op11_fill_in_middle)}
 
 _OP2 = r"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -152,4 +158,19 @@ SELECT doc_id, n_bytes, CAST(low.d AS INTEGER) AS depth, 's' || substr(lpad(bin(
 FROM low JOIN fits ON low.d = fits.d AND low.h >> (32 - low.d) = fits.p
 """
 
-ORACLES = {"op2_url_filter": _OP2, "op3_top_k": _OP3, "op7_mixing": _OP7, "op8_embedding_dedup": _OP8, "op10_sharding": _OP10}
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+e AS (SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+             CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                                   WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+             array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p,
+             array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+             array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS s FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM f
+"""
+
+ORACLES = {"op2_url_filter": _OP2, "op3_top_k": _OP3, "op7_mixing": _OP7, "op8_embedding_dedup": _OP8, "op10_sharding": _OP10, "op11_fill_in_middle": _OP11}
