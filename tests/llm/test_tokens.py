@@ -15,7 +15,7 @@ from vagari.llm.elias_fano import EliasFano
 from vagari.llm.queries import tokenizer_file
 from vagari.llm.token_files import token_digest
 
-ODD = ["", "a", "  a  b ", "a\n\n b", "  x  y", "x\u00a0 y", "z\u3000\u3000w \u00a0v", "it's we'll 'd  ", "<|endoftext|> hi", " lead", "trail ", "\t\tx\r\n y", "caf\u00e9's na\u00efve, \u00e9t\u00e9. a\u00d7b \u00f7c", "\u65e5\u672c\u8a9e \u30c6", " ", " \n ", "a" * 3000, "x.y,z don't. \u00c9!", "\U0001f600 ok", "e\u0301 a", None]
+ODD = ["", "a", "  a  b ", "a\n\n b", "  x  y", "x\u00a0 y", "z\u3000\u3000w \u00a0v", "it's we'll 'd  ", "<|endoftext|> hi", "hi <|endoftext|> there", "a<|endoftext|><|endoftext|>\u00a0 b<|endoftext|>", "x<|endoftext|", "|endoftext|>y", "<|endoftext|>", " lead", "trail ", "\t\tx\r\n y", "caf\u00e9's na\u00efve, \u00e9t\u00e9. a\u00d7b \u00f7c", "\u65e5\u672c\u8a9e \u30c6", " ", " \n ", "a" * 3000, "x.y,z don't. \u00c9!", "\U0001f600 ok", "e\u0301 a", None]
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,6 @@ def library():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_file())
-    tok.encode_special_tokens = True
     return lambda t: tok.encode(t or "", add_special_tokens=False).ids
 
 
@@ -54,6 +53,12 @@ def test_ids_equal_library_on_any_text(library, texts):
     assert ids_of(texts) == [library(t) for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endo", "ftext|>", " ", "a", "\u00a0", ",", "\n"]), max_size=8).map("".join), max_size=4))
+def test_added_tokens_equal_library(library, texts):
+    assert ids_of(texts) == [library(t) for t in texts]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 5000), max_size=1500))
 def test_elias_fano(steps):

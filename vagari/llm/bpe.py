@@ -5,12 +5,15 @@ character that isn't white space, and where ASCII punctuation follows a letter.
 Texts are cut there; each distinct unit is encoded once by the library and its
 ids are looked up after that, so ids equal those of whole texts. A unit of
 letters is one piece and goes straight to the library's model; the others pass
-its pre-tokenizer. Texts with white space beyond ASCII are encoded whole. Units
-are told apart by 64-bit hashes.
+its pre-tokenizer. Texts with white space beyond ASCII are encoded whole. Where
+a text has the string of one of the vocabulary's added tokens, it is cut before
+and after it, as the library does. Units are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,14 +24,14 @@ PUNCT = np.zeros(256, bool)
 PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_open: dict[str, "Encoder"] = {}
+_open: dict[tuple[str, bool], "Encoder"] = {}
 
 
-def encoder(path: str) -> "Encoder":
-    """One per Python worker and file."""
-    if path not in _open:
-        _open[path] = Encoder(path)
-    return _open[path]
+def encoder(path: str, added: bool = True) -> "Encoder":
+    """One per Python worker and file. With added=False the strings of added tokens are ordinary text."""
+    if (path, added) not in _open:
+        _open[path, added] = Encoder(path, added)
+    return _open[path, added]
 
 
 def _byte_chars() -> np.ndarray:
@@ -48,7 +51,7 @@ def _letters(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def _odd_space(buf: np.ndarray) -> np.ndarray:
+def odd_space(buf: np.ndarray) -> np.ndarray:
     """Where a white-space character beyond ASCII begins (U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000)."""
     if len(buf) < 2:
         return np.zeros(0, np.int64)
@@ -61,11 +64,17 @@ def _odd_space(buf: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = True):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = not added
+        tokens = self.tok.get_added_tokens_decoder().values()
+        apart = [t for t in tokens if added or not t.special]
+        if any(t.lstrip or t.rstrip or t.single_word for t in apart):
+            raise ValueError("an added token takes white space or asks for word ends around it: texts can't be cut there")
+        strings = sorted((t.content.encode() for t in apart), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, strings))) if strings else None
         n = self.tok.get_vocab_size()
         self.bytes_of = np.array([len(self.tok.id_to_token(i) or "") for i in range(n)], np.int64)
         self.byte_chars = _byte_chars()
@@ -122,20 +131,38 @@ class Encoder:
         place = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.n = np.insert(self.keys, place, keys), np.insert(self.at, place, starts), np.insert(self.n, place, counts)
 
+    def _parts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the texts and of the added tokens in them, and which of these parts are tokens. No token crosses the end of a text."""
+        spans = [m.span() for m in self.added.finditer(buf.tobytes())] if self.added else []
+        if spans:
+            a, b = np.array(spans, np.int64).T
+            inside = np.searchsorted(offs, a, "right") == np.searchsorted(offs, b, "left")
+            if not inside.all():  # the last bytes of one text and the first of the next look like a token
+                return self._parts_by_text(buf, offs)
+            parts = np.union1d(offs, np.concatenate([a, b]))
+            return parts, np.searchsorted(parts, a)
+        return np.unique(offs), np.zeros(0, np.int64)
+
+    def _parts_by_text(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        spans = [(lo + m.start(), lo + m.end()) for lo, hi in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True) for m in self.added.finditer(buf[lo:hi].tobytes())]
+        parts = np.union1d(offs, np.array(spans, np.int64).ravel())
+        return parts, np.searchsorted(parts, np.array([a for a, _ in spans], np.int64))
+
     def encode_chunk(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
         n = len(buf)
         if not n:
             return np.zeros(0, self.kind), np.zeros(len(offs) - 1, np.int64)
-        first = edges(offs, n)
+        parts, apart = self._parts(buf, offs)
+        first = edges(parts, n)
         cut = buf == 0x20
         cut[1:] &= ~SPACES[buf[:-1]]
         letters = _letters(buf)
         cut[1:] |= PUNCT[buf[1:]] & letters[:-1]
         cut[0] = False
-        odd = np.unique(np.searchsorted(offs, _odd_space(buf), "right") - 1)
+        odd = np.union1d(np.searchsorted(parts, odd_space(buf), "right") - 1, apart)
         for d in odd:
-            cut[offs[d] : offs[d + 1]] = False
+            cut[parts[d] : parts[d + 1]] = False
         s = np.flatnonzero(cut | first[:-1])
         e = np.append(s[1:], n)
         keys, where, back = np.unique(span_hashes(buf, s, e), return_index=True, return_inverse=True)
@@ -147,7 +174,7 @@ class Encoder:
             new = self.keys[np.minimum(place, len(self.keys) - 1)] != keys
         if new.any():
             w = where[new]
-            whole = np.isin(np.searchsorted(offs, s[w], "right") - 1, odd)
+            whole = np.isin(np.searchsorted(parts, s[w], "right") - 1, odd)
             self._learn(keys[new], buf, letters, s[w], e[w], whole)
             place = np.searchsorted(self.keys, keys)
         at, count = self.at[place][back].astype(np.int64), self.n[place][back].astype(np.int64)
