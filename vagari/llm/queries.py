@@ -103,7 +103,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_top_k, op4_minhash_dedup, op5_token_files, op6_packing, op7_mixing, op8_embedding_dedup, op9_language_id, op10_sharding, op11_fill_in_middle, op12_alignment)}
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import main_text
+
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_top_k, op4_minhash_dedup, op5_token_files, op6_packing, op7_mixing, op8_embedding_dedup, op9_language_id, op10_sharding, op11_fill_in_middle, op12_alignment, op13_main_text)}
 
 _OP2 = r"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
