@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+PACK = 8192  # values whose low bits are packed at a time; a multiple of 8
 BLOCK = 512  # bits of the upper part between two counts of the select directory
 
 
@@ -21,11 +22,11 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) + 1 if n else 0
         low = max(0, (top // max(n, 1)).bit_length() - 1)
-        bits = ((values[:, None] >> np.arange(low)[::-1]) & 1).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
+        lows = [np.packbits(((values[i : i + PACK, None] >> np.arange(low)[::-1]) & 1).astype(np.uint8).ravel()) for i in range(0, n, PACK)] if low else []
         place = (values >> low) + np.arange(n)
         highs = np.zeros(-(-(int(place[-1]) + 1) // BLOCK) * BLOCK if n else 0, np.uint8)
         highs[place] = 1
-        return cls(n, low, np.packbits(bits.ravel()), np.packbits(highs))
+        return cls(n, low, np.concatenate(lows) if lows else np.zeros(0, np.uint8), np.packbits(highs))
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.low, len(self.lows), len(self.highs)], "<i8").tobytes()
@@ -37,6 +38,10 @@ class EliasFano:
         lows = np.frombuffer(data, np.uint8, a, 32)
         return cls(n, low, lows, np.frombuffer(data, np.uint8, b, 32 + a))
 
+    def __len__(self) -> int:
+        """Bytes of to_bytes()."""
+        return 32 + len(self.lows) + len(self.highs)
+
     def select(self, lo: int, hi: int) -> np.ndarray:
         """Values lo..hi-1. Reads only the blocks that hold their ones."""
         if hi <= lo:

@@ -1,10 +1,10 @@
 """Token ids in binary files: one long array of ids and an Elias-Fano index of document ends.
 
 A shard is two files, <name>.ids (little-endian unsigned ids, 16-bit where the
-vocabulary allows it) and <name>.idx (magic, id width, number of documents,
-null mark and key of each, Elias-Fano ends). Shards hold consecutive ranges of
-the key, so a document's place in the corpus is its shard's base plus its own
-start.
+vocabulary allows it) and <name>.idx (magic, id width, numbers of null, negative
+and other keys, and three Elias-Fano lists: negative keys, other keys, ends).
+Shards hold consecutive ranges of the key, so a document's place in the corpus
+is its shard's base plus its own start. No list holds an entry of 64 bits.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from .common import whole_texts
 from .elias_fano import EliasFano
 from .kernels import chunks
 
-MAGIC = b"VGRIDS01"
+MAGIC = b"VGRIDS02"
+LEAST = -1 << 63
+SALTS = 64
 READ_IDS = 1 << 20
 SHARD_SCHEMA = "shard int, path string, n_docs long, n_ids long"
 
@@ -33,7 +35,9 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int, key: st
     """Encode all texts in order of key into shards under folder; returns a row for each shard, in order.
 
     Null text is empty and has only the end id; a null key comes first; rows that
-    repeat a key stand next to each other. Ids and ends are written as they come,
+    repeat a key stand next to each other, in the order of their texts' hash, so
+    places don't depend on the order of rows. A key that many rows repeat is cut
+    into several shards like any other range. Ids and ends are written as they come,
     so a shard needs memory for its ends only. A task that runs twice writes
     files of another name; only those of the task that counted are listed.
     """
@@ -65,14 +69,18 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int, key: st
         out.close()
         keys = pa.chunked_array(keys)
         n = len(keys)
+        known = keys.drop_null().to_numpy()  # nulls come first, then rising keys
+        low = int(np.searchsorted(known, 0))
         with store.open_output_stream(f"{place}/{name}.idx") as idx:
-            idx.write(MAGIC + np.array([enc.kind().itemsize, n], "<i8").tobytes())
-            idx.write(np.packbits(np.asarray(keys.is_null())).tobytes())
-            idx.write(keys.fill_null(0).to_numpy().astype("<i8").tobytes())
-            idx.write(EliasFano.of(np.concatenate(ends)).to_bytes())
+            idx.write(MAGIC + np.array([enc.kind().itemsize, n - len(known), low, len(known) - low], "<i8").tobytes())
+            for rising in (known[:low] - LEAST, known[low:], np.concatenate(ends)):
+                idx.write(EliasFano.of(rising).to_bytes())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([base], pa.int64())})
 
-    ordered = whole_texts(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
+    # Rows alike in key and text are interchangeable, so a salt may deal them to several shards.
+    order = ["key", "hash", "salt"]
+    rows = whole_texts(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
     return sorted(ordered.mapInArrow(write, SHARD_SCHEMA).collect(), key=lambda r: r.shard)
 
 
@@ -85,11 +93,22 @@ class Shard:
             data = f.read()
         if data[:8] != MAGIC:
             raise ValueError(f"{path} is no index of token ids")
-        self.width, self.n = np.frombuffer(data, "<i8", 2, 8).tolist()
-        marks = -(-self.n // 8)
-        self.null = np.unpackbits(np.frombuffer(data, np.uint8, marks, 24))[: self.n].astype(bool)
-        self.keys = np.frombuffer(data, "<i8", self.n, 24 + marks)
-        self.ends = EliasFano.from_bytes(data[24 + marks + 8 * self.n :])
+        self.width, self.nulls, self.below, above = np.frombuffer(data, "<i8", 4, 8).tolist()
+        self.n = self.nulls + self.below + above
+        lists, at = [], 40
+        for _ in range(3):
+            lists.append(EliasFano.from_bytes(data[at:]))
+            at += len(lists[-1])
+        self.negative, self.rest, self.ends = lists
+
+    def keys(self, lo: int, hi: int) -> pd.array:
+        """Keys of documents lo..hi-1."""
+        span = lambda first, n: (min(max(lo - first, 0), n), min(max(hi - first, 0), n))
+        a, b = span(0, self.nulls)
+        known = [self.negative.select(*span(self.nulls, self.below)) + LEAST, self.rest.select(*span(self.nulls + self.below, self.rest.n))]
+        out = pd.array(np.concatenate([np.zeros(b - a, np.int64), *known]), "Int64")
+        out[: b - a] = pd.NA
+        return out
 
     def offsets(self, lo: int, hi: int) -> np.ndarray:
         """Start of document lo, then the end of each of lo..hi-1."""
@@ -131,9 +150,7 @@ def read_digest(spark: SparkSession, shards: list, key: str = "doc_id") -> DataF
                 for first, offs, ids in shard.documents():
                     to = first + len(offs) - 1
                     crcs = [ids_crc32(ids[a - offs[0] : b - offs[0]]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-                    keys = pd.array(shard.keys[first:to], "Int64")
-                    keys[shard.null[first:to]] = pd.NA
-                    yield pd.DataFrame({key: keys, "start": base + offs[:-1], "n_tokens": np.diff(offs), "ids_crc32": crcs, "shard": number})
+                    yield pd.DataFrame({key: shard.keys(first, to), "start": base + offs[:-1], "n_tokens": np.diff(offs), "ids_crc32": crcs, "shard": number})
 
     listed = spark.createDataFrame(rows, "shard int, path string, base long").repartition(max(1, len(rows)))
     return listed.mapInPandas(read, f"{key} long, start long, n_tokens long, ids_crc32 long, shard int")
