@@ -95,6 +95,23 @@ def test_files_hold_all_documents(spark, library):
     assert token_digest(docs(spark, []), tokenizer_file()).count() == 0
 
 
+def test_keys_of_any_size_and_repeated_keys_in_any_order(spark, library):
+    rows = [(k, f"t {k}") for k in (-(1 << 63), -5, -1, 0, 7, 1 << 40, (1 << 63) - 1)] + [(7, f"text {i}") for i in range(30)] + [(None, f"null {i}") for i in range(9)] + [(3, "same")] * 40
+    runs = [token_digest(docs(spark, rows[::step]).repartition(n), tokenizer_file(), end_id=0).drop("shard").collect() for step, n in ((1, 1), (-1, 5))]
+    one, two = (sorted(map(tuple, r), key=str) for r in runs)
+    assert one == two and len(one) == len(rows)
+    assert [r.doc_id for r in sorted(runs[0], key=lambda r: r.start)] == [k for k, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))]
+
+
+def test_packing_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 70, "some words " * (i * 13 % 90)) for i in range(200)] + [(None, None)] * 5
+    p = packing.PackParams(tokenizer_file(), group_docs=40)
+    one, two = (sorted(map(tuple, packing.pack(docs(spark, rows[::step]).repartition(n), p).collect()), key=str) for step, n in ((1, 1), (-1, 5)))
+    assert one == two
+    many = packing.pack(docs(spark, [(1, "a b")] * 300 + [(2, "c")]), p).collect()
+    assert len({r.doc_id for r in many}) == 2 and len(many) >= 301 and len({r.sequence_id >> 32 for r in many}) > 3
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(i, t) for i, t in enumerate(ODD)], [(7, "word " * 9000), (7, "word " * 9000), (None, "x")], [(i, "some words " * (i * 13 % 700)) for i in range(150)]])
 def test_packing_covers_each_id_once(spark, library, rows):
     p = packing.PackParams(tokenizer_file(), group_docs=40, with_ids=True)

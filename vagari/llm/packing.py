@@ -142,16 +142,24 @@ def pack(docs: DataFrame, p: PackParams, key: str = "doc_id", text: str = "text"
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset; with p.with_ids also ids, its 32-bit ids as bytes.
 
     Every document has p.end_id as its last id, so null and empty texts have one
-    id. Rows are dealt to groups at random (by hash), each row on its own, so
-    repeated rows and keys spread. A sequence holds at most p.length ids without
+    id. Rows are dealt to groups at random, by a hash of key and text, and stand
+    there in a fixed order, so the result doesn't depend on the order of rows and
+    a task that runs again gives the same. Where more than p.group_docs rows have
+    the same key and text, these rows, and only these, are dealt by their place,
+    so that they spread. A sequence holds at most p.length ids without
     gaps; at most p.least_cut - 1 places of a group's sequences stay empty, and
     none where a sequence's size is a power of two. Whole texts are encoded once,
     in the task that packs them. An empty table has no pieces.
     """
     groups = max(1, -(-docs.count() // p.group_docs))
-    dealt = whole_texts(docs).select(F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(groups)).cast("long").alias("g"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = whole_texts(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("hash"))
+    often = rows.groupBy("hash").count().filter(F.col("count") > p.group_docs).select("hash", F.lit(True).alias("often"))
+    salt = F.lit(0).cast("long")
+    if not often.isEmpty():
+        rows, salt = rows.join(often, "hash", "left"), F.when(F.col("often"), F.monotonically_increasing_id()).otherwise(0)
+    dealt = rows.select(F.pmod(F.xxhash64("hash", salt), F.lit(groups)).cast("long").alias("g"), "key", "text", "hash")
     tasks = min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartitionById(tasks, F.expr(f"cast(g * {tasks} div {groups} as int)")).sortWithinPartitions("g")
+    dealt = dealt.repartitionById(tasks, F.expr(f"cast(g * {tasks} div {groups} as int)")).sortWithinPartitions("g", "key", "hash").select("g", "key", "text")
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         keys, starts, ids, n, seq, offset = zip(*rows, strict=True)
