@@ -64,11 +64,9 @@ def list_rule(line: str) -> Rule:
     return Rule(line, f"(?s){start}{pattern}{end}", tuple(dict.fromkeys(whole)), "allow" if allow else "block", len(line) + (1 << 20) * allow)
 
 
-def rules_of(table: DataFrame, column: str = "line", most: int = 200_000) -> list[Rule]:
-    """The rules of a table of filter lines; null, empty and comment lines ('!') are none. A list for people to keep, so it has a bound: more than 'most' lines are an error."""
-    lines = table.select(F.trim(column).alias("line")).filter("line <> '' AND NOT startswith(line, '!')").distinct().limit(most + 1).collect()
-    if len(lines) > most:
-        raise ValueError(f"more than {most} filter lines")
+def rules_of(table: DataFrame, column: str = "line") -> list[Rule]:
+    """The rules of a table of filter lines; null, empty and comment lines ('!') are none. A filter list is kept by people and doesn't grow with the pages; it is parsed on the driver, however long."""
+    lines = table.select(F.trim(column).alias("line")).filter("line <> '' AND NOT startswith(line, '!')").distinct().collect()
     return [list_rule(r.line) for r in sorted(lines)]
 
 
@@ -145,9 +143,14 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url:
         fitting = F.filter(_inline(index, numbers, F.col(words)), lambda n: _fits(n, place, rules))
         judged = tokens.withColumn(best, F.array_max(F.transform(fitting, given))).drop(words)
     else:
-        filed = pages.sparkSession.createDataFrame([(t, r.rank, r.name, r.pattern, r.verdict) for t, rs in index.items() for r in rs], "t string, rank int, name string, pattern string, verdict string")
-        places = seen.distinct().withColumn("t", F.explode(F.concat("tokens", F.array(F.lit("")))))
+        filed = pages.sparkSession.createDataFrame([(t, r.rank, r.name, r.pattern, r.verdict) for t, rs in index.items() if t for r in rs], "t string, rank int, name string, pattern string, verdict string")
+        places = seen.distinct().withColumn("t", F.explode("tokens"))
         fits = places.join(filed, "t").filter(F.regexp_like(place, F.col("pattern"))).groupBy(place.alias(joined)).agg(F.max(F.struct("rank", "name", "verdict")).alias(best))
         judged = rows.join(fits, place == F.col(joined), "left").drop(joined)
+        if "" in index:  # rules without a literal token: they run on each url where it stands
+            kind = "array<struct<rank:int,name:string,verdict:string,pattern:string>>"
+            bare = F.array(*(F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern")) for r in index[""])).cast(kind)
+            hit = F.transform(F.filter(bare, lambda r: F.regexp_like(place, r["pattern"])), lambda r: F.struct(r["rank"].alias("rank"), r["name"].alias("name"), r["verdict"].alias("verdict")))
+            judged = judged.withColumn(best, F.array_max(F.concat(hit, F.array(best))))
     out = judged.withColumn("rule", F.when(F.col(best)["rank"] > 0, F.col(best)["name"])).withColumn("verdict", F.coalesce(F.col(best)["verdict"], F.lit(default)))
     return out.drop(best, own)
