@@ -28,13 +28,13 @@ BLOCK = 2048
 
 @dataclass(frozen=True)
 class LangParams:
-    """per_language: about so many labelled texts of each language are learned from, chosen by hash; all where there are fewer. max_languages: so many languages have a prototype, those with the most labelled texts (then by name)."""
+    """per_language: about so many labelled texts of each language are learned from, chosen by hash; all where there are fewer. Every language that a learned row names has a prototype; texts are compared with 'at_once' of these at a time."""
 
     dims: int = 1024
     per_language: int = 2000
     folds: int = 5
     seed: int = 7
-    max_languages: int = 1000
+    at_once: int = 1000
     chunk_bytes: int = 1 << 19
 
 
@@ -141,12 +141,13 @@ def fold(key: str, folds: int) -> Column:
 def learn(docs: DataFrame, p: LangParams, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Unit prototype of each language, from rows with text, lang and key outside fold 0.
 
-    The driver gets a count and a vector for each language, no rows. Null keys
+    The driver gets a count and a vector of p.dims numbers for each language, no
+    rows: the classifier's size. Null keys
     are never learned from. Languages none of whose sampled texts has a letter
     get no prototype.
     """
     rows = whole_texts(docs).select(F.col(key).alias(key), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(key, p.folds) != 0))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return {}
     scale = 1 << 30
@@ -175,6 +176,18 @@ def learn(docs: DataFrame, p: LangParams, key: str = "doc_id", text: str = "text
     return dict(sorted(out.items()))
 
 
+def nearest(own: np.ndarray, matrix: np.ndarray, at_once: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the column with the highest product, the first among equals, and the product."""
+    best, high = np.zeros(len(own), np.int64), np.full(len(own), -np.inf, np.float32)
+    for lo in range(0, matrix.shape[1], at_once):
+        cos = own @ matrix[:, lo : lo + at_once]
+        at = cos.argmax(axis=1)
+        top = cos[np.arange(len(own)), at]
+        better = top > high
+        best[better], high[better] = lo + at[better], top[better]
+    return best, high
+
+
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], p: LangParams, text: str = "text", counts: bool = False) -> DataFrame:
     """docs with lang_pred and score, which replace columns of these names; with 'counts' also n_letters and n_signs, how many letters and punctuation marks or symbols a text has.
 
@@ -183,7 +196,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], p: LangParams,
     text if nothing was learned: 'und' with score 0. Only the text is read.
     """
     names = list(prototypes)
-    matrix = np.stack([prototypes[n] for n in names]).T.astype(np.float32) if names else None
+    matrix = docs.sparkSession.sparkContext.broadcast(np.stack([prototypes[n] for n in names]).T.astype(np.float32)) if names else None
     added = ["lang_pred", "score", *(["n_letters", "n_signs"] if counts else [])]
     kept = [c for c in docs.columns if c not in added]
     source = whole_texts(docs.select(*kept))
@@ -196,10 +209,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], p: LangParams,
                 pred, score = ["und"] * len(texts), np.zeros(len(texts))
                 if names:
                     own = profiles(texts, p)
-                    cos = own @ matrix
-                    best = cos.argmax(axis=1)
+                    best, high = nearest(own, matrix.value, p.at_once)
                     for i in np.flatnonzero(np.abs(own).sum(axis=1) > 0):
-                        pred[i], score[i] = names[best[i]], min(1.0, max(0.0, float(cos[i, best[i]])))
+                        pred[i], score[i] = names[best[i]], min(1.0, max(0.0, float(high[i])))
                 part = batch.slice(lo, hi - lo)
                 more = [pa.array(c) for c in character_counts(texts)] if counts else []
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score), *more], names=[*kept, *added])
