@@ -24,6 +24,7 @@ from .common import Scratch, stored
 from .vectors import matrix
 
 BLOCK_SCHEMA = "block long, n int, dims int, width int, low binary, most binary, ids binary, null_id binary, slices binary, q_at binary, q_values binary"
+TASKS = 4  # times the cores, the most tasks that cells are dealt to
 LIMIT, LONG, WIDE = 1 << 62, (1 << 63) - 1, 1 << 24
 
 
@@ -252,8 +253,9 @@ def search(blocks: DataFrame, p: TopKParams, key: str = "vec_id", store=stored)
     left = left.select("cell", "dims", F.lit(0).alias("side"), F.col("q_block").alias("at"), F.lit(0).alias("n"), F.lit(0).alias("width"), *empty("low", "most"), F.col("q_ids").alias("ids"), *empty("null_id", "slices"), "q_at", "q_values")
     right = rows.join(cells.withColumnRenamed("a", "stripe"), ["dims", "stripe"]).select("cell", "block").join(blocks, "block")
     right = right.select("cell", "dims", F.lit(1).alias("side"), F.col("block").alias("at"), "n", "width", "low", "most", "ids", "null_id", "slices", *empty("q_at", "q_values"))
-    many = max(1, cells.count())
-    meets = left.unionByName(right).repartitionById(many, "cell").sortWithinPartitions("cell", "side", "at")
+    n = max(1, cells.count())
+    many = min(n, TASKS * spark.sparkContext.defaultParallelism)
+    meets = left.unionByName(right).repartitionById(many, F.expr(f"cast(cell * {many}L div {n} as int)")).sortWithinPartitions("cell", "side", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
