@@ -10,12 +10,13 @@ from oracle import rows_of_duckdb, rows_of_spark
 
 from vagari.llm import mixing, sharding
 from vagari.llm import queries as q
+from vagari.llm import url_filter
 from vagari.llm.url_filter import Rule, host_rule, judge_urls, rules_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@pytest.mark.parametrize("key", ["op2_url_filter", "op3_top_k", "op7_mixing", "op8_embedding_dedup", "op10_sharding"])
+@pytest.mark.parametrize("key", ["op2_url_filter", "op3_top_k", "op7_mixing", "op8_embedding_dedup", "op10_sharding", "op11_fill_in_middle"])
 def test_query_equals_sql(spark, key):
     assert rows_of_spark(q.QUERIES[key](spark, SF)) == rows_of_duckdb(q.ORACLES[key], SF)
 
@@ -102,6 +103,16 @@ def test_thousands_of_filter_lines(spark):
     assert got == want and {v for _, v in want.values()} == {"allow", "block"}
 
 
+def test_lines_without_a_literal_beside_thousands_of_others(spark):
+    lines = [f"||host{i}.com^" for i in range(200)] + ["*oo*a*", "@@*x*z*", "*q*"]
+    rules = [url_filter.list_rule(x) for x in lines]
+    assert sum(not r.tokens for r in rules) == 3
+    urls = ["http://foo.net/abc", "http://host3.com/", "http://host3.com/oo/a", "http://x.org/yz", "http://none.org/", None]
+    by = [{r.url: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules, inline=n).collect()} for n in (128, 1000)]
+    assert by[0] == by[1] and by[0]["http://x.org/yz"] == ("@@*x*z*", "allow") and by[0]["http://foo.net/abc"] == ("*oo*a*", "block")
+    assert by[0]["http://host3.com/"] == ("||host3.com^", "block") and by[0][None] == (None, "allow")
+
+
 DOCS = "doc_id long, text string, source string, size long"
 
 

@@ -343,10 +343,28 @@ def test_profiles_of_many_scripts_take_little_memory():
     assert np.allclose(got[:3], plain_profiles(texts[:3], p), atol=1e-5)
 
 
-def test_most_frequent_languages_are_learned(spark):
-    rows = [(i, "some text", f"l{i % 3}") for i in range(30)] + [(100, "other text", "rare")]
+def test_every_language_is_learned(spark):
+    rows = [(i, "some text", f"l{i % 3}") for i in range(30)] + [(100, "other text", "rare")] + [(200 + i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} words", f"m{i}") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert "rare" not in langid.learn(df, langid.LangParams(max_languages=3)) and len(langid.learn(df, langid.LangParams())) == 4
+    learned = langid.learn(df, langid.LangParams())
+    want = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    assert set(learned) == want and len(want) > 40
+    one, two = ([tuple(r) for r in langid.predict(df, langid.LangParams(at_once=n)).orderBy("doc_id").collect()] for n in (1000, 7))
+    assert [r[:3] for r in one] == [r[:3] for r in two] and np.allclose([r[3] for r in one], [r[3] for r in two], atol=1e-6)
+
+
+def test_wide_and_extreme_vectors(spark):
+    rng = np.random.default_rng(5)
+    wide = rng.standard_normal((60, 2500))
+    wide[1::3] = wide[::3] + rng.standard_normal((20, 2500)) * 0.3  # cosines near the threshold
+    rows = [(i, v.tolist()) for i, v in enumerate(wide)]
+    rows += [(100 + i, [s, 2 * s, -s]) for i, s in enumerate([1e200, 1e-200, 1.0, 5e-324 * 8, 1e308 / 4])] + [(200, [1e200, -1e200, 1e200]), (201, [1e-300, 0.0, 0.0])]
+    got = {r.vec_id: r for r in ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), ed.EmbeddingParams(block_rows=16)).collect()}
+    unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert [got[i].n_links for i in range(60)] == links.tolist() and links.sum() > 10
+    assert all(got[100 + i].n_links == 4 and got[100 + i].component_id == 100 for i in range(5))
+    assert got[200].n_links == got[201].n_links == 0
 
 
 def reflowed(t):

@@ -26,6 +26,8 @@ from .vectors import matrix
 TILE_SCHEMA = "tile int, dims int, n int, ids binary, weight binary, x binary"
 TILE_BYTES = 4 << 20
 ROUNDING = 1e-6  # far above the float32 and float64 rounding of the bounds themselves
+EXACT = 1024  # so many products of int8 codes have an exact sum in float32
+TASKS = 4  # times the cores, the most tasks that cells are dealt to
 
 
 @dataclass(frozen=True)
@@ -50,20 +52,44 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return codes, scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that their largest component is near 1: squares neither overflow nor vanish, and no digit changes."""
+    _, e = np.frexp(np.abs(x).max(axis=1))
+    half = -e // 2  # in two steps, as 2 to the power -e may itself be too large
+    return np.ldexp(np.ldexp(x, half[:, None]), (-e - half)[:, None])
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact products of rows of codes, which are float32."""
+    if a.shape[1] <= EXACT:
+        return a @ b.T
+    out = np.zeros((len(a), len(b)))
+    for lo in range(0, a.shape[1], EXACT):
+        out += a[:, lo : lo + EXACT] @ b[:, lo : lo + EXACT].T
+    return out
+
+
 def linked(x: np.ndarray, y: np.ndarray, p: EmbeddingParams, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (rows of x, rows of y) with cosine >= threshold; each pair once if x is y."""
+    """Index pairs (rows of x, rows of y) with cosine >= threshold; each pair once if x is y.
+
+    The largest errors of a block rule most pairs out at once, those of the two
+    vectors most of the others; what is left is computed in double precision.
+    """
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     (cx, sx, qx, ex), (cy, sy, qy, ey) = quantise(x / nx[:, None]), quantise(y / ny[:, None])
-    fx, fy = cx.astype(np.float32), cy.astype(np.float32)  # products of int8 codes are exact in float32 up to 1,000 dimensions
-    step = p.block_rows
+    fx, fy = cx.astype(np.float32), cy.astype(np.float32)
+    step, rounding = p.block_rows, ROUNDING * (1 + x.shape[1] / 1000)
     for i in range(0, len(x), step):
         for j in range(i if same else 0, len(y), step):
             a, b = slice(i, i + step), slice(j, j + step)
-            slack = qx[a].max() * ey[b].max() + ex[a].max() * qy[b].max() + ex[a].max() * ey[b].max() + ROUNDING * (1 + x.shape[1] / 1000)
-            product = fx[a] @ fy[b].T
-            product *= sy[b].astype(np.float32)
-            r, c = np.nonzero(product >= ((p.threshold - slack) / sx[a]).astype(np.float32)[:, None])
+            slack = qx[a].max() * ey[b].max() + ex[a].max() * qy[b].max() + ex[a].max() * ey[b].max() + rounding
+            product = products(fx[a], fy[b])
+            product *= sy[b].astype(product.dtype)
+            r, c = np.nonzero(product >= ((p.threshold - slack) / sx[a]).astype(product.dtype)[:, None])
+            code = product[r, c]
             r, c = r + i, c + j
+            own = code * sx[r] + qx[r] * ey[c] + ex[r] * qy[c] + ex[r] * ey[c] + rounding >= p.threshold
+            r, c = r[own], c[own]
             if same and i == j:
                 r, c = r[r < c], c[r < c]
             for lo in range(0, len(r), p.pairs):
@@ -88,7 +114,8 @@ def _tiles(classes: DataFrame, p: EmbeddingParams, store) -> DataFrame:
                 held.setdefault(int(size), []).append((part.column(0).to_numpy(), part.column(1).to_numpy(), matrix(part.column(2))[0]))
         for size, parts in held.items():
             ids, weight, x = (np.concatenate(c) for c in zip(*parts, strict=True))
-            step = max(256, min(p.tile_rows, TILE_BYTES // (8 * size)))
+            step = max(1, min(p.tile_rows, max(256, TILE_BYTES // (8 * size))))
+            x = scaled(x)
             for lo in range(0, len(ids), step):
                 own = slice(lo, lo + step)
                 row = {"tile": number, "dims": size, "n": len(ids[own]), "ids": ids[own].tobytes(), "weight": weight[own].tobytes(), "x": x[own].tobytes()}
@@ -100,7 +127,7 @@ def _tiles(classes: DataFrame, p: EmbeddingParams, store) -> DataFrame:
 
 
 def _cells(tiles: DataFrame, p: EmbeddingParams, store) -> DataFrame:
-    """Each tile (cell, side, and its columns) in the cells of a triangular grid in which its products are made, a cell a task.
+    """Each tile (cell, side, and its columns) in the cells of a triangular grid in which its products are made; a task takes a run of cells.
 
     The tiles of one length stand in stripes. A cell joins two stripes, so a tile
     goes to as many cells as there are stripes, and a pair of tiles meets in one.
@@ -114,9 +141,10 @@ def _cells(tiles: DataFrame, p: EmbeddingParams, store) -> DataFrame:
     placed = placed.select("tile", F.struct("dims", F.least("stripe", "other").alias("a"), F.greatest("stripe", "other").alias("b")).alias("cell"), (F.col("stripe") > F.col("other")).cast("int").alias("side"))
     placed = store(placed, "vector-stripes")
     cells = store(placed.select("cell").distinct().withColumn("task", F.row_number().over(W.Window.orderBy("cell")) - 1), "vector-cells")
-    many = max(1, cells.count())
+    n = max(1, cells.count())
+    many = min(n, TASKS * spark.sparkContext.defaultParallelism)
     out = placed.join(cells, "cell").join(tiles, "tile").select("task", "cell", "side", "tile", "dims", "n", "ids", "weight", "x")
-    return out.repartitionById(many, "task").sortWithinPartitions("cell", "side", "tile")
+    return out.repartitionById(many, F.expr(f"cast(task * {many}L div {n} as int)")).sortWithinPartitions("cell", "side", "tile")
 
 
 def _links(tiles: DataFrame, p: EmbeddingParams, store) -> DataFrame:
