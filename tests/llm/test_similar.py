@@ -161,6 +161,31 @@ def test_near_duplicates_corners(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (None, 2, None, True), (3, 0, 3, True)], key=str)
 
 
+def template(seed, many, size, own):
+    """Documents that share a text but for words of their own in fixed places."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(size)]
+    return [(i, " ".join(f"d{i}x{j}" if j % own == own - 1 else w for j, w in enumerate(base))) for i in range(many)] + [(many, " ".join(base))]
+
+
+def test_documents_of_one_template_give_no_pairs(spark, monkeypatch):
+    from vagari.llm import minhash_dedup as m
+
+    counted = m.Scratch.store
+    sizes = {}
+
+    def store(self, df, name, keep=counted):
+        out = keep(self, df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(m.Scratch, "store", store)
+    # 25 of 396 shingles are a document's own: 0.88 to each other, below 0.9, though all share the rest.
+    df = spark.createDataFrame(template(1, 1500, 400, 80), "doc_id long, text string")
+    rows = near_duplicates(df, MinHashParams(num=90, den=100)).collect()
+    assert all(r.kept for r in rows) and sizes["near-lists"] > 1500 and sizes["near-rest"] == 0
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)] + [(500, 500 + i) for i in range(1, 40)] + [(7, 7)]

@@ -12,7 +12,8 @@ shingle flips one, so that two sets differ in at least as many shingles as their
 odd sketches in bits. Pairs that differ too much for the threshold end there. A list isn't expanded into its pairs. First
 each class is compared with the first of its list (and of its range of sizes);
 that joins groups of copies. After that only pairs of a list whose components
-still differ are compared, so no link between components is lost. The sketch of
+still differ and whose common values begin early enough are compared, so no link
+between components is lost. The sketch of
 a pair's union estimates its similarity and drops pairs far below the threshold;
 the Jaccard similarity of whole sets decides about the others.
 """
@@ -86,19 +87,19 @@ def _odd_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def postings(sets: DataFrame, column: str, p: MinHashParams, whole: bool, share) -> DataFrame:
-    """value, rep, n: the listed values of each class, from its sketch or its whole set; for whole sets also the odd sketch. Values that surely occur once are left out."""
+    """value, rep, n: the listed values of each class, from its sketch or its whole set; for whole sets also its place among the set's values by rarity and the odd sketch. Values that surely occur once are left out."""
 
     def values(batch: pa.RecordBatch) -> np.ndarray:
         # Hashes of a sketch are small numbers; mixed again they spread over the buckets.
         return mixed(np.frombuffer(b"".join(batch.column(0).to_pylist()), U))
 
     rarity, repeated = map(share, buckets.rarity_and_repeats(sets.select(column), values))
-    odd = ODD if whole else []
+    odd = ["pos", *ODD] if whole else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, ns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out, of, flips = [np.zeros(0, U)], [np.zeros(0, np.int64)], np.zeros((batch.num_rows, len(ODD)), np.int64)
+            out, of, at, flips = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros((batch.num_rows, len(ODD)), np.int64)
             for i, data in enumerate(batch.column(2)):
                 s = np.frombuffer(data.as_buffer(), U)
                 n = int(ns[i])
@@ -107,13 +108,15 @@ def postings(sets: DataFrame, column: str, p: MinHashParams, whole: bool, share)
                     least = min(least, p.least)
                 h = mixed(s)
                 listed = np.lexsort((s, rarity.value[buckets.bucket(h)], again := repeated.value.has(h)))[: len(s) - least + 1]
-                listed = listed[again[listed]]
+                place = np.flatnonzero(again[listed])
+                listed = listed[place]
                 out.append(s[listed])
+                at.append(place)
                 of.append(np.full(len(listed), i))
                 if whole and len(listed):
                     flips[i] = _odd_sketch(s)
             of = np.concatenate(of)
-            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(out)), pa.array(reps[of]), pa.array(ns[of]), *(pa.array(flips[of, i]) for i in range(len(odd)))], names=["value", "rep", "n", *odd])
+            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(out)), pa.array(reps[of]), pa.array(ns[of]), *([pa.array(np.concatenate(at)), *(pa.array(flips[of, i]) for i in range(len(ODD)))] if whole else [])], names=["value", "rep", "n", *odd])
 
     return sets.select("rep", "n", column).mapInArrow(run, ", ".join(f"{c} long" for c in ("value", "rep", "n", *odd)))
 
@@ -212,13 +215,26 @@ def _stars(listed: DataFrame, p: MinHashParams) -> DataFrame:
     return keyed.join(first, ["value", "range"]).filter((F.col("rep") != F.col("y")) & _likely(p)).select(F.col("rep").alias("x"), "y").distinct()
 
 
+def _room(n, pos, other, p: MinHashParams):
+    """Whether a class of n values whose first common value is at pos can be alike to one of 'other' values: what follows is all that can be common."""
+    return (n - pos) * (p.num + p.den) >= (n + other) * p.num
+
+
 def _across(listed: DataFrame, roots: DataFrame, p: MinHashParams, store) -> DataFrame:
-    """Pairs of a list, in a range of sizes, whose components differ."""
+    """Pairs of a list, in a range of sizes, whose components differ and whose sizes, places and odd sketches allow the threshold.
+
+    In a pair alike the shorter class has its first common value so early that it
+    leaves room for one of its own size. So only such postings are joined with
+    the list: where many documents share a template below the threshold, their
+    rarer values come first, none of them is early, and the list gives no pair.
+    """
     own = listed.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     split = own.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("value")
     own = store(_ranged(own.join(split, "value", "left_semi"), p), "near-open")
-    other = own.select("value", "range", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("root").alias("root2"), *(F.col(o).alias(f"q{i}") for i, o in enumerate(ODD)))
-    return own.join(other, ["value", "range"]).filter((F.col("rep") > F.col("y")) & (F.col("root") != F.col("root2")) & _likely(p)).select(F.col("rep").alias("x"), "y").distinct()
+    early = own.filter(_room(F.col("n"), F.col("pos"), F.col("n"), p))
+    other = own.select("value", "range", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("root").alias("root2"), *(F.col(o).alias(f"q{i}") for i, o in enumerate(ODD)))
+    fits = (F.col("root") != F.col("root2")) & (F.col("n") <= F.col("m")) & _room(F.col("n"), F.col("pos"), F.col("m"), p) & _room(F.col("m"), F.col("pos2"), F.col("n"), p)
+    return early.join(other, ["value", "range"]).filter(fits & _likely(p)).select(F.greatest("rep", "y").alias("x"), F.least("rep", "y").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
