@@ -84,6 +84,22 @@ def test_line_dedup_of_many_random_lines(spark):
         assert {r.doc_id: r.removed for r in line_report(df, p).collect()} == (want if p.num == 4 else removed_by_hand(rows, 3, 5))
 
 
+def test_line_dedup_whatever_the_number_of_partitions(spark):
+    from vagari.llm import line_dedup
+    from vagari.llm.common import settings as session
+
+    rng = random.Random(3)
+    lines = varied(5, 150, 10, 40, 4) + [f"same first {rng.choice('abcdefgh')} {rng.randrange(30)}" for _ in range(150)]
+    rows = [(i, "\n".join(lines[i * 5 : i * 5 + 5])) for i in range(60)]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), removed_by_hand(rows)
+    for n in ("2", "200"):
+        with session(spark, spark_sql_shuffle_partitions=n):
+            got = {r.doc_id: r.removed for r in line_report(df, LineParams(frequent=10**6, flush_bytes=2000, block_bytes=3000)).collect()}
+        assert got == want
+    sets = lambda n: spark.range(n).selectExpr("cast(10 as int) AS words")
+    assert [line_dedup._bucket_count(sets(n), LineParams(block_bytes=520)) for n in (1, 1000, 4000)] == [16, 4 * 139, 4 * 554]
+
+
 def test_own_columns_stay(spark):
     names = ["_removed", "_doc", "_row", "_key", "_hash", "_count", "times", "sid"]
     df = spark.createDataFrame([(1, "a b\nc", *"stuvwxyz"), (2, "c\nd", *"stuvwxyz")], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))

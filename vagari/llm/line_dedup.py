@@ -27,7 +27,7 @@ from .common import Scratch, free, stored, whole_texts
 from .kernels import LANES, LOWERED, U, chunks, mixed, span_hashes, trim, words
 
 POSTING = np.dtype([("key", "<u4"), ("sid", "<u8"), ("sig", "<u8"), ("sig2", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
-LINES = "sid long, doc long, row long, line int, of int"
+LINES = "sid long, doc long, row long, line int, of int, words int"
 LAST = (1 << 63) - 1
 
 
@@ -236,7 +236,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _lines(rows: DataFrame, bits: int) -> DataFrame:
-    """In one pass over the texts: the sets of all lines with words (of: how many of them a text has), and the words' counts (rows with a part)."""
+    """In one pass over the texts: the sets of all lines with words (of: how many of them a text has; words: their size), and the words' counts (rows with a part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = buckets.Counter(bits)
@@ -247,25 +247,32 @@ def _lines(rows: DataFrame, bits: int) -> DataFrame:
                 of = pa.array(lo + ls.doc)
                 none = pa.nulls(len(ls.sid), pa.int32())
                 data = pa.nulls(len(ls.sid), pa.binary())
-                yield pa.RecordBatch.from_arrays([_signed(ls.sid), batch.column(0).take(of), batch.column(1).take(of), pa.array(ls.number.astype(np.int32)), pa.array(np.bincount(ls.doc)[ls.doc].astype(np.int32) if len(ls.doc) else np.zeros(0, np.int32)), none, data, data], names=names)
+                yield pa.RecordBatch.from_arrays([_signed(ls.sid), batch.column(0).take(of), batch.column(1).take(of), pa.array(ls.number.astype(np.int32)), pa.array(np.bincount(ls.doc)[ls.doc].astype(np.int32) if len(ls.doc) else np.zeros(0, np.int32)), pa.array(ls.n.astype(np.int32)), none, data, data], names=names)
         for part in own.parts():
-            gap = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            gap = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
             yield pa.RecordBatch.from_arrays([*gap, *part.columns], names=names)
 
-    names = ["sid", "doc", "row", "line", "of", "part", "at", "n"]
+    names = ["sid", "doc", "row", "line", "of", "words", "part", "at", "n"]
     return rows.mapInArrow(run, f"{LINES}, {buckets.PARTS_SCHEMA}")
 
 
-def _candidates(rows: DataFrame, table, hot: int, p: LineParams) -> DataFrame:
+def _bucket_count(lines: DataFrame, p: LineParams) -> int:
+    """Buckets that entries are dealt to, so that one holds half of p.block_bytes on average, however many there are."""
+    words = F.col("words")
+    entries = lines.agg(F.sum(words - F.ceil(words * p.num / p.den) + 1)).first()[0] or 0
+    least = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 4 * max(least, -(-entries * POSTING.itemsize // (2 * p.block_bytes)))
+
+
+def _candidates(rows: DataFrame, table, hot: int, fan: int, p: LineParams) -> DataFrame:
     """x, y, more: a later set and an earlier one; or list: the entries, by key, of pairs that aren't given.
 
-    A task holds up to p.block_bytes of entries of the keys that are dealt to it
-    at the same place. Where there are more, each block is compared in itself, is
-    listed whole, with all of its sets as having more, and is part of a whole:
-    first places are known in the block only, so its pairs may be the wrong way
-    round.
+    A task holds up to p.block_bytes of entries of one of the 'fan' buckets. Where
+    there are more, the entries of its commonest keys leave in blocks (those of
+    all keys, if none is common): each block is compared in itself, is listed
+    whole, with all of its sets as having more, and is part of a whole: first
+    places are known in the block only, so its pairs may be the wrong way round.
     """
-    fan = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         to, e = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -291,13 +298,17 @@ def _candidates(rows: DataFrame, table, hot: int, p: LineParams) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size, block = None, [], 0, 0
+        common = np.zeros(0, np.uint32)  # keys whose entries leave in blocks
+        every_key = False
 
         def rows(x: pa.Array, y: pa.Array, more: pa.Array, data: pa.Array) -> pa.RecordBatch:
             n = len(x)
             return pa.RecordBatch.from_arrays([x, y, more, pa.array(np.full(n, now, np.int32)), pa.array(np.full(n, block, np.int32)), data], names=names)
 
-        def out(part: bool) -> Iterator[pa.RecordBatch]:
-            e = _distinct(np.concatenate([np.frombuffer(b, POSTING) for b in held]))
+        def out(e: np.ndarray, part: bool) -> Iterator[pa.RecordBatch]:
+            if not len(e):
+                return
+            e = _distinct(e)
             x, y, more, spare = nearest(e, p)
             if part:
                 more[:] = spare[:] = True
@@ -308,20 +319,39 @@ def _candidates(rows: DataFrame, table, hot: int, p: LineParams) -> DataFrame:
             if len(lists):
                 yield rows(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([part]), pa.array([lists.tobytes()], pa.binary()))
 
+        def full() -> Iterator[pa.RecordBatch]:
+            """Let common keys leave; the others stay."""
+            nonlocal held, size, block, common, every_key
+            e = np.concatenate(held)
+            keys, counts = np.unique(e["key"], return_counts=True)
+            common = np.union1d(common, keys[counts * POSTING.itemsize > p.block_bytes // 8])
+            leave = np.isin(e["key"], common)
+            every_key = every_key or not leave.any()
+            if every_key:
+                leave[:] = True
+            yield from out(e[leave], True)
+            held, block = [e[~leave]], block + 1
+            size = held[0].nbytes
+
+        def last() -> Iterator[pa.RecordBatch]:
+            e = np.concatenate(held)
+            leave = np.ones(len(e), bool) if every_key else np.isin(e["key"], common)
+            yield from out(e[leave], True)
+            yield from out(e[~leave], False)
+
         for batch in batches:
             for to, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = entries.as_buffer()
+                data = np.frombuffer(entries.as_buffer(), POSTING)
                 if to != now:
                     if held:
-                        yield from out(block > 0)
-                    now, held, size, block = to, [], 0, 0
-                elif size + data.size > p.block_bytes:
-                    yield from out(True)
-                    held, size, block = [], 0, block + 1
+                        yield from last()
+                    now, held, size, block, common, every_key = to, [], 0, 0, common[:0], False
+                elif size + data.nbytes > p.block_bytes:
+                    yield from full()
                 held.append(data)
-                size += data.size
+                size += data.nbytes
         if held:
-            yield from out(block > 0)
+            yield from last()
         trim()
 
     names = ["x", "y", "more", "to", "block", "list"]
@@ -413,12 +443,12 @@ def removed_lines(docs: DataFrame, p: LineParams = LineParams(), key: str = "doc
     with Scratch(spark) as scratch:
         store, share = scratch.store, scratch.share
         told = store(_lines(rows, p.code_bits), "line-sets")
-        lines = told.filter("part IS NULL").select("sid", "doc", "row", "line", "of")
+        lines = told.filter("part IS NULL").select("sid", "doc", "row", "line", "of", "words")
         rarity = buckets.table(told.filter("part IS NOT NULL").select("part", "at", "n"), p.code_bits)
         hot = int(buckets.code_of(np.array([max(p.frequent, math.ceil(64 * buckets.mean_count(rarity)))]))[0])
         place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("doc"), "line", "row")
         first = store(lines.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("times")), "line-first")
-        found = store(_candidates(rows, share(rarity), hot, p), "line-candidates")
+        found = store(_candidates(rows, share(rarity), hot, _bucket_count(lines, p), p), "line-candidates")
         lists = found.filter("list IS NOT NULL").select("to", "block", F.col("more").alias("part"), "list")
         split = not lists.filter("part").isEmpty()
         # The likeliest earlier set first; the others only for lines that it doesn't decide.
