@@ -74,15 +74,20 @@ def training_caption(preferred: Column, kind: Column, optimized: Column, spatial
     one, and where the original ones are the general column an empty one leads
     back. Short spatial captions are one sentence by 'draw'. Nothing gives ''.
     """
-    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    full = lambda c: F.coalesce(c, F.lit("")) != ""
     name = F.coalesce(present(preferred), F.when(kind == "optimized", "second_optimize_caption").when(kind == "spatial", "spatial_caption").otherwise(p.general))
-    name = F.when((name == "second_optimize_caption") & empty(optimized), "spatial_caption").otherwise(name)
-    name = F.when((name == "spatial_caption") & empty(spatial), p.general).otherwise(name)
-    name = F.when((name == "coca_caption") & F.coalesce(source == p.original_source, F.lit(False)) & ~empty(original), "original_caption").otherwise(name)
-    if p.general == "original_caption":
-        name = F.when((name == "original_caption") & empty(original), "coca_caption").otherwise(name)
+    # Each step is a condition on the first name, not a new name in terms of the last: that would double the expression.
+    from_optimized, to_general = name == "second_optimize_caption", F.lit(p.general)
+    to_spatial = (name == "spatial_caption") | (from_optimized & ~full(optimized))
+    emptied = to_spatial & ~full(spatial)
+    to_coca = (name == "coca_caption") | (emptied & (to_general == "coca_caption"))
+    to_original = (name == "original_caption") | (emptied & (to_general == "original_caption")) | (to_coca & F.coalesce(source == p.original_source, F.lit(False)) & full(original))
     told = tx.picked_sentence(spatial, draw) if p.spatial == "short" else spatial
-    text = F.when(name == "second_optimize_caption", optimized).when(name == "spatial_caption", told).when(name == "coca_caption", general).when(name == "original_caption", original)
+    text = F.when(from_optimized & full(optimized), optimized).when(to_spatial & full(spatial), told)
+    if p.general == "original_caption":
+        text = text.when(to_original & full(original), original).when(to_coca | to_original, general)
+    else:
+        text = text.when(to_original, original).when(to_coca, general)
     return F.coalesce(text, F.lit(""))
 
 

@@ -2,42 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-PER_RANGE, SAMPLED = 100_000, 20
+from ..sources.shared import new_path
 
 
-def _bounds(rows: DataFrame, order: list[str], per_range: int) -> list:
-    """Keys that cut the order into ranges of about per_range rows, from a sample of SAMPLED rows a range."""
-    n = rows.count()
-    ranges = -(-n // per_range)
-    if ranges < 2:
-        return []
-    share = min(1.0, SAMPLED * ranges / n)
-    keys = rows.select(*order).sample(share, seed=7).orderBy(*order).collect()
-    return keys[SAMPLED::SAMPLED]
+def in_ranges(rows: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """rows with _range and _place: ranges of the order, nulls first, and a row's place (from 0) in its own.
+
+    Spark samples the bounds and finds a row's range by binary search; ranges
+    only balance the work. There are 'ranges' of them, or as many as the session
+    has shuffle partitions. The rows are written to the shared folder once, so
+    that a range holds the same rows whenever it is read.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    place, path = F.monotonically_increasing_id(), new_path(spark, "ranges")
+    dealt.withColumn("_range", F.shiftright(place, 33)).withColumn("_place", place.bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def _before(order: list[str], types: dict[str, str], key) -> Column:
-    """Whether a row comes at or after a key, nulls first."""
-    literal = F.struct(*(F.lit(key[c]).cast(types[c]).alias(c) for c in order))
-    return F.struct(*order) >= literal
+def starts_of(sizes: DataFrame, size: str) -> DataFrame:
+    """_range and _start, the sum of 'size' over the ranges before it. One row a range: as few as there are tasks."""
+    before = W.Window.orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)
+    return sizes.select("_range", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("_start"))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, per_range: int = PER_RANGE) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], name: str, ranges: int | None = None) -> DataFrame:
     """rows with their place (from 0) in the order of the columns, nulls first; the order must be total.
 
-    The order is cut into ranges by a sample of keys, which only balances them.
-    Rows are numbered within a range, and the sizes of the ranges before it are
-    added. Sample and sizes are a few thousand rows, whatever the table.
+    Places within a range and the sizes of the ranges before it add up: the table
+    is sorted once, and only the ranges' sizes meet in one task.
     """
-    types = dict(rows.dtypes)
-    cuts = _bounds(rows, order, per_range)
-    at = sum((_before(order, types, k).cast("int") for k in cuts), F.lit(0)) if len(cuts) <= 64 else F.size(F.filter(F.array(*(F.struct(*(F.lit(k[c]).cast(types[c]).alias(c) for c in order)) for k in cuts)), lambda b: b <= F.struct(*order)))
-    placed = rows.withColumn("_range", at)
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(W.Window.orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = placed.withColumn("_place", F.row_number().over(W.Window.partitionBy("_range").orderBy(*order)))
-    return inside.join(starts, "_range").withColumn(name, (F.col("_start") + F.col("_place") - 1).cast("long")).drop("_range", "_place", "_start")
+    placed = in_ranges(rows, order, ranges)
+    starts = starts_of(placed.groupBy("_range").agg(F.count("*").alias("_n")), "_n")
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
