@@ -1,8 +1,8 @@
-"""Training runs: checks of their settings, and what they report."""
+"""Training runs: checks of their settings, and their rates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import scoring as sc
@@ -29,18 +29,3 @@ def speed(steps: Column, batch: Column, seconds: Column) -> Column:
     """The metrics row of a run; no duration, no rate."""
     return F.struct(sc.rounded(F.try_divide(steps * batch, seconds), 4).alias("train_samples_per_second"), seconds.alias("train_runtime"))
 
-
-def level_report(contact: DataFrame, levels: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Lines of the report on levels: model, line, text. contact: contact_statistics; levels: per_level_accuracy."""
-    by_level = levels.groupBy("model").pivot("level", list(names)).agg(F.first("accuracy"))
-    percent = lambda c: F.format_string("%.2f%%", sc.rounded(100 * c, 2))
-    rows = contact.join(by_level, "model")
-    said = lambda label, c: F.concat(F.lit(label), c.cast("string"))
-    table = F.concat(F.rpad("model", 20, " "), *(F.rpad(percent(F.col(c)), n, " ") for c, n in (("l1_accuracy", 15), ("accuracy", 15), *((x, 12) for x in names))))
-    lines = F.array(
-        table, F.concat(F.lit("Detailed Analysis: "), "model"),
-        said("  Total L1 images: ", F.col("l1_total")), said("  Correctly detected: ", F.col("l1_correct")), said("  Accuracy: ", percent(F.col("l1_accuracy"))),
-        said("  Total predictions: ", F.col("total")), said("  Correct predictions: ", F.col("correct")), said("  Overall accuracy: ", percent(F.col("accuracy"))),
-        *(F.concat(F.lit(f"  {x} ({name}): "), percent(F.col(x))) for x, name in names.items()),
-    )
-    return rows.select("model", F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line") + 1)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..functions.lexicons import LEVELS, PROMPT_WEIGHTS
+from ..operators import reports
 from ..operators import scores as ops
 from ..params import ScoreParams, TrainParams
 from . import views as v
@@ -120,14 +121,31 @@ def k11(spark, d):
     return nested.select("model", "sentence_idx", F.to_json(F.struct(F.col("model").alias("model_name"), F.lit(P.alpha).alias("alpha"), "sentence_idx", "images")).alias("json"))
 
 
-LINE = "rpad(CAST(rank AS VARCHAR), 6, ' ') || rpad(model, 16, ' ') || rpad(printf('%.2f', avg_composite_score), 12, ' ') || rpad(printf('%.2f', avg_hard_score), 10, ' ') || rpad(printf('%.2f', avg_soft_score), 10, ' ') || rpad(printf('%.4f', avg_consistency_cv), 15, ' ')"
-
-
-@register("K12", f"WITH {STATS}, r AS (SELECT *, row_number() OVER (ORDER BY avg_composite_score DESC, model) AS rank FROM stats) SELECT CAST(rank AS INTEGER) AS line, {LINE} AS text FROM r", "v_composite")
+PAD = lambda c, n: f"rpad({c}, CAST(greatest(length({c}), {n}) AS INT), ' ')"
+FIX = lambda c, n: f"printf('%.{n}f', {R(c, n)})"
+EQ, DASH, SHORT = "repeat('=', 80)", "repeat('-', 80)", "repeat('-', 40)"
+LONG = "'composite-model-with-a-name-of-forty-characters-' || model"
+TITLES = "Rank  Model          Composite ScoreHard ScoreSoft ScoreConsistency (CV)Pass Rate "
+OVER = lambda label, c, end="": f"'  {label}: ' || {FIX(f'avg_{c}_score', 2)} || ' ± ' || {FIX(f'std_{c}_score', 2)} || '{end}'"
+
+
+@register("K12", f"""WITH {STATS}, r AS (SELECT * REPLACE ({LONG} AS model), CAST(row_number() OVER (ORDER BY avg_composite_score DESC, model) AS INTEGER) AS rank, {FIX("100 * sentence_pass_rate", 2)} || '%' AS pass FROM stats),
+head AS (SELECT [{EQ}, 'Composite Scoring System - Model Comparison Report', {EQ}, '', 'Scoring Formula:', '  Score_final = α × S_hard + (1-α) × S_soft', '  Where α = 0.6 (weight for hard metrics)', '', 'Consistency Metrics:', '  A. Coefficient of Variation: Consistency = max(0, 1 - σ/μ)', '  B. Pass Rate: All 3 images must have scores ≥ 10.0 to pass', '', {EQ}, 'Model Composite Score Ranking', {EQ}, '', '{TITLES}', {DASH}] AS texts),
+about AS (SELECT rank, ['', '', {EQ}, 'Model: ' || model, {EQ}, '', 'Overall Statistics:', {SHORT}, '  Total Sentences: ' || total_sentences, '  Total Images: ' || total_images, '', 'Average Scores:', {OVER("Overall score", "composite")}, {OVER("Hard Score", "hard", " ")}, {OVER("Soft Score", "soft", " ")}, '',
+ 'Consistency indicators:', '  Average Consistency (CV): ' || {FIX("avg_consistency_cv", 4)}, '  Sentences Passed: ' || sentence_pass_count || '/' || total_sentences, '  Pass Rate: ' || pass, '', 'Detailed Scores for Each Sentence:', {SHORT}] AS texts FROM r),
+n AS (SELECT model, sentence_idx, count(*) AS n FROM v_composite GROUP BY ALL),
+sen AS (SELECT rank, cv.sentence_idx, n, ['', 'Sentence ' || cv.sentence_idx || ': ' || CASE WHEN cv.sentence_idx % 9 = 0 THEN 'None' ELSE 'scene ' || cv.sentence_idx END, '  Consistency: CV=' || {FIX("consistency", 4)} || ' (μ=' || {FIX("mean", 2)} || ', σ=' || {FIX("std", 2)} || ')', '  Pass Status: ' || CASE WHEN all_pass THEN '✓ Passed' ELSE '✗ Failed' END || ' (Min Score=' || {FIX("min_score", 2)} || ', Pass Count=' || pass_count || '/3)'] AS texts
+ FROM cv JOIN ok ON cv.model = ok.model AND cv.sentence_idx = ok.sentence_idx JOIN n ON n.model = cv.model AND n.sentence_idx = cv.sentence_idx JOIN r ON r.model = 'composite-model-with-a-name-of-forty-characters-' || cv.model)
+SELECT 0 AS rank, CAST(-1 AS BIGINT) AS sentence_idx, CAST(generate_subscripts(texts, 1) - 1 AS BIGINT) AS line, unnest(texts) AS text FROM head
+UNION ALL SELECT 0, -1, rank + 17, {PAD("CAST(rank AS VARCHAR)", 6)} || {PAD("model", 15)} || {PAD(FIX("avg_composite_score", 2), 12)} || {PAD(FIX("avg_hard_score", 2), 10)} || {PAD(FIX("avg_soft_score", 2), 10)} || {PAD(FIX("avg_consistency_cv", 4), 15)} || {PAD("pass", 10)} FROM r
+UNION ALL SELECT rank, -1, generate_subscripts(texts, 1) - 1, unnest(texts) FROM about
+UNION ALL SELECT rank, sentence_idx, CASE WHEN i <= 2 THEN i - 1 ELSE n + i - 1 END, texts[i] FROM sen, range(1, 5) t(i)
+UNION ALL SELECT rank, sentence_idx, image_idx + 1, '  Image ' || image_idx || ': Composite=' || {FIX("score_final_scaled", 2)} || ', Hard=' || {FIX("hard_score", 1)} || ', Soft=' || {FIX("soft_score", 1)} FROM v_composite c JOIN r ON r.model = 'composite-model-with-a-name-of-forty-characters-' || c.model""", "v_composite")
 def k12(spark, d):
-    """Lines of the ranking report."""
-    cells = [(F.col("rank").cast("string"), 6), (F.col("model"), 16), (F.format_string("%.2f", "avg_composite_score"), 12), (F.format_string("%.2f", "avg_hard_score"), 10), (F.format_string("%.2f", "avg_soft_score"), 10), (F.format_string("%.4f", "avg_consistency_cv"), 15)]
-    return w03(spark, d).select(F.col("rank").alias("line"), F.concat(*(F.rpad(c, n, " ") for c, n in cells)).alias("text"))
+    """The whole comparison of models, of long names; every ninth sentence is missing."""
+    sentence = F.when(F.col("sentence_idx") % 9 != 0, F.concat(F.lit("scene "), F.col("sentence_idx").cast("string")))
+    rows = images(spark, d).withColumn("sentence", sentence).withColumn("model", F.concat(F.lit("composite-model-with-a-name-of-forty-characters-"), "model"))
+    return reports.model_comparison(rows, P)
 
 
 @register("K15", " UNION ALL ".join(f"SELECT model, '{n}' AS series, {R(f'avg({c})', 2)} AS value FROM v_composite GROUP BY model" for n, c in (("composite", "score_final_scaled"), ("hard", "hard_score"), ("soft", "soft_score"))), "v_composite")
@@ -324,15 +342,19 @@ def k09(spark, d):
     return rows.select("model", "image_id", F.to_json(image).alias("json"))
 
 
-SUMMARY = f"""{SOFT}, s AS (SELECT model, (SELECT count(*) FROM soft x WHERE x.model = ok.model) AS total, count(*) AS valid, {R("avg(clip_score)", 2)} AS a, {R("max(clip_score)", 2)} AS hi FROM ok GROUP BY model)"""
+DIMS = ("full_match", "objects", "scene")
+BAR = lambda b: f"'  {b}-{b + 1} points: ' || lpad(CAST(b{b} AS VARCHAR), CAST(greatest(3, length(CAST(b{b} AS VARCHAR))) AS INT), ' ') || ' (' || lpad({FIX(f'100e0 * b{b} / valid', 1)}, CAST(greatest(5, length({FIX(f'100e0 * b{b} / valid', 1)})) AS INT), ' ') || '%) ' || repeat('█', CAST(floor(100e0 * b{b} / valid / 2) AS INT))"
 
 
-@register("K10", f"WITH {SUMMARY} SELECT model, 1 AS line, 'Total images: ' || total AS text FROM s UNION ALL SELECT model, 2, 'Valid scores: ' || valid FROM s UNION ALL SELECT model, 3, printf('Average score: %.2f/5.0', a) FROM s UNION ALL SELECT model, 4, printf('Highest score: %.2f', hi) FROM s", "v_eval")
+@register("K10", f"""WITH {CLIP}, e AS (SELECT 'soft-model-with-a-name-of-forty-characters-' || model AS model, clip_score, CASE WHEN model = 'model_0' THEN 'no image' ELSE error END AS error, pr FROM c),
+s AS (SELECT model, count(*) AS total, count(error) AS errors, count(*) FILTER (error IS NULL) AS valid, avg(clip_score) FILTER (error IS NULL) AS a, stddev_pop(clip_score) FILTER (error IS NULL) AS sd, max(clip_score) FILTER (error IS NULL) AS hi, min(clip_score) FILTER (error IS NULL) AS lo,
+ {", ".join(f"count(*) FILTER (error IS NULL AND clip_score >= {b} AND clip_score < {b + 1}) AS b{b}" for b in range(1, 6))}, {", ".join(f"avg(pr[{i}]) FILTER (error IS NULL) AS d{i}" for i in (1, 2, 3))} FROM e GROUP BY model),
+l AS (SELECT 0 AS part, NULL AS model, [{EQ}, 'CLIP Model Evaluation Summary Report', {EQ}, ''] AS texts UNION ALL SELECT 1, model, list_concat(['', {EQ}, 'Model: ' || model, {DASH}], CASE WHEN valid = 0 THEN ['No valid scores available'] ELSE ['Total images: ' || total, 'Valid scores: ' || valid, 'Evaluation errors: ' || errors, 'Average score: ' || {FIX("a", 2)} || '/5.0', 'Standard deviation: ' || {FIX("sd", 2)}, '', 'Score distribution:', {", ".join(BAR(b) for b in range(1, 6))}, '', 'Highest score: ' || {FIX("hi", 2)}, 'Lowest score: ' || {FIX("lo", 2)}, '', 'Average dimension scores:', {", ".join(f"'  {n}: ' || {FIX(f'd{i + 1}', 4)}" for i, n in enumerate(DIMS))}] END) FROM s)
+SELECT part, model, CAST(generate_subscripts(texts, 1) - 1 AS INTEGER) AS line, unnest(texts) AS text FROM l""", "v_clip")
 def k10(spark, d):
-    """Lines of the soft summary by model."""
-    s = ops.score_summary(soft_rows(spark, d))
-    lines = F.array(F.concat(F.lit("Total images: "), F.col("total_images").cast("string")), F.concat(F.lit("Valid scores: "), F.col("valid").cast("string")), F.format_string("Average score: %.2f/5.0", sc.rounded(F.col("average"), 2)), F.format_string("Highest score: %.2f", sc.rounded(F.col("highest"), 2)))
-    return s.select("model", F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    """The whole soft summary, of long names; one model has no valid score."""
+    rows = clip_scores(spark, d).withColumn("error", F.when(F.col("model") == "model_0", "no image").otherwise(F.col("error")))
+    return reports.soft_summary(rows.withColumn("model", F.concat(F.lit("soft-model-with-a-name-of-forty-characters-"), "model")))
 
 
 @register("R02", "SELECT n_nationkey, CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 3 + 1 AS INTEGER) AS attempt FROM nation ORDER BY n_nationkey LIMIT 10")

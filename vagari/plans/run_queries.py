@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import LEVEL_NAMES
-from ..operators import runs
+from ..operators import reports, runs
 from ..operators import scores as ops
 from ..sources.shared import new_path
 from . import views as v
@@ -38,17 +38,24 @@ def k19(spark, d):
     return v.table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), runs.speed(F.lit(15000.0), F.lit(32), seconds).alias("m")).select("run", "m.*")
 
 
-@register("K14", f"""WITH {LEVELS_SQL}, s AS (SELECT model, count(*) FILTER (contact_expected) AS t1, count(*) FILTER (contact_expected AND pass_contact_check) AS c1, count(*) FILTER (predicted_level <> 'Unknown') AS t, count(*) FILTER (predicted_level = level) AS c,
+PC = lambda a, b: f"printf('%.2f', round(100 * coalesce(round({a} / nullif({b}, 0), 4), 0), 2)) || '%'"
+PAD = lambda c, n: f"rpad({c}, CAST(greatest(length({c}), {n}) AS INT), ' ')"
+EQ, DASH = "repeat('=', 80)", "repeat('-', 80)"
+
+
+@register("K14", f"""WITH {LEVELS_SQL}, s AS (SELECT 'fuzzy-model-with-a-name-of-forty-characters-' || model AS model, count(*) FILTER (contact_expected) AS t1, count(*) FILTER (contact_expected AND pass_contact_check) AS c1, count(*) FILTER (predicted_level <> 'Unknown') AS t, count(*) FILTER (predicted_level = level) AS c,
  count(*) FILTER (level = 'L1' AND predicted_level <> 'Unknown') AS n1, count(*) FILTER (level = 'L2' AND predicted_level <> 'Unknown') AS n2, count(*) FILTER (level = 'L3' AND predicted_level <> 'Unknown') AS n3,
  count(*) FILTER (level = 'L1' AND predicted_level = 'L1') AS k1, count(*) FILTER (level = 'L2' AND predicted_level = 'L2') AS k2, count(*) FILTER (level = 'L3' AND predicted_level = 'L3') AS k3 FROM lv GROUP BY model),
-q AS (SELECT model, t1, c1, t, c, {", ".join(f"printf('%.2f', round(100 * coalesce(round({a} / nullif({b}, 0), 4), 0), 2)) || '%' AS {n}" for a, b, n in (("c1", "t1", "pc"), ("c", "t", "pl"), ("k1", "n1", "p1"), ("k2", "n2", "p2"), ("k3", "n3", "p3")))} FROM s),
-l AS (SELECT model, unnest([rpad(model, 20, ' ') || rpad(pc, 15, ' ') || rpad(pl, 15, ' ') || rpad(p1, 12, ' ') || rpad(p2, 12, ' ') || rpad(p3, 12, ' '), 'Detailed Analysis: ' || model, '  Total L1 images: ' || t1, '  Correctly detected: ' || c1, '  Accuracy: ' || pc,
- '  Total predictions: ' || t, '  Correct predictions: ' || c, '  Overall accuracy: ' || pl, '  L1 (Contact & Pressure): ' || p1, '  L2 (Grazing & Zero-Gap): ' || p2, '  L3 (Proximity & Reach): ' || p3]) AS text, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11], 1) AS line FROM q)
-SELECT model, CAST(line AS INTEGER) AS line, text FROM l""", "v_boxes")
+q AS (SELECT model, t1, c1, t, c, {PC("c1", "t1")} AS pc, {PC("c", "t")} AS pl, {PC("k1", "n1")} AS p1, {PC("k2", "n2")} AS p2, {PC("k3", "n3")} AS p3 FROM s),
+l AS (SELECT 0 AS part, NULL AS model, [{EQ}, 'Fuzzy Term Level-based Analysis Report', {EQ}, '', 'Level Definitions:', {DASH}, '  L1: Contact & Pressure', '  L2: Grazing & Zero-Gap', '  L3: Proximity & Reach', '', {EQ}, 'Model Comparison', {EQ}, '', 'Model               L1 Contact     Level Acc      L1 Acc      L2 Acc      L3 Acc      ', {DASH}] AS texts
+ UNION ALL SELECT 1, model, [{PAD("model", 20)} || {PAD("pc", 15)} || {PAD("pl", 15)} || {PAD("p1", 12)} || {PAD("p2", 12)} || {PAD("p3", 12)}] FROM q
+ UNION ALL SELECT 2, model, ['', '', {EQ}, 'Detailed Analysis: ' || model, {EQ}, '', 'Contact Detection (L1 Specific):', repeat('-', 40), '  Total L1 images: ' || t1, '  Correctly detected: ' || c1, '  Accuracy: ' || pc, '', 'Level Prediction:', repeat('-', 40), '  Total predictions: ' || t, '  Correct predictions: ' || c, '  Overall accuracy: ' || pl, '',
+ 'Per-Level Accuracy:', '  L1 (Contact & Pressure): ' || p1, '  L2 (Grazing & Zero-Gap): ' || p2, '  L3 (Proximity & Reach): ' || p3] FROM q)
+SELECT part, model, CAST(generate_subscripts(texts, 1) - 1 AS INTEGER) AS line, unnest(texts) AS text FROM l""", "v_boxes")
 def k14(spark, d):
-    """Lines of the report on levels."""
-    checks = level_checks(spark, d)
-    return runs.level_report(ops.contact_statistics(checks), ops.per_level_accuracy(checks), LEVEL_NAMES)
+    """The whole report on levels, of models with long names."""
+    checks = level_checks(spark, d).withColumn("model", F.concat(F.lit("fuzzy-model-with-a-name-of-forty-characters-"), "model"))
+    return reports.level_report(ops.contact_statistics(checks), ops.per_level_accuracy(checks), LEVEL_NAMES)
 
 
 @register("K16", f"WITH {LEVELS_SQL} SELECT model, 'L1 contact' AS series, round(count(*) FILTER (contact_expected AND pass_contact_check) / nullif(count(*) FILTER (contact_expected), 0), 4) AS value FROM lv GROUP BY model UNION ALL SELECT model, level, round(count(*) FILTER (predicted_level = level) / count(*), 4) FROM lv WHERE predicted_level <> 'Unknown' GROUP BY model, level", "v_boxes")
