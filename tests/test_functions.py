@@ -134,7 +134,7 @@ def test_caption_fallbacks(spark):
     assert [r[0] for r in got] == ["s", "g", "o", "", "g"]
 
 
-@pytest.mark.parametrize("digits", [1, 2])
+@pytest.mark.parametrize("digits", [1, 2, 4])
 def test_fixed_rounds_as_python_does(spark, digits):
     rng = random.Random(digits)
     values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.125, 0.375, 1.005, 2.675, 8.25, 8.75, 59.95, 0.005, 0.015, 1e-9, 5e-324, 0.95, 0.995, 99.995, 123456.25, 1e9 + 0.125]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..params import ContactParams
 from .lexicons import CONTACT_REASONS as R
+from .text import fixed
 
 SIDES = ("x1", "y1", "x2", "y2")
 
@@ -52,8 +55,12 @@ def contact(overlap: Column, gap: Column, p: ContactParams = ContactParams()) ->
 
 
 def contact_reason(level: Column, detected: Column, overlap: Column, gap: Column, p: ContactParams = ContactParams()) -> Column:
-    """T24"""
-    say = lambda key, *values: F.format_string(R[key], *values)
+    """T24. Decimals are rounded as C does; an endless gap is inf."""
+
+    def say(key: str, *values: Column) -> Column:
+        texts = [F.coalesce(fixed(F.when(x < 1e15, x), int(digits)), F.lit("inf")) for x, digits in zip(values, re.findall(r"%\.(\d)f", R[key]), strict=True)]
+        return F.format_string(re.sub(r"%\.\df", "%s", R[key]), *texts)
+
     by_level = {
         "L1": F.when(detected & (overlap > 0), say("L1 overlap", overlap)).when(detected, say("L1 near", gap)).otherwise(say("L1 none", overlap, gap)),
         "L2": F.when(overlap > 0, say("L2 overlap", overlap)).when(gap < p.grazing_px, say("L2 grazing", gap)).otherwise(say("L2 gap", gap)),

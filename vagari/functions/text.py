@@ -189,12 +189,14 @@ def fuzzy_key(term: Column) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """x >= 0 with so many decimals, rounded as C and Python do: the double's exact value, ties to even. format_string rounds its shortest decimal form, ties up."""
-    whole, scale, ring = F.floor(x), 10**digits, 1 << 52
+    whole, scale = F.floor(x), 10**digits
+    places = min(52, 62 - scale.bit_length())  # binary places that fit a long when multiplied with scale
+    ring = 1 << places
     bits = (x - whole) * ring
-    low = (bits - F.floor(bits)) * ring  # what lies below 52 places, for numbers below 1
+    low = (bits - F.floor(bits)) * ring  # what lies below these places
     low = F.floor(low) * scale
-    part = F.floor(bits) * scale + F.shiftright(low, 52)
-    digit, rest = F.shiftright(part, 52), part.bitwiseAND(F.lit(ring - 1))
+    part = F.floor(bits) * scale + F.shiftright(low, places)
+    digit, rest = F.shiftright(part, places), part.bitwiseAND(F.lit(ring - 1))
     up = (rest > ring // 2) | ((rest == ring // 2) & ((low.bitwiseAND(F.lit(ring - 1)) > 0) | (digit % 2 == 1)))
     total = whole * scale + digit + up.cast("long")
     return F.concat(((total - total % scale) / scale).cast("long").cast("string"), F.lit("."), F.lpad((total % scale).cast("string"), digits, "0"))

@@ -78,10 +78,10 @@ img AS (SELECT image_id, {LEVEL} AS level, count(*) AS n FROM v_boxes GROUP BY i
 chk AS (SELECT img.image_id, level, level = 'L1' AS contact_expected, n >= 2 AND (iou > 0 OR gap < 5) AS contact_detected, CASE WHEN n >= 2 THEN round(iou, 4) ELSE 0e0 END AS iou,
  CASE WHEN n >= 2 THEN round(gap, 2) ELSE CAST('inf' AS DOUBLE) END AS pixel_distance, n >= 2 AND (level <> 'L1' OR iou > 0 OR gap < 5) AS pass_contact_check, n, iou AS o, gap AS g
  FROM img LEFT JOIN geo USING (image_id))"""
-REASON = f"""CASE WHEN n < 2 THEN 'Less than 2 objects detected' WHEN level = 'L1' AND contact_detected AND o > 0 THEN printf('Contact detected via IoU=%.4f', {R('o', 4)})
- WHEN level = 'L1' AND contact_detected THEN printf('Contact detected via pixel distance=%.2fpx', {R('g', 2)}) WHEN level = 'L1' THEN printf('L1 requires contact but IoU=%.4f, dist=%.2fpx', {R('o', 4)}, {R('g', 2)})
- WHEN level = 'L2' AND o > 0 THEN printf('L2 should have IoU≈0 but got %.4f', {R('o', 4)}) WHEN level = 'L2' AND g < 10 THEN printf('L2 grazing/zero-gap: dist=%.2fpx', {R('g', 2)}) WHEN level = 'L2' THEN printf('Distance=%.2fpx', {R('g', 2)})
- WHEN level = 'L3' AND g < 50 THEN printf('L3 proximity: dist=%.2fpx', {R('g', 2)}) WHEN level = 'L3' THEN printf('Distance=%.2fpx (may be too far for L3)', {R('g', 2)}) ELSE 'Unknown level' END"""
+REASON = """CASE WHEN n < 2 THEN 'Less than 2 objects detected' WHEN level = 'L1' AND contact_detected AND o > 0 THEN printf('Contact detected via IoU=%.4f', o)
+ WHEN level = 'L1' AND contact_detected THEN printf('Contact detected via pixel distance=%.2fpx', g) WHEN level = 'L1' THEN printf('L1 requires contact but IoU=%.4f, dist=%.2fpx', o, g)
+ WHEN level = 'L2' AND o > 0 THEN printf('L2 should have IoU≈0 but got %.4f', o) WHEN level = 'L2' AND g < 10 THEN printf('L2 grazing/zero-gap: dist=%.2fpx', g) WHEN level = 'L2' THEN printf('Distance=%.2fpx', g)
+ WHEN level = 'L3' AND g < 50 THEN printf('L3 proximity: dist=%.2fpx', g) WHEN level = 'L3' THEN printf('Distance=%.2fpx (may be too far for L3)', g) ELSE 'Unknown level' END"""
 
 
 def contact_checks(spark, d):

@@ -50,21 +50,34 @@ def f07(spark, d):
     return ops.paired(hard(spark, d).drop("image_id"), soft(spark, d))
 
 
-@register("F08", "SELECT DISTINCT model FROM v_eval", "v_eval")
+# The hard results lack one model and have no images of another; the soft ones lack a third.
+LISTS = """hard AS (SELECT model, count(image_id) FILTER (model <> '3-MEDIUM') AS n FROM v_eval WHERE model <> '5-LOW' GROUP BY model), soft AS (SELECT model, count(image_id) AS n FROM v_eval WHERE model <> '1-URGENT' GROUP BY model)"""
+
+
+def result_lists(spark, d):
+    """Model and number of images in the hard and in the soft results."""
+    rows = v.evaluation(spark, d).select("model", "image_id")
+    hard_n = rows.filter("model <> '5-LOW'").groupBy("model").agg(F.count(F.when(F.col("model") != "3-MEDIUM", F.col("image_id"))).alias("n"))
+    return hard_n, rows.filter("model <> '1-URGENT'").groupBy("model").agg(F.count("image_id").alias("n"))
+
+
+@register("F08", f"WITH {LISTS} SELECT model FROM hard JOIN soft USING (model)", "v_eval")
 def f08(spark, d):
-    a, b = hard(spark, d), soft(spark, d)
-    return a.select("model").distinct().join(b.select("model").distinct(), "model")
+    a, b = result_lists(spark, d)
+    return a.select("model").join(b.select("model"), "model")
 
 
-@register("U03", "SELECT model FROM v_eval INTERSECT SELECT model FROM v_scored", "v_eval", "v_scored")
+@register("U03", f"WITH {LISTS} SELECT model FROM hard INTERSECT SELECT model FROM soft", "v_eval")
 def u03(spark, d):
-    return hard(spark, d).select("model").intersect(soft(spark, d).select("model"))
+    a, b = result_lists(spark, d)
+    return a.select("model").intersect(b.select("model"))
 
 
-@register("P08", "SELECT model, count(*) AS n FROM v_eval GROUP BY model", "v_eval")
+@register("P08", f"WITH {LISTS} SELECT model, hard.n AS hard_images, soft.n AS soft_images FROM hard JOIN soft USING (model) WHERE hard.n > 0 AND soft.n > 0", "v_eval")
 def p08(spark, d):
-    """Models with images."""
-    return v.evaluation(spark, d).groupBy("model").agg(F.count("image_id").alias("n")).filter("n > 0")
+    """Models with images in both results."""
+    a, b = result_lists(spark, d)
+    return a.withColumnRenamed("n", "hard_images").join(b.withColumnRenamed("n", "soft_images"), "model").filter("hard_images > 0 AND soft_images > 0")
 
 
 CONSISTENCY = f"""cons AS (SELECT model, sentence_idx, avg(score_final_scaled) AS m, coalesce(stddev_samp(score_final_scaled), 0e0) AS s FROM v_composite GROUP BY model, sentence_idx),

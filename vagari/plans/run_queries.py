@@ -77,12 +77,17 @@ def m11(spark, d):
     return rows.select("image_id", "pos", F.get("output", F.lit(0)).alias("attempt"), F.get("output", F.lit(1)).alias("answer"))
 
 
-@register("R01", "SELECT doc_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT), doc_id) - 1 AS place FROM documents")
+@register("R01", """WITH a AS (SELECT l_orderkey // 8000 AS shard, l_orderkey, l_linenumber, CAST('0x' || substr(md5('42:' || l_orderkey || ':' || l_linenumber), 1, 8) AS BIGINT) AS draw FROM lineitem),
+b AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY l_orderkey, l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY shard) AS n FROM a),
+c AS (SELECT *, CASE WHEN i < 1000 THEN i ELSE draw % 1000 END AS slot FROM b),
+e AS (SELECT *, lead(i) OVER (PARTITION BY shard, slot ORDER BY i) AS follower FROM c)
+SELECT shard, l_orderkey, l_linenumber, CASE WHEN follower IS NOT NULL THEN follower - 1000 ELSE greatest(0, n - 1000) + row_number() OVER (PARTITION BY shard, follower IS NULL ORDER BY draw, l_orderkey, l_linenumber) - 1 END AS place FROM e""")
 def r01(spark, d):
-    """Samples in shuffled order."""
-    from ..operators.captions import shuffled
+    """Lines of shards of 8,000 orders, through a buffer of 1,000 places. In SQL: a row leaves when the next one draws its place."""
+    from ..operators.shuffle_buffer import buffered
 
-    return shuffled(v.table(spark, d, "documents").select("doc_id"), "doc_id", "42")
+    rows = v.table(spark, d, "lineitem").select(F.expr("l_orderkey div 8000").alias("shard"), F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"))
+    return buffered(rows, "shard", ["l_orderkey", "l_linenumber"], "42")
 
 
 def _halves(spark, d, folder: str, odd: int) -> None:
