@@ -8,7 +8,7 @@ import tarfile
 from pyspark.sql import functions as F
 
 from vagari import schemas
-from vagari.sources import files, sinks
+from vagari.sources import files, sinks, tar
 
 
 def png(w, h):
@@ -47,15 +47,64 @@ def test_json_lists_and_maps(spark, tmp_path):
     assert [tuple(r) for r in files.manifest(spark, str(tmp_path / "m.json")).collect()] == [("0.tar", "train", 3)]
 
 
-def test_tar_samples(spark, tmp_path):
-    with tarfile.open(tmp_path / "0.tar", "w") as tar:
-        for name, data in (("a.json", b'{"c": 1}'), ("a.jpg", b"img"), ("a.metadata.json", b"{}"), ("b.jpg", b"x")):
+def packed(path, members, form=tarfile.GNU_FORMAT):
+    with tarfile.open(path, "w", format=form) as out:
+        folder = tarfile.TarInfo("folder")
+        folder.type = tarfile.DIRTYPE
+        out.addfile(folder)
+        for name, data in members:
             info = tarfile.TarInfo(name)
             info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
-    (tmp_path / "1.tar").write_bytes(b"no tar at all")
-    got = {r.key: (r.captions, bytes(r.image), r.metadata) for r in files.tar_samples(spark, str(tmp_path)).collect()}
-    assert got == {"a": ('{"c": 1}', b"img", "{}"), "b": (None, b"x", None)}
+            out.addfile(info, io.BytesIO(data))
+
+
+MEMBERS = [("a.json", b'{"c": 1}'), ("a.jpg", b"img"), ("a.metadata.json", b"{}"), ("x/b.jpg", b"x" * 1500), ("c" * 150 + ".jpg", b""), ("\u00e9.json", b"\xff{}")]
+
+
+def test_tar_samples(spark, tmp_path):
+    for n, form in enumerate((tarfile.GNU_FORMAT, tarfile.PAX_FORMAT)):
+        packed(tmp_path / f"{n}.tar", MEMBERS, form)
+    (tmp_path / "9.tar").write_bytes(b"no tar at all")
+    (tmp_path / "8.tar").write_bytes(b"")
+    rows, faults = tar.samples(spark, str(tmp_path), range_bytes=1024)
+    for n in (0, 1):
+        got = {r.key: (r.captions, r.image and bytes(r.image), r.metadata) for r in rows.filter(F.col("shard").endswith(f"/{n}.tar")).collect()}
+        assert got == {"a": ('{"c": 1}', b"img", "{}"), "b": (None, b"x" * 1500, None), "c" * 150: got["c" * 150], "\u00e9": (got["\u00e9"][0], None, None)}
+        assert got["c" * 150][0] is None and not got["c" * 150][1]
+    assert [(r.shard.rsplit("/")[-1], r.at, r.fault) for r in faults.collect()] == [("9.tar", 0, "header cut off")]
+
+
+def test_broken_members_are_reported_and_what_stands_before_stays(spark, tmp_path):
+    packed(tmp_path / "0.tar", [("a.jpg", b"1" * 600), ("b.jpg", b"2" * 600), ("c.jpg", b"3" * 600)])
+    whole = (tmp_path / "0.tar").read_bytes()
+    second = whole.index(b"b.jpg")
+    (tmp_path / "1.tar").write_bytes(whole[:second] + b"?" * 200 + whole[second + 200 :])
+    (tmp_path / "2.tar").write_bytes(whole[: second + 512 + 100])
+    listed = tar.index(spark, str(tmp_path))
+    got = {n: sorted((r.member or "", r.fault or "") for r in listed.filter(F.col("shard").endswith(f"/{n}.tar")).collect()) for n in range(3)}
+    assert got[0] == [("a.jpg", ""), ("b.jpg", ""), ("c.jpg", "")]
+    assert got[1][0][0] == "" and got[1][0][1].startswith("bad header") and got[1][1] == ("a.jpg", "")
+    assert got[2] == [("a.jpg", ""), ("b.jpg", "data cut off")]
+    rows, _ = tar.samples(spark, str(tmp_path))
+    assert rows.count() == 5
+
+
+def test_many_tasks_read_one_shard(spark, tmp_path):
+    members = [(f"{i:04d}.jpg", bytes([i % 256]) * (i * 37 % 5000)) for i in range(400)]
+    packed(tmp_path / "0.tar", members)
+    read = tar.members(tar.index(spark, str(tmp_path)), range_bytes=64 << 10)
+    got = read.withColumn("task", F.spark_partition_id()).collect()
+    assert {r.member: bytes(r.data) for r in got} == dict(members) and len({r.task for r in got}) > 1
+
+
+def test_written_shards_are_tars(spark, tmp_path):
+    rows = [(s, f"{k:03d}", {"json": b"{}", "jpg": bytes([k])}) for s in ("x", "y") for k in range(30)] + [(None, "a", {}), ("x", None, {}), ("z", "a", None)]
+    df = spark.createDataFrame(rows, "shard string, key string, parts map<string,binary>").repartition(5)
+    assert tar.write_shards(df, str(tmp_path / "out")) == 3
+    with tarfile.open(tmp_path / "out/x.tar") as f:
+        assert f.getnames() == [f"{k:03d}.{e}" for k in range(30) for e in ("jpg", "json")]
+    rows, faults = tar.samples(spark, str(tmp_path / "out"))
+    assert rows.count() == 60 and faults.isEmpty()
 
 
 def test_sinks(spark, tmp_path):

@@ -117,10 +117,12 @@ def samples(spark, d):
 
 @register("S19", "SELECT doc_id, coalesce(text, '') AS coca_caption, 'image ' || doc_id AS image, lang, source FROM documents")
 def s19(spark, d):
-    """Tar shards, written and scanned; parts of a sample meet by their stem."""
+    """Tar shards, written as rows come and read by byte ranges; parts of a sample meet by their stem."""
+    from ..sources import tar
+
     path = new_path(spark, "shards")
-    sinks.tar_shards(samples(spark, d), path)
-    rows = files.tar_samples(spark, path)
+    tar.write_shards(samples(spark, d), path)
+    rows, _ = tar.samples(spark, path, range_bytes=1 << 20)
     meta = F.from_json("metadata", "lang string, source string")
     return rows.select(F.col("key").cast("bigint").alias("doc_id"), F.get_json_object("captions", "$.coca_caption").alias("coca_caption"), F.col("image").cast("string").alias("image"), meta["lang"].alias("lang"), meta["source"].alias("source"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,32 +124,6 @@ def image_sizes(spark: SparkSession, path: str) -> DataFrame:
     return sized.select("path", "image_id", "s.width", "s.height", F.when(F.col("s.width").isNull(), "fail").otherwise("ok").alias("state"))
 
 
-def tar_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of tar shards: shard, key, captions, image, metadata. A shard that can't be read gives the samples before the fault."""
-    import io
-    import tarfile
-
-    def untar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for shard, content in zip(frame["path"], frame["content"], strict=True):
-                rows = []
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                        for member in tar:
-                            if member.isfile():
-                                key, _, ext = member.name.rpartition("/")[2].partition(".")
-                                rows.append((shard, key, ext.lower(), tar.extractfile(member).read()))
-                except tarfile.TarError:
-                    pass  # what was read before the fault stays
-                yield pd.DataFrame(rows, columns=["shard", "key", "ext", "data"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path).select("path", "content")
-    parts = files.mapInPandas(untar, "shard string, key string, ext string, data binary")
-    part = lambda e, n: F.max(F.when(F.col("ext") == e, F.col("data"))).alias(n)
-    wide = parts.groupBy("shard", "key").agg(part("json", "captions"), part("jpg", "image"), part("metadata.json", "metadata"))
-    return wide.withColumn("captions", F.col("captions").cast("string")).withColumn("metadata", F.col("metadata").cast("string"))
-
-
 def newest(files: DataFrame, prefix: str) -> DataFrame:
     """The newest file whose name begins with prefix."""
     return files.filter(F.element_at(F.split("path", "/"), -1).startswith(prefix)).orderBy(F.desc("modificationTime"), "path").limit(1)

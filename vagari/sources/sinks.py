@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -77,18 +75,3 @@ def named_files(df: DataFrame, folder: str) -> int:
     rows = df.filter("name IS NOT NULL").select("name", F.col("content").cast("binary").alias("content"))
     return rows.mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
 
-
-def tar_shards(df: DataFrame, folder: str) -> int:
-    """Samples (shard, key, name of each part and its data as a map) as tar files, a file for each shard; a shard is what one task holds. Returns the number of shards."""
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        data = io.BytesIO()
-        with tarfile.open(fileobj=data, mode="w") as tar:
-            for key, parts in sorted(zip(frame["key"], frame["parts"], strict=True), key=lambda r: r[0]):
-                for ext, content in sorted(dict(parts).items()):
-                    info = tarfile.TarInfo(f"{key}.{ext}")
-                    info.size = len(content)
-                    tar.addfile(info, io.BytesIO(content))
-        return pd.DataFrame({"name": [f"{frame['shard'].iloc[0]}.tar"], "content": [data.getvalue()]})
-
-    return named_files(df.groupBy("shard").applyInPandas(pack, "name string, content binary"), folder)
