@@ -8,7 +8,7 @@ import tarfile
 from pyspark.sql import functions as F
 
 from vagari import schemas
-from vagari.sources import files, sinks, tar
+from vagari.sources import datasource, files, sinks, tar
 
 
 def png(w, h):
@@ -130,18 +130,59 @@ def test_models_are_stubs(spark):
     assert {r.image_id: r.n for r in boxes} == {"1": 2, "2": 0}
 
 
-def test_custom_source(spark):
-    from vagari.sources.datasource import ManifestSource
+MANIFEST = [{"file": f"{i}.tar", "split": ("train", "val", None)[i % 3], "size": i} for i in range(500)]
 
-    spark.dataSource.register(ManifestSource)
-    text = json.dumps([{"file": "0.tar", "split": "train", "size": 3}, {"file": "1.tar", "split": "test", "size": 4}, {"file": "x", "split": "other"}])
-    got = spark.read.format("split_manifest").option("manifest", text).load()
-    assert sorted(map(tuple, got.collect())) == [("0.tar", "train", 3), ("1.tar", "test", 4), ("x", "other", None)]
 
+def manifest_files(folder, files=3):
+    folder.mkdir(exist_ok=True)
+    for n in range(files):
+        (folder / f"{n}.json").write_text("".join(json.dumps(x) + "\n" for x in MANIFEST[n::files]) + ("no json\n[1]\n" if n == 1 else "") + ('{"file": "last"}' if n == 2 else ""))
+    (folder / "_SUCCESS").write_text("")
 
-def test_generation_is_bounded():
-    from vagari.streaming.generate import until
 
-    assert until(lambda n: [n] * 4, 10, 20) == ([0, 0, 0, 0, 1, 1, 1, 1, 2, 2], 3)
-    assert until(lambda n: 1 / 0, 10, 5) == ([], 5)
-    assert until(lambda n: [n], 10, 5, done=9) == ([0], 1)
+def test_manifest_source(spark, tmp_path):
+    datasource.register(spark)
+    manifest_files(tmp_path / "m")
+    want = sorted([(x["file"], x["split"], x["size"]) for x in MANIFEST] + [("last", None, None)], key=str)
+    for part in (7, 333, 1 << 20):
+        df = spark.read.format("split_manifest").option("part_bytes", part).load(str(tmp_path / "m"))
+        assert sorted(map(tuple, df.collect()), key=str) == want
+    assert df.rdd.getNumPartitions() == 1
+    some = df.filter("split = 'val' AND size > 100")
+    assert "EqualTo(split, val)" in some._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) or "split" in some._jdf.queryExecution().toString()
+    assert sorted(r.file for r in some.collect()) == sorted(x["file"] for x in MANIFEST if x["split"] == "val" and x["size"] > 100)
+    assert df.filter("split IN ('val', 'test') AND split IN ('val', 'train')").count() == sum(x["split"] == "val" for x in MANIFEST)
+    assert df.filter("split IS NULL").count() == sum(x["split"] is None for x in MANIFEST) + 1
+    one = spark.read.format("split_manifest").schema("size long").load(str(tmp_path / "m"))
+    assert one.columns == ["size"] and one.agg(F.sum("size")).first()[0] == sum(range(500))
+
+
+def test_plan_covers_each_byte_once():
+    files_, part = [("a", 10), ("b", 0), ("c", 25), ("d", 3)], 8
+    plan = datasource.planned(files_, part)
+    assert all(sum(hi - lo for _, lo, hi in p.ranges) <= part for p in plan)
+    assert sorted((f, b) for p in plan for f, lo, hi in p.ranges for b in range(lo, hi)) == sorted((f, b) for f, n in files_ for b in range(n))
+
+
+def test_manifest_stream_goes_on_after_a_restart(spark, tmp_path):
+    datasource.register(spark)
+    manifest_files(tmp_path / "m", 2)
+    folder, out, progress = (str(tmp_path / n) for n in ("m", "out", "progress"))
+
+    def run():
+        rows = spark.readStream.format("split_manifest").load(folder)
+        rows.writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).start(out).awaitTermination()
+        return spark.read.parquet(out).count()
+
+    assert run() == 500
+    (tmp_path / "m" / "9.json").write_text('{"file": "new", "split": "val", "size": 1}\n')
+    assert run() == 501 and run() == 501
+
+
+def test_hub(spark, tmp_path):
+    datasource.register(spark)
+    (tmp_path / "set" / "default").mkdir(parents=True)
+    (tmp_path / "set" / "default" / "x.jsonl").write_text('{"a": 1, "b": "x"}\n{"a": null}\n')
+    hub = spark.read.format("hub_dataset").schema("b string, a long").option("name", "set")
+    assert sorted(map(tuple, hub.load(str(tmp_path)).collect()), key=str) == sorted([("x", 1), (None, None)], key=str)
+    assert hub.option("config", "missing").load(str(tmp_path)).count() == 0

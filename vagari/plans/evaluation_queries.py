@@ -368,13 +368,3 @@ def k10(spark, d):
     """The whole soft summary, of long names; one model has no valid score."""
     rows = clip_scores(spark, d).withColumn("error", F.when(F.col("model") == "model_0", "no image").otherwise(F.col("error")))
     return reports.soft_summary(rows.withColumn("model", F.concat(F.lit("soft-model-with-a-name-of-forty-characters-"), "model")))
-
-
-@register("R02", "SELECT n_nationkey, CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 3 + 1 AS INTEGER) AS attempt FROM nation ORDER BY n_nationkey LIMIT 10")
-def r02(spark, d):
-    """Generate until there are enough rows: three a batch, the last may overshoot and is cut; attempts are bounded."""
-    from ..streaming.generate import until
-
-    keys = [r.n_nationkey for r in v.table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").limit(10 + 3).collect()]
-    rows, _ = until(lambda n: [(k, n + 1) for k in keys[3 * n : 3 * n + 3]], target=10, most_attempts=20)
-    return spark.createDataFrame(rows, "n_nationkey long, attempt int")

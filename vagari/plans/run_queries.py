@@ -90,6 +90,36 @@ def r01(spark, d):
     return buffered(rows, "shard", ["l_orderkey", "l_linenumber"], "42")
 
 
+@register("R02", "SELECT count(*) * 6 // 10 AS rows, count(*) * 6 // 10 AS customers, 0 AS strangers FROM customer")
+def r02(spark, d):
+    """Generate from a stream of requests until there is a row for six in ten customers; the first run is cut off in its third batch."""
+    from pyspark.errors import StreamingQueryException
+
+    from ..streaming.generate import generate_until
+
+    source, sink, checkpoint = (new_path(spark, name) for name in ("requests", "generated", "progress"))
+    customers = v.table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    customers.repartitionByRange(8, "key").write.parquet(source)
+    target = customers.count() * 6 // 10
+    requests = spark.readStream.schema("key long").option("maxFilesPerTrigger", 1).parquet(source)
+    calls = []
+
+    def make(rows):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("the model is out of reach")
+        return rows.withColumn("sentence", F.concat(F.lit("a cup near "), F.col("key").cast("string")))
+
+    try:
+        generate_until(requests, make, ["key"], sink, checkpoint, target)
+    except StreamingQueryException:
+        generate_until(requests, make, ["key"], sink, checkpoint, target)
+    made = spark.read.parquet(sink)
+    counts = made.agg(F.count("*").alias("rows"), F.countDistinct("key").alias("customers"))
+    strangers = made.join(customers, "key", "left_anti").agg(F.count("*").alias("strangers"))
+    return counts.join(strangers)
+
+
 def _halves(spark, d, folder: str, odd: int) -> None:
     v.table(spark, d, "events").filter(F.col("event_id") % 2 == odd).select("event_id", "event_type").write.mode("append").parquet(folder)
 

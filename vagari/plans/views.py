@@ -27,11 +27,11 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    w = W.Window.partitionBy("o_orderpriority", F.col("o_custkey") % 100).orderBy("o_orderkey")
+    w = W.Window.partitionBy("o_orderpriority", "o_custkey").orderBy("o_orderkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     flag = lambda m: F.when(k % m != 0, 1.0).otherwise(0.0)
     return o.select(
-        F.col("o_orderpriority").alias("model"), (F.col("o_custkey") % 100).alias("sentence_idx"), F.row_number().over(w).alias("image_idx"), k.alias("image_id"),
+        F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("sentence_idx"), F.row_number().over(w).alias("image_idx"), k.alias("image_id"),
         flag(2).alias("quantity"), flag(3).alias("category"), flag(5).alias("direction"), F.when(k % 11 != 0, flag(7)).alias("distance"), flag(13).alias("scene"),
         F.when(k % 17 != 0, F.lit(1.4) + (cents % 121) / 100.0).alias("clip_score"), F.when(k % 19 == 0, F.lit("no image")).alias("error"),
     )
@@ -76,14 +76,14 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate phrases by brand: part names with rules' cases mixed in."""
+    """Candidate phrases of ten parts an image: part names with rules' cases mixed in."""
     p = table(spark, sf_dir, "part")
     k, n = F.col("p_partkey"), F.col("p_name")
     phrase = (
         F.when(k % 9 == 0, F.concat(F.lit("Stack of "), n)).when(k % 9 == 1, F.lit("on left")).when(k % 9 == 2, F.lit("next to")).when(k % 9 == 3, F.concat(F.lit("tall "), n))
         .when(k % 9 == 4, F.lit("dog being on")).when(k % 9 == 5, F.lit("teddy")).when(k % 9 == 6, F.upper(n)).otherwise(n)
     )
-    return p.select(F.col("p_brand").alias("image_id"), k.alias("pos"), phrase.alias("phrase"))
+    return p.select(F.expr("p_partkey div 10").alias("image_id"), k.alias("pos"), phrase.alias("phrase"))
 
 
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ SQL = {
  (l_partkey % 4) * 2e0 AS x1, (l_suppkey % 4) * 2e0 AS y1, (l_partkey % 4) * 2e0 + 20e0 + (CAST(l_quantity AS INT) % 4) * 4 AS x2,
  (l_suppkey % 4) * 2e0 + 20e0 + (CAST(l_quantity AS INT) % 3) * 4 AS y2, 0.2e0 + (CAST(round(l_extendedprice * 100) AS BIGINT) % 800) / 1000e0 AS score
  FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "v_eval": """SELECT o_orderpriority AS model, o_custkey % 100 AS sentence_idx, CAST(row_number() OVER (PARTITION BY o_orderpriority, o_custkey % 100 ORDER BY o_orderkey) AS INT) AS image_idx,
+    "v_eval": """SELECT o_orderpriority AS model, o_custkey AS sentence_idx, CAST(row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS INT) AS image_idx,
  o_orderkey AS image_id, CASE WHEN o_orderkey % 2 <> 0 THEN 1e0 ELSE 0e0 END AS quantity, CASE WHEN o_orderkey % 3 <> 0 THEN 1e0 ELSE 0e0 END AS category,
  CASE WHEN o_orderkey % 5 <> 0 THEN 1e0 ELSE 0e0 END AS direction, CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 7 <> 0 THEN 1e0 ELSE 0e0 END END AS distance,
  CASE WHEN o_orderkey % 13 <> 0 THEN 1e0 ELSE 0e0 END AS scene, CASE WHEN o_orderkey % 17 <> 0 THEN 1.4e0 + (CAST(round(o_totalprice * 100) AS BIGINT) % 121) / 100e0 END AS clip_score,
@@ -138,7 +138,7 @@ SQL = {
     "v_caption": """SELECT doc_id AS image_id, source, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS spatial,
  CASE WHEN doc_id % 7 <> 0 THEN 'the  cat''s' || chr(9) || text END AS general, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text || ' they''re ' END AS optimized,
  CASE WHEN doc_id % 2 = 0 THEN 'original ' || text END AS original FROM documents""",
-    "v_phrase": """SELECT p_brand AS image_id, p_partkey AS pos, CASE p_partkey % 9 WHEN 0 THEN 'Stack of ' || p_name WHEN 1 THEN 'on left' WHEN 2 THEN 'next to' WHEN 3 THEN 'tall ' || p_name
+    "v_phrase": """SELECT p_partkey // 10 AS image_id, p_partkey AS pos, CASE p_partkey % 9 WHEN 0 THEN 'Stack of ' || p_name WHEN 1 THEN 'on left' WHEN 2 THEN 'next to' WHEN 3 THEN 'tall ' || p_name
  WHEN 4 THEN 'dog being on' WHEN 5 THEN 'teddy' WHEN 6 THEN upper(p_name) ELSE p_name END AS phrase FROM part""",
     "v_status": """SELECT event_id, ts, user_id, CASE event_type WHEN 'error' THEN 'fail' WHEN 'view' THEN 'skip' ELSE 'success' END AS status, value FROM events""",
     "v_manifest": """SELECT CAST(doc_id AS VARCHAR) || '.tar' AS file, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, n_chars AS size FROM documents""",

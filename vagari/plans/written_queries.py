@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import time
 
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import boxes as ops
-from ..sources import files, sinks
+from ..sources import datasource, files, sinks
 from ..sources.shared import new_path
 from . import views as v
 from .detection_queries import LEVELS_SQL, P, level_checks
@@ -84,25 +83,36 @@ def s08(spark, d):
 
 @register("S18", "SELECT file, split, size FROM v_manifest", "v_manifest")
 def s18(spark, d):
-    """A split manifest: JSON objects, an array in each file."""
+    """A split manifest: JSON objects, an array of at most MANIFEST_ROWS in each file's line."""
     path = new_path(spark, "manifest")
-    v.manifest(spark, d).groupBy(F.pmod(F.xxhash64("file"), F.lit(64)).alias("part")).agg(F.to_json(F.collect_list(F.struct("file", "split", "size"))).alias("value")).select("value").write.text(path)
+    part = F.expr(f"cast(split_part(file, '.', 1) AS bigint) div {MANIFEST_ROWS}")
+    v.manifest(spark, d).groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct("file", "split", "size"))).alias("value")).select("value").write.text(path)
     return spark.read.schema(schemas.SPLIT_MANIFEST).json(path)
 
 
-@register("S17", "SELECT DISTINCT source AS file, CASE WHEN source LIKE '%1' THEN 'val' WHEN source LIKE '%2' THEN NULL ELSE 'train' END AS split, n AS size FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
+@register("S17", "SELECT file, size FROM v_manifest WHERE split IN ('train', 'val')", "v_manifest")
 def s17(spark, d):
-    """A custom data source over a manifest of the sources."""
-    from ..sources.datasource import ManifestSource
+    """A custom data source over a manifest: planned by size, the filter on splits is the source's."""
+    datasource.register(spark)
+    path = new_path(spark, "manifest")
+    v.manifest(spark, d).write.json(path)
+    rows = spark.read.format("split_manifest").option("part_bytes", 16 << 20).load(path)
+    return rows.filter(F.col("split").isin("train", "val")).select("file", "size")
+
 
-    spark.dataSource.register(ManifestSource)
-    split = F.when(F.col("file").endswith("1"), "val").when(F.col("file").endswith("2"), F.lit(None)).otherwise("train")
-    rows = v.table(spark, d, "documents").groupBy(F.col("source").alias("file")).agg(F.count("*").alias("size")).withColumn("split", split)
-    text = json.dumps([r.asDict() for r in rows.collect()])  # a manifest of shards, made by hand as a rule
-    return spark.read.format("split_manifest").option("manifest", text).load()
+@register("S15", "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND source IN ('src0', 'src1')")
+def s15(spark, d):
+    """One configuration (a language) of a dataset in a local hub, with the columns that are wanted and a filter."""
+    datasource.register(spark)
+    path = new_path(spark, "hub")
+    rows = v.table(spark, d, "documents").withColumn("config", F.coalesce("lang", F.lit("none")))
+    for config in ("en", "de"):
+        rows.filter(F.col("config") == config).drop("config").write.json(f"{path}/documents/{config}")
+    read = spark.read.format("hub_dataset").schema("doc_id long, source string, n_chars long").option("name", "documents").option("config", "en").load(path)
+    return read.filter(F.col("source").isin("src0", "src1")).select("doc_id", "n_chars")
 
 
-SHARD_ROWS = 100
+SHARD_ROWS, MANIFEST_ROWS = 100, 1000
 
 
 def samples(spark, d):
