@@ -50,28 +50,6 @@ def t05(spark, d):
     return v.phrases(spark, d).filter(~kw.last_word(F.col("phrase")).isin(lex.BLOCKED_ROOTS)).select("image_id", "pos")
 
 
-@register("T07", f"SELECT image_id, pos, CASE WHEN starts_with(lower(phrase), 'stack of') THEN lower(phrase) ELSE lower({NOUNS}[-1]) END AS name FROM v_phrase", "v_phrase")
-def t07(spark, d):
-    # The container rule needs " of " in the phrase as written; "Stack of" has it.
-    return v.phrases(spark, d).select("image_id", "pos", tx.object_name(F.col("phrase")).alias("name"))
-
-
-@register("T08", f"SELECT image_id, pos, lower({NOUNS}[-1]) AS core FROM v_phrase", "v_phrase")
-def t08(spark, d):
-    return v.phrases(spark, d).select("image_id", "pos", tx.core_noun(F.col("phrase")).alias("core"))
-
-
-@register("T09", f"SELECT image_id, pos, CASE WHEN lower({NOUNS}[-1]) IN ('teddy', 'bear') THEN 'bear' ELSE lower({NOUNS}[-1]) END AS label FROM v_phrase", "v_phrase")
-def t09(spark, d):
-    return v.phrases(spark, d).select("image_id", "pos", tx.standard_label(F.col("phrase")).alias("label"))
-
-
-@register("O02", f"SELECT image_id, pos, CASE WHEN lower({NOUNS}[-1]) IN ('teddy', 'bear') THEN 'bear' ELSE lower({NOUNS}[-1]) END AS label FROM v_phrase", "v_phrase")
-def o02(spark, d):
-    """Labels are computed once for each distinct phrase."""
-    return kw.once_each(v.phrases(spark, d), "phrase", lambda p: p.withColumn("label", tx.standard_label(F.col("phrase")))).select("image_id", "pos", "label")
-
-
 def listed(spark, d):
     rows = v.phrases(spark, d)
     return kw.as_list(rows, "image_id", "phrase", "pos")
@@ -88,12 +66,6 @@ def t11(spark, d):
     return listed(spark, d).select("image_id", tx.yes_no_prompt(F.col("phrase")).alias("prompt"))
 
 
-@register("A17", """WITH r AS (SELECT image_id, pos, phrase, lower(split_part(phrase, ' ', -1)) AS root FROM v_phrase)
-SELECT image_id, root, arg_max(phrase, len(phrase) * 1000000000 - pos) AS phrase, min(pos) AS first_pos FROM r GROUP BY image_id, root""", "v_phrase")
-def a17(spark, d):
-    return kw.longest_by_root(v.phrases(spark, d), "image_id")
-
-
 @register("A18", f"SELECT image_id, lower({NOUNS}[-1]) AS core, min(pos) AS pos FROM v_phrase GROUP BY ALL", "v_phrase")
 def a18(spark, d):
     return kw.first_of_each(v.phrases(spark, d).withColumn("core", tx.core_noun(F.col("phrase"))), "image_id", "core", "pos").select("image_id", "core", "pos")
@@ -214,15 +186,6 @@ def m01(spark, d):
     return rows.select("image_id", "pos", F.size("output").cast("long").alias("words"))
 
 
-@register("T02", r"SELECT image_id, pos, CAST(k - 1 AS INTEGER) AS nth, w AS root FROM (SELECT image_id, pos, unnest(regexp_split_to_array(phrase, '\s+')) AS w, generate_subscripts(regexp_split_to_array(phrase, '\s+'), 1) AS k FROM v_phrase)", "v_phrase")
-def t02(spark, d):
-    """Candidates by the stand-in: every word is a chunk of its own."""
-    from ..functions.models import StubTagger, with_model
-
-    rows = with_model(v.phrases(spark, d).withColumnRenamed("phrase", "caption"), StubTagger())
-    return rows.select("image_id", "pos", F.posexplode("output").alias("nth", "root"))
-
-
 @register("M02", r"SELECT image_id, pos FROM v_phrase WHERE len(regexp_split_to_array(phrase, '\s+')) <= 3", "v_phrase")
 def m02(spark, d):
     from ..functions.models import StubVerifier, with_model
@@ -339,9 +302,3 @@ def m10(spark, d):
 
     rows = with_model(v.answers(spark, d).withColumnRenamed("text", "caption"), StubWriter())
     return rows.select("conv_id", "turn", F.col("output")[0].alias("caption"))
-
-
-@register("T06", "SELECT image_id, pos FROM v_phrase WHERE NOT (ends_with(lower(phrase), 'ing') OR ends_with(lower(phrase), 'ed'))", "v_phrase")
-def t06(spark, d):
-    """Noun tags by the stand-in rule: a last word in -ing or -ed is no noun."""
-    return v.phrases(spark, d).filter(~F.lower("phrase").rlike("(ing|ed)$")).select("image_id", "pos")

@@ -27,4 +27,4 @@ def register(key: str, sql: str | None = None, *views: str) -> Callable[[Query],
 
 def load() -> None:
     """Import the catalogue, which registers its queries."""
-    from . import caption_queries, detection_queries, evaluation_queries, file_queries, language_queries, run_queries, training_queries, written_queries  # noqa: F401
+    from . import caption_queries, chunk_queries, detection_queries, evaluation_queries, file_queries, language_queries, run_queries, training_queries, written_queries  # noqa: F401
