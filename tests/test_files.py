@@ -117,7 +117,7 @@ def test_sinks(spark, tmp_path):
     one = sinks.new_version(df, str(tmp_path / "v"))
     two = sinks.new_version(df.filter("index = 1"), str(tmp_path / "v"))
     assert one != two and sinks.latest(spark, str(tmp_path / "v")).count() == 1
-    assert [json.loads(r.value) for r in sinks.config_lines(spark, {"lr": 0.1, "name": "x"}).orderBy("value").collect()] == [{"lr": "0.1"}, {"name": "x"}]
+    assert [json.loads(r.value) for r in sinks.config_lines(spark.createDataFrame([({"lr": "0.1", "name": "x"},), ({},)], "m map<string,string>"), "m").orderBy("value").collect()] == [{"lr": "0.1"}, {"name": "x"}]
 
 
 def test_models_are_stubs(spark):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -70,3 +73,11 @@ class PromptParams:
     confidence: str = "Objects:\n%s\nSay how sure you are of each statement."
     synthesis: str = "Direction: %s\nDistance: %s\nContact: %s\nConfidence: %s\nCombine these into one description."
     levels: tuple[str, ...] = ("%s touching %s", "%s very close to %s", "%s some way from %s")
+
+
+def effective(given: Column, *configs) -> Column:
+    """A map of all settings of the configurations, 'Class.name' to text: what a row gives, else the default. Null and missing settings are not given; others than these are left out."""
+    defaults = {f"{type(c).__name__}.{k}": str(x) for c in configs for k, x in asdict(c).items()}
+    known = F.create_map(*(F.lit(x) for pair in defaults.items() for x in pair))
+    own = F.map_filter(F.coalesce(given, F.create_map().cast("map<string,string>")), lambda k, _: k.isin(list(defaults)))
+    return F.map_zip_with(known, own, lambda _, default, value: F.coalesce(value, default))

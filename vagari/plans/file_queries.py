@@ -99,23 +99,16 @@ def s11(spark, d):
     return files.mapping_rows(entries.select(F.to_json(F.struct("mapping")).alias("value"))).select("key", "level")
 
 
-# The configuration's defaults.
-CONFIGURATION = {
-    "DetectionParams": {"score_threshold": "0.36", "unscored_bonus": "0.1", "fusion_iou": "0.5", "skip_score": "0.0001", "detectors": "3", "duplicate_iou": "0.85"},
-    "ContactParams": {"iou": "0.0", "pixels": "5.0", "grazing_px": "10.0", "near_px": "50.0"},
-    "ScoreParams": {"alpha": "0.6", "scale": "15.0", "pass_threshold": "10.0"},
-    "CaptionParams": {"preferred": "optimized", "original_source": "src0", "expanded_percent": "50", "spatial_percent": "25", "general": "coca_caption", "spatial": "full", "seed": "42"},
-    "SampleParams": {"count": "10", "seed": "42"},
-    "TrainParams": {"batch": "16", "devices": "2", "accumulate": "1", "epochs": "1", "snr_gamma": "5.0"},
-}
-
-
-@register("S22", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{k}', '{x}')" for c, own in CONFIGURATION.items() for k, x in own.items()) + ") t(pipeline, name, value)")
+@register("S22", """SELECT c_custkey AS run, 'ScoreParams.alpha' AS name, CASE WHEN c_custkey % 3 = 0 THEN '0.' || c_custkey % 10 ELSE '0.6' END AS value FROM customer
+UNION ALL SELECT c_custkey, 'ScoreParams.scale', CASE WHEN c_custkey % 5 = 0 THEN c_custkey::VARCHAR ELSE '15.0' END FROM customer UNION ALL SELECT c_custkey, 'ScoreParams.pass_threshold', '10.0' FROM customer
+UNION ALL SELECT c_custkey, 'SampleParams.count', '10' FROM customer UNION ALL SELECT c_custkey, 'SampleParams.seed', CASE WHEN c_custkey % 7 > 0 THEN c_name ELSE '42' END FROM customer""")
 def s22(spark, d):
-    """The configuration as rows."""
-    from dataclasses import asdict
-
+    """Configurations of runs: the defaults of two pipelines, with what a run sets instead; settings that no pipeline has don't count."""
     from .. import params as p
 
-    rows = [(type(c).__name__, k, str(x)) for c in (p.DetectionParams(), p.ContactParams(), p.ScoreParams(), p.CaptionParams(), p.SampleParams(), p.TrainParams()) for k, x in asdict(c).items()]
-    return spark.createDataFrame(rows, "pipeline string, name string, value string")
+    k = F.col("c_custkey")
+    given = F.create_map(
+        F.lit("ScoreParams.alpha"), F.when(k % 3 == 0, F.concat(F.lit("0."), (k % 10).cast("string"))), F.lit("ScoreParams.scale"), F.when(k % 5 == 0, k.cast("string")),
+        F.lit("SampleParams.seed"), F.when(k % 7 > 0, F.col("c_name")), F.lit("unknown"), F.lit("x"),
+    )
+    return v.table(spark, d, "customer").select(k.alias("run"), F.explode(p.effective(given, p.ScoreParams(), p.SampleParams())).alias("name", "value"))

@@ -19,14 +19,24 @@ EXCLUDED = quoted(lex.POSITION_WORDS + lex.ABSTRACT_WORDS + lex.BODY_PARTS + lex
 NOUNS = r"list_filter(regexp_split_to_array(phrase, '\s+'), lambda w: w <> '')"
 
 
-@register("T04", f"SELECT DISTINCT unnest([{EXCLUDED}]) AS word")
+SPOKEN = r"SELECT DISTINCT unnest(regexp_split_to_array(lower(phrase), '\s+')) AS word FROM v_phrase"
+
+
+def spoken(spark, d):
+    """Each word of the phrases once."""
+    return v.phrases(spark, d).select(F.explode(F.split(F.lower("phrase"), r"\s+")).alias("word")).distinct()
+
+
+@register("T04", f"WITH s AS ({SPOKEN}) SELECT word, word IN ({EXCLUDED}) AS excluded FROM s WHERE word <> ''", "v_phrase")
 def t04(spark, d):
-    return spark.range(1).select(F.explode(tx.exclusion_lexicon()).alias("word"))
+    """Words of the phrases, and whether the lexicon, the union of its five sets, has them."""
+    return spoken(spark, d).filter("word <> ''").select("word", F.array_contains(tx.exclusion_lexicon(), F.col("word")).alias("excluded"))
 
 
-@register("U02", f"SELECT DISTINCT unnest([{quoted(lex.POSITION_WORDS + lex.BODY_PARTS)}]) AS word")
+@register("U02", f"WITH s AS ({SPOKEN}) SELECT word FROM s WHERE word IN ({quoted(lex.POSITION_WORDS)}) UNION SELECT word FROM s WHERE word IN ({quoted(lex.PREPOSITIONS)})", "v_phrase")
 def u02(spark, d):
-    a, b = (spark.range(1).select(F.explode(tx.words(w)).alias("word")) for w in (lex.POSITION_WORDS, lex.BODY_PARTS))
+    """Words of the phrases that are in either of two sets."""
+    a, b = (spoken(spark, d).filter(F.array_contains(tx.words(w), F.col("word"))) for w in (lex.POSITION_WORDS, lex.PREPOSITIONS))
     return a.union(b).distinct()
 
 

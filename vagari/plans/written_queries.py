@@ -174,12 +174,13 @@ def k13(spark, d):
     return spark.read.schema("model string, image_id long, level string, predicted_level string, pass_contact_check boolean").json(path).select("model", "image_id", "level", "predicted_level", "pass_contact_check")
 
 
-@register("K18", "SELECT name, value FROM (VALUES ('batch', '16'), ('learning_rate', '1e-05'), ('note', 'a \"quoted\" text')) t(name, value)")
+@register("K18", """SELECT n_nationkey AS run, name, value FROM (SELECT n_nationkey, 'name' AS name, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'region', CAST(n_regionkey AS VARCHAR) FROM nation UNION ALL SELECT n_nationkey, 'note', 'a "quoted" ' || n_name FROM nation)""")
 def k18(spark, d):
-    """A line for each setting, appended to the run's file."""
+    """A line for each setting of each run, appended to the runs' files."""
     path = new_path(spark, "run-config")
-    sinks.config_lines(spark, {"batch": 16, "learning_rate": 1e-05, "note": 'a "quoted" text'}).write.mode("append").text(path)
-    return spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "value"))
+    settings = F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("note"), F.concat(F.lit('a "quoted" '), "n_name"))
+    sinks.config_lines(v.table(spark, d, "nation").select(F.col("n_nationkey").alias("run"), settings.alias("settings")), "settings").write.mode("append").partitionBy("run").text(path)
+    return spark.read.text(path).select(F.col("run").cast("bigint").alias("run"), F.explode(F.from_json("value", "map<string,string>")).alias("name", "value"))
 
 
 @register("S06", "SELECT s_suppkey AS image_id, s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AS complete FROM supplier")

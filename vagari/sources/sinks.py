@@ -49,10 +49,10 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v={newest}")
 
 
-def config_lines(spark: SparkSession, config: dict) -> DataFrame:
-    """A JSON line for each key."""
-    rows = spark.createDataFrame([({k: str(v)},) for k, v in config.items()], "m map<string,string>")
-    return rows.select(F.to_json("m").alias("value"))
+def config_lines(runs: DataFrame, settings: str) -> DataFrame:
+    """A JSON line (value) for each entry of the map 'settings', beside the other columns; a run without settings has no line."""
+    others = [c for c in runs.columns if c != settings]
+    return runs.select(*others, F.explode(settings).alias("_k", "_v")).select(*others, F.to_json(F.create_map("_k", F.col("_v").cast("string"))).alias("value"))
 
 
 def named_files(df: DataFrame, folder: str) -> int:
