@@ -91,3 +91,15 @@ def test_longest_by_lemma(spark, table):
     rows = spark.createDataFrame([(1, 0, "box"), (1, 1, "red boxes"), (1, 2, "two boxes"), (1, 3, "mice"), (1, 4, ""), (2, 0, "mouse")], "k int, pos int, phrase string")
     got = c.longest_by_lemma(c.tagged(rows, ["k", "pos"], "phrase", table), "k").orderBy("k", "first_pos").collect()
     assert [tuple(r) for r in got] == [(1, "box", "red boxes", 0), (1, "mouse", "mice", 3), (2, "mouse", "mouse", 0)]
+
+
+def test_tokens_are_not_broadcast(spark):
+    """A small file can hold many tokens: 1,200,000 parts in 5 MB took all the driver's memory when their tokens were broadcast."""
+    from conftest import SF
+
+    from vagari.plans import registry
+
+    registry.load()
+    for key in ("T02", "T06", "A17"):
+        plan = registry.QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan, key

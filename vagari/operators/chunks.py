@@ -51,13 +51,16 @@ def tagged(rows: DataFrame, key: list[str], text: str, table: DataFrame, name: s
     """rows with their text's tokens: place, word, tag and lemma. key must be unique; table has word (lower case, each once), tag and lemma.
 
     Each distinct word meets the table once. Null and empty texts have no tokens.
+    Every token finds its word, so the left join loses and adds nothing; it keeps
+    Spark from broadcasting the tokens, which its estimate takes for a small file.
+    The hint does so for the rows, where a filter on tokens makes theirs an inner join.
     """
     said = rows.select(*key, F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)).alias("i", "word")).withColumn("low", F.lower("word"))
     words = said.select("low").distinct().join(table.select(F.col("word").alias("low"), "tag", "lemma"), "low", "left")
     tag = F.coalesce("tag", tag_by_form(F.col("low")))
     words = words.select("low", tag.alias("tag"), F.coalesce("lemma", lemma_by_form(F.col("low"), tag)).alias("lemma"))
-    met = said.join(words, "low").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("i", "word", "tag", "lemma"))).alias(name))
-    return rows.join(met, key, "left").withColumn(name, F.coalesce(name, F.array().cast(TOKENS)))
+    met = said.join(words, "low", "left").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("i", "word", "tag", "lemma"))).alias(name))
+    return rows.hint("merge").join(met, key, "left").withColumn(name, F.coalesce(name, F.array().cast(TOKENS)))
 
 
 def noun_chunks(tokens: Column) -> Column:
